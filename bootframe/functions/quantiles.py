@@ -24,7 +24,8 @@ def nearest_index(m: Column, q: float) -> Column:
 
 def nearest_quantile(arr: Column, q: float) -> Column:
     """The nearest-rank quantile of a sorted array (NULL when it is empty)."""
-    return F.try_element_at(arr, nearest_index(F.size(arr), q) + F.lit(1))
+    m = F.size(arr)
+    return F.when(m > 0, F.try_element_at(arr, nearest_index(m, q) + F.lit(1)))
 
 
 def quantile_agg(value: str, q: float, interpolation: str = "nearest") -> Column:

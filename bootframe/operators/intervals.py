@@ -55,14 +55,17 @@ def _with_basic_quantile(df: DataFrame, tstar: str, alpha: float, out: str) -> D
     ``rk = (R+1)α``, ``k = trunc(rk)``: integral rk → t_(k); k = 0 → t_(1);
     k = R → t_(R); otherwise ``t_(k) + (Φ⁻¹(α) − Φ⁻¹(k/(R+1))) /
     (Φ⁻¹((k+1)/(R+1)) − Φ⁻¹(k/(R+1))) · (t_(k+1) − t_(k))`` (Davison & Hinkley 1997, eq. 5.8).
-    Built in stages so every Φ⁻¹ works on a plain column (keeps generated code small).
+    Built in stages so every Φ⁻¹ works on a plain column.
     """
     R = F.size(F.col(tstar))
     staged = df.withColumn("_R", R).withColumn("_rk", (F.col("_R") + F.lit(1)).cast("double") * F.lit(float(alpha)))
     staged = staged.withColumn("_k", F.floor(F.col("_rk")).cast("int"))
     staged = staged.withColumn("_pk", F.col("_k").cast("double") / (F.col("_R") + F.lit(1)).cast("double"))
     staged = staged.withColumn("_pk1", (F.col("_k") + F.lit(1)).cast("double") / (F.col("_R") + F.lit(1)).cast("double"))
-    staged = staged.withColumn("_zk", norm_ppf(F.col("_pk"))).withColumn("_zk1", norm_ppf(F.col("_pk1")))
+    # One row per key reaches this point; evaluating Φ⁻¹ inside a lambda keeps its
+    # polynomial branches out of the fused whole-stage code (64 KB method limit).
+    staged = staged.withColumn("_z", F.transform(F.array(F.col("_pk"), F.col("_pk1")), norm_ppf))
+    staged = staged.withColumn("_zk", F.col("_z")[0]).withColumn("_zk1", F.col("_z")[1])
     t = F.col(tstar)
     k = F.col("_k")
     tk = F.try_element_at(t, F.greatest(k, F.lit(1)))
@@ -76,7 +79,7 @@ def _with_basic_quantile(df: DataFrame, tstar: str, alpha: float, out: str) -> D
         .when(k >= F.col("_R"), F.try_element_at(t, F.col("_R")))
         .otherwise(interp)
     )
-    return staged.withColumn(out, value).drop("_R", "_rk", "_k", "_pk", "_pk1", "_zk", "_zk1")
+    return staged.withColumn(out, value).drop("_R", "_rk", "_k", "_pk", "_pk1", "_z", "_zk", "_zk1")
 
 
 def norm_ppf_value(p: float) -> float:
