@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bootframe.functions.draws import draw_index, hash_bits, poisson_weight, uniform
+from bootframe.functions.draws import draw_index, hash_bits, poisson1_thresholds, poisson_weight, uniform
 
 METHODS = ("exact", "poisson")
 
@@ -126,7 +126,7 @@ def exact_draws(
 ) -> DataFrame:
     """All draws of all replicates: ``(r, i)``, ``n`` rows per replicate, generated in parallel."""
     total = int(n) * int(n_iter)
-    parts = max(spark.sparkContext.defaultParallelism, math.ceil(total / draws_per_task))
+    parts = max(2 * spark.sparkContext.defaultParallelism, math.ceil(total / draws_per_task))
     ids = spark.range(0, total, 1, parts)
     r = F.expr(f"id div {int(n)}")  # integral division: exact for any id
     s = F.expr(f"id % {int(n)}")
@@ -177,10 +177,18 @@ def resample(
     spark = df.sparkSession
     keys = key_columns(key)
     if method == "poisson":
+        # Each input row becomes n_iter weighted rows inside its task. A small input
+        # (fewer splits than cores) is spread first; a large one already is.
+        cores = spark.sparkContext.defaultParallelism
+        if n_iter > 1 and df.rdd.getNumPartitions() < cores:
+            df = df.repartition(2 * cores)
         reps = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(int(n_iter) - 1).cast("bigint")))
         weighted = df.select("*", reps.alias("r"))
-        weighted = weighted.withColumn("w", poisson_weight_column(seed, F.col("r"), [F.col(k) for k in keys], hash))
-        return weighted.where(F.col("w") > 0)
+        # Bind the hash once: the CASE chain reads the column, not 18 copies of the hash.
+        # w > 0 ⇔ u ≥ P(X = 0), so rows of weight 0 are dropped before the CASE runs.
+        weighted = weighted.withColumn("_u", uniform(seed, [F.col("r"), *[F.col(k) for k in keys]], hash))
+        weighted = weighted.where(F.col("_u") >= F.lit(poisson1_thresholds()[0]))
+        return weighted.withColumn("w", poisson_weight(F.col("_u"))).drop("_u")
     idx = indexed or row_index(df, keys, hash=hash)
     limit = BROADCAST_LIMIT if broadcast_limit is None else broadcast_limit
     if 2 * idx.size_bound <= limit:
