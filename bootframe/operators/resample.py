@@ -197,5 +197,7 @@ def resample(
         return joined.drop(idx.index_col).withColumn("w", F.lit(1).cast("bigint"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     weights = exact_weights(spark, idx.n, n_iter, seed, hash, partitions=parts)
-    data = idx.df.repartition(parts, idx.index_col)
+    # Both sides hash-partitioned on i once; the n-row table is the hash-join build
+    # side per partition (the hint also stops a broadcast from a file-size estimate).
+    data = idx.df.repartition(parts, idx.index_col).hint("shuffle_hash")
     return weights.join(data, idx.index_col).drop(idx.index_col)

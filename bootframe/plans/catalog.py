@@ -497,6 +497,84 @@ reps AS (SELECT r, 'range' AS stat, max(c_acctbal) - min(c_acctbal) AS value FRO
 SQL_BOOT_CUSTOM = _sql_boot_custom()
 
 
+PART_SCALES = ["p_size", "p_retailprice"]
+
+
+def q_boot_stats_multi_scale(spark: SparkSession, sf: str) -> DataFrame:
+    """Two measures (INT and DOUBLE) bootstrapped together, one aggregate per replicate."""
+    p = table(spark, sf, "part")
+    return rounded(boot_stats(p, "p_type", "p_partkey", PART_SCALES, n_iter=25, hash="md5"))
+
+
+SQL_BOOT_STATS_MULTI_SCALE = sql_boot_stats("part", "p_partkey", ["p_type"], PART_SCALES, 25)
+
+
+def _sql_d(g: str, s: str, a: str, b: str) -> str:
+    """Cohen's d of (group g, scale s) for levels a, b over the current FROM (duplicated rows)."""
+    return (
+        f"(avg({s}) FILTER (WHERE {g} = {a}) - avg({s}) FILTER (WHERE {g} = {b})) /"
+        f" sqrt(((count(*) FILTER (WHERE {g} = {a}) - 1) * pow(stddev_samp({s}) FILTER (WHERE {g} = {a}), 2)"
+        f" + (count(*) FILTER (WHERE {g} = {b}) - 1) * pow(stddev_samp({s}) FILTER (WHERE {g} = {b}), 2))"
+        f" / (count(*) FILTER (WHERE {g} = {a}) + count(*) FILTER (WHERE {g} = {b}) - 2))"
+    )
+
+
+def sql_basic_ci(scale: str, n_iter: int, t0_cte: str = "t0", ts_cte: str = "ts") -> str:
+    """Basic interval from CTEs t0(d) and ts(ts = sorted replicate list), all R = n_iter finite."""
+    khi, whi = _basic_weights(n_iter, 0.975)
+    klo, wlo = _basic_weights(n_iter, 0.025)
+    return f"""SELECT '{scale}' AS scale, {_r('t0.d')} AS d, CAST(0.95 AS DOUBLE) AS ci_level,
+  {_r(f'2 * t0.d - (ts[{khi}] + {_dbl(whi)} * (ts[{khi + 1}] - ts[{khi}]))')} AS ci_ll,
+  {_r(f'2 * t0.d - (ts[{klo}] + {_dbl(wlo)} * (ts[{klo + 1}] - ts[{klo}]))')} AS ci_ul
+FROM {t0_cte} t0, {ts_cte}"""
+
+
+def q_boot_cohens_d_multi_level(spark: SparkSession, sf: str) -> DataFrame:
+    """Four levels: d uses the first two sorted levels; every row stays in the resample pool."""
+    docs = table(spark, sf, "documents")
+    return rounded(boot_cohens_d(docs, ["n_chars"], "lang", "doc_id", n_iter=50, hash="md5"))
+
+
+def _sql_boot_cohens_d_multi_level() -> str:
+    d = _sql_d("lang", "n_chars", "'de'", "'en'")
+    return f"""
+WITH idx AS ({sql_index('documents', 'doc_id', ['lang'], ['n_chars'])}),
+draws AS ({sql_draws(50)}),
+reps AS (SELECT r, {d} AS t FROM draws JOIN idx USING (i) GROUP BY r),
+ts AS (SELECT list_sort(list(t)) AS ts FROM reps),
+t0 AS (SELECT {d} AS d FROM idx)
+{sql_basic_ci('n_chars', 50)}"""
+
+
+SQL_BOOT_COHENS_D_MULTI_LEVEL = _sql_boot_cohens_d_multi_level()
+
+
+def q_boot_cohens_d_poisson(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders")
+    return rounded(
+        boot_cohens_d(o, ["o_totalprice"], "o_orderstatus", "o_orderkey", n_iter=100, method="poisson", hash="md5")
+    )
+
+
+def _sql_boot_cohens_d_poisson() -> str:
+    u = (
+        "(('0x' || substr(md5(concat_ws('|', '42', t.r::VARCHAR, o.o_orderkey::VARCHAR)), 1, 13))::BIGINT"
+        f" * {_dbl(2.0 ** -52)})"
+    )
+    d = _sql_d("o_orderstatus", "o_totalprice", "'F'", "'O'")
+    return f"""
+WITH wt AS (SELECT o.o_orderstatus, CAST(o.o_totalprice AS DOUBLE) AS o_totalprice, t.r, {poisson_weight_sql(u)} AS w
+            FROM orders o CROSS JOIN range(0, 100) t(r)),
+dup AS (SELECT wt.* FROM wt JOIN range(1, 64) k(j) ON k.j <= wt.w),
+reps AS (SELECT r, {d} AS t FROM dup GROUP BY r),
+ts AS (SELECT list_sort(list(t)) AS ts FROM reps),
+t0 AS (SELECT {d} AS d FROM orders)
+{sql_basic_ci('o_totalprice', 100)}"""
+
+
+SQL_BOOT_COHENS_D_POISSON = _sql_boot_cohens_d_poisson()
+
+
 QUERIES: dict[str, Query] = {
     "select_by_regex": q_select_by_regex,
     "melt_long": q_melt_long,
@@ -519,6 +597,9 @@ QUERIES: dict[str, Query] = {
     "boot_cohens_d": q_boot_cohens_d,
     "boot_custom_expr": q_boot_custom_expr,
     "boot_custom_pandas": q_boot_custom_pandas,
+    "boot_stats_multi_scale": q_boot_stats_multi_scale,
+    "boot_cohens_d_multi_level": q_boot_cohens_d_multi_level,
+    "boot_cohens_d_poisson": q_boot_cohens_d_poisson,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -543,4 +624,7 @@ ORACLE_SQL: dict[str, str] = {
     "boot_cohens_d": SQL_BOOT_COHENS_D,
     "boot_custom_expr": SQL_BOOT_CUSTOM,
     "boot_custom_pandas": SQL_BOOT_CUSTOM,
+    "boot_stats_multi_scale": SQL_BOOT_STATS_MULTI_SCALE,
+    "boot_cohens_d_multi_level": SQL_BOOT_COHENS_D_MULTI_LEVEL,
+    "boot_cohens_d_poisson": SQL_BOOT_COHENS_D_POISSON,
 }
