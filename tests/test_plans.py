@@ -1,0 +1,64 @@
+"""Plan-shape guards: what the optimizer produces for the registered queries."""
+
+import contextlib
+import io
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__ as E
+from bootframe.plans.bootstrap import boot_stats
+from tests.brute import median, nearest, replicate_frames
+from tests.conftest import SF_SMALL
+
+
+def plan_of(df) -> str:
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain(mode="formatted")
+    return buf.getvalue()
+
+
+@pytest.mark.parametrize("name", sorted(E.queries()))
+def test_no_cartesian_products(spark, name):
+    plan = plan_of(E.queries()[name](spark, SF_SMALL))
+    assert "CartesianProduct" not in plan
+    assert "BroadcastNestedLoopJoin" not in plan
+
+
+def test_scans_read_only_needed_columns(spark):
+    plan = plan_of(E.queries()["boot_ci_two_keys"](spark, SF_SMALL))
+    schemas = re.findall(r"ReadSchema: (struct<[^>]*>)", plan)
+    assert schemas and all("o_orderdate" not in s and "o_custkey" not in s for s in schemas)
+
+
+def test_filter_on_group_key_reaches_the_scan(spark):
+    orders = spark.read.parquet(f"{SF_SMALL}/orders.parquet").where(F.col("o_orderstatus") == "F")
+    plan = plan_of(boot_stats(orders, "o_orderpriority", "o_orderkey", ["o_totalprice"], n_iter=5))
+    assert "PushedFilters: [IsNotNull(o_orderstatus), EqualTo(o_orderstatus,F)]" in plan
+
+
+def test_exact_small_table_uses_broadcast_join_not_shuffle_of_draws(spark):
+    plan = plan_of(E.queries()["boot_ci_one_key"](spark, SF_SMALL))
+    assert "BroadcastHashJoin" in plan
+
+
+def test_hot_group_matches_brute_force(spark):
+    """One key holds 40 % of the rows: results stay whole and exact."""
+    rows = [(i, "hot" if i % 5 < 2 else f"g{i % 7}", float((i * 37) % 101)) for i in range(700)]
+    df = spark.createDataFrame(rows, "k long, g string, x double")
+    got = {(r["g"], r["stat"]): (r["median"], r["ci95_ll"], r["ci95_ul"])
+           for r in boot_stats(df, "g", "k", ["x"], n_iter=12, hash="md5").collect()}
+    import pandas as pd
+
+    pdf = pd.DataFrame(rows, columns=["k", "g", "x"])
+    reps: dict = {}
+    for _, f in replicate_frames(pdf, "k", 12):
+        for g, grp in f.groupby("g"):
+            reps.setdefault((g, "mean"), []).append(grp["x"].mean())
+            reps.setdefault((g, "median"), []).append(float(grp["x"].median()))
+    want = {k: (median(v), nearest(v, 0.025), nearest(v, 0.975)) for k, v in reps.items()}
+    assert got.keys() == want.keys()
+    for k in got:
+        assert got[k] == pytest.approx(want[k], rel=1e-12)
