@@ -35,6 +35,8 @@ METHODS = ("exact", "poisson")
 ROWS_PER_BUCKET = 1 << 22
 #: draws generated per task of the exact draw range
 DRAWS_PER_TASK = 1 << 23
+#: draws per partition of the weight table when it is shuffled on the row index
+WEIGHTS_PER_PARTITION = 1 << 24
 #: largest proven in-memory size of the indexed table that may be broadcast
 BROADCAST_LIMIT = 256 << 20
 
@@ -195,7 +197,8 @@ def resample(
         draws = exact_draws(spark, idx.n, n_iter, seed, hash)
         joined = draws.join(F.broadcast(idx.df), idx.index_col)
         return joined.drop(idx.index_col).withColumn("w", F.lit(1).cast("bigint"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Sized by the weight rows (≈ 0.63·n·B, ~16 B each): AQE cannot split a repartition.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(idx.n * n_iter / WEIGHTS_PER_PARTITION))
     weights = exact_weights(spark, idx.n, n_iter, seed, hash, partitions=parts)
     # Both sides hash-partitioned on i once; the n-row table is the hash-join build
     # side per partition (the hint also stops a broadcast from a file-size estimate).
