@@ -8,6 +8,9 @@ run in one plan and no row is ever duplicated in memory.
   exactly ``n`` row indices uniformly with replacement. Draw ``s`` of
   replicate ``r`` picks ``i = hash(seed, r, s) mod n``. The draws meet the
   data on a dense row index ``i`` (see :func:`row_index`).
+* ``method="multinomial"``: exact-n like ``"exact"`` (same distribution, other
+  realisation), but each bucket of rows draws its share of a replicate's ``n``
+  draws in place (:mod:`bootframe.operators.multinomial`): no draw is shuffled.
 * ``method="poisson"``: every row gets an independent Poisson(1) weight from
   ``hash(seed, r, key)``. Same limiting distribution, no row index, no join,
   no shuffle before the aggregate: the plan to use at very large scale.
@@ -29,7 +32,7 @@ from pyspark.sql import types as T
 
 from bootframe.functions.draws import draw_index, hash_bits, poisson1_thresholds, poisson_weight, uniform
 
-METHODS = ("exact", "poisson")
+METHODS = ("exact", "multinomial", "poisson")
 
 #: rows per index bucket: one bucket is numbered by a single window task
 ROWS_PER_BUCKET = 1 << 22
@@ -170,6 +173,7 @@ def resample(
     shuffle before the caller's aggregate.
     exact, larger table: draws counted into ``(r, i, w)`` and joined on ``i``;
     both sides hash-partitioned on ``i`` once.
+    multinomial: bucket-local exact-n draws, no shuffle of draws.
     poisson: ``explode`` the replicate numbers and weight each row in place.
     """
     if n_iter < 1:
@@ -191,6 +195,10 @@ def resample(
         weighted = weighted.withColumn("_u", uniform(seed, [F.col("r"), *[F.col(k) for k in keys]], hash))
         weighted = weighted.where(F.col("_u") >= F.lit(poisson1_thresholds()[0]))
         return weighted.withColumn("w", poisson_weight(F.col("_u"))).drop("_u")
+    if method == "multinomial":
+        from bootframe.operators.multinomial import multinomial_resample
+
+        return multinomial_resample(df, keys, n_iter, seed)
     idx = indexed or row_index(df, keys, hash=hash)
     limit = BROADCAST_LIMIT if broadcast_limit is None else broadcast_limit
     if 2 * idx.size_bound <= limit:

@@ -575,6 +575,12 @@ t0 AS (SELECT {d} AS d FROM orders)
 SQL_BOOT_COHENS_D_POISSON = _sql_boot_cohens_d_poisson()
 
 
+def q_boot_ci_multinomial(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact-n replicates drawn bucket-locally (no SQL twin: numpy's generator; checked by pytest)."""
+    c = table(spark, sf, "customer")
+    return rounded(boot_stats(c, "c_mktsegment", "c_custkey", ["c_acctbal"], n_iter=100, method="multinomial"))
+
+
 QUERIES: dict[str, Query] = {
     "select_by_regex": q_select_by_regex,
     "melt_long": q_melt_long,
@@ -600,6 +606,7 @@ QUERIES: dict[str, Query] = {
     "boot_stats_multi_scale": q_boot_stats_multi_scale,
     "boot_cohens_d_multi_level": q_boot_cohens_d_multi_level,
     "boot_cohens_d_poisson": q_boot_cohens_d_poisson,
+    "boot_ci_multinomial": q_boot_ci_multinomial,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -12,8 +12,9 @@ def test_entry_runs(spark):
     assert df.columns == ["set", "o_orderstatus", "o_orderpriority", "scale", "stat", "median", "ci95_ll", "ci95_ul"]
 
 
-def test_every_query_has_an_oracle():
-    assert set(E.queries()) == set(E.oracle_sql())
+def test_every_query_but_multinomial_has_an_oracle():
+    assert set(E.queries()) - set(E.oracle_sql()) == {"boot_ci_multinomial"}
+    assert set(E.oracle_sql()) <= set(E.queries())
 
 
 @pytest.mark.parametrize("name", ["boot_ci_one_key", "boot_cohens_d", "grouping_sets_stats", "boot_ci_poisson"])
