@@ -22,18 +22,31 @@ def _w(weight: str | None) -> Column:
     return F.lit(1).cast("bigint") if weight is None else F.col(weight)
 
 
-def stat_expr(stat: str, x: Column, weight: str | None = None) -> Column:
-    """One aggregate over ``x`` (nulls ignored), optionally weighted by frequencies."""
+def stat_expr(stat: str, x: Column, weight: str | None = None, median_accuracy: int | None = None) -> Column:
+    """One aggregate over ``x`` (nulls ignored), optionally weighted by frequencies.
+
+    ``median_accuracy``: use the bounded-memory ``percentile_approx`` sketch for the
+    median (rows must then carry weight 1, see :func:`expand_frequencies`); the exact
+    median keeps a value→count map per group, unbounded for continuous measures.
+    """
     if stat == "mean":
         if weight is None:
             return F.avg(x)
         w = F.col(weight)
         return F.try_divide(F.sum(x * w), F.sum(F.when(x.isNotNull(), w)))
     if stat == "median":
+        if median_accuracy is not None:
+            return F.percentile_approx(x, F.lit(0.5), F.lit(int(median_accuracy))).cast("double")
         return F.median(x) if weight is None else F.percentile(x, F.lit(0.5), F.col(weight))
     raise ValueError(f"stat must be one of {STATS}, got {stat!r}")
 
 
+def expand_frequencies(df: DataFrame, weight: str = "w") -> DataFrame:
+    """Repeat each row ``weight`` times and set the weight to 1 (for sketches without weights)."""
+    reps = F.explode(F.array_repeat(F.lit(1), F.col(weight).cast("int")))
+    return df.select(*[c for c in df.columns if c != weight], reps.alias(weight)).withColumn(weight, F.lit(1).cast("bigint"))
+
+
 def wide_name(stat: str, scale: str) -> str:
     return f"{stat}__{scale}"
 
@@ -45,13 +58,16 @@ def wide_stats(
     stats: Sequence[str] = STATS,
     weight: str | None = None,
     extra_by: Sequence[str] = (),
+    median_accuracy: int | None = None,
 ) -> DataFrame:
     """One aggregate pass: a column ``stat__scale`` per (stat, scale), grouped by ``by + extra_by``.
 
     Aggregating wide first and unpivoting the small result is far cheaper than
     unpivoting every input row (Catalyst does not do this rewrite).
     """
-    exprs = [stat_expr(s, F.col(c).cast("double"), weight).alias(wide_name(s, c)) for c in scales for s in stats]
+    exprs = [
+        stat_expr(s, F.col(c).cast("double"), weight, median_accuracy).alias(wide_name(s, c)) for c in scales for s in stats
+    ]
     return df.groupBy(*by, *extra_by).agg(*exprs)
 
 
@@ -94,6 +110,7 @@ def grouping_sets_wide(
     weight: str | None = None,
     extra_by: Sequence[str] = (),
     set_col: str = "set",
+    median_accuracy: int | None = None,
 ) -> tuple[DataFrame, list[str]]:
     """Wide statistics for many grouping sets in one scan (GROUPING SETS / Expand).
 
@@ -112,7 +129,9 @@ def grouping_sets_wide(
                 cols.append(c)
     all_cols = [*cols, *extra_by]
     gsets = [[F.col(c) for c in [*s, *extra_by]] for s in uniq]
-    exprs = [stat_expr(s, F.col(c).cast("double"), weight).alias(wide_name(s, c)) for c in scales for s in stats]
+    exprs = [
+        stat_expr(s, F.col(c).cast("double"), weight, median_accuracy).alias(wide_name(s, c)) for c in scales for s in stats
+    ]
     if not all_cols:
         wide = df.agg(*exprs).withColumn("_gid", F.lit(0))
     else:

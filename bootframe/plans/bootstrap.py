@@ -27,6 +27,7 @@ from bootframe.operators.stats import (
     _two_levels,
     cohens_d,
     cohens_d_parts,
+    expand_frequencies,
     grouping_sets_wide,
     unpivot_stats,
     wide_stats,
@@ -55,6 +56,13 @@ def _narrow(df: DataFrame, keys: Sequence[str], cols: Sequence[str], scales: Seq
     return df.select(*[F.col(c) for c in seen], *[F.col(s).cast("double").alias(s) for s in scales if s not in seen])
 
 
+def _for_median(rows: DataFrame, stats: Sequence[str], median_accuracy: int | None) -> DataFrame:
+    """The approximate median sketch takes no weights: repeat rows by frequency first."""
+    if median_accuracy is not None and "median" in stats:
+        return expand_frequencies(rows, "w")
+    return rows
+
+
 def boot_stats(
     df: DataFrame,
     by: str | Sequence[str],
@@ -68,6 +76,7 @@ def boot_stats(
     interpolation: str = "nearest",
     stats: Sequence[str] = STATS,
     broadcast_limit: int | None = None,
+    median_accuracy: int | None = None,
 ) -> DataFrame:
     """Grouped percentile bootstrap of means and medians for one category set.
 
@@ -77,12 +86,14 @@ def boot_stats(
 
     Returns (by..., scale, stat, median, ci95_ll, ci95_ul). ``by`` may be empty
     (one whole-table group). ``key`` names a unique row key.
+    ``median_accuracy`` switches the replicate median to the bounded-memory
+    ``percentile_approx`` sketch (for continuous measures in huge groups).
     """
     by = as_set(by) if by else []
     measures = resolve_scales(df, scales)
     narrow = _narrow(df, key_columns(key), by, measures)
-    rows = resample(narrow, key, n_iter, seed, method, hash, broadcast_limit)
-    wide = wide_stats(rows, by, measures, stats, weight="w", extra_by=["r"])
+    rows = _for_median(resample(narrow, key, n_iter, seed, method, hash, broadcast_limit), stats, median_accuracy)
+    wide = wide_stats(rows, by, measures, stats, weight="w", extra_by=["r"], median_accuracy=median_accuracy)
     reps = unpivot_stats(wide, [*by, "r"], measures, stats)
     return percentile_ci(reps, [*by, "scale", "stat"], "value", ci, interpolation)
 
@@ -102,6 +113,7 @@ def boot_stats_sets(
     shared: bool = True,
     broadcast_limit: int | None = None,
     set_col: str = "set",
+    median_accuracy: int | None = None,
 ) -> DataFrame:
     """:func:`boot_stats` for many category sets: (set, keys..., scale, stat, median, ci…).
 
@@ -120,8 +132,10 @@ def boot_stats_sets(
                 all_cols.append(c)
     narrow = _narrow(df, key_columns(key), all_cols, measures)
     if shared:
-        rows = resample(narrow, key, n_iter, seed, method, hash, broadcast_limit)
-        wide, cols = grouping_sets_wide(rows, norm, measures, stats, "w", extra_by=["r"], set_col=set_col)
+        rows = _for_median(resample(narrow, key, n_iter, seed, method, hash, broadcast_limit), stats, median_accuracy)
+        wide, cols = grouping_sets_wide(
+            rows, norm, measures, stats, "w", extra_by=["r"], set_col=set_col, median_accuracy=median_accuracy
+        )
         reps = unpivot_stats(wide, [set_col, *cols, "r"], measures, stats)
         return percentile_ci(reps, [set_col, *cols, "scale", "stat"], "value", ci, interpolation)
     from bootframe.operators.resample import row_index
@@ -130,7 +144,8 @@ def boot_stats_sets(
     parts = []
     for k, s in enumerate(norm):
         rows = resample(narrow, key, n_iter, seed + k, method, hash, broadcast_limit, indexed=idx)
-        wide = wide_stats(rows, s, measures, stats, weight="w", extra_by=["r"])
+        rows = _for_median(rows, stats, median_accuracy)
+        wide = wide_stats(rows, s, measures, stats, weight="w", extra_by=["r"], median_accuracy=median_accuracy)
         reps = unpivot_stats(wide, [*s, "r"], measures, stats)
         out = percentile_ci(reps, [*s, "scale", "stat"], "value", ci, interpolation)
         missing = [F.lit(None).cast(df.schema[c].dataType).alias(c) for c in all_cols if c not in s]

@@ -177,3 +177,16 @@ def test_boot_custom_expression_and_pandas_agree(spark, survey):
     assert (expr["median"], expr["ci95_ll"], expr["ci95_ul"]) == pytest.approx(
         (pand["median"], pand["ci95_ll"], pand["ci95_ul"])
     )
+
+
+def test_approximate_median_close_to_exact(spark, survey):
+    exact = {(r["smoke"], r["stat"]): r for r in boot_stats(survey, "smoke", "RID", ["IPIP50_open"], n_iter=30).collect()}
+    approx = {(r["smoke"], r["stat"]): r for r in boot_stats(survey, "smoke", "RID", ["IPIP50_open"], n_iter=30,
+                                                              median_accuracy=100000).collect()}
+    assert exact.keys() == approx.keys()
+    for k, row in exact.items():
+        if k[1] == "mean":  # means are untouched by the switch
+            assert approx[k]["median"] == pytest.approx(row["median"], rel=1e-12)
+        elif row["median"] is not None:
+            # the sketch returns a data value; scores have one decimal
+            assert approx[k]["median"] == pytest.approx(row["median"], abs=0.051)
