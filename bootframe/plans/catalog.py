@@ -37,27 +37,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def round_sig(x, digits: int = DIGITS):
-    """Round to ``digits`` significant digits with plain IEEE arithmetic, identical in any engine.
+#: grid factor 1 + 2^-20 (exact in binary): the rounding grid is not a decimal one
+GRID = 1.0 + 2.0**-20
+
 
-    ``e = floor(log10|x|)``, ``scale = 10^(digits-1-e)`` (an exact power of ten
-    for |x| < 10^(digits-1)), result ``floor(x·scale + 0.5) / scale``. Values
-    outside [1e-200, 10^(digits-1)) pass unchanged. Spark's ``round`` rounds the
-    shortest decimal string of a double, DuckDB's the binary value; they differ
-    on ties, and fixed decimals put ties on averages of short decimals.
+def round_sig(x, digits: int = DIGITS):
+    """Quantise to about ``digits`` significant digits with plain IEEE arithmetic, identical in any engine.
+
+    ``e = floor(log10|x|)``, ``scale = 10^(digits-1-e) · GRID``, result
+    ``floor(x·scale + 0.5) / scale``. Values outside [1e-200, 10^(digits-1)) pass
+    unchanged. The grid step is deliberately not a power of ten: averages of short
+    decimals often end exactly in 5 at some decimal place, and on a decimal grid such
+    a tie is decided by summation-order noise (which differs between engines).
+    Spark's ``round`` is also avoided: it rounds the decimal string, DuckDB the binary value.
     """
     ax = F.abs(x)
     e = F.floor(F.log10(ax))
-    scale = F.pow(F.lit(10.0), F.lit(digits - 1) - e)
+    scale = F.pow(F.lit(10.0), F.lit(digits - 1) - e) * F.lit(GRID)
     ok = (ax > F.lit(1e-200)) & (ax < F.lit(float(10 ** (digits - 1))))
     return F.when(ok, F.floor(x * scale + F.lit(0.5)) / scale).otherwise(x)
 
 
+#: constant parameter columns, reported as given
+UNROUNDED = ("ci_level",)
+
+
 def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
-    """Round every DOUBLE column (for value comparison across engines)."""
+    """Quantise every computed DOUBLE column (for value comparison across engines)."""
     return df.select(
         *[
-            round_sig(F.col(f.name), digits).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
+            round_sig(F.col(f.name), digits).alias(f.name)
+            if isinstance(f.dataType, T.DoubleType) and f.name not in UNROUNDED
+            else F.col(f.name)
             for f in df.schema.fields
         ]
     )
@@ -69,7 +80,7 @@ def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
 def _r(expr: str, digits: int = DIGITS) -> str:
     """SQL twin of :func:`round_sig`."""
     x = f"CAST(({expr}) AS DOUBLE)"
-    scale = f"pow(CAST(10.0 AS DOUBLE), {digits - 1} - floor(log10(abs({x}))))"
+    scale = f"(pow(CAST(10.0 AS DOUBLE), {digits - 1} - floor(log10(abs({x})))) * CAST('{GRID!r}' AS DOUBLE))"
     ok = f"abs({x}) > CAST('1e-200' AS DOUBLE) AND abs({x}) < CAST('{float(10 ** (digits - 1))!r}' AS DOUBLE)"
     return f"(CASE WHEN {ok} THEN floor({x} * {scale} + 0.5) / {scale} ELSE {x} END)"
 
