@@ -87,3 +87,19 @@ def test_cohens_d_job_and_merge_keep_inputs(spark, tmp_path):
     assert merged.count() == 2 and merged.columns == ["scale", "d", "ci.level", "ci.ll", "ci.ul"]
     with pytest.raises(ValueError):
         merge_results(spark, [str(out / "combined.csv")], str(out / "combined.csv"))
+
+
+def test_command_line_boot_and_merge(spark, csv_paths, tmp_path):
+    from bootframe.__main__ import main
+
+    plain, gz = csv_paths
+    out = tmp_path / "cli"
+    assert main(["boot", "--input", gz, "--output-dir", str(out), "--n-iter", "4",
+                 "--categories", "gender", "gender,smoke"], spark=spark) == 0
+    assert sorted(os.listdir(out)) == ["boot_gender,smoke.csv", "boot_gender.csv"]
+    merged = tmp_path / "merged.csv"
+    assert main(["merge", "--output", str(merged), str(out / "boot_gender.csv"), str(out / "boot_gender,smoke.csv")],
+                spark=spark) == 0
+    assert spark.read.option("header", True).csv(str(merged)).count() > 0
+    with pytest.raises(ValueError):
+        main(["boot", "--input", str(tmp_path / "missing.csv")], spark=spark)
