@@ -7,6 +7,7 @@ into one sorted array per group, a size bound the caller fixes.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -83,8 +84,7 @@ def _with_basic_quantile(df: DataFrame, tstar: str, alpha: float, out: str) -> D
 
 
 def norm_ppf_value(p: float) -> float:
-    from statistics import NormalDist
-
+    """Φ⁻¹(p) on the driver, for constants."""
     return NormalDist().inv_cdf(p)
 
 

@@ -18,10 +18,6 @@ STATS = ("mean", "median")
 NA_POLICIES = ("propagate", "omit")
 
 
-def _w(weight: str | None) -> Column:
-    return F.lit(1).cast("bigint") if weight is None else F.col(weight)
-
-
 def stat_expr(stat: str, x: Column, weight: str | None = None, median_accuracy: int | None = None) -> Column:
     """One aggregate over ``x`` (nulls ignored), optionally weighted by frequencies.
 

@@ -1,4 +1,3 @@
-import math
 from statistics import NormalDist
 
 import pytest

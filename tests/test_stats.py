@@ -1,7 +1,6 @@
 import math
 
 import pytest
-from pyspark.sql import functions as F
 
 from bootframe.operators.stats import cohens_d, group_stats, grouping_sets_stats, levels, profile
 
