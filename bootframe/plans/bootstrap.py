@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bootframe.operators.cells import poisson_cell_weights, set_cells
 from bootframe.operators.columns import as_set, match_columns, numeric_columns
 from bootframe.operators.intervals import basic_ci, percentile_ci
 from bootframe.operators.resample import key_columns, resample
@@ -29,6 +30,7 @@ from bootframe.operators.stats import (
     cohens_d_parts,
     expand_frequencies,
     grouping_sets_wide,
+    stat_expr,
     unpivot_stats,
     wide_stats,
 )
@@ -63,6 +65,32 @@ def _for_median(rows: DataFrame, stats: Sequence[str], median_accuracy: int | No
     return rows
 
 
+def _boot_cells(
+    df: DataFrame,
+    sets: Sequence[Sequence[str]],
+    measures: Sequence[str],
+    n_iter: int,
+    seed: int,
+    method: str,
+    ci: float,
+    interpolation: str,
+    stats: Sequence[str],
+    set_col: str,
+) -> DataFrame:
+    """Percentile bootstrap over Poisson-weighted value cells (cells × B work)."""
+    if method != "poisson":
+        raise ValueError("collapse=True needs method='poisson' (a cell of c rows has weight Poisson(c))")
+    cells = set_cells(df, sets, measures, set_col)
+    # the cell table is small by design; spread it so the replicate draws use every core
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    rows = poisson_cell_weights(cells.repartition(2 * cores, "h"), n_iter, seed)
+    keys = [c for c in rows.columns if c not in ("value", "r", "w")]
+    reps = rows.groupBy(*keys, "r").agg(*[stat_expr(st, F.col("value"), "w").alias(st) for st in stats])
+    cells_long = [F.struct(F.lit(st).alias("stat"), F.col(st).alias("value")) for st in stats]
+    long = reps.select(*keys, "r", F.inline(F.array(*cells_long)))
+    return percentile_ci(long, [*keys, "stat"], "value", ci, interpolation)
+
+
 def boot_stats(
     df: DataFrame,
     by: str | Sequence[str],
@@ -77,6 +105,7 @@ def boot_stats(
     stats: Sequence[str] = STATS,
     broadcast_limit: int | None = None,
     median_accuracy: int | None = None,
+    collapse: bool = False,
 ) -> DataFrame:
     """Grouped percentile bootstrap of means and medians for one category set.
 
@@ -88,9 +117,14 @@ def boot_stats(
     (one whole-table group). ``key`` names a unique row key.
     ``median_accuracy`` switches the replicate median to the bounded-memory
     ``percentile_approx`` sketch (for continuous measures in huge groups).
+    ``collapse=True`` (Poisson only): bootstrap (group, scale, value) cells instead of
+    rows, see :mod:`bootframe.operators.cells`.
     """
     by = as_set(by) if by else []
     measures = resolve_scales(df, scales)
+    if collapse:
+        out = _boot_cells(df, [by], measures, n_iter, seed, method, ci, interpolation, stats, "_set")
+        return out.drop("_set")
     narrow = _narrow(df, key_columns(key), by, measures)
     rows = _for_median(resample(narrow, key, n_iter, seed, method, hash, broadcast_limit), stats, median_accuracy)
     wide = wide_stats(rows, by, measures, stats, weight="w", extra_by=["r"], median_accuracy=median_accuracy)
@@ -114,6 +148,7 @@ def boot_stats_sets(
     broadcast_limit: int | None = None,
     set_col: str = "set",
     median_accuracy: int | None = None,
+    collapse: bool = False,
 ) -> DataFrame:
     """:func:`boot_stats` for many category sets: (set, keys..., scale, stat, median, ci…).
 
@@ -122,9 +157,13 @@ def boot_stats_sets(
     replicates (seed ``seed + k`` for the k-th set), as separate runs would;
     the per-set plans are unioned (the set list is small and fixed).
     Keys a set does not group by are NULL; ``set`` names the set.
+    ``collapse=True`` (Poisson only): bootstrap (set group, scale, value) cells, each
+    set with its own replicates (as ``shared=False``), see :mod:`bootframe.operators.cells`.
     """
     norm = [as_set(s) for s in sets]
     measures = resolve_scales(df, scales)
+    if collapse:
+        return _boot_cells(df, norm, measures, n_iter, seed, method, ci, interpolation, stats, set_col)
     all_cols: list[str] = []
     for s in norm:
         for c in s:

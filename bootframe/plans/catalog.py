@@ -592,6 +592,18 @@ def q_boot_ci_multinomial(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(boot_stats(c, "c_mktsegment", "c_custkey", ["c_acctbal"], n_iter=100, method="multinomial"))
 
 
+LINE_DISCRETE = ["l_quantity", "l_discount", "l_tax"]
+
+
+def q_boot_ci_poisson_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Discrete measures, three sets, B = 1000, bootstrapped over value cells (no SQL twin: numpy Poisson)."""
+    li = table(spark, sf, "lineitem")
+    return rounded(
+        boot_stats_sets(li, LINE_SETS[:3], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], LINE_DISCRETE,
+                        n_iter=1000, method="poisson", collapse=True)
+    )
+
+
 QUERIES: dict[str, Query] = {
     "select_by_regex": q_select_by_regex,
     "melt_long": q_melt_long,
@@ -618,6 +630,7 @@ QUERIES: dict[str, Query] = {
     "boot_cohens_d_multi_level": q_boot_cohens_d_multi_level,
     "boot_cohens_d_poisson": q_boot_cohens_d_poisson,
     "boot_ci_multinomial": q_boot_ci_multinomial,
+    "boot_ci_poisson_cells": q_boot_ci_poisson_cells,
 }
 
 ORACLE_SQL: dict[str, str] = {
