@@ -106,7 +106,8 @@ def multinomial_resample(
     else:
         bucketed = bucketed.withColumn("_c", F.lit(0))
     parts = max(cores, min(p * k, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    laid_out = bucketed.repartition(parts, "_b", "_c").sortWithinPartitions("_b", "_c", *keys)
+    order = [*keys, *[c for c in df.columns if c not in keys]]  # ties broken by content
+    laid_out = bucketed.repartition(parts, "_b", "_c").sortWithinPartitions("_b", "_c", *order)
     chunk = math.ceil(n_iter / k)
     cols = list(df.columns)
     out_schema = T.StructType([*df.schema.fields, T.StructField("r", T.LongType()), T.StructField("w", T.LongType())])

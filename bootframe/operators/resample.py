@@ -95,13 +95,16 @@ def row_index(
     Never ``monotonically_increasing_id``: it changes with the partitioning.
     """
     keys = key_columns(key)
+    # Key first, then every other column: ties (a repeated key) are broken by the
+    # row's content, so the numbering is deterministic up to fully identical rows.
+    order = [*keys, *[c for c in df.columns if c not in keys]]
     n, bound = size_profile(df)
     if n == 0:
         raise ValueError("cannot resample an empty table")
     p = max(1, math.ceil(n / rows_per_bucket))
     if p == 1:
         # At most rows_per_bucket rows: one window task numbers them all.
-        ranked = df.withColumn(index_col, (F.row_number().over(Window.orderBy(*keys)) - F.lit(1)).cast("bigint"))
+        ranked = df.withColumn(index_col, (F.row_number().over(Window.orderBy(*order)) - F.lit(1)).cast("bigint"))
         return Indexed(ranked, n, bound, index_col)
     bucket = F.pmod(hash_bits(0, [F.col(k) for k in keys], hash), F.lit(p))
     with_b = df.withColumn("_bucket", bucket)
@@ -119,13 +122,26 @@ def row_index(
     # offsets has exactly P rows (P = ceil(n / rows_per_bucket)): a proven small side.
     ranked = with_b.join(F.broadcast(offsets), "_bucket").withColumn(
         index_col,
-        (F.col("_offset") + F.row_number().over(Window.partitionBy("_bucket").orderBy(*keys)) - F.lit(1)).cast(
+        (F.col("_offset") + F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)) - F.lit(1)).cast(
             "bigint"
         ),
     )
     return Indexed(ranked.drop("_bucket", "_offset"), n, bound, index_col)
 
 
+def check_unique_key(df: DataFrame, keys: Sequence[str], tolerance: float = 0.9) -> None:
+    """Refuse a clearly repeated key (Poisson weights hash the key: repeats would share weights).
+
+    One scan of the key columns with a HyperLogLog sketch (no shuffle); raises when
+    the estimated distinct count is below ``tolerance`` · rows.
+    """
+    row = df.agg(
+        F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.struct(*[F.col(k) for k in keys]), 0.01).alias("d")
+    ).first()
+    if row["n"] and row["d"] < tolerance * row["n"]:
+        raise ValueError(f"key {list(keys)} is not unique (~{row['d']} distinct of {row['n']} rows)")
+
+
 def exact_draws(
     spark: SparkSession, n: int, n_iter: int, seed: int = 42, hash: str = "xxhash64", draws_per_task: int = DRAWS_PER_TASK
 ) -> DataFrame:
@@ -183,6 +199,7 @@ def resample(
     spark = df.sparkSession
     keys = key_columns(key)
     if method == "poisson":
+        check_unique_key(df, keys)
         # Each input row becomes n_iter weighted rows inside its task. A small input
         # (fewer splits than cores) is spread first; a large one already is.
         cores = spark.sparkContext.defaultParallelism

@@ -286,7 +286,7 @@ def boot_custom_pandas(
     hash: str = "xxhash64",
     ci: float = 0.95,
     interpolation: str = "nearest",
-    chunks: int = 64,
+    rows_per_chunk: int = 1 << 20,
     broadcast_limit: int | None = None,
 ) -> DataFrame:
     """Percentile bootstrap of a user statistic written in pandas, as a two-phase aggregate.
@@ -294,12 +294,13 @@ def boot_custom_pandas(
     ``partial(pdf)`` gets a chunk of one replicate's rows (``columns`` plus the
     frequency ``w``) and returns one row of state (``state_schema``);
     ``combine(states)`` folds all chunk states of a replicate into the value.
-    Each replicate is split into ``chunks`` groups by a hash of the row key,
-    so no single pandas call ever holds a whole replicate; the combine step
-    sees ``chunks`` state rows per replicate.
+    Each replicate is split by a hash of the row key into ``ceil(n / rows_per_chunk)``
+    chunks, so a pandas call holds about ``rows_per_chunk`` rows whatever the table
+    size; the combine step sees one state row per chunk.
     """
     keys = key_columns(key)
     narrow = _narrow(df, keys, [*by, *columns], [])
+    chunks = max(1, -(-narrow.count() // int(rows_per_chunk)))
     rows = resample(narrow, key, n_iter, seed, method, hash, broadcast_limit)
     chunk = F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(int(chunks)))
     rows = rows.select(*by, "r", chunk.alias("_chunk"), *columns, "w")

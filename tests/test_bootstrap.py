@@ -173,7 +173,7 @@ def test_boot_custom_expression_and_pandas_agree(spark, survey):
         return float(states["mx"].max() - states["mn"].min())
 
     pand = boot_custom_pandas(survey, partial, combine, "mn double, mx double", "RID", ["IPIP50_agree"],
-                              n_iter=10, hash="md5", chunks=4).first()
+                              n_iter=10, hash="md5", rows_per_chunk=100).first()
     assert (expr["median"], expr["ci95_ll"], expr["ci95_ul"]) == pytest.approx(
         (pand["median"], pand["ci95_ll"], pand["ci95_ul"])
     )

@@ -64,3 +64,19 @@ def test_exact_resample_shuffle_path_equals_broadcast_path(spark):
     a = sorted(tuple(r) for r in small.groupBy("r", "k").agg(F.sum("w").alias("w")).collect())
     b = sorted(tuple(r) for r in big.select("r", "k", "w").collect())
     assert a == b
+
+
+def test_poisson_refuses_repeated_key(spark):
+    import pytest
+
+    df = spark.range(0, 1000).select((F.col("id") % 10).alias("k"), F.col("id").cast("double").alias("x"))
+    with pytest.raises(ValueError):
+        resample(df, "k", 3, method="poisson")
+
+
+def test_exact_index_deterministic_with_repeated_key(spark):
+    # key repeats, rows differ: the index orders ties by content, for any partitioning
+    df = spark.range(0, 500).select((F.col("id") % 50).alias("k"), F.col("id").cast("double").alias("x"))
+    a = row_index(df, "k").df
+    b = row_index(df.repartition(6), "k").df
+    assert sorted((r["i"], r["x"]) for r in a.collect()) == sorted((r["i"], r["x"]) for r in b.collect())
