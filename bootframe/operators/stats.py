@@ -291,3 +291,60 @@ def cohens_d_parts(
                 t = F.when(~bad, t)
         cells.append(F.struct(F.lit(c).alias("scale"), t.cast("double").alias("t")))
     return wide.select(*by, F.inline(F.array(*cells)))
+
+
+def cohens_d_parts_long(
+    rows: DataFrame,
+    group: str,
+    lv: Sequence,
+    centre: dict[tuple[str, int], float],
+    weight: str = "w",
+    na: str = "propagate",
+    by: Sequence[str] = ("r",),
+) -> DataFrame:
+    """:func:`cohens_d_parts` for long rows (scale, value, group, weight): (by..., scale, t).
+
+    Same sufficient statistics per level (W, centred S and Q, weight of missing
+    responses) and the same undefined cases; the centre is looked up per scale.
+    """
+    g, w, x = F.col(group), F.col(weight), F.col("value")
+    scales = sorted({s for s, _ in centre})
+    aggs = []
+    for k in (1, 2):
+        if len(lv) < k:
+            continue
+        c = F.element_at(
+            F.create_map(*[e for s in scales for e in (F.lit(s), F.lit(float(centre.get((s, k)) or 0.0)))]),
+            F.col("scale"),
+        ) if scales else F.lit(0.0)
+        keep = x.isNotNull() & g.isNotNull() if na == "omit" else F.lit(True)
+        at = (g == F.lit(lv[k - 1])) & keep
+        dx = x - c
+        aggs += [
+            F.sum(F.when(at, w)).alias(f"W{k}"),
+            F.sum(F.when(at, w * dx)).alias(f"S{k}"),
+            F.sum(F.when(at, w * dx * dx)).alias(f"Q{k}"),
+            F.sum(F.when(at & x.isNull(), w)).alias(f"B{k}"),
+            F.first(c, ignorenulls=True).alias(f"C{k}"),
+        ]
+    aggs.append(F.sum(F.when(g.isNull(), w)).alias("_null_group"))
+    wide = rows.groupBy(*by, "scale").agg(*aggs)
+    if len(lv) < 2:
+        return wide.select(*by, "scale", F.lit(None).cast("double").alias("t"))
+    parts = {}
+    for k in (1, 2):
+        W, S, Q = F.col(f"W{k}"), F.col(f"S{k}"), F.col(f"Q{k}")
+        parts[k] = (
+            F.col(f"C{k}") + F.try_divide(S, W.cast("double")),
+            F.greatest(Q - F.try_divide(S * S, W.cast("double")), F.lit(0.0)),
+            W,
+        )
+    (m1, ss1, w1), (m2, ss2, w2) = parts[1], parts[2]
+    pooled = F.sqrt(F.try_divide(ss1 + ss2, (w1 + w2 - 2).cast("double")))
+    t = F.when((w1 >= 2) & (w2 >= 2), F.try_divide(m1 - m2, pooled))
+    if na == "propagate":
+        bad = (F.coalesce(F.col("B1"), F.lit(0)) > 0) | (F.coalesce(F.col("B2"), F.lit(0)) > 0) | (
+            F.coalesce(F.col("_null_group"), F.lit(0)) > 0
+        )
+        t = F.when(~bad, t)
+    return wide.select(*by, "scale", t.cast("double").alias("t"))

@@ -28,6 +28,7 @@ from bootframe.operators.stats import (
     _two_levels,
     cohens_d,
     cohens_d_parts,
+    cohens_d_parts_long,
     expand_frequencies,
     grouping_sets_wide,
     stat_expr,
@@ -209,12 +210,15 @@ def boot_cohens_d(
     method: str = "exact",
     hash: str = "xxhash64",
     broadcast_limit: int | None = None,
+    collapse: bool = False,
 ) -> DataFrame:
     """Cohen's d per scale with a basic bootstrap interval: (scale, d, ci_level, ci_ll, ci_ul).
 
     All scales share one set of replicates (replicate r draws the same rows for
     every scale) and are evaluated in one aggregate over ``r``. The observed d
     (t0) uses the same ``group``. Rows in a third level stay in the resample pool.
+    ``collapse=True`` (Poisson only): replicate over (level, scale, value) cells, each
+    with weight Poisson(count); work is cells × B (see :mod:`bootframe.operators.cells`).
     """
     measures = resolve_scales(df, scales)
     narrow = _narrow(df, key_columns(key), [group], measures)
@@ -233,8 +237,20 @@ def boot_cohens_d(
     centre = {
         (c, k): centre_row[f"c{k}_{j}"] for j, c in enumerate(measures) for k in (1, 2) if len(lv) >= k
     }
-    rows = resample(narrow, key, n_iter, seed, method, hash, broadcast_limit)
-    reps = cohens_d_parts(rows, measures, group, lv, centre, "w", by=["r"], na=na)
+    if collapse:
+        if method != "poisson":
+            raise ValueError("collapse=True needs method='poisson' (a cell of c rows has weight Poisson(c))")
+        # Under Poisson weights a third level's rows do not affect d: keep the two
+        # compared levels and the missing-group rows (they make d undefined).
+        g = F.col(group)
+        relevant = narrow.where(g.isNull() | g.isin(*lv)) if lv else narrow.where(g.isNull())
+        cells = set_cells(relevant, [[group]], measures, "_set")
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        rows = poisson_cell_weights(cells.repartition(2 * cores, "h"), n_iter, seed).drop("_set")
+        reps = cohens_d_parts_long(rows, group, lv, centre, "w", na=na)
+    else:
+        rows = resample(narrow, key, n_iter, seed, method, hash, broadcast_limit)
+        reps = cohens_d_parts(rows, measures, group, lv, centre, "w", by=["r"], na=na)
     out = basic_ci(reps, t0.select("scale", "d"), ["scale"], "t", "d", conf)
     order = F.array_position(F.array(*[F.lit(c) for c in measures]), F.col("scale"))
     return out.orderBy(order).select("scale", "d", "ci_level", "ci_ll", "ci_ul")

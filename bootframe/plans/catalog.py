@@ -604,6 +604,14 @@ def q_boot_ci_poisson_cells(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def q_boot_cohens_d_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Cohen's d of three discrete measures, B = 1000, over value cells (no SQL twin: numpy Poisson)."""
+    li = table(spark, sf, "lineitem")
+    out = boot_cohens_d(li, LINE_DISCRETE, "l_linestatus", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"],
+                        n_iter=1000, method="poisson", collapse=True)
+    return rounded(out)
+
+
 QUERIES: dict[str, Query] = {
     "select_by_regex": q_select_by_regex,
     "melt_long": q_melt_long,
@@ -631,6 +639,7 @@ QUERIES: dict[str, Query] = {
     "boot_cohens_d_poisson": q_boot_cohens_d_poisson,
     "boot_ci_multinomial": q_boot_ci_multinomial,
     "boot_ci_poisson_cells": q_boot_ci_poisson_cells,
+    "boot_cohens_d_cells": q_boot_cohens_d_cells,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -74,3 +74,39 @@ def test_collapsed_close_to_row_poisson(spark):
 def test_collapse_needs_poisson(spark, survey):
     with pytest.raises(ValueError):
         boot_stats_sets(survey, [["smoke"]], "RID", ["IPIP100_calm"], n_iter=3, collapse=True)
+
+
+def test_collapsed_cohens_d_close_to_row_poisson(spark):
+    from bootframe.plans.bootstrap import boot_cohens_d
+
+    rng = np.random.default_rng(4)
+    n = 3000
+    pdf = pd.DataFrame({
+        "row_id": np.arange(n),
+        "gender": rng.choice(["f", "m", "x"], n, p=[0.45, 0.45, 0.1]),
+        "agree": rng.integers(1, 6, n) * 1.0,
+        "calm": rng.integers(1, 8, n) * 0.5,
+    })
+    pdf.loc[pdf["gender"] == "m", "agree"] += 0.3
+    df = spark.createDataFrame(pdf)
+    rows = {r["scale"]: r for r in boot_cohens_d(df, ["agree", "calm"], "gender", "row_id", n_iter=300,
+                                                  method="poisson").collect()}
+    cells = {r["scale"]: r for r in boot_cohens_d(df, ["agree", "calm"], "gender", "row_id", n_iter=300,
+                                                   method="poisson", collapse=True).collect()}
+    for s in ("agree", "calm"):
+        assert cells[s]["d"] == rows[s]["d"]  # t0 is the same statistic
+        wr = rows[s]["ci_ul"] - rows[s]["ci_ll"]
+        wc = cells[s]["ci_ul"] - cells[s]["ci_ll"]
+        assert wc == pytest.approx(wr, rel=0.2)
+        assert cells[s]["ci_ll"] < cells[s]["d"] < cells[s]["ci_ul"]
+
+
+def test_collapsed_cohens_d_propagates_missing(spark):
+    from bootframe.plans.bootstrap import boot_cohens_d
+
+    rows = [(i, "a" if i % 2 else "b", float(i % 5) if i != 7 else None) for i in range(200)]
+    df = spark.createDataFrame(rows, "row_id int, g string, x double")
+    out = boot_cohens_d(df, ["x"], "g", "row_id", n_iter=50, method="poisson", collapse=True).first()
+    assert out["d"] is None
+    omit = boot_cohens_d(df, ["x"], "g", "row_id", n_iter=50, method="poisson", collapse=True, na="omit").first()
+    assert omit["d"] is not None and omit["ci_ll"] <= omit["ci_ul"]
