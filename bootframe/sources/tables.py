@@ -24,6 +24,7 @@ def read_table(
     null_values: Sequence[str] = NULL_TOKENS,
     fmt: str | None = None,
     repartition_gzip: bool = True,
+    parse_dates: bool = False,
 ) -> DataFrame:
     """Read one table from CSV (header row) or Parquet; several paths or a glob give one table.
 
@@ -32,6 +33,8 @@ def read_table(
     inferred only when no ``schema`` is given (pass one in production: inference
     costs an extra pass). ``.gz`` files are decompressed by name; gzip is not
     splittable, so the rows are spread over the cluster after the read.
+    ``parse_dates=False`` keeps date- and time-like text as strings when inferring
+    (so such columns stay grouping categories, as text columns are).
     """
     paths = [path] if isinstance(path, str) else list(path)
     if not paths:
@@ -52,8 +55,22 @@ def read_table(
         reader = reader.option("nullValue", primary)
     if "" in tokens and primary is not None:
         reader = reader.option("emptyValue", primary)
-    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
-    df = reader.csv(paths)
+    if schema is not None:
+        df = reader.schema(schema).csv(paths)
+    else:
+        df = reader.option("inferSchema", True).csv(paths)
+        if not parse_dates and any(
+            isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)) for f in df.schema.fields
+        ):
+            as_text = T.StructType(
+                [
+                    T.StructField(f.name, T.StringType(), True)
+                    if isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))
+                    else f
+                    for f in df.schema.fields
+                ]
+            )
+            df = reader.schema(as_text).csv(paths)
     extra = [t for t in tokens if t not in ("", primary)]
     if extra:
         df = df.select(

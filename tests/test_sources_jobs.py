@@ -103,3 +103,11 @@ def test_command_line_boot_and_merge(spark, csv_paths, tmp_path):
     assert spark.read.option("header", True).csv(str(merged)).count() > 0
     with pytest.raises(ValueError):
         main(["boot", "--input", str(tmp_path / "missing.csv")], spark=spark)
+
+
+def test_dates_stay_text_unless_asked(spark, tmp_path):
+    p = tmp_path / "d.csv"
+    p.write_text("RID,collected,gender,IPIP_a\nR1,2017-01-05,f,3.5\nR2,2017-02-11,m,NA\n")
+    df = read_table(spark, str(p))
+    assert dict(df.dtypes) == {"RID": "string", "collected": "string", "gender": "string", "IPIP_a": "double"}
+    assert dict(read_table(spark, str(p), parse_dates=True).dtypes)["collected"] == "date"
