@@ -1,0 +1,66 @@
+"""Results depend on data and seed only: not on partitioning, shuffle width or re-execution."""
+
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from bootframe.operators.resample import resample
+from bootframe.operators.stats import wide_stats
+from bootframe.plans.bootstrap import boot_cohens_d, boot_stats_sets
+from bootframe.plans.jobs import run_boot_job
+
+
+def _rows(df):
+    """Rows keyed by their non-double columns; doubles compared to 1e-12 (summation order)."""
+    out = {}
+    for r in df.collect():
+        key = tuple((c, r[c]) for c in df.columns if not isinstance(r[c], float))
+        out[key] = tuple(r[c] for c in df.columns if isinstance(r[c], float))
+    return out
+
+
+def _same(a, b):
+    assert a.keys() == b.keys()
+    for k in a:
+        assert a[k] == pytest.approx(b[k], rel=1e-12), k
+
+
+@pytest.mark.parametrize("method", ["exact", "poisson", "multinomial"])
+def test_same_result_for_any_partitioning(spark, survey, method):
+    sets = [["gender"], ["smoke"]]
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "3")
+        a = _rows(boot_stats_sets(survey.coalesce(1), sets, "RID", ["IPIP50_agree"], n_iter=20, method=method))
+        spark.conf.set("spark.sql.shuffle.partitions", "11")
+        b = _rows(boot_stats_sets(survey.repartition(7), sets, "RID", ["IPIP50_agree"], n_iter=20, method=method))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    _same(a, b)
+
+
+def test_cohens_d_repeatable(spark):
+    rows = [(i, "f" if i % 3 else "m", float((i * 7) % 11)) for i in range(300)]
+    df = spark.createDataFrame(rows, "row_id int, gender string, agree double")
+    a = _rows(boot_cohens_d(df, ["agree"], "gender", "row_id", n_iter=50))
+    b = _rows(boot_cohens_d(df.repartition(5), ["agree"], "gender", "row_id", n_iter=50))
+    _same(a, b)
+
+
+def test_rare_group_absent_from_about_a_third_of_replicates(spark):
+    rows = [(i, "rare" if i == 0 else "common", float(i % 9)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "k long, g string, x double")
+    reps = wide_stats(resample(df, "k", 400), ["g"], ["x"], weight="w", extra_by=["r"])
+    seen = reps.where(F.col("g") == "rare").count()
+    assert 0.55 * 400 < seen < 0.72 * 400  # P(drawn at least once) = 1 - (1 - 1/n)^n ≈ 0.632
+
+
+def test_job_checkpoints_into_the_configured_folder(spark, tmp_path):
+    folder = spark.conf.get("spark.checkpoint.dir")
+    before = sum(len(f) for _, _, f in os.walk(folder))
+    csv = tmp_path / "s.csv"
+    csv.write_text("RID,gender,IPIP_a\n" + "\n".join(f"R{i},{'f' if i % 2 else 'm'},{i % 5}" for i in range(40)))
+    run_boot_job(spark, str(csv), str(tmp_path / "out"), n_iter=5)
+    after = sum(len(f) for _, _, f in os.walk(folder))
+    assert after > before
