@@ -1,4 +1,4 @@
-"""Poisson bootstrap over collapsed cells: work proportional to cells × B, not rows × B.
+"""Bootstrap over collapsed value cells: work proportional to cells × B, not rows × B.
 
 Under Poisson resampling each row gets an independent Poisson(1) weight, so the
 total weight of c identical (group, scale, value) rows is Poisson(c). The
@@ -6,6 +6,11 @@ replicate distribution of any statistic of one (group, scale) — mean, median,
 count — therefore stays the same when rows are first collapsed into cells
 ``(group keys, scale, value) → c`` and each cell draws one Poisson(c) weight.
 
+The same holds for exact-n resampling (the reference's draws): seen through one
+(set, scale), the n draws of a replicate fall on the value cells as
+Multinomial(n, c / n), so :func:`multinomial_cell_weights` draws that vector per
+replicate (group sizes still vary between replicates, as with row draws).
+
 For discrete measures (survey scores, counts, small integer scales) the number of
 cells does not grow with the table: a 100 TB table of scores collapses to
 thousands of cells in one map-side-combined aggregate, and the bootstrap itself
@@ -31,6 +36,11 @@ from pyspark.sql import types as T
 from bootframe.operators.columns import set_name
 
 _CELL_SALT = 13
+_MULTI_SALT = 17
+#: largest number of cells of one (set, scale) for exact-n cell draws (one pandas group)
+MAX_CELLS = 1 << 22
+#: weighted cell rows produced by one pandas call
+OUT_CELLS = 1 << 22
 
 
 def set_cells(df: DataFrame, sets: Sequence[Sequence[str]], scales: Sequence[str], set_col: str = "set") -> DataFrame:
@@ -92,3 +102,55 @@ def poisson_cell_weights(cells: DataFrame, n_iter: int, seed: int = 42) -> DataF
             yield pd.DataFrame(out)
 
     return cells.mapInPandas(gen, schema)
+
+
+def multinomial_cell_weights(
+    cells: DataFrame, n_iter: int, seed: int = 42, set_col: str = "set", max_cells: int = MAX_CELLS
+) -> DataFrame:
+    """Exact-n replicate weights over cells: per (set, scale) and replicate, Multinomial(n, c / n).
+
+    Adds ``r`` and ``w`` (> 0), drops ``c`` and ``h``. Each (set, scale) is one group of
+    at most ``max_cells`` cells (checked first; a continuous measure fails the check and
+    should be resampled by rows). Its replicates are split into chunks so one pandas call
+    returns about ``OUT_CELLS`` rows. Draws are seeded by (seed, set, scale, r) and cells are
+    ordered by their hash, so partitioning does not change them.
+    """
+    if n_iter < 1:
+        raise ValueError("n_iter must be at least 1")
+    sizes = cells.groupBy(set_col, "scale").agg(F.count(F.lit(1)).alias("k")).collect()  # sets × scales rows
+    if not sizes:
+        raise ValueError("no cells to resample")
+    biggest = max(r["k"] for r in sizes)
+    if biggest > max_cells:
+        raise ValueError(f"{biggest} distinct values in one (set, scale): too many cells; resample rows instead")
+    step = max(1, min(n_iter, OUT_CELLS // max(biggest, 1)))
+    chunks = -(-n_iter // step)
+    keep = [c for c in cells.columns if c not in ("c", "h")]
+    fields = [f for f in cells.schema.fields if f.name in keep]
+    schema = T.StructType([*fields, T.StructField("r", T.LongType()), T.StructField("w", T.LongType())])
+    tagged = cells.withColumn("_gh", F.xxhash64(F.col(set_col), F.col("scale")))
+    tagged = tagged.withColumn("_rc", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    mask = (1 << 63) - 1
+
+    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("h", kind="stable").reset_index(drop=True)
+        counts = pdf["c"].to_numpy(dtype=np.int64)
+        n = int(counts.sum())
+        p = counts / n
+        group = int(pdf["_gh"].iloc[0]) & mask
+        first = int(pdf["_rc"].iloc[0]) * step
+        idx_parts, r_parts, w_parts = [], [], []
+        for r in range(first, min(n_iter, first + step)):
+            rng = np.random.default_rng([int(seed), _MULTI_SALT, group, r])
+            w = rng.multinomial(n, p)
+            hit = np.flatnonzero(w)
+            idx_parts.append(hit)
+            r_parts.append(np.full(len(hit), r, dtype=np.int64))
+            w_parts.append(w[hit])
+        idx = np.concatenate(idx_parts) if idx_parts else np.zeros(0, dtype=np.int64)
+        out = {c: pdf[c].to_numpy()[idx] for c in keep}
+        out["r"] = np.concatenate(r_parts) if r_parts else np.zeros(0, dtype=np.int64)
+        out["w"] = (np.concatenate(w_parts) if w_parts else np.zeros(0)).astype(np.int64)
+        return pd.DataFrame(out, columns=[*keep, "r", "w"])
+
+    return tagged.groupBy(set_col, "scale", "_rc").applyInPandas(draw, schema)

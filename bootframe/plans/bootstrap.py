@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bootframe.operators.cells import poisson_cell_weights, set_cells
+from bootframe.operators.cells import multinomial_cell_weights, poisson_cell_weights, set_cells
 from bootframe.operators.columns import as_set, match_columns, numeric_columns
 from bootframe.operators.intervals import basic_ci, percentile_ci
 from bootframe.operators.resample import key_columns, resample
@@ -66,6 +66,16 @@ def _for_median(rows: DataFrame, stats: Sequence[str], median_accuracy: int | No
     return rows
 
 
+def _cell_weights(df: DataFrame, cells: DataFrame, n_iter: int, seed: int, method: str, set_col: str) -> DataFrame:
+    if method == "poisson":
+        # the cell table is small by design; spread it so the replicate draws use every core
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        return poisson_cell_weights(cells.repartition(2 * cores, "h"), n_iter, seed)
+    if method in ("exact", "multinomial"):
+        return multinomial_cell_weights(cells, n_iter, seed, set_col)
+    raise ValueError(f"unknown method {method!r}")
+
+
 def _boot_cells(
     df: DataFrame,
     sets: Sequence[Sequence[str]],
@@ -78,13 +88,13 @@ def _boot_cells(
     stats: Sequence[str],
     set_col: str,
 ) -> DataFrame:
-    """Percentile bootstrap over Poisson-weighted value cells (cells × B work)."""
-    if method != "poisson":
-        raise ValueError("collapse=True needs method='poisson' (a cell of c rows has weight Poisson(c))")
+    """Percentile bootstrap over weighted value cells (cells × B work).
+
+    poisson: each cell Poisson(c); exact / multinomial: each (set, scale) draws its
+    cells as Multinomial(n, c / n) per replicate (exact-n, the reference's draws).
+    """
     cells = set_cells(df, sets, measures, set_col)
-    # the cell table is small by design; spread it so the replicate draws use every core
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    rows = poisson_cell_weights(cells.repartition(2 * cores, "h"), n_iter, seed)
+    rows = _cell_weights(df, cells, n_iter, seed, method, set_col)
     keys = [c for c in rows.columns if c not in ("value", "r", "w")]
     reps = rows.groupBy(*keys, "r").agg(*[stat_expr(st, F.col("value"), "w").alias(st) for st in stats])
     cells_long = [F.struct(F.lit(st).alias("stat"), F.col(st).alias("value")) for st in stats]
@@ -118,8 +128,8 @@ def boot_stats(
     (one whole-table group). ``key`` names a unique row key.
     ``median_accuracy`` switches the replicate median to the bounded-memory
     ``percentile_approx`` sketch (for continuous measures in huge groups).
-    ``collapse=True`` (Poisson only): bootstrap (group, scale, value) cells instead of
-    rows, see :mod:`bootframe.operators.cells`.
+    ``collapse=True``: bootstrap (group, scale, value) cells instead of rows (discrete
+    measures), see :mod:`bootframe.operators.cells`.
     """
     by = as_set(by) if by else []
     measures = resolve_scales(df, scales)
@@ -158,7 +168,7 @@ def boot_stats_sets(
     replicates (seed ``seed + k`` for the k-th set), as separate runs would;
     the per-set plans are unioned (the set list is small and fixed).
     Keys a set does not group by are NULL; ``set`` names the set.
-    ``collapse=True`` (Poisson only): bootstrap (set group, scale, value) cells, each
+    ``collapse=True``: bootstrap (set group, scale, value) cells (discrete measures), each
     set with its own replicates (as ``shared=False``), see :mod:`bootframe.operators.cells`.
     """
     norm = [as_set(s) for s in sets]
@@ -217,8 +227,9 @@ def boot_cohens_d(
     All scales share one set of replicates (replicate r draws the same rows for
     every scale) and are evaluated in one aggregate over ``r``. The observed d
     (t0) uses the same ``group``. Rows in a third level stay in the resample pool.
-    ``collapse=True`` (Poisson only): replicate over (level, scale, value) cells, each
-    with weight Poisson(count); work is cells × B (see :mod:`bootframe.operators.cells`).
+    ``collapse=True``: replicate over (level, scale, value) cells — Poisson(count) weights,
+    or exact-n Multinomial(n, count / n) per scale; work is cells × B
+    (see :mod:`bootframe.operators.cells`).
     """
     measures = resolve_scales(df, scales)
     narrow = _narrow(df, key_columns(key), [group], measures)
@@ -238,15 +249,15 @@ def boot_cohens_d(
         (c, k): centre_row[f"c{k}_{j}"] for j, c in enumerate(measures) for k in (1, 2) if len(lv) >= k
     }
     if collapse:
-        if method != "poisson":
-            raise ValueError("collapse=True needs method='poisson' (a cell of c rows has weight Poisson(c))")
-        # Under Poisson weights a third level's rows do not affect d: keep the two
-        # compared levels and the missing-group rows (they make d undefined).
         g = F.col(group)
-        relevant = narrow.where(g.isNull() | g.isin(*lv)) if lv else narrow.where(g.isNull())
+        if method == "poisson":
+            # Independent weights: a third level's rows do not affect d. Keep the two
+            # compared levels and the missing-group rows (they make d undefined).
+            relevant = narrow.where(g.isNull() | g.isin(*lv)) if lv else narrow.where(g.isNull())
+        else:
+            relevant = narrow  # exact-n: every row stays in the pool of n draws
         cells = set_cells(relevant, [[group]], measures, "_set")
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        rows = poisson_cell_weights(cells.repartition(2 * cores, "h"), n_iter, seed).drop("_set")
+        rows = _cell_weights(df, cells, n_iter, seed, method, "_set").drop("_set")
         reps = cohens_d_parts_long(rows, group, lv, centre, "w", na=na)
     else:
         rows = resample(narrow, key, n_iter, seed, method, hash, broadcast_limit)

@@ -612,6 +612,15 @@ def q_boot_cohens_d_cells(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(out)
 
 
+def q_boot_ci_exact_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact-n draws over value cells (Multinomial(n, c/n) per set and scale), B = 1000 (no SQL twin: numpy)."""
+    li = table(spark, sf, "lineitem")
+    return rounded(
+        boot_stats_sets(li, LINE_SETS[:3], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], LINE_DISCRETE,
+                        n_iter=1000, method="exact", collapse=True)
+    )
+
+
 QUERIES: dict[str, Query] = {
     "select_by_regex": q_select_by_regex,
     "melt_long": q_melt_long,
@@ -640,6 +649,7 @@ QUERIES: dict[str, Query] = {
     "boot_ci_multinomial": q_boot_ci_multinomial,
     "boot_ci_poisson_cells": q_boot_ci_poisson_cells,
     "boot_cohens_d_cells": q_boot_cohens_d_cells,
+    "boot_ci_exact_cells": q_boot_ci_exact_cells,
 }
 
 ORACLE_SQL: dict[str, str] = {

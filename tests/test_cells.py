@@ -71,9 +71,40 @@ def test_collapsed_close_to_row_poisson(spark):
             assert wc == pytest.approx(wr, rel=0.25)
 
 
-def test_collapse_needs_poisson(spark, survey):
+def test_exact_cells_draw_n_per_set_scale_and_replicate(spark, survey):
+    from bootframe.operators.cells import multinomial_cell_weights
+
+    cells = set_cells(survey, [["smoke"], ["gender", "smoke"]], ["IPIP100_calm", "IPIP50_agree"])
+    w = multinomial_cell_weights(cells, 40, seed=2)
+    totals = w.groupBy("set", "scale", "r").agg(F.sum("w").alias("t")).collect()
+    assert len(totals) == 2 * 2 * 40
+    assert {r["t"] for r in totals} == {400}
+    again = multinomial_cell_weights(cells.repartition(3), 40, seed=2)
+    key = lambda rows: sorted((r["set"], r["scale"], str(r["gender"]), str(r["smoke"]), str(r["value"]), r["r"], r["w"])
+                              for r in rows)
+    assert key(w.collect()) == key(again.collect())
+
+
+def test_exact_cells_close_to_exact_rows(spark):
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"k": np.arange(3000), "g": rng.choice(["a", "b", "c"], 3000), "x": rng.integers(1, 8, 3000) * 1.0})
+    df = spark.createDataFrame(pdf)
+    rows = {(r["g"], r["stat"]): r for r in boot_stats(df, "g", "k", ["x"], n_iter=300).collect()}
+    cells = {(r["g"], r["stat"]): r for r in boot_stats(df, "g", "k", ["x"], n_iter=300, collapse=True).collect()}
+    for k in rows:
+        assert cells[k]["median"] == pytest.approx(rows[k]["median"], abs=0.05)
+        if k[1] == "mean":
+            wr = rows[k]["ci95_ul"] - rows[k]["ci95_ll"]
+            wc = cells[k]["ci95_ul"] - cells[k]["ci95_ll"]
+            assert wc == pytest.approx(wr, rel=0.25)
+
+
+def test_exact_cells_refuse_continuous_measures(spark):
+    from bootframe.operators.cells import multinomial_cell_weights
+
+    df = spark.range(0, 500).select(F.col("id").alias("k"), (F.col("id") * 1.37).alias("x"))
     with pytest.raises(ValueError):
-        boot_stats_sets(survey, [["smoke"]], "RID", ["IPIP100_calm"], n_iter=3, collapse=True)
+        multinomial_cell_weights(set_cells(df, [[]], ["x"]), 5, max_cells=100)
 
 
 def test_collapsed_cohens_d_close_to_row_poisson(spark):
@@ -110,3 +141,17 @@ def test_collapsed_cohens_d_propagates_missing(spark):
     assert out["d"] is None
     omit = boot_cohens_d(df, ["x"], "g", "row_id", n_iter=50, method="poisson", collapse=True, na="omit").first()
     assert omit["d"] is not None and omit["ci_ll"] <= omit["ci_ul"]
+
+
+def test_exact_collapsed_cohens_d_close_to_rows(spark):
+    from bootframe.plans.bootstrap import boot_cohens_d
+
+    rng = np.random.default_rng(5)
+    n = 2000
+    pdf = pd.DataFrame({"row_id": np.arange(n), "gender": rng.choice(["f", "m", "x"], n),
+                        "agree": rng.integers(1, 6, n) * 1.0})
+    df = spark.createDataFrame(pdf)
+    rows = boot_cohens_d(df, ["agree"], "gender", "row_id", n_iter=300).first()
+    cells = boot_cohens_d(df, ["agree"], "gender", "row_id", n_iter=300, collapse=True).first()
+    assert cells["d"] == rows["d"]
+    assert (cells["ci_ul"] - cells["ci_ll"]) == pytest.approx(rows["ci_ul"] - rows["ci_ll"], rel=0.2)
