@@ -60,6 +60,7 @@ def parser() -> argparse.ArgumentParser:
     b.add_argument("--scales", default="^IPIP.*$", help="regular expression for the measure columns")
     b.add_argument("--method", default="exact", choices=["exact", "multinomial", "poisson"])
     b.add_argument("--seed", type=int, default=42)
+    b.add_argument("--collapse", action="store_true", help="bootstrap value cells (discrete scores)")
     b.add_argument("--tasks", type=int, default=1, help="split the sets into this many slices")
     b.add_argument("--task", type=int, default=1, help="1-based rank of the slice to run")
 
@@ -70,6 +71,8 @@ def parser() -> argparse.ArgumentParser:
     d.add_argument("--key", default="row_id")
     d.add_argument("--n-iter", type=int, default=int(os.environ.get("BOOT_ITER", "1000")))
     d.add_argument("--seed", type=int, default=42)
+    d.add_argument("--method", default="exact", choices=["exact", "multinomial", "poisson"])
+    d.add_argument("--collapse", action="store_true", help="bootstrap value cells (discrete scores)")
     d.add_argument("--output-dir", default="output")
     d.add_argument("--merged-name", default="combined.csv")
 
@@ -90,14 +93,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         cats = REFERENCE_SETS if args.reference_sets else _sets(args.categories)
         files = run_boot_job(
             spark, args.input, args.output_dir, cats, key=args.key, scales=args.scales, n_iter=args.n_iter,
-            seed=args.seed, method=args.method, tasks=args.tasks, task=args.task,
+            seed=args.seed, method=args.method, tasks=args.tasks, task=args.task, collapse=args.collapse,
         )
         for f in files:
             print(f'Wrote "{f}"')
     elif args.command == "cohens-d":
         result = run_cohens_d_job(
             spark, args.input, args.output_dir, args.scales, group=args.group, key=args.key, n_iter=args.n_iter,
-            seed=args.seed, merged_name=args.merged_name,
+            seed=args.seed, merged_name=args.merged_name, method=args.method, collapse=args.collapse,
         )
         result.show(truncate=False)
     else:

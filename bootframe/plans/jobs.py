@@ -34,11 +34,13 @@ def run_boot_job(
     tasks: int = 1,
     task: int = 1,
     schema=None,
+    collapse: bool = False,
 ) -> list[str]:
     """Grouped percentile bootstrap for many category sets; one ``boot_<set>.csv`` per set.
 
     ``categories`` default: every string column except ``key``. With ``tasks``
     > 1 only the ``task``-th slice (1-based rank) of the sets is computed.
+    ``collapse=True`` bootstraps value cells instead of rows (discrete scores).
     """
     if n_iter < 1:
         raise ValueError("n_iter must be at least 1")
@@ -54,7 +56,9 @@ def run_boot_job(
         if not sets:
             return []
     measures = resolve_scales(df, scales)
-    result = boot_stats_sets(df, sets, key, measures, n_iter=n_iter, seed=seed, method=method, shared=shared)
+    result = boot_stats_sets(
+        df, sets, key, measures, n_iter=n_iter, seed=seed, method=method, shared=shared, collapse=collapse
+    )
     result = cut_lineage(result)
     os.makedirs(output_dir, exist_ok=True)
     return write_sets(result, output_dir, sets)
@@ -71,12 +75,16 @@ def run_cohens_d_job(
     seed: int = 42,
     merged_name: str | None = "combined.csv",
     schema=None,
+    method: str = "exact",
+    collapse: bool = False,
 ):
     """Cohen's d with basic intervals for every scale: ``<scale>_by_<group>.csv`` each, plus a merged file."""
     if n_iter < 1:
         raise ValueError("n_iter must be at least 1")
     df = read_table(spark, path, schema=schema)
-    result = cut_lineage(boot_cohens_d(df, list(scales), group, key, n_iter=n_iter, seed=seed))
+    result = cut_lineage(
+        boot_cohens_d(df, list(scales), group, key, n_iter=n_iter, seed=seed, method=method, collapse=collapse)
+    )
     files = write_by_scale(result, output_dir, group, list(scales))
     if merged_name:
         merge_results(spark, files, os.path.join(output_dir, merged_name))

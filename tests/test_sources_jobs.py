@@ -111,3 +111,15 @@ def test_dates_stay_text_unless_asked(spark, tmp_path):
     df = read_table(spark, str(p))
     assert dict(df.dtypes) == {"RID": "string", "collected": "string", "gender": "string", "IPIP_a": "double"}
     assert dict(read_table(spark, str(p), parse_dates=True).dtypes)["collected"] == "date"
+
+
+def test_command_line_cohens_d_collapsed(spark, tmp_path):
+    from bootframe.__main__ import main
+
+    rows = [(i, "f" if i % 2 else "m", float(i % 5), float((i * 3) % 7)) for i in range(120)]
+    src = tmp_path / "bfi.parquet"
+    spark.createDataFrame(rows, "row_id int, gender string, agree double, openness double").write.parquet(str(src))
+    out = tmp_path / "output"
+    assert main(["cohens-d", "--input", str(src), "--scales", "agree", "openness", "--n-iter", "30",
+                 "--collapse", "--output-dir", str(out)], spark=spark) == 0
+    assert sorted(os.listdir(out)) == ["agree_by_gender.csv", "combined.csv", "openness_by_gender.csv"]
