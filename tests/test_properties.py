@@ -1,0 +1,87 @@
+"""Property tests on random inputs (few examples each: every example runs Spark jobs)."""
+
+import math
+from statistics import NormalDist
+
+import numpy as np
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+
+from bootframe.functions.quantiles import quantile_agg
+from bootframe.operators.intervals import basic_ci
+from bootframe.operators.stats import group_stats
+
+SETTINGS = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+
+values = st.one_of(st.none(), st.floats(min_value=-1e6, max_value=1e6, allow_nan=False).map(lambda v: round(v, 3)))
+weighted_rows = st.lists(st.tuples(st.sampled_from(["a", "b", None]), values, st.integers(1, 4)), min_size=1, max_size=30)
+
+
+@SETTINGS
+@given(weighted_rows)
+def test_weighted_stats_equal_duplicated_rows(spark, rows):
+    weighted = spark.createDataFrame(rows, "g string, x double, w bigint")
+    flat = spark.createDataFrame([(g, x) for g, x, w in rows for _ in range(w)], "g string, x double")
+    a = {(r["g"], r["stat"]): r["value"] for r in group_stats(weighted, ["g"], ["x"], weight="w").collect()}
+    b = {(r["g"], r["stat"]): r["value"] for r in group_stats(flat, ["g"], ["x"]).collect()}
+    assert a.keys() == b.keys()
+    for k in a:
+        if a[k] is None or b[k] is None:
+            assert a[k] is None and b[k] is None
+        else:
+            assert a[k] == pytest.approx(b[k], rel=1e-9, abs=1e-9)
+
+
+def _basic_reference(t0, ts, conf):
+    t = sorted(v for v in ts if v is not None and math.isfinite(v))
+    R = len(t)
+    nd = NormalDist()
+
+    def q(alpha):
+        rk = (R + 1) * alpha
+        k = int(rk)
+        if rk == k:
+            return t[k - 1]
+        if k == 0:
+            return t[0]
+        if k == R:
+            return t[R - 1]
+        w = (nd.inv_cdf(alpha) - nd.inv_cdf(k / (R + 1))) / (nd.inv_cdf((k + 1) / (R + 1)) - nd.inv_cdf(k / (R + 1)))
+        return t[k - 1] + w * (t[k] - t[k - 1])
+
+    return 2 * t0 - q((1 + conf) / 2), 2 * t0 - q((1 - conf) / 2)
+
+
+@SETTINGS
+@given(
+    st.lists(st.floats(min_value=-100, max_value=100, allow_nan=False), min_size=1, max_size=60),
+    st.floats(min_value=-5, max_value=5, allow_nan=False),
+    st.sampled_from([0.8, 0.9, 0.95, 0.99]),
+)
+def test_basic_interval_matches_reference_formula(spark, ts, t0, conf):
+    reps = spark.createDataFrame([("s", v) for v in ts], "scale string, t double")
+    est = spark.createDataFrame([("s", t0)], "scale string, d double")
+    row = basic_ci(reps, est, ["scale"], conf=conf).first()
+    ll, ul = _basic_reference(t0, ts, conf)
+    assert row["ci_ll"] == pytest.approx(ll, rel=1e-9, abs=1e-9)
+    assert row["ci_ul"] == pytest.approx(ul, rel=1e-9, abs=1e-9)
+
+
+@SETTINGS
+@given(
+    st.lists(st.floats(min_value=-1e4, max_value=1e4, allow_nan=False), min_size=1, max_size=80),
+    st.sampled_from([0.01, 0.025, 0.1, 0.5, 0.9, 0.975]),
+)
+def test_quantile_rules_match_brute_force(spark, xs, q):
+    df = spark.createDataFrame([(v,) for v in xs], "v double")
+    row = df.agg(
+        quantile_agg("v", q, "nearest").alias("n"),
+        quantile_agg("v", q, "disc").alias("d"),
+        quantile_agg("v", q, "linear").alias("l"),
+    ).first()
+    s = sorted(xs)
+    m = len(s)
+    assert row["n"] == s[int(math.floor((m - 1) * q + 0.5))]
+    assert row["d"] == s[max(0, math.ceil(q * m) - 1)]  # smallest value with cumulative share >= q
+    assert row["l"] == pytest.approx(float(np.quantile(s, q)), rel=1e-9, abs=1e-9)
