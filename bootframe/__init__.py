@@ -5,12 +5,20 @@ category sets, and Cohen's d with basic bootstrap intervals, each computed
 for all replicates, scales and sets in one distributed plan.
 """
 
-from bootframe.operators.columns import as_sets, drop_columns, match_columns, string_columns
-from bootframe.operators.intervals import basic_ci, percentile_ci
-from bootframe.operators.reshape import to_long
-from bootframe.operators.resample import exact_weights, resample, row_index
-from bootframe.operators.stats import cohens_d, group_stats, grouping_sets_stats, levels, profile
-from bootframe.plans.bootstrap import boot_cohens_d, boot_custom, boot_custom_pandas, boot_stats, boot_stats_sets
+import sys as _sys
+
+from pyspark import cloudpickle as _cloudpickle
+
+# Functions handed to Python workers (mapInPandas / applyInPandas) travel by value,
+# so executors need numpy/pandas but not this package on their path.
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+
+from bootframe.operators.columns import as_sets, drop_columns, match_columns, string_columns  # noqa: E402
+from bootframe.operators.intervals import basic_ci, percentile_ci  # noqa: E402
+from bootframe.operators.reshape import to_long  # noqa: E402
+from bootframe.operators.resample import exact_weights, resample, row_index  # noqa: E402
+from bootframe.operators.stats import cohens_d, group_stats, grouping_sets_stats, levels, profile  # noqa: E402
+from bootframe.plans.bootstrap import boot_cohens_d, boot_custom, boot_custom_pandas, boot_stats, boot_stats_sets  # noqa: E402
 
 __all__ = [
     "as_sets",
