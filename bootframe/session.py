@@ -32,12 +32,15 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
-    On a cluster this setting names a shared folder and is used as is. Only
-    when it is unset (local tests) a fresh scratch folder is created.
+    On a cluster this setting names a shared folder and is used as is; if it is
+    unset there, this fails rather than fall back to a machine-local folder. Only a
+    local-mode session (tests) without the setting gets a fresh scratch folder.
     """
     sc = spark.sparkContext
     path = spark.conf.get(CHECKPOINT_CONF, None) or sc.getConf().get(CHECKPOINT_CONF, None)
     if not path:
+        if not sc.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder shared by the cluster")
         path = tempfile.mkdtemp(prefix="bootframe-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, path)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
