@@ -25,6 +25,7 @@ def read_table(
     fmt: str | None = None,
     repartition_gzip: bool = True,
     parse_dates: bool = False,
+    infer_rows: int | None = None,
 ) -> DataFrame:
     """Read one table from CSV (header row) or Parquet; several paths or a glob give one table.
 
@@ -35,6 +36,9 @@ def read_table(
     splittable, so the rows are spread over the cluster after the read.
     ``parse_dates=False`` keeps date- and time-like text as strings when inferring
     (so such columns stay grouping categories, as text columns are).
+    ``infer_rows=N`` infers types from the first N data lines of the first file only
+    (no full pass over a large input); the full read then fails fast on a value that
+    does not fit the inferred type.
     """
     paths = [path] if isinstance(path, str) else list(path)
     if not paths:
@@ -57,8 +61,13 @@ def read_table(
         reader = reader.option("emptyValue", primary)
     if schema is not None:
         df = reader.schema(schema).csv(paths)
+    elif infer_rows:
+        head = spark.read.text(paths[0]).limit(int(infer_rows) + 1)  # header line + N rows
+        sampled = reader.option("inferSchema", True).csv(head.rdd.map(lambda row: row.value))
+        df = reader.schema(sampled.schema).csv(paths)
     else:
         df = reader.option("inferSchema", True).csv(paths)
+    if schema is None:
         if not parse_dates and any(
             isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)) for f in df.schema.fields
         ):

@@ -123,3 +123,19 @@ def test_command_line_cohens_d_collapsed(spark, tmp_path):
     assert main(["cohens-d", "--input", str(src), "--scales", "agree", "openness", "--n-iter", "30",
                  "--collapse", "--output-dir", str(out)], spark=spark) == 0
     assert sorted(os.listdir(out)) == ["agree_by_gender.csv", "combined.csv", "openness_by_gender.csv"]
+
+
+def test_sampled_inference_matches_full_on_uniform_data(spark, csv_paths):
+    plain, gz = csv_paths
+    for p in (plain, gz):
+        assert read_table(spark, p, infer_rows=3).dtypes == read_table(spark, p).dtypes
+
+
+def test_sampled_inference_fails_fast_on_later_misfit(spark, tmp_path):
+    p = tmp_path / "late.csv"
+    p.write_text("k,x\n" + "\n".join(f"{i},{i}" for i in range(20)) + "\n20,2.5\n")
+    assert dict(read_table(spark, str(p)).dtypes)["x"] == "double"
+    sampled = read_table(spark, str(p), infer_rows=5)
+    assert dict(sampled.dtypes)["x"] == "int"
+    with pytest.raises(Exception):
+        sampled.collect()
