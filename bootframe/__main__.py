@@ -61,6 +61,7 @@ def parser() -> argparse.ArgumentParser:
     b.add_argument("--method", default="exact", choices=["exact", "multinomial", "poisson"])
     b.add_argument("--seed", type=int, default=42)
     b.add_argument("--collapse", action="store_true", help="bootstrap value cells (discrete scores)")
+    b.add_argument("--infer-rows", type=int, default=None, help="infer CSV types from the first N rows only")
     b.add_argument("--tasks", type=int, default=1, help="split the sets into this many slices")
     b.add_argument("--task", type=int, default=1, help="1-based rank of the slice to run")
 
@@ -94,6 +95,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         files = run_boot_job(
             spark, args.input, args.output_dir, cats, key=args.key, scales=args.scales, n_iter=args.n_iter,
             seed=args.seed, method=args.method, tasks=args.tasks, task=args.task, collapse=args.collapse,
+            infer_rows=args.infer_rows,
         )
         for f in files:
             print(f'Wrote "{f}"')

@@ -35,6 +35,7 @@ def run_boot_job(
     task: int = 1,
     schema=None,
     collapse: bool = False,
+    infer_rows: int | None = None,
 ) -> list[str]:
     """Grouped percentile bootstrap for many category sets; one ``boot_<set>.csv`` per set.
 
@@ -44,7 +45,7 @@ def run_boot_job(
     """
     if n_iter < 1:
         raise ValueError("n_iter must be at least 1")
-    df = read_table(spark, path, schema=schema)
+    df = read_table(spark, path, schema=schema, infer_rows=infer_rows)
     if key not in df.columns:
         raise ValueError(f"key column {key!r} not found")
     if categories:
