@@ -50,8 +50,18 @@ def resolve_scales(df: DataFrame, scales: str | Sequence[str] | None) -> list[st
     return numeric_columns(df, names)
 
 
+#: columns the plans create; grouping and key columns must not use these names
+RESERVED = ("r", "w", "i", "scale", "stat", "value", "set", "median", "d", "t")
+
+
 def _narrow(df: DataFrame, keys: Sequence[str], cols: Sequence[str], scales: Sequence[str]) -> DataFrame:
     """Only the columns the plan needs; measures cast to DOUBLE (pruned at the scan)."""
+    clash = [c for c in [*keys, *cols] if c in RESERVED or c.startswith("_")]
+    if clash:
+        raise ValueError(f"rename grouping/key columns {clash}: the plan uses these names itself")
+    missing = [c for c in [*keys, *cols, *scales] if c not in df.columns]
+    if missing:
+        raise ValueError(f"columns not found: {missing}")
     seen: list[str] = []
     for c in [*keys, *cols]:
         if c not in seen:
@@ -93,7 +103,9 @@ def _boot_cells(
     poisson: each cell Poisson(c); exact / multinomial: each (set, scale) draws its
     cells as Multinomial(n, c / n) per replicate (exact-n, the reference's draws).
     """
-    cells = set_cells(df, sets, measures, set_col)
+    set_cols = [c for s in sets for c in s]
+    narrow = _narrow(df, [], list(dict.fromkeys(set_cols)), measures)
+    cells = set_cells(narrow, sets, measures, set_col)
     rows = _cell_weights(df, cells, n_iter, seed, method, set_col)
     keys = [c for c in rows.columns if c not in ("value", "r", "w")]
     reps = rows.groupBy(*keys, "r").agg(*[stat_expr(st, F.col("value"), "w").alias(st) for st in stats])

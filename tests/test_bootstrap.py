@@ -190,3 +190,11 @@ def test_approximate_median_close_to_exact(spark, survey):
         elif row["median"] is not None:
             # the sketch returns a data value; scores have one decimal
             assert approx[k]["median"] == pytest.approx(row["median"], abs=0.051)
+
+
+def test_reserved_grouping_names_are_refused(spark):
+    df = spark.createDataFrame([(1, "a", 1.0), (2, "b", 2.0)], "k long, r string, x double")
+    with pytest.raises(ValueError):
+        boot_stats(df, "r", "k", ["x"], n_iter=2)
+    with pytest.raises(ValueError):
+        boot_stats(df, "nope", "k", ["x"], n_iter=2)
