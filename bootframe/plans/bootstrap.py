@@ -36,7 +36,7 @@ from bootframe.operators.stats import (
     wide_stats,
 )
 
-#: the reference's measure pattern
+# Fixed value: the survey job's measure-column pattern (default for ``scales``).
 DEFAULT_SCALES = "^IPIP.*$"
 
 
