@@ -92,10 +92,12 @@ def multinomial_resample(
         raise ValueError("cannot resample an empty table")
     p = max(1, math.ceil(n / rows_per_bucket))
     bucketed = df.withColumn("_b", F.pmod(hash_bits(0, [F.col(k) for k in keys], "xxhash64"), F.lit(p)).cast("int"))
-    # P rows of bucket sizes (P = ceil(n / rows_per_bucket)): a bounded collect.
+    # P rows of bucket sizes (P = ceil(n / rows_per_bucket)): a bounded collect,
+    # shipped once per executor as a broadcast variable rather than with every task.
     sizes = np.zeros(p, dtype=np.int64)
     for row in bucketed.groupBy("_b").count().collect():
         sizes[row["_b"]] = row["count"]
+    sizes_bc = spark.sparkContext.broadcast(sizes)
     # Few buckets (small n) would leave cores idle: split each bucket's replicates into
     # k chunks handled by different tasks (the bucket's rows are copied k times).
     # Weights depend on (seed, r, bucket) only, so k does not change any result.
@@ -113,7 +115,7 @@ def multinomial_resample(
     out_schema = T.StructType([*df.schema.fields, T.StructField("r", T.LongType()), T.StructField("w", T.LongType())])
 
     def emit(bucket: int, part: int, frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        counts = bucket_draw_counts(sizes, n_iter, seed, bucket)
+        counts = bucket_draw_counts(sizes_bc.value, n_iter, seed, bucket)
         m = len(frame)
         columns = {c: frame[c].to_numpy() for c in cols}
         first, last = part * chunk, min(n_iter, (part + 1) * chunk)
