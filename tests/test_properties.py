@@ -12,7 +12,9 @@ from bootframe.functions.quantiles import quantile_agg
 from bootframe.operators.intervals import basic_ci
 from bootframe.operators.stats import group_stats
 
-SETTINGS = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+SETTINGS = settings(
+    max_examples=8, deadline=None, derandomize=True, suppress_health_check=[HealthCheck.function_scoped_fixture]
+)
 
 values = st.one_of(st.none(), st.floats(min_value=-1e6, max_value=1e6, allow_nan=False).map(lambda v: round(v, 3)))
 weighted_rows = st.lists(st.tuples(st.sampled_from(["a", "b", None]), values, st.integers(1, 4)), min_size=1, max_size=30)
@@ -26,11 +28,13 @@ def test_weighted_stats_equal_duplicated_rows(spark, rows):
     a = {(r["g"], r["stat"]): r["value"] for r in group_stats(weighted, ["g"], ["x"], weight="w").collect()}
     b = {(r["g"], r["stat"]): r["value"] for r in group_stats(flat, ["g"], ["x"]).collect()}
     assert a.keys() == b.keys()
+    scale = 1.0 + max((abs(x) for _, x, _ in rows if x is not None), default=0.0)
     for k in a:
         if a[k] is None or b[k] is None:
             assert a[k] is None and b[k] is None
         else:
-            assert a[k] == pytest.approx(b[k], rel=1e-9, abs=1e-9)
+            # summation order differs: allow rounding relative to the data's magnitude
+            assert a[k] == pytest.approx(b[k], rel=1e-9, abs=1e-12 * scale * len(rows))
 
 
 def _basic_reference(t0, ts, conf):
