@@ -320,19 +320,29 @@ def q_boot_ci_sets_independent(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _sql_boot_sets(n_iter: int, shared: bool) -> str:
-    cols = ["o_orderstatus", "o_orderpriority"]
-    ctes = [f"idx AS ({sql_index('orders', 'o_orderkey', cols, ['o_totalprice'])})"]
+def _sql_boot_sets(
+    n_iter: int,
+    shared: bool,
+    sets: list[list[str]] = ORDER_SETS,
+    tbl: str = "orders",
+    key: str = "o_orderkey",
+    measure: str = "o_totalprice",
+) -> str:
+    """Oracle for :func:`boot_stats_sets` (one measure): per set, its draws, replicate stats and interval."""
+    cols = list(dict.fromkeys(c for s in sets for c in s))
+    ctes = [f"idx AS ({sql_index(tbl, key, cols, [measure])})"]
     longs = []
-    for k, s in enumerate(ORDER_SETS):
+    for k, s in enumerate(sets):
         seed = SEED if shared else SEED + k
-        ctes.append(f"draws{k} AS ({sql_draws(n_iter, seed)})")
+        if not shared or k == 0:
+            ctes.append(f"draws{k} AS ({sql_draws(n_iter, seed)})")
+        draws = "draws0" if shared else f"draws{k}"
         sel = ", ".join(c if c in s else f"CAST(NULL AS VARCHAR) AS {c}" for c in cols)
         ctes.append(
-            f"reps{k} AS (SELECT '{','.join(s)}' AS set, {sel}, r, {sql_rep_aggs(['o_totalprice'])}"
-            f" FROM draws{k} JOIN idx USING (i) GROUP BY {', '.join(s)}, r)"
+            f"reps{k} AS (SELECT '{','.join(s)}' AS set, {sel}, r, {sql_rep_aggs([measure])}"
+            f" FROM {draws} JOIN idx USING (i) GROUP BY {', '.join([*s, 'r'])})"
         )
-        longs.append(sql_long_stats(f"reps{k}", ["set", *cols, "r"], ["o_totalprice"]))
+        longs.append(sql_long_stats(f"reps{k}", ["set", *cols, "r"], [measure]))
     ctes.append(f"long AS ({' UNION ALL '.join(longs)})")
     return "WITH " + ",\n".join(ctes) + "\n" + sql_percentile_ci("long", ["set", *cols, "scale", "stat"])
 
@@ -621,6 +631,16 @@ def q_boot_ci_exact_cells(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def q_boot_ci_default_sets(spark: SparkSession, sf: str) -> DataFrame:
+    """Default categories (every string column) plus the whole table, shared replicates, B = 30."""
+    orders = drop_columns(table(spark, sf, "orders"), "o_orderdate")
+    sets = [[c] for c in string_columns(orders)] + [[]]
+    return rounded(boot_stats_sets(orders, sets, "o_orderkey", ["o_totalprice"], n_iter=30, hash="md5"))
+
+
+SQL_BOOT_CI_DEFAULT_SETS = _sql_boot_sets(30, True, [["o_orderstatus"], ["o_orderpriority"], []])
+
+
 QUERIES: dict[str, Query] = {
     "select_by_regex": q_select_by_regex,
     "melt_long": q_melt_long,
@@ -650,6 +670,7 @@ QUERIES: dict[str, Query] = {
     "boot_ci_poisson_cells": q_boot_ci_poisson_cells,
     "boot_cohens_d_cells": q_boot_cohens_d_cells,
     "boot_ci_exact_cells": q_boot_ci_exact_cells,
+    "boot_ci_default_sets": q_boot_ci_default_sets,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -677,4 +698,5 @@ ORACLE_SQL: dict[str, str] = {
     "boot_stats_multi_scale": SQL_BOOT_STATS_MULTI_SCALE,
     "boot_cohens_d_multi_level": SQL_BOOT_COHENS_D_MULTI_LEVEL,
     "boot_cohens_d_poisson": SQL_BOOT_COHENS_D_POISSON,
+    "boot_ci_default_sets": SQL_BOOT_CI_DEFAULT_SETS,
 }
