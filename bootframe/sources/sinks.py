@@ -1,8 +1,10 @@
 """Result sinks: one CSV per category set, one per scale, and a merged file.
 
-Results are small (groups × scales × statistics), so each file is written
-as a single part (``coalesce(1)``). Callers materialise the result once
-(``cut_lineage``) before writing several files from it.
+Results are usually small (groups × scales × statistics), so each file is
+written as a single part (``coalesce(1)``) up to ``SINGLE_PART_ROWS`` rows; a
+larger result (grouping by a very high-cardinality column) is written in parallel
+parts instead of being funnelled through one task. Callers materialise the result
+once (``cut_lineage``) before writing several files from it, so the count is cheap.
 """
 
 from __future__ import annotations
@@ -25,8 +27,13 @@ def set_file_name(cols: Sequence[str]) -> str:
     return "boot" + ("_" + set_name(cols) if cols else "") + ".csv"
 
 
+#: largest result written as one part file
+SINGLE_PART_ROWS = 1_000_000
+
+
 def _write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
-    df.coalesce(1).write.mode(mode).option("header", True).csv(path)
+    out = df.coalesce(1) if df.count() <= SINGLE_PART_ROWS else df
+    out.write.mode(mode).option("header", True).csv(path)
     return path
 
 

@@ -139,3 +139,16 @@ def test_sampled_inference_fails_fast_on_later_misfit(spark, tmp_path):
     assert dict(sampled.dtypes)["x"] == "int"
     with pytest.raises(Exception):
         sampled.collect()
+
+
+def test_large_results_are_written_in_parallel_parts(spark, tmp_path, monkeypatch):
+    from bootframe.sources import sinks
+
+    df = spark.range(0, 100, 1, 4).selectExpr("id", "id * 2 AS v")
+    sinks._write_csv(df, str(tmp_path / "one"))
+    monkeypatch.setattr(sinks, "SINGLE_PART_ROWS", 10)
+    sinks._write_csv(df, str(tmp_path / "many"))
+    parts = lambda d: [f for f in os.listdir(d) if f.startswith("part-")]
+    assert len(parts(tmp_path / "one")) == 1
+    assert len(parts(tmp_path / "many")) > 1
+    assert spark.read.option("header", True).csv(str(tmp_path / "many")).count() == 100
