@@ -80,3 +80,14 @@ def test_exact_index_deterministic_with_repeated_key(spark):
     a = row_index(df, "k").df
     b = row_index(df.repartition(6), "k").df
     assert sorted((r["i"], r["x"]) for r in a.collect()) == sorted((r["i"], r["x"]) for r in b.collect())
+
+
+def test_multi_bucket_index_same_weights_on_both_join_strategies(spark):
+    df = spark.range(0, 900).select((F.col("id") * 13 % 901).alias("k"), (F.col("id") % 7).cast("double").alias("x"))
+    idx = row_index(df, "k", rows_per_bucket=100)  # P = 9 buckets
+    small = resample(df, "k", 5, hash="md5", indexed=idx)
+    big = resample(df, "k", 5, hash="md5", indexed=idx, broadcast_limit=0)
+    a = sorted(tuple(r) for r in small.groupBy("r", "k").agg(F.sum("w").alias("w")).collect())
+    b = sorted(tuple(r) for r in big.select("r", "k", "w").collect())
+    assert a == b
+    assert {r["t"] for r in big.groupBy("r").agg(F.sum("w").alias("t")).collect()} == {900}
