@@ -25,7 +25,6 @@ from bootframe.operators.intervals import basic_ci, percentile_ci
 from bootframe.operators.resample import key_columns, resample
 from bootframe.operators.stats import (
     STATS,
-    _two_levels,
     cohens_d,
     cohens_d_parts,
     cohens_d_parts_long,
@@ -219,6 +218,31 @@ def boot_stats_sets(
     return result.select(set_col, *all_cols, *[c for c in result.columns if c not in (set_col, *all_cols)])
 
 
+def _levels_and_centres(
+    df: DataFrame, group: str, measures: Sequence[str], levels: Sequence | None
+) -> tuple[list, dict[tuple[str, int], float]]:
+    """The two compared levels and each level's observed mean per measure, in one small job.
+
+    Levels: the first two sorted non-null values (or the first two given). The means
+    centre the replicate sums; the collect holds at most two rows.
+    """
+    g = F.col(group)
+    per_level = df.where(g.isNotNull())
+    if levels is not None:
+        per_level = per_level.where(g.isin(*list(levels)[:2]))
+    stats = per_level.groupBy(group).agg(*[F.avg(F.col(c)).alias(f"m_{j}") for j, c in enumerate(measures)])
+    rows = stats.orderBy(group).limit(2).collect()
+    lv = list(levels)[:2] if levels is not None else [r[group] for r in rows]
+    by_level = {r[group]: r for r in rows}
+    centre = {
+        (c, k): (by_level[lv[k - 1]][f"m_{j}"] if lv[k - 1] in by_level else None)
+        for j, c in enumerate(measures)
+        for k in (1, 2)
+        if len(lv) >= k
+    }
+    return lv, centre
+
+
 def boot_cohens_d(
     df: DataFrame,
     scales: str | Sequence[str],
@@ -245,21 +269,8 @@ def boot_cohens_d(
     """
     measures = resolve_scales(df, scales)
     narrow = _narrow(df, key_columns(key), [group], measures)
-    lv = _two_levels(narrow, group, levels)
+    lv, centre = _levels_and_centres(narrow, group, measures, levels)
     t0 = cohens_d(narrow, measures, group, lv, na)
-    # Observed level means centre the replicate sums: one small row per scale.
-    centre_row = narrow.agg(
-        *[
-            F.avg(F.when(F.col(group) == F.lit(lv[k - 1]), F.col(c))).alias(f"c{k}_{j}")
-            for j, c in enumerate(measures)
-            for k in (1, 2)
-            if len(lv) >= k
-        ]
-        or [F.lit(0).alias("_none")]
-    ).first()
-    centre = {
-        (c, k): centre_row[f"c{k}_{j}"] for j, c in enumerate(measures) for k in (1, 2) if len(lv) >= k
-    }
     if collapse:
         g = F.col(group)
         if method == "poisson":
