@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bootframe.functions.normal import norm_ppf
-from bootframe.functions.quantiles import quantile_agg
+from bootframe.functions.quantiles import nearest_quantile, quantile_agg, sorted_values
 
 
 def ci_names(ci: float) -> tuple[str, str]:
@@ -39,6 +39,20 @@ def percentile_ci(
         raise ValueError("ci must be in (0, 1)")
     ll, ul = ci_names(ci)
     lo, hi = (1 - ci) / 2, (1 + ci) / 2
+    if interpolation == "nearest":
+        # one sorted array (≤ n_iter values) serves the median and both bounds
+        dist = reps.groupBy(*keys).agg(sorted_values(F.col(value)).alias("_sorted"))
+        arr = F.col("_sorted")
+        m = F.size(arr)
+        mid = F.lit(0.5) * F.try_element_at(arr, F.floor((m + F.lit(1)) / F.lit(2)).cast("int")) + F.lit(
+            0.5
+        ) * F.try_element_at(arr, (F.floor(m / F.lit(2)) + F.lit(1)).cast("int"))
+        return dist.select(
+            *keys,
+            F.when(m > 0, mid).alias("median"),
+            nearest_quantile(arr, lo).alias(ll),
+            nearest_quantile(arr, hi).alias(ul),
+        )
     return reps.groupBy(*keys).agg(
         F.median(F.col(value)).alias("median"),
         quantile_agg(value, lo, interpolation).alias(ll),
