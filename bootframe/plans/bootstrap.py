@@ -92,11 +92,18 @@ def _exact_resample(
         return resample(narrow, key, n_iter, seed, method, hash, broadcast_limit), []
     idx = row_index(narrow, key, hash=hash)
     rows = resample(narrow, key, n_iter, seed, method, hash, broadcast_limit, indexed=idx)
+    return rows, _sort_median_measures(narrow, measures, idx, broadcast_limit, stats, median_accuracy)
+
+
+def _sort_median_measures(narrow, measures, idx, broadcast_limit, stats, median_accuracy) -> list[str]:
+    """Measures that take the sorted-list median (see :func:`_exact_resample`)."""
+    if idx is None or "median" not in stats or median_accuracy is not None:
+        return []
     limit = BROADCAST_LIMIT if broadcast_limit is None else broadcast_limit
     if 2 * idx.size_bound > limit:
-        return rows, []
+        return []
     distinct = narrow.agg(*[F.approx_count_distinct(F.col(m), 0.05).alias(m) for m in measures]).first()
-    return rows, [m for m in measures if distinct[m] > 0.25 * idx.n]
+    return [m for m in measures if distinct[m] > 0.25 * idx.n]
 
 
 def _for_median(rows: DataFrame, stats: Sequence[str], median_accuracy: int | None) -> DataFrame:
@@ -240,11 +247,14 @@ def boot_stats_sets(
         reps = unpivot_stats(wide, [set_col, *cols, "r"], measures, stats)
         return percentile_ci(reps, [set_col, *cols, "scale", "stat"], "value", ci, interpolation)
     idx = row_index(narrow, key, hash=hash) if method == "exact" else None
+    sort_median = _sort_median_measures(narrow, measures, idx, broadcast_limit, stats, median_accuracy)
     parts = []
     for k, s in enumerate(norm):
         rows = resample(narrow, key, n_iter, seed + k, method, hash, broadcast_limit, indexed=idx)
         rows = _for_median(rows, stats, median_accuracy)
-        wide = wide_stats(rows, s, measures, stats, weight="w", extra_by=["r"], median_accuracy=median_accuracy)
+        wide = wide_stats(
+            rows, s, measures, stats, weight="w", extra_by=["r"], median_accuracy=median_accuracy, median_sort=sort_median
+        )
         reps = unpivot_stats(wide, [*s, "r"], measures, stats)
         out = percentile_ci(reps, [*s, "scale", "stat"], "value", ci, interpolation)
         missing = [F.lit(None).cast(df.schema[c].dataType).alias(c) for c in all_cols if c not in s]
