@@ -99,6 +99,37 @@ def unpivot_stats(wide: DataFrame, ids: Sequence[str], scales: Sequence[str], st
     return wide.select(*ids, F.inline(F.array(*cells)))
 
 
+#: largest group for which an exact median may sort the group's values in one list
+SORT_MEDIAN_MAX_ROWS = 1 << 22
+
+
+def sort_median_measures(
+    df: DataFrame, group_sets: Sequence[Sequence[str]], scales: Sequence[str], stats: Sequence[str]
+) -> list[str]:
+    """Measures whose exact median may use the sorted list (unweighted rows).
+
+    Two small jobs: the largest group over all sets (one GROUPING SETS count), then the
+    row count and each measure's distinct count (HyperLogLog). Only when every group is
+    at most ``SORT_MEDIAN_MAX_ROWS`` rows (a proven bound on the list) do measures whose
+    values rarely repeat take the sorted-list median; otherwise the value→count map stays.
+    """
+    if "median" not in stats or not scales:
+        return []
+    cols = list(dict.fromkeys(c for s in group_sets for c in s))
+    if cols:
+        gsets = [[F.col(c) for c in s] for s in group_sets]
+        sizes = df.groupingSets(gsets, *[F.col(c) for c in cols]).agg(F.count(F.lit(1)).alias("_n"))
+    else:
+        sizes = df.agg(F.count(F.lit(1)).alias("_n"))
+    biggest = sizes.agg(F.max("_n")).first()[0] or 0
+    if biggest > SORT_MEDIAN_MAX_ROWS:
+        return []
+    row = df.agg(
+        F.count(F.lit(1)).alias("_rows"), *[F.approx_count_distinct(F.col(c), 0.05).alias(c) for c in scales]
+    ).first()
+    return [c for c in scales if row[c] > 0.25 * row["_rows"]]
+
+
 def group_stats(
     df: DataFrame,
     by: Sequence[str],
@@ -108,7 +139,8 @@ def group_stats(
     extra_by: Sequence[str] = (),
 ) -> DataFrame:
     """Long-form group statistics: (by..., scale, stat, value)."""
-    wide = wide_stats(df, by, scales, stats, weight, extra_by)
+    sort_median = sort_median_measures(df, [[*by, *extra_by]], scales, stats) if weight is None else []
+    wide = wide_stats(df, by, scales, stats, weight, extra_by, median_sort=sort_median)
     return unpivot_stats(wide, [*by, *extra_by], scales, stats)
 
 
@@ -174,7 +206,8 @@ def grouping_sets_stats(
     set_col: str = "set",
 ) -> DataFrame:
     """Long-form statistics for many grouping sets: (set, keys..., scale, stat, value)."""
-    wide, cols = grouping_sets_wide(df, sets, scales, stats, weight, set_col=set_col)
+    sort_median = sort_median_measures(df, sets, scales, stats) if weight is None else []
+    wide, cols = grouping_sets_wide(df, sets, scales, stats, weight, set_col=set_col, median_sort=sort_median)
     return unpivot_stats(wide, [set_col, *cols], scales, stats)
 
 

@@ -121,3 +121,15 @@ def test_median_strategy_follows_the_data(spark):
 
     assert "percentile(discrete" in plan("discrete")
     assert "collect_list(continuous" in plan("continuous")
+
+
+def test_group_stats_same_result_with_or_without_sorted_median(spark, monkeypatch):
+    from bootframe.operators import stats as S
+
+    rows = [(f"g{i % 3}", i * 0.731 if i % 11 else None) for i in range(900)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    sorted_path = {(r["g"], r["stat"]): r["value"] for r in S.group_stats(df, ["g"], ["x"]).collect()}
+    monkeypatch.setattr(S, "SORT_MEDIAN_MAX_ROWS", 10)  # groups of 300 rows exceed it: map path
+    map_path = {(r["g"], r["stat"]): r["value"] for r in S.group_stats(df, ["g"], ["x"]).collect()}
+    assert sorted_path == map_path
+    assert S.sort_median_measures(df, [["g"]], ["x"], ["median"]) == []
