@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from bootframe.operators.columns import as_set, set_name
 
-#: output column names of the reference's files (dots are not legal inside Spark plans)
+# The result files' column names, as the jobs write them. Inside Spark
+# plans the dotted names would read as struct fields, so plans use the underscore form.
 SET_OUTPUT_NAMES = {"ci95_ll": "ci95.ll", "ci95_ul": "ci95.ul"}
 SCALE_OUTPUT_NAMES = {"ci_level": "ci.level", "ci_ll": "ci.ll", "ci_ul": "ci.ul"}
 
