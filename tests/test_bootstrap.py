@@ -198,3 +198,29 @@ def test_reserved_grouping_names_are_refused(spark):
         boot_stats(df, "r", "k", ["x"], n_iter=2)
     with pytest.raises(ValueError):
         boot_stats(df, "nope", "k", ["x"], n_iter=2)
+
+
+def test_boot_cohens_d_omit_matches_brute_force(spark):
+    rng = np.random.default_rng(11)
+    n = 90
+    x = np.round(rng.normal(3, 1, n), 2)
+    g = np.where(np.arange(n) % 2 == 0, "f", "m").astype(object)
+    x = x.astype(object)
+    x[[3, 17, 40]] = None  # missing responses
+    g[[5, 60]] = None  # missing groups
+    pdf = pd.DataFrame({"row_id": np.arange(n), "gender": g, "agree": x})
+    df = spark.createDataFrame(pdf, "row_id long, gender string, agree double")
+    out = boot_cohens_d(df, ["agree"], "gender", "row_id", n_iter=30, hash="md5", na="omit").first()
+
+    def d_omit(frame):
+        f = frame.dropna(subset=["agree", "gender"])
+        return _r_cohen(f["agree"].astype(float).to_numpy(), f["gender"].to_numpy(), ["f", "m"])
+
+    t0 = d_omit(pdf)
+    ts = [d_omit(f) for _, f in replicate_frames(pdf, "row_id", 30)]
+    ll, ul = _basic(t0, ts)
+    assert out["d"] == pytest.approx(t0, rel=1e-12)
+    assert out["ci_ll"] == pytest.approx(ll, rel=1e-9)
+    assert out["ci_ul"] == pytest.approx(ul, rel=1e-9)
+    propagate = boot_cohens_d(df, ["agree"], "gender", "row_id", n_iter=30, hash="md5").first()
+    assert propagate["d"] is None
