@@ -17,6 +17,34 @@ def _is_parquet(path: str) -> bool:
     return path.endswith(".parquet") or (os.path.isdir(path) and any(f.endswith(".parquet") for f in os.listdir(path)))
 
 
+def _retype(text: DataFrame, tokens: Sequence[str], inferred: dict, parse_dates: bool) -> DataFrame:
+    """Null ``tokens`` in all-text columns, then give each column the narrowest of long / double / text.
+
+    Columns inference already typed (no token could appear in them) keep that type.
+    """
+    nulled = text.select(*[F.when(~F.col(c).isin(list(tokens)), F.col(c)).alias(c) for c in text.columns])
+    candidates = [c for c in text.columns if isinstance(inferred[c], T.StringType)]
+    checks = []
+    for j, c in enumerate(candidates):
+        checks += [
+            F.count(F.col(c)).alias(f"n{j}"),
+            F.count(F.expr(f"try_cast(`{c}` AS BIGINT)")).alias(f"l{j}"),
+            F.count(F.expr(f"try_cast(`{c}` AS DOUBLE)")).alias(f"d{j}"),
+        ]
+    row = nulled.agg(*checks).first() if checks else None
+    out = []
+    for c in text.columns:
+        t = inferred[c]
+        if c in candidates:
+            j = candidates.index(c)
+            n = row[f"n{j}"]
+            t = T.LongType() if n and row[f"l{j}"] == n else T.DoubleType() if n and row[f"d{j}"] == n else T.StringType()
+        elif not parse_dates and isinstance(t, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+            t = T.StringType()
+        out.append(F.col(c).cast(t).alias(c))
+    return nulled.select(*out)
+
+
 def read_table(
     spark: SparkSession,
     path: str | Sequence[str],
@@ -82,14 +110,21 @@ def read_table(
             df = reader.schema(as_text).csv(paths)
     extra = [t for t in tokens if t not in ("", primary)]
     if extra:
-        df = df.select(
-            *[
-                F.when(~F.col(f.name).isin(extra), F.col(f.name)).alias(f.name)
-                if isinstance(f.dataType, T.StringType)
-                else F.col(f.name)
-                for f in df.schema.fields
-            ]
-        )
+        if schema is None:
+            # Tokens beyond the reader's one null marker made their columns text during
+            # inference: read as text, null the tokens, then type each column (one pass).
+            as_text = T.StructType([T.StructField(f.name, T.StringType(), True) for f in df.schema.fields])
+            df = _retype(reader.schema(as_text).csv(paths), extra, {f.name: f.dataType for f in df.schema.fields},
+                         parse_dates)
+        else:
+            df = df.select(
+                *[
+                    F.when(~F.col(f.name).isin(extra), F.col(f.name)).alias(f.name)
+                    if isinstance(f.dataType, T.StringType)
+                    else F.col(f.name)
+                    for f in df.schema.fields
+                ]
+            )
     if repartition_gzip and any(p.endswith(".gz") for p in paths):
         df = df.repartition(spark.sparkContext.defaultParallelism)
     return df

@@ -152,3 +152,13 @@ def test_large_results_are_written_in_parallel_parts(spark, tmp_path, monkeypatc
     assert len(parts(tmp_path / "one")) == 1
     assert len(parts(tmp_path / "many")) > 1
     assert spark.read.option("header", True).csv(str(tmp_path / "many")).count() == 100
+
+
+def test_extra_null_tokens_in_numeric_columns(spark, tmp_path):
+    p = tmp_path / "tok.csv"
+    p.write_text("RID,gender,score,count\nR1,f,3.5,4\nR2,missing,missing,missing\nR3,m,NA,2\nR4,f,1.25,\n")
+    df = read_table(spark, str(p), null_values=("NA", "", "missing"))
+    assert dict(df.dtypes) == {"RID": "string", "gender": "string", "score": "double", "count": "bigint"}
+    rows = {r["RID"]: r for r in df.collect()}
+    assert rows["R2"]["gender"] is None and rows["R2"]["score"] is None and rows["R2"]["count"] is None
+    assert rows["R3"]["score"] is None and rows["R4"]["count"] is None and rows["R1"]["score"] == 3.5
