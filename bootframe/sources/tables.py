@@ -17,12 +17,19 @@ def _is_parquet(path: str) -> bool:
     return path.endswith(".parquet") or (os.path.isdir(path) and any(f.endswith(".parquet") for f in os.listdir(path)))
 
 
-def _retype(text: DataFrame, tokens: Sequence[str], inferred: dict, parse_dates: bool) -> DataFrame:
+def _retype(
+    text: DataFrame, tokens: Sequence[str], inferred: dict, parse_dates: bool, sample: DataFrame | None = None
+) -> DataFrame:
     """Null ``tokens`` in all-text columns, then give each column the narrowest of long / double / text.
 
-    Columns inference already typed (no token could appear in them) keep that type.
+    Columns inference already typed (no token could appear in them) keep that type. The
+    type checks run over ``sample`` when given (the leading rows), else over all rows.
     """
-    nulled = text.select(*[F.when(~F.col(c).isin(list(tokens)), F.col(c)).alias(c) for c in text.columns])
+
+    def null_tokens(frame: DataFrame) -> DataFrame:
+        return frame.select(*[F.when(~F.col(c).isin(list(tokens)), F.col(c)).alias(c) for c in frame.columns])
+
+    nulled = null_tokens(text)
     candidates = [c for c in text.columns if isinstance(inferred[c], T.StringType)]
     checks = []
     for j, c in enumerate(candidates):
@@ -31,7 +38,7 @@ def _retype(text: DataFrame, tokens: Sequence[str], inferred: dict, parse_dates:
             F.count(F.expr(f"try_cast(`{c}` AS BIGINT)")).alias(f"l{j}"),
             F.count(F.expr(f"try_cast(`{c}` AS DOUBLE)")).alias(f"d{j}"),
         ]
-    row = nulled.agg(*checks).first() if checks else None
+    row = (null_tokens(sample) if sample is not None else nulled).agg(*checks).first() if checks else None
     out = []
     for c in text.columns:
         t = inferred[c]
@@ -91,7 +98,8 @@ def read_table(
         df = reader.schema(schema).csv(paths)
     elif infer_rows:
         head = spark.read.text(paths[0]).limit(int(infer_rows) + 1)  # header line + N rows
-        sampled = reader.option("inferSchema", True).csv(head.rdd.map(lambda row: row.value))
+        head_lines = head.rdd.map(lambda row: row.value)
+        sampled = reader.option("inferSchema", True).csv(head_lines)
         df = reader.schema(sampled.schema).csv(paths)
     else:
         df = reader.option("inferSchema", True).csv(paths)
@@ -114,8 +122,9 @@ def read_table(
             # Tokens beyond the reader's one null marker made their columns text during
             # inference: read as text, null the tokens, then type each column (one pass).
             as_text = T.StructType([T.StructField(f.name, T.StringType(), True) for f in df.schema.fields])
+            sample = reader.schema(as_text).csv(head_lines) if infer_rows else None
             df = _retype(reader.schema(as_text).csv(paths), extra, {f.name: f.dataType for f in df.schema.fields},
-                         parse_dates)
+                         parse_dates, sample)
         else:
             df = df.select(
                 *[

@@ -162,3 +162,11 @@ def test_extra_null_tokens_in_numeric_columns(spark, tmp_path):
     rows = {r["RID"]: r for r in df.collect()}
     assert rows["R2"]["gender"] is None and rows["R2"]["score"] is None and rows["R2"]["count"] is None
     assert rows["R3"]["score"] is None and rows["R4"]["count"] is None and rows["R1"]["score"] == 3.5
+
+
+def test_extra_tokens_with_sampled_inference(spark, tmp_path):
+    p = tmp_path / "tok2.csv"
+    p.write_text("RID,score\nR1,3.5\nR2,missing\nR3,2\n" + "".join(f"R{i},{i}.5\n" for i in range(4, 30)))
+    df = read_table(spark, str(p), null_values=("NA", "", "missing"), infer_rows=5)
+    assert dict(df.dtypes)["score"] == "double"
+    assert df.where(df.score.isNull()).count() == 1
