@@ -18,3 +18,19 @@ def test_merge_stream_appends_each_file_once(spark, tmp_path):
     merge_stream(spark, str(src), str(out), checkpoint=str(ckpt))
     merged = spark.read.option("header", True).csv(str(out))
     assert sorted(r["scale"] for r in merged.collect()) == ["agree", "calm", "open"]
+
+
+def test_merge_stream_continuous_picks_up_new_files(spark, tmp_path):
+    src = tmp_path / "incoming"
+    os.makedirs(src)
+    (src / "a_by_gender.csv").write_text("scale,d,ci.level,ci.ll,ci.ul\na,0.1,0.95,-0.2,0.3\n")
+    out = tmp_path / "merged"
+    query = merge_stream(spark, str(src), str(out), checkpoint=str(tmp_path / "ck"), once=False)
+    try:
+        query.processAllAvailable()
+        (src / "b_by_gender.csv").write_text("scale,d,ci.level,ci.ll,ci.ul\nb,0.2,0.95,-0.1,0.4\n")
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    merged = spark.read.option("header", True).csv(str(out))
+    assert sorted(r["scale"] for r in merged.collect()) == ["a", "b"]
