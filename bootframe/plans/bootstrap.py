@@ -9,6 +9,11 @@ Plan shape (exact method, small table):
     per (keys, r) → shuffle of partials → final agg → unpivot (small) →
     interval agg per (keys, scale, stat).
 Plan shape (poisson): scan → explode r → weight in place → partial agg …
+Plan shape (multinomial): scan → exchange by key bucket → sort → in-bucket draws
+    (mapInPandas) → partial agg …
+Plan shape (collapse=True): scan → (set, scale, value) cell counts, map-side
+    combined → per-cell Poisson(c) or per-(set, scale) Multinomial(n, c/n) weights
+    → agg per (keys, scale, r) …
 """
 
 from __future__ import annotations
