@@ -23,6 +23,7 @@ result is the same for any partitioning.
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -222,6 +223,11 @@ def resample(
         draws = exact_draws(spark, idx.n, n_iter, seed, hash)
         joined = draws.join(F.broadcast(idx.df), idx.index_col)
         return joined.drop(idx.index_col).withColumn("w", F.lit(1).cast("bigint"))
+    warnings.warn(
+        f"exact draws for {idx.n} rows exceed the broadcast bound and will be shuffled "
+        f"({idx.n * n_iter} draws); method='multinomial' draws exact-n samples in place",
+        stacklevel=2,
+    )
     # Sized by the weight rows (≈ 0.63·n·B, ~16 B each): AQE cannot split a repartition.
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(idx.n * n_iter / WEIGHTS_PER_PARTITION))
     weights = exact_weights(spark, idx.n, n_iter, seed, hash, partitions=parts)
