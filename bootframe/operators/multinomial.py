@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bootframe.functions.draws import hash_bits
+from bootframe.session import parallelism
 
 ROWS_PER_BUCKET = 1 << 20
 #: rows per Arrow batch handed back to the JVM
@@ -97,11 +98,15 @@ def multinomial_resample(
     sizes = np.zeros(p, dtype=np.int64)
     for row in bucketed.groupBy("_b").count().collect():
         sizes[row["_b"]] = row["count"]
-    sizes_bc = spark.sparkContext.broadcast(sizes)
+    try:
+        sizes_bc = spark.sparkContext.broadcast(sizes)
+        read_sizes = lambda: sizes_bc.value
+    except Exception:  # noqa: BLE001 - remote sessions: ship with the function
+        read_sizes = lambda: sizes
     # Few buckets (small n) would leave cores idle: split each bucket's replicates into
     # k chunks handled by different tasks (the bucket's rows are copied k times).
     # Weights depend on (seed, r, bucket) only, so k does not change any result.
-    cores = spark.sparkContext.defaultParallelism
+    cores = parallelism(spark)
     k = max(1, min(n_iter, math.ceil(2 * cores / p)))
     if k > 1:
         bucketed = bucketed.withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
@@ -115,7 +120,7 @@ def multinomial_resample(
     out_schema = T.StructType([*df.schema.fields, T.StructField("r", T.LongType()), T.StructField("w", T.LongType())])
 
     def emit(bucket: int, part: int, frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        counts = bucket_draw_counts(sizes_bc.value, n_iter, seed, bucket)
+        counts = bucket_draw_counts(read_sizes(), n_iter, seed, bucket)
         m = len(frame)
         columns = {c: frame[c].to_numpy() for c in cols}
         first, last = part * chunk, min(n_iter, (part + 1) * chunk)

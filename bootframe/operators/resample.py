@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bootframe.session import parallelism
 from bootframe.functions.draws import draw_index, hash_bits, poisson1_thresholds, poisson_weight, uniform
 
 METHODS = ("exact", "multinomial", "poisson")
@@ -130,6 +131,14 @@ def row_index(
     return Indexed(ranked.drop("_bucket", "_offset"), n, bound, index_col)
 
 
+def _input_partitions(df: DataFrame, default: int) -> int:
+    """Number of input splits (classic sessions); assume enough where unknown."""
+    try:
+        return df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - remote sessions expose no RDD
+        return default
+
+
 def check_unique_key(df: DataFrame, keys: Sequence[str], tolerance: float = 0.9) -> None:
     """Refuse a clearly repeated key (Poisson weights hash the key: repeats would share weights).
 
@@ -148,7 +157,7 @@ def exact_draws(
 ) -> DataFrame:
     """All draws of all replicates: ``(r, i)``, ``n`` rows per replicate, generated in parallel."""
     total = int(n) * int(n_iter)
-    parts = max(2 * spark.sparkContext.defaultParallelism, math.ceil(total / draws_per_task))
+    parts = max(2 * parallelism(spark), math.ceil(total / draws_per_task))
     ids = spark.range(0, total, 1, parts)
     r = F.expr(f"id div {int(n)}")  # integral division: exact for any id
     s = F.expr(f"id % {int(n)}")
@@ -203,8 +212,8 @@ def resample(
         check_unique_key(df, keys)
         # Each input row becomes n_iter weighted rows inside its task. A small input
         # (fewer splits than cores) is spread first; a large one already is.
-        cores = spark.sparkContext.defaultParallelism
-        if n_iter > 1 and df.rdd.getNumPartitions() < cores:
+        cores = parallelism(spark)
+        if n_iter > 1 and _input_partitions(df, cores) < cores:
             df = df.repartition(2 * cores)
         reps = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(int(n_iter) - 1).cast("bigint")))
         weighted = df.select("*", reps.alias("r"))

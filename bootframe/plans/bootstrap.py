@@ -28,6 +28,7 @@ from bootframe.operators.cells import multinomial_cell_weights, poisson_cell_wei
 from bootframe.operators.columns import as_set, match_columns, numeric_columns
 from bootframe.operators.intervals import basic_ci, percentile_ci
 from bootframe.operators.resample import BROADCAST_LIMIT, key_columns, resample, row_index
+from bootframe.session import parallelism
 from bootframe.operators.stats import (
     STATS,
     cohens_d,
@@ -121,7 +122,7 @@ def _for_median(rows: DataFrame, stats: Sequence[str], median_accuracy: int | No
 def _cell_weights(df: DataFrame, cells: DataFrame, n_iter: int, seed: int, method: str, set_col: str) -> DataFrame:
     if method == "poisson":
         # the cell table is small by design; spread it so the replicate draws use every core
-        cores = df.sparkSession.sparkContext.defaultParallelism
+        cores = parallelism(df.sparkSession)
         return poisson_cell_weights(cells.repartition(2 * cores, "h"), n_iter, seed)
     if method in ("exact", "multinomial"):
         return multinomial_cell_weights(cells, n_iter, seed, set_col)

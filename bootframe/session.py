@@ -48,6 +48,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def parallelism(spark: SparkSession) -> int:
+    """Cores available to the job (classic sessions); the shuffle width where the
+    context is not reachable (Spark Connect)."""
+    try:
+        return int(spark.sparkContext.defaultParallelism)
+    except Exception:  # noqa: BLE001 - remote sessions have no SparkContext
+        return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` reliably in the shared checkpoint folder.
 

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bootframe.session import parallelism
+
 #: the reference's missing-value tokens
 NULL_TOKENS = ("NA", "")
 
@@ -17,6 +19,15 @@ def _is_parquet(path: str) -> bool:
     return path.endswith(".parquet") or (os.path.isdir(path) and any(f.endswith(".parquet") for f in os.listdir(path)))
 
 
+def _has_rdd(spark: SparkSession) -> bool:
+    """Classic sessions can parse CSV lines from an RDD; remote ones infer from the whole file."""
+    try:
+        spark.sparkContext  # noqa: B018
+        return True
+    except Exception:  # noqa: BLE001
+        return False
+
+
 def _retype(
     text: DataFrame, tokens: Sequence[str], inferred: dict, parse_dates: bool, sample: DataFrame | None = None
 ) -> DataFrame:
@@ -96,7 +107,7 @@ def read_table(
         reader = reader.option("emptyValue", primary)
     if schema is not None:
         df = reader.schema(schema).csv(paths)
-    elif infer_rows:
+    elif infer_rows and _has_rdd(spark):
         head = spark.read.text(paths[0]).limit(int(infer_rows) + 1)  # header line + N rows
         head_lines = head.rdd.map(lambda row: row.value)
         sampled = reader.option("inferSchema", True).csv(head_lines)
@@ -122,7 +133,7 @@ def read_table(
             # Tokens beyond the reader's one null marker made their columns text during
             # inference: read as text, null the tokens, then type each column (one pass).
             as_text = T.StructType([T.StructField(f.name, T.StringType(), True) for f in df.schema.fields])
-            sample = reader.schema(as_text).csv(head_lines) if infer_rows else None
+            sample = reader.schema(as_text).csv(head_lines) if infer_rows and _has_rdd(spark) else None
             df = _retype(reader.schema(as_text).csv(paths), extra, {f.name: f.dataType for f in df.schema.fields},
                          parse_dates, sample)
         else:
@@ -135,5 +146,5 @@ def read_table(
                 ]
             )
     if repartition_gzip and any(p.endswith(".gz") for p in paths):
-        df = df.repartition(spark.sparkContext.defaultParallelism)
+        df = df.repartition(parallelism(spark))
     return df
