@@ -224,3 +224,26 @@ def test_boot_cohens_d_omit_matches_brute_force(spark):
     assert out["ci_ul"] == pytest.approx(ul, rel=1e-9)
     propagate = boot_cohens_d(df, ["agree"], "gender", "row_id", n_iter=30, hash="md5").first()
     assert propagate["d"] is None
+
+
+def test_boot_custom_forms_agree_per_group(spark, survey):
+    def spread(w):
+        return F.max("IPIP50_open") - F.min("IPIP50_open")
+
+    expr = {r["smoke"]: (r["median"], r["ci95_ll"], r["ci95_ul"])
+            for r in boot_custom(survey, spread, "RID", by=["smoke"], columns=["IPIP50_open"], n_iter=12).collect()}
+
+    def partial(pdf):
+        return pd.DataFrame({"mn": [pdf["IPIP50_open"].min()], "mx": [pdf["IPIP50_open"].max()]})
+
+    def combine(states):
+        return float(states["mx"].max() - states["mn"].min())
+
+    pand = {r["smoke"]: (r["median"], r["ci95_ll"], r["ci95_ul"])
+            for r in boot_custom_pandas(survey, partial, combine, "mn double, mx double", "RID", ["IPIP50_open"],
+                                        by=["smoke"], n_iter=12, rows_per_chunk=50).collect()}
+    assert expr.keys() == pand.keys()
+    for k in expr:
+        if expr[k][0] is None:
+            continue
+        assert expr[k] == pytest.approx(pand[k])
