@@ -247,3 +247,9 @@ def test_boot_custom_forms_agree_per_group(spark, survey):
         if expr[k][0] is None:
             continue
         assert expr[k] == pytest.approx(pand[k])
+
+
+def test_independent_sets_poisson_use_own_seed(spark, survey):
+    ind = boot_stats_sets(survey, [["gender"], ["smoke"]], "RID", SCALES, n_iter=6, method="poisson", shared=False)
+    single = _rows(boot_stats(survey, ["smoke"], "RID", SCALES, n_iter=6, seed=43, method="poisson"), ["smoke"])
+    _close(_rows(ind.where(F.col("set") == "smoke"), ["smoke"]), single)
