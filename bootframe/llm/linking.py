@@ -11,10 +11,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import stored
+from .store import Workspace
 
 
 def _stars(edges: DataFrame) -> DataFrame:
@@ -34,7 +34,7 @@ def _is_stars(edges: DataFrame) -> bool:
     return not many.unionAll(chained).take(1)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, work: Workspace) -> DataFrame:
     """Connected components of ``edges`` (a, b: same orderable type, nulls ignored).
 
     Returns (node, component): every node that has a smaller one in its component, with
@@ -42,23 +42,28 @@ def components(edges: DataFrame) -> DataFrame:
     join and a grouping whose rows stay in proportion to the edges, until only stars are left;
     each step's result is a table in the shared folder. No edges: no rows.
     """
-    now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    now = work.stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     while not _is_stars(now):
-        now = stored(_stars(now), "edges")
+        now = work.stored(_stars(now), "edges")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
 def shared_buckets(keyed: DataFrame) -> DataFrame:
-    """Rows (key, node) of keys with two or more different nodes, with ``low``, the key's smallest node."""
-    twice = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    return keyed.join(twice.select("key", "low"), "key")
+    """Rows (key, node) of keys with two or more different nodes, with ``low``, the key's smallest node.
+
+    One shuffle by key. A key's rows meet in one task, but each node has many keys, so even
+    a group of most nodes is spread over as many tasks as it shares keys; within a key the
+    rows are only compared with its smallest and largest node (a window that spills to disk).
+    """
+    key = Window.partitionBy("key")
+    return keyed.select("key", "node", F.min("node").over(key).alias("low"), F.max("node").over(key).alias("high")).where("low < high").drop("high").distinct()
 
 
 def _pairs(df: DataFrame) -> DataFrame:
     return df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def linked_components(members: DataFrame, verify: Callable[[DataFrame], DataFrame], pivots: int = 4) -> tuple[DataFrame, DataFrame]:
+def linked_components(members: DataFrame, verify: Callable[[DataFrame], DataFrame], work: Workspace, pivots: int = 4) -> tuple[DataFrame, DataFrame]:
     """Components of the links that ``verify`` confirms among nodes sharing a key.
 
     ``members``: stored (key, node, low). ``verify`` takes distinct pairs (a, b), a < b, and
@@ -69,27 +74,27 @@ def linked_components(members: DataFrame, verify: Callable[[DataFrame], DataFram
     weren't compared before. Which rounds run changes the work, not the components.
     Returns (components, links found).
     """
-    tried = stored(_pairs(members.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"))), "pairs")
-    links = stored(verify(tried), "links")
-    label, last = components(links), False
+    tried = work.stored(_pairs(members.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"))), "pairs")
+    links = work.stored(verify(tried), "links")
+    label, last = components(links, work), False
     for turn in range(1, pivots + 2):
         at = members.select("key", "node").join(label, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
         pivot = at.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("other"), F.col("part").alias("other_part"))).alias("p"))
         # two nodes alone were compared in the first round
-        open_ = stored(at.join(pivot.where("lo < hi and n > 2").select("key", "n", "p.other", "p.other_part"), "key"), "open")
+        open_ = work.stored(at.join(pivot.where("lo < hi and n > 2").select("key", "n", "p.other", "p.other_part"), "key"), "open")
         rows, pairs = open_.agg(F.count("*"), F.sum((F.col("n") - 1) / 2)).first()
         if not rows:
             return label, links
-        last = turn > pivots or pairs <= 8 * rows
+        last = turn > pivots or pairs <= 50 * rows
         if last:
             right = open_.select("key", F.col("node").alias("b"), F.col("part").alias("b_part"))
             new = open_.join(right, "key").where("node < b and part <> b_part").select(F.col("node").alias("a"), "b")
         else:
             new = open_.where("part <> other_part").select(F.col("node").alias("a"), F.col("other").alias("b"))
-        new = stored(_pairs(new).join(tried, ["a", "b"], "left_anti"), "pairs")
-        found = stored(verify(new), "links")
+        new = work.stored(_pairs(new).join(tried, ["a", "b"], "left_anti"), "pairs")
+        found = work.stored(verify(new), "links")
         if found.take(1):
-            label = components(label.select(F.col("component").alias("a"), F.col("node").alias("b")).unionAll(found))
+            label = components(label.select(F.col("component").alias("a"), F.col("node").alias("b")).unionAll(found), work)
         tried, links = tried.unionAll(new), links.unionAll(found)
         if last:
             return label, links

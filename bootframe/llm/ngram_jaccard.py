@@ -9,13 +9,15 @@ equal parts, so linked sets agree on at least one part: PartEnum with subsets of
 hash of the part's elements. Sets of equal content are one class and take part once; pairs
 that share a signature are verified on the whole sets, see :mod:`.linking`.
 
-Broadcast: nothing. Memory: one document's set, or two when verifying, and one table of word
+Hashes of n-grams and of whole sets have 64 bits; sets whose hashes agree count as equal.
+Broadcast: a bitmap of 4 MB. Memory: one document's set, or two when verifying, and one table of word
 hashes a task, emptied at ``WORDS_KEPT`` words.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -24,12 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .linking import components, linked_components, shared_buckets
-from .store import stored
+from .store import Workspace, sieve, sifted, stored
 
 #: Words whose hashes a task keeps at most.
 WORDS_KEPT = 200_000
 
 
+@lru_cache(maxsize=None)
 def _odd(seed: int) -> np.uint64:
     return np.uint64(xxhash.xxh3_64_intdigest(b"odd", seed) | 1)
 
@@ -103,14 +106,30 @@ class Signer:
         return np.concatenate(out).view(np.int64)
 
 
+def class_key(items: np.ndarray) -> int:
+    """64-bit id of a set."""
+    return xxhash.xxh3_64_intdigest(items.tobytes(), 7) - 2**63
+
+
 def _features(n: int, percent: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, sign = WordHashes(), Signer(percent)
+        signed: set[int] = set()
         for batch in batches:
             for part in np.array_split(np.arange(len(batch)), max(1, len(batch) // 500)):
                 rows = batch.iloc[part]
                 sets = [ngram_set(t, n, hashes) for t in rows["text"]]
-                yield pd.DataFrame({"node": rows["node"].array, "n_shingles": [len(s) for s in sets], "digest": [xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets], "signatures": [sign(s) for s in sets]})
+                keys = [class_key(s) for s in sets]
+                signatures = []
+                for doc, s, key in zip(rows["doc"], sets, keys):
+                    # equal sets of a task are signed once
+                    fresh = len(s) and not pd.isna(doc) and key not in signed
+                    signatures.append(sign(s) if fresh else None)
+                    if fresh:
+                        if len(signed) >= WORDS_KEPT:
+                            signed.clear()
+                        signed.add(key)
+                yield pd.DataFrame({"doc": rows["doc"].array, "n_shingles": [len(s) for s in sets], "node": keys, "signatures": signatures})
 
     return run
 
@@ -121,7 +140,8 @@ def _sets(n: int):
         for batch in batches:
             for part in np.array_split(np.arange(len(batch)), max(1, len(batch) // 500)):
                 rows = batch.iloc[part]
-                yield pd.DataFrame({"node": rows["node"].array, "items": [ngram_set(t, n, hashes).tobytes() for t in rows["text"]]})
+                sets = [ngram_set(t, n, hashes) for t in rows["text"]]
+                yield pd.DataFrame({"node": [class_key(s) for s in sets], "items": [s.tobytes() for s in sets]})
 
     return run
 
@@ -156,37 +176,45 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     are one document: what links either links both. Other columns are ignored, so their
     names don't matter. An empty table gives an empty result.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
-    found = stored(base.mapInPandas(_features(n, percent), "node long, n_shingles long, digest string, signatures array<long>"), "ngrams")
-    known = found.where("node is not null and n_shingles > 0")
-    # equal sets: one class, named by its smallest id, does the searching
-    classes = stored(known.groupBy("digest").agg(F.min("node").alias("first")), "classes")
-    searching = known.join(classes.select("digest", F.col("first").alias("node")), ["digest", "node"], "left_semi")
-    keyed = searching.select(F.explode("signatures").alias("key"), "node")
-    members = stored(shared_buckets(keyed), "members")
-    nodes = members.select("node").distinct()
-    # an id that repeats with other texts has several sets: any of them may give the link
-    sets = stored(base.join(nodes, "node", "left_semi").mapInPandas(_sets(n), "node long, items binary").distinct(), "sets")
+    spark = docs.sparkSession
+    work = Workspace(spark, "ngrams")
+    base = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
+    found = work.stored(base.mapInPandas(_features(n, percent), "doc long, n_shingles long, node long, signatures array<long>"), "sets")
+    known = found.where("doc is not null and n_shingles > 0").select("doc", "node")
+    keyed = found.where("signatures is not null").select(F.explode("signatures").alias("key"), "node")
+    members = work.stored(shared_buckets(keyed), "members")
+    work.release()
+    # the sets of classes that share a signature, from one document of each
+    wanted = known.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc").alias("doc")).select("doc").distinct()
+    wanted = work.stored(wanted, "wanted")
+    few = sifted(base, F.col("doc"), sieve(wanted, "doc")).where("__in").drop("__in").join(wanted, "doc", "left_semi")
+    sets = work.stored(few.mapInPandas(_sets(n), "node long, items binary").dropDuplicates(["node"]), "items")
 
     def verify(pairs: DataFrame) -> DataFrame:
         left, right = sets.toDF("a", "items_a"), sets.toDF("b", "items_b")
-        return pairs.join(left, "a").join(right, "b").mapInPandas(_overlaps(percent), "a long, b long").distinct()
-
-    _, links = linked_components(members, verify)
-    # links between classes, and each id with its class (an id with several texts joins theirs)
-    several = known.groupBy("node").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo < hi").select("node")
-    extra = known.select("node", "digest").join(several, "node", "left_semi").join(classes, "digest").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    group = components(links.unionAll(extra))
-    degree = links.select(F.explode(F.array("a", "b")).alias("first")).groupBy("first").agg(F.count("*").alias("n_links"))
-    named = classes.join(group.withColumnRenamed("node", "first"), "first", "left").join(degree, "first", "left")
-    named = named.select("digest", F.coalesce("component", "first").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = found.drop("signatures").withColumn("digest", F.when(F.expr("node is not null and n_shingles > 0"), F.col("digest")))
-    out = out.join(named, "digest", "left")
-    return out.select(F.col("node").alias(id_col), "n_shingles", F.coalesce("component_id", "node").alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+        return pairs.join(left, "a").join(right, "b").mapInPandas(_overlaps(percent), "a long, b long")
+
+    group, links = linked_components(members, verify, work)
+    # an id with several sets joins their classes; then classes to the smallest id of their group
+    several = known.groupBy("doc").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("doc", "lo")
+    extra = known.join(several, "doc").where("node <> lo").select(F.col("lo").alias("a"), F.col("node").alias("b"))
+    if extra.take(1):
+        group = components(group.select(F.col("component").alias("a"), F.col("node").alias("b")).unionAll(extra), work)
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    classes = known.groupBy("node").agg(F.min("doc").alias("first")).join(group, "node", "left").select("node", "first", F.coalesce("component", "node").alias("part"))
+    named = classes.join(classes.groupBy("part").agg(F.min("first").alias("component_id")), "part").join(degree, "node", "left").select("node", "component_id", "n_links")
+    out = found.select("doc", "n_shingles", F.when(F.expr("doc is not null and n_shingles > 0"), F.col("node")).alias("node")).join(named, "node", "left")
+    out = out.select(F.col("doc").alias(id_col), "n_shingles", F.coalesce("component_id", "doc").alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    out = stored(out, "ngram-groups")
+    work.close()
+    return out
 
 
 def one_per_group(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` (doc_id, text and any other columns) with one document of each group left:
     the one with the smallest doc_id. Rows that repeat a doc_id or have none all stay or all go."""
     gone = jaccard_groups(docs, n=n, percent=percent).where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    names = [f"__c{i}" for i in range(len(docs.columns))]
+    rows = sifted(docs.toDF(*names), F.col(names[docs.columns.index("doc_id")]).cast("long"), sieve(gone, "doc_id"))
+    met = rows.where("__in").join(gone, F.col(names[docs.columns.index("doc_id")]) == gone["doc_id"], "left_anti")
+    return rows.where("not __in").unionAll(met).drop("__in").toDF(*docs.columns)

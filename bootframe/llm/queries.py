@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, line_dedup, mixing, ngram_jaccard, sentencepiece_codec
+from . import document_fingerprints, language_id, line_dedup, mixing, ngram_jaccard, sentencepiece_codec, warc
+from .store import shared_path
 
 #: Path of the SentencePiece model, the same on every executor.
 PIECE_MODEL = os.environ.get("BOOTFRAME_PIECE_MODEL") or public_tokenizers.path("piece_bpe_32k.model")
@@ -42,6 +43,14 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", "n_links")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to a WARC archive in the shared folder and read back."""
+    path = shared_path(spark, "archives")
+    warc.write_warc(_table(spark, sf_dir, "pages"), path)
+    out = warc.payloads(warc.read_warc(spark, path))
+    return out.select(F.col("page").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learnt from those whose id's crc32 modulo 4 isn't 2."""
     docs = _table(spark, sf_dir, "documents")
@@ -51,12 +60,19 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score", "entropy", "rejected")
 
 
+def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document and of its edited text, with their likenesses."""
+    return document_fingerprints.compared_with_next(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_line_dedup": op2_line_dedup,
     "op3_mixing": op3_mixing,
     "op5_ngram_jaccard": op5_ngram_jaccard,
+    "op7_warc": op7_warc,
     "op9_language_id": op9_language_id,
+    "op10_document_fingerprints": op10_document_fingerprints,
 }
 
 ORACLE_SQL: dict[str, str] = {}

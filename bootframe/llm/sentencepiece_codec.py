@@ -18,6 +18,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import pandas as pd
 import sentencepiece as spm
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Marked words that a task's table holds at most.
-WORDS_KEPT = 100_000
+WORDS_KEPT = 150_000
 MARK = "▁"
 
 _MARKED = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -52,7 +53,7 @@ class WordTable:
     def __init__(self, model: str) -> None:
         self.sp = _processor(model)
         self.separate = words_are_separate(self.sp)
-        self.same = list(range(self.sp.vocab_size()))  # one int object an id
+        self.decimal = [str(i) for i in range(self.sp.vocab_size())]
         self.known: dict[str, tuple[list[int], str]] = {}
 
     def learn(self, words: set[str]) -> None:
@@ -62,7 +63,7 @@ class WordTable:
             fresh = list(words)
         # the library puts one mark in front by itself
         for w, ids in zip(fresh, self.sp.encode([w[1:] for w in fresh], num_threads=1)):
-            self.known[w] = [self.same[i] for i in ids], " ".join(map(str, ids))
+            self.known[w] = ids, " ".join([self.decimal[i] for i in ids])
 
     def ids(self, texts: list[str]) -> list[tuple[list[int], str]]:
         """Ids of each text, and the same as text with spaces between."""
@@ -73,7 +74,7 @@ class WordTable:
         out = []
         for ws in split:
             met = [self.known[w] for w in ws]
-            out.append(([i for ids, _ in met for i in ids], " ".join([s for _, s in met])))
+            out.append((list(chain.from_iterable([m[0] for m in met])), " ".join([m[1] for m in met])))
         return out
 
 
