@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import document_fingerprints, language_id, line_dedup, mixing, ngram_jaccard, sentencepiece_codec, warc
+from . import chat_quotes, document_fingerprints, language_id, line_dedup, mixing, nearest_neighbours, ngram_jaccard, sentencepiece_codec, substring_dedup, warc
 from .store import shared_path
 
 #: Path of the SentencePiece model, the same on every executor.
@@ -37,12 +37,23 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op4_chat_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every message replies to, its place in reply order and a digest of its own words."""
+    out = chat_quotes.reply_order(_table(spark, sf_dir, "conversations"))
+    return out.select("conv_id", "turn", "role", "reply_to", "quote_levels", "quoted_lines", "matched_lines", "thread", F.array_join("path", "/").alias("path"), F.sha2(F.coalesce("own", F.lit("")), 256).alias("own_sha256"))
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Group of every document by links of 3-word shingles at Jaccard similarity 0.9."""
     out = ngram_jaccard.jaccard_groups(_table(spark, sf_dir, "documents"), n=3, percent=90)
     return out.select("doc_id", "n_shingles", "component_id", "n_links")
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest vectors of every hundredth vector."""
+    return nearest_neighbours.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to a WARC archive in the shared folder and read back."""
     path = shared_path(spark, "archives")
@@ -51,6 +62,12 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("page").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that repeat one of a document with a smaller id."""
+    out = substring_dedup.repeated_passages(_table(spark, sf_dir, "documents"))
+    return out.withColumnRenamed("doc", "doc_id").withColumnRenamed("of_doc", "of_doc_id")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learnt from those whose id's crc32 modulo 4 isn't 2."""
     docs = _table(spark, sf_dir, "documents")
@@ -69,8 +86,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_line_dedup": op2_line_dedup,
     "op3_mixing": op3_mixing,
+    "op4_chat_quotes": op4_chat_quotes,
     "op5_ngram_jaccard": op5_ngram_jaccard,
+    "op6_nearest_neighbours": op6_nearest_neighbours,
     "op7_warc": op7_warc,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_language_id": op9_language_id,
     "op10_document_fingerprints": op10_document_fingerprints,
 }
