@@ -3,7 +3,7 @@
 Trees are grown on the driver from a sample of at most ``SAMPLE_ROWS`` vectors: each node cuts
 its points by the plane halfway between two of them. Every vector of the table is put into one
 leaf a tree. A query walks all trees through one priority queue, always taking the node whose
-worst margin is best, until it has its leaves. Leaves are then joined with vectors on (tree,
+worst margin is best, until it has its leaves; how many it needs is measured on the sample. Leaves are then joined with vectors on (tree,
 leaf), each task ranks its candidates by exact distance and passes on the nearest few.
 
 Equal vectors are one candidate, however many rows have them, and equal queries search once;
@@ -98,6 +98,22 @@ class Forest:
         return out
 
 
+def leaves_needed(forest: Forest, sample: np.ndarray, k: int, recall: float, queries: int = 100) -> int:
+    """How many leaves a query must visit to meet ``recall`` of its ``k`` nearest, measured by
+    brute force on the sample for its first vectors."""
+    points = sample.astype(np.float64)
+    at = forest.leaves(sample)
+    squares = (points**2).sum(axis=1)
+    needed: list[int] = []
+    for q in range(min(queries, len(sample))):
+        far = squares - 2 * (points @ points[q])
+        far[q] = np.inf
+        near = np.argpartition(far, min(k, len(far) - 1))[:k]
+        turn = {leaf: i for i, leaf in enumerate(forest.visited(sample[q], 2**31), 1)}
+        needed += [min(turn[t, leaf] for t, leaf in enumerate(at[i])) for i in near if i != q]
+    return int(np.quantile(needed, recall, method="higher")) if needed else 1
+
+
 def _matrix(vectors: pd.Series) -> np.ndarray:
     return np.stack(vectors.to_list()).astype(np.float64) if len(vectors) else np.empty((0, 0))
 
@@ -122,7 +138,7 @@ def _ranked(keep: int):
     return run
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", trees: int = 24, leaf_rows: int = 48, leaves: int = 256, seed: int = 0) -> DataFrame:
+def nearest(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", trees: int = 12, leaf_rows: int = 256, recall: float = 0.95, seed: int = 0) -> DataFrame:
     """The ``k`` nearest other rows found for each row for which ``is_query`` (a column) holds.
 
     Returns query_id, rank (from 1), id, score (Euclidean distance in double precision of the
@@ -130,7 +146,8 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", v
     fewer candidates. Vectors that are null, empty, zero, of another length than most of the sample, or
     hold null or non-finite numbers take no part, nor do rows with a null id. Rows that
     repeat an id and vector count once; an id with several vectors is several candidates.
-    Distances are exact; that all nearest are found isn't certain (the README gives recall).
+    Distances are exact. That all nearest are found isn't certain: each query visits as many
+    leaves as meet ``recall`` on the sample, by brute force for some of its vectors.
     """
     spark = vectors.sparkSession
     work = Workspace(spark, "nearest")
@@ -151,6 +168,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", v
     n = classes.count()
     sample = classes.select("node", "vector").orderBy(F.xxhash64("node", F.lit(seed)), "node").limit(SAMPLE_ROWS).toPandas()
     forest = Forest(np.stack(sample["vector"].to_list()).astype(np.float32), trees, leaf_rows, seed)
+    leaves = leaves_needed(forest, np.stack(sample["vector"].to_list()).astype(np.float32), k, recall)
     shared = spark.sparkContext.broadcast(forest)
     slices = max(1, -(-n * leaf_rows // (min(n, SAMPLE_ROWS) * SLICE_ROWS)))
 
