@@ -38,10 +38,10 @@ def _processor(model: str) -> spm.SentencePieceProcessor:
 
 
 def words_are_separate(sp: spm.SentencePieceProcessor) -> bool:
-    """Whether marked words segment on their own: no piece has a mark behind another character,
-    and the normaliser only marks spaces (it changes none of a few probes, keeps runs of
+    """Whether marked words segment on their own: the mark is a piece, no piece has a mark behind
+    another character, and the normaliser only marks spaces (it changes none of a few probes, keeps runs of
     spaces, and puts one mark in front)."""
-    if any(re.search(f"[^{MARK}]{MARK}", sp.id_to_piece(i)) for i in range(sp.vocab_size()) if not sp.is_control(i)):
+    if sp.piece_to_id(MARK) == sp.unk_id() or any(re.search(f"[^{MARK}]{MARK}", sp.id_to_piece(i)) for i in range(sp.vocab_size()) if not sp.is_control(i)):
         return False
     probes = ["a  b", " a", "a ", "éﬁＡ ①­​", "a\tb\nc d　e", "é 가"]
     return all(sp.normalize(x) == MARK + x.replace(" ", MARK) for x in probes)
@@ -61,8 +61,9 @@ class WordTable:
         if len(self.known) + len(fresh) > WORDS_KEPT:
             self.known.clear()
             fresh = list(words)
-        # the library puts one mark in front by itself
+        # the library puts one mark in front by itself, but not before an empty text
         for w, ids in zip(fresh, self.sp.encode([w[1:] for w in fresh], num_threads=1)):
+            ids = ids if w != MARK else [self.sp.piece_to_id(MARK)]
             self.known[w] = ids, " ".join([self.decimal[i] for i in ids])
 
     def ids(self, texts: list[str]) -> list[tuple[list[int], str]]:

@@ -20,12 +20,17 @@ from pyspark.sql import functions as F
 
 from .store import Workspace, sieve, sifted
 
-MAGIC = "WARC/1."
+VERSION = "1.1"
 END = "\r\n\r\n"
 #: Bytes of a file whose chain is followed in one task.
 CELL = 4 << 20
 
 
+def magic_line(version: str) -> str:
+    """A record's first line; no header value can hold it, as values have no line ends."""
+    return f"WARC/{version}\r\n"
+
+
 def _clean(text: Column) -> Column:
     """No control characters: they would end a header line."""
     return F.regexp_replace(text, r"[\x00-\x1F\x7F]", "%20")
@@ -61,7 +66,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     block = F.concat(http, F.when(revisit, F.lit("")).otherwise(F.col("payload")))
     name = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
     record = F.concat(
-        F.lit("WARC/1.1\r\nWARC-Type: "), F.when(revisit, "revisit").otherwise("response"),
+        F.lit(magic_line(VERSION) + "WARC-Type: "), F.when(revisit, "revisit").otherwise("response"),
         F.lit("\r\nWARC-Record-ID: "), F.coalesce(name(F.col("page")), F.concat(F.lit("<urn:sha256:"), F.col("digest"), F.lit(">"))),
         F.lit("\r\nWARC-Date: 2000-01-01T00:00:00Z\r\n"), uri,
         F.lit("WARC-Payload-Digest: sha256:"), F.col("digest"), F.lit("\r\n"),
@@ -72,8 +77,8 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     work.close()
 
 
-def _scan(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.option("lineSep", MAGIC).text(path)
+def _scan(spark: SparkSession, path: str, magic: str) -> DataFrame:
+    rows = spark.read.option("lineSep", magic).text(path)
     return rows.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
 
 
@@ -97,26 +102,26 @@ def _follow(key: tuple, nodes: pd.DataFrame) -> pd.DataFrame:
     return nodes.loc[[o in on for o in nodes["offset"]], ["file", "offset"]]
 
 
-def record_rows(spark: SparkSession, path: str, work: Workspace) -> DataFrame:
+def record_rows(spark: SparkSession, path: str, magic: str, work: Workspace) -> DataFrame:
     """Every row of the scan of ``path`` with its place: file, block, at, offset (of the magic
     before it; negative for what stands before the first), size (of the file), next (the
     successor that its header names), head (bytes of the header), body (Content-Length),
     record (whether it is on the chain from offset 0)."""
     text = F.col("value")
     head = F.substring_index(text, END, 1)
-    length = F.regexp_extract(head, r"(?i)\r\ncontent-length:[ \t]*(\d{1,18})[ \t]*(?:\r\n|$)", 1)
-    parses = (F.instr(text, END) > 0) & F.substring(text, 2, 2).eqNullSafe("\r\n") & F.substring(text, 1, 1).isin("0", "1") & (length != "")
-    marks = _scan(spark, path).select("file", "block", "at", F.octet_length(text).cast("long").alias("len"), F.when(parses, F.octet_length(head).cast("long")).alias("head"), F.when(parses, length.cast("long")).alias("body"))
+    length = F.regexp_extract(head, r"(?i)(?:^|\r\n)content-length:[ \t]*(\d{1,18})[ \t]*(?:\r\n|$)", 1)
+    parses = (F.instr(text, END) > 0) & (length != "")
+    marks = _scan(spark, path, magic).select("file", "block", "at", F.octet_length(text).cast("long").alias("len"), F.when(parses, F.octet_length(head).cast("long")).alias("head"), F.when(parses, length.cast("long")).alias("body"))
     marks = work.stored(marks, "marks")
-    magic = len(MAGIC)
-    total = marks.groupBy("file", "block").agg(F.sum(F.col("len") + magic).alias("bytes"))
+    first = len(magic)
+    total = marks.groupBy("file", "block").agg(F.sum(F.col("len") + first).alias("bytes"))
     by_file = Window.partitionBy("file")
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    splits = total.select("file", "block", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("base"), (F.sum("bytes").over(by_file) - magic).alias("size"))
+    splits = total.select("file", "block", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("base"), (F.sum("bytes").over(by_file) - first).alias("size"))
     inner = Window.partitionBy("file", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    placed = marks.withColumn("ahead", F.coalesce(F.sum(F.col("len") + magic).over(inner), F.lit(0))).join(splits, ["file", "block"])
-    offset = F.col("base") + F.col("ahead") - magic
-    placed = placed.select("file", "block", "at", "len", offset.alias("offset"), "size", "head", "body", F.when(offset >= 0, offset + magic + F.col("head") + 2 * len(END) + F.col("body")).alias("next"))
+    placed = marks.withColumn("ahead", F.coalesce(F.sum(F.col("len") + first).over(inner), F.lit(0))).join(splits, ["file", "block"])
+    offset = F.col("base") + F.col("ahead") - first
+    placed = placed.select("file", "block", "at", "len", offset.alias("offset"), "size", "head", "body", F.when(offset >= 0, offset + first + F.col("head") + 2 * len(END) + F.col("body")).alias("next"))
     placed = work.stored(placed, "placed")
     nodes = placed.where("next is not null and next <= size").select("file", "offset", "next", "size", F.floor(F.col("offset") / CELL).cast("long").alias("cell"))
     exits = work.stored(nodes.groupBy("file", "cell").applyInPandas(_exits, "file string, offset long, exit long"), "exits")
@@ -140,31 +145,33 @@ def record_rows(spark: SparkSession, path: str, work: Workspace) -> DataFrame:
     return work.stored(placed.join(chain, ["file", "offset"], "left").withColumn("record", F.coalesce("record", F.lit(False))), "rows")
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, version: str = VERSION) -> DataFrame:
     """The records of all files at ``path`` (a file, a folder or a pattern that Spark reads).
 
-    Returns file, head (header lines as text, from the version on), block (binary).
+    Returns file, head (header lines after the first, as text), block (binary). Records of
+    another ``version`` aren't read.
     A record is what the chain from its file's start reaches; a chain that breaks (bytes that
     aren't a record, a length that passes the file's end) ends there. Empty files: no rows.
     """
     work = Workspace(spark, "warc-read")
-    rows = record_rows(spark, path, work)
+    magic = magic_line(version)
+    rows = record_rows(spark, path, magic, work)
     # rows that aren't one whole record: parts of records whose payload holds a magic, or of none
-    whole = F.col("record") & (F.col("next") == F.col("offset") + len(MAGIC) + F.col("len"))
+    whole = F.col("record") & (F.col("next") == F.col("offset") + len(magic) + F.col("len"))
     odd = rows.where(~whole)
     split = odd.where("record").select("file", F.col("offset").alias("owner"), "next", F.explode(F.sequence(F.floor(F.col("offset") / CELL), F.floor((F.col("next") - 1) / CELL))).alias("cell"))
     owned = odd.select("file", "block", "at", "offset", F.floor(F.col("offset") / CELL).alias("cell")).join(split, ["file", "cell"]).where("offset >= owner and offset < next")
     owned = work.stored(owned.select("file", "block", "at", "offset", "owner"), "owned")
     place = F.xxhash64("file", "block", "at")
     odd_places = work.stored(odd.select("file", "block", "at").withColumn("key", place), "odd")
-    scan = sifted(_scan(spark, path).withColumn("key", place), F.col("key"), sieve(odd_places, "key"))
+    scan = sifted(_scan(spark, path, magic).withColumn("key", place), F.col("key"), sieve(odd_places, "key"))
     may = scan.where("__in").drop("__in")
     plain = scan.where("not __in").select("file", "value", "key").unionAll(may.join(odd_places, ["file", "block", "at"], "left_anti").select("file", "value", "key"))
     parts = may.join(owned, ["file", "block", "at"]).groupBy("file", "owner").agg(F.sort_array(F.collect_list(F.struct("offset", "value"))).alias("p"))
-    joined = parts.select("file", F.array_join(F.transform("p", lambda x: x["value"]), MAGIC).alias("value"))
+    joined = parts.select("file", F.array_join(F.transform("p", lambda x: x["value"]), magic).alias("value"))
     head = F.substring_index("value", END, 1)
     text = plain.select("file", "value").unionAll(joined).withColumn("head", head)
-    size = F.regexp_extract("head", r"(?i)\r\ncontent-length:[ \t]*(\d{1,18})[ \t]*(?:\r\n|$)", 1).cast("int")
+    size = F.regexp_extract("head", r"(?i)(?:^|\r\n)content-length:[ \t]*(\d{1,18})[ \t]*(?:\r\n|$)", 1).cast("int")
     out = text.select("file", "head", F.col("value").cast("binary").alias("b"), (F.octet_length("head") + len(END) + 1).alias("from"), size.alias("n"))
     out = out.select("file", "head", F.expr("substring(b, from, n)").alias("block"))
     return out
@@ -172,7 +179,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 def header(head: Column, name: str) -> Column:
     """Value of a header line, null if there is none."""
-    value = F.regexp_extract(head, rf"(?i)\n{name}:[ \t]*([^\r\n]*)", 1)
+    value = F.regexp_extract(head, rf"(?i)(?:^|\n){name}:[ \t]*([^\r\n]*)", 1)
     return F.when(value != "", value)
 
 
