@@ -16,6 +16,7 @@ hashes a task, emptied at ``WORDS_KEPT`` words.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -79,30 +80,53 @@ def bands(limit: int, percent: int) -> list[tuple[int, int]]:
     return out
 
 
+@lru_cache(maxsize=None)
+def parts_and_spare(smallest: int, sizes: int, percent: int) -> tuple[int, int]:
+    """Parts of an instance, and how many of them a set may leave empty without a signature.
+
+    Sets of the instance have ``smallest`` items or more, two of them ``sizes`` at most. Linked
+    ones differ in at most ``most`` items, so of ``most + 1 + spare`` parts ``spare + 1`` agree:
+    a set with at most ``spare`` empty parts still agrees on one that isn't empty, and needs no
+    signature for the empty ones, which many sets would share by chance.
+    """
+    # distance = (1 - J) union and |a| + |b| = (1 + J) union, so distance <= (1 - J) / (1 + J) (|a| + |b|)
+    most = (100 - percent) * sizes // (100 + percent)
+    for spare in range(most + 2):
+        parts = most + 1 + spare
+        empty = parts * math.exp(-smallest / parts)
+        if empty + 3 * math.sqrt(empty) <= spare + 0.05:
+            return parts, spare
+    return most + 1, 0
+
+
 class Signer:
     """Signatures of a set; the bands are extended as larger sets come."""
 
     def __init__(self, percent: int) -> None:
-        self.percent, self.highs = percent, [high for _, high in bands(1000, percent)]
+        self.percent, self.bands = percent, bands(1000, percent)
+        self.highs = [high for _, high in self.bands]
 
     def __call__(self, items: np.ndarray) -> np.ndarray:
         n = len(items)
         if not n:
             return np.empty(0, np.int64)
-        while self.highs[-2] < n:
-            self.highs.append(max(self.highs[-1] + 1, (self.highs[-1] + 1) * 100 // self.percent))
+        if self.highs[-2] < n:
+            self.bands = bands(4 * n, self.percent)
+            self.highs = [high for _, high in self.bands]
         band = int(np.searchsorted(self.highs, n))
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(items + _odd(1)), dtype=np.uint64)])
         out = []
         for instance in (band, band + 1):
-            # distance = (1 - J) union and |a| + |b| = (1 + J) union, so distance <= (1 - J) / (1 + J) (|a| + |b|);
             # pairs within a band meet in their upper instance, so an instance needs its two bands' highest sizes
-            sizes = self.highs[instance] + (self.highs[instance - 1] if instance else 0)
-            parts = (100 - self.percent) * sizes // (100 + self.percent) + 1
+            below = self.bands[max(instance - 1, 0)]
+            sizes = self.highs[instance] + (below[1] if instance else 0)
+            parts, spare = parts_and_spare(below[0], sizes, self.percent)
             cuts = (np.arange(1, parts, dtype=np.float64) * (2.0**64 / parts)).astype(np.uint64)
             ends = np.concatenate([[0], np.searchsorted(items, cuts), [n]])
             tag = np.uint64((instance << 32) & (2**64 - 1)) + np.arange(parts, dtype=np.uint64)
-            out.append(mixed((sums[ends[1:]] - sums[ends[:-1]]) ^ mixed(tag + _odd(2))))
+            signed = mixed((sums[ends[1:]] - sums[ends[:-1]]) ^ mixed(tag + _odd(2)))
+            filled = ends[1:] > ends[:-1]
+            out.append(signed[filled] if parts - filled.sum() <= spare else signed)
         return np.concatenate(out).view(np.int64)
 
 
@@ -141,7 +165,27 @@ def _sets(n: int):
             for part in np.array_split(np.arange(len(batch)), max(1, len(batch) // 500)):
                 rows = batch.iloc[part]
                 sets = [ngram_set(t, n, hashes) for t in rows["text"]]
-                yield pd.DataFrame({"node": [class_key(s) for s in sets], "items": [s.tobytes() for s in sets]})
+                yield pd.DataFrame({"node": [class_key(s) for s in sets], "size": [len(s) for s in sets], "sketch": [sketch(s) for s in sets], "items": [s.tobytes() for s in sets]})
+
+    return run
+
+
+def sketch(items: np.ndarray) -> bytes:
+    """How many items fall into each of 256 equal ranges of hashes (255 at most)."""
+    return np.minimum(np.bincount((items >> np.uint64(56)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes()
+
+
+def _may_link(percent: int):
+    """Drops pairs that can't link: differences of the sketches add up to no more than the distance."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                x, y = (np.frombuffer(b"".join(batch[c]), np.uint8).reshape(-1, 256).astype(np.int16) for c in ("sketch_a", "sketch_b"))
+                m, n = batch["size_a"].to_numpy(), batch["size_b"].to_numpy()
+                apart = np.abs(x - y).sum(axis=1)
+                keep = (100 * np.minimum(m, n) >= percent * np.maximum(m, n)) & (apart * (100 + percent) <= (100 - percent) * (m + n))
+                yield batch.loc[keep, ["a", "b"]]
 
     return run
 
@@ -152,9 +196,6 @@ def _overlaps(percent: int):
             keep = []
             for x, y in zip(batch["items_a"], batch["items_b"]):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    keep.append(False)
-                    continue
                 at = np.searchsorted(y, x)
                 at[at == len(y)] = 0
                 both = int((y[at] == x).sum())
@@ -188,10 +229,15 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     wanted = known.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc").alias("doc")).select("doc").distinct()
     wanted = work.stored(wanted, "wanted")
     few = sifted(base, F.col("doc"), sieve(wanted, "doc")).where("__in").drop("__in").join(wanted, "doc", "left_semi")
-    sets = work.stored(few.mapInPandas(_sets(n), "node long, items binary").dropDuplicates(["node"]), "items")
+    # (an id with several texts may bring sets that nobody asked for)
+    sets = work.stored(few.mapInPandas(_sets(n), "node long, size long, sketch binary, items binary"), "items")
+    if sets.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").take(1):
+        sets = work.stored(sets.dropDuplicates(["node"]), "items")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        left, right = sets.toDF("a", "items_a"), sets.toDF("b", "items_b")
+        left, right = (sets.select(*[F.col(c).alias(d) for c, d in (("node", s), ("size", f"size_{s}"), ("sketch", f"sketch_{s}"))]) for s in "ab")
+        pairs = pairs.join(left, "a").join(right, "b").mapInPandas(_may_link(percent), "a long, b long")
+        left, right = (sets.select(F.col("node").alias(s), F.col("items").alias(f"items_{s}")) for s in "ab")
         return pairs.join(left, "a").join(right, "b").mapInPandas(_overlaps(percent), "a long, b long")
 
     group, links = linked_components(members, verify, work)
