@@ -153,7 +153,7 @@ def _features(n: int, percent: int):
                         if len(signed) >= WORDS_KEPT:
                             signed.clear()
                         signed.add(key)
-                yield pd.DataFrame({"doc": rows["doc"].array, "n_shingles": [len(s) for s in sets], "node": keys, "signatures": signatures})
+                yield pd.DataFrame({"doc": rows["doc"].array, "n_shingles": [len(s) for s in sets], "node": keys, "sketch": [sketch(x) for x in sets], "signatures": signatures})
 
     return run
 
@@ -165,7 +165,7 @@ def _sets(n: int):
             for part in np.array_split(np.arange(len(batch)), max(1, len(batch) // 500)):
                 rows = batch.iloc[part]
                 sets = [ngram_set(t, n, hashes) for t in rows["text"]]
-                yield pd.DataFrame({"node": [class_key(s) for s in sets], "size": [len(s) for s in sets], "sketch": [sketch(s) for s in sets], "items": [s.tobytes() for s in sets]})
+                yield pd.DataFrame({"node": [class_key(s) for s in sets], "items": [s.tobytes() for s in sets]})
 
     return run
 
@@ -220,25 +220,26 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     work = Workspace(spark, "ngrams")
     base = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    found = work.stored(base.mapInPandas(_features(n, percent), "doc long, n_shingles long, node long, signatures array<long>"), "sets")
+    found = work.stored(base.mapInPandas(_features(n, percent), "doc long, n_shingles long, node long, sketch binary, signatures array<long>"), "sets")
     known = found.where("doc is not null and n_shingles > 0").select("doc", "node")
     keyed = found.where("signatures is not null").select(F.explode("signatures").alias("key"), "node")
     members = work.stored(shared_buckets(keyed), "members")
     work.release()
-    # the sets of classes that share a signature, from one document of each
-    wanted = known.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc").alias("doc")).select("doc").distinct()
-    wanted = work.stored(wanted, "wanted")
-    few = sifted(base, F.col("doc"), sieve(wanted, "doc")).where("__in").drop("__in").join(wanted, "doc", "left_semi")
-    # (an id with several texts may bring sets that nobody asked for)
-    sets = work.stored(few.mapInPandas(_sets(n), "node long, size long, sketch binary, items binary"), "items")
-    if sets.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").take(1):
-        sets = work.stored(sets.dropDuplicates(["node"]), "items")
+    # of classes that share a signature: size, sketch and one document that has the set
+    nodes = members.select("node").distinct()
+    short = found.where("doc is not null").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc").alias("doc"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch"))
+    short = work.stored(short, "sketches")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        left, right = (sets.select(*[F.col(c).alias(d) for c, d in (("node", s), ("size", f"size_{s}"), ("sketch", f"sketch_{s}"))]) for s in "ab")
-        pairs = pairs.join(left, "a").join(right, "b").mapInPandas(_may_link(percent), "a long, b long")
+        left, right = (short.select(*[F.col(c).alias(d) for c, d in (("node", s), ("size", f"size_{s}"), ("sketch", f"sketch_{s}"))]) for s in "ab")
+        close = work.stored(pairs.join(left, "a").join(right, "b").mapInPandas(_may_link(percent), "a long, b long"), "close")
+        # whole sets only of what may link (an id with several texts brings sets that nobody asked for, too)
+        asked = close.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        docs_asked = work.stored(short.join(asked, "node", "left_semi").select("doc").distinct(), "asked")
+        few = sifted(base, F.col("doc"), sieve(docs_asked, "doc")).where("__in").drop("__in").join(docs_asked, "doc", "left_semi")
+        sets = work.stored(few.mapInPandas(_sets(n), "node long, items binary").join(asked, "node", "left_semi").dropDuplicates(["node"]), "items")
         left, right = (sets.select(F.col("node").alias(s), F.col("items").alias(f"items_{s}")) for s in "ab")
-        return pairs.join(left, "a").join(right, "b").mapInPandas(_overlaps(percent), "a long, b long")
+        return close.join(left, "a").join(right, "b").mapInPandas(_overlaps(percent), "a long, b long")
 
     group, links = linked_components(members, verify, work)
     # an id with several sets joins their classes; then classes to the smallest id of their group

@@ -22,7 +22,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and round trip of every document, as digests."""
-    return sentencepiece_codec.digests(_table(spark, sf_dir, "documents"), PIECE_MODEL)
+    out = sentencepiece_codec.round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text"), PIECE_MODEL)
+    return out.drop("text")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -92,53 +92,72 @@ def _slices(texts: list[str | None], chars: int) -> Iterator[list[str]]:
         yield part
 
 
+def _mapped(docs: DataFrame, column: str, replaced: list[str], run: Callable, types: list[str]) -> DataFrame:
+    """``docs`` with the columns ``replaced`` of the given types: what ``run()`` makes of
+    ``column``, a slice at a time. Other columns travel under names that can't clash."""
+    kept = [c for c in docs.columns if c.lower() not in {r.lower() for r in replaced}]
+    at, new = [f"__c{i}" for i in range(len(kept))], [f"__n{i}" for i in range(len(replaced))]
+    plain = docs.select(*[F.col(f"`{c}`").alias(a) for c, a in zip(kept, at)], F.col(f"`{column}`").alias("__value"))
+
+    def mapped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        step = run()
+        for batch in batches:
+            done = 0
+            for columns in step(list(batch["__value"])):
+                rows = batch[at].iloc[done : done + len(columns[0])]
+                done += len(rows)
+                yield rows.assign(**{n: pd.Series(c, index=rows.index, dtype=object) for n, c in zip(new, columns)})
+
+    made = plain.mapInPandas(mapped, ", ".join([*[f"{a} {docs.schema[c].dataType.simpleString()}" for a, c in zip(at, kept)], *[f"{n} {t}" for n, t in zip(new, types)]]))
+    return made.select(*[F.col(a).alias(c) for a, c in zip(at + new, kept + replaced)])
+
+
 def encode(docs: DataFrame, model: str, text_col: str = "text", ids_col: str = "ids", end: bool = True) -> DataFrame:
     """``docs`` with ``ids_col``, the array of ids of the whole text as the library's ``encode``
     gives them (``end``: and the end id). A null text counts as empty. Other columns pass
     through; one named ``ids_col`` is replaced. ``model`` is a path that every executor has."""
 
-    @F.pandas_udf("array<int>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run():
         table = WordTable(model)
         tail = [table.sp.eos_id()] if end else []
-        for batch in batches:
-            yield pd.Series([ids + tail for part in _slices(list(batch), 500_000) for ids, _ in table.ids(part)], dtype=object)
+        return lambda texts: ([[ids + tail for ids, _ in table.ids(part)]] for part in _slices(texts, 500_000))
 
-    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() != ids_col.lower()]
-    return docs.select(*kept, run(F.col(f"`{text_col}`").cast("string")).alias(ids_col))
+    return _mapped(docs, text_col, [ids_col], run, ["array<int>"])
 
 
 def decode(docs: DataFrame, model: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """``docs`` with ``text_col``, the library's ``decode`` of the ids (null ids: empty). Other
     columns pass through; one named ``text_col`` is replaced."""
 
-    @F.pandas_udf("string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run():
         sp = _processor(model)
-        for batch in batches:
-            yield pd.Series([sp.decode([int(i) for i in ids]) if ids is not None and len(ids) else "" for ids in batch], dtype=object)
+        text = lambda ids: sp.decode([int(i) for i in ids]) if ids is not None and len(ids) else ""
+        return lambda rows: ([[text(ids) for ids in rows[a : a + 200]]] for a in range(0, len(rows), 200))
 
-    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() != text_col.lower()]
-    return docs.select(*kept, run(F.col(f"`{ids_col}`")).alias(text_col))
+    return _mapped(docs, ids_col, [text_col], run, ["string"])
 
 
-def digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode and decode whole texts in one pass and return digests only: id, n_tokens,
-    ids_sha256 (decimal ids with one space between), decoded_sha256. Same cases as
-    :func:`encode`; a null id passes through. The ids never leave the task."""
+def round_trip(docs: DataFrame, model: str, text_col: str = "text", ids_col: str | None = None) -> DataFrame:
+    """Encode (with an end id) and decode whole texts in one pass: ``docs`` with ``ids_col`` if
+    named, n_tokens, ids_sha256 (decimal ids with one space between) and decoded_sha256. Same
+    cases as :func:`encode`. Unless asked for, the ids never leave the task."""
 
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run():
         table = WordTable(model)
         end = table.sp.eos_id()
-        for batch in batches:
-            out = []
-            for part in _slices(list(batch), 500_000):
+
+        def step(texts: list[str | None]) -> Iterator[list[list]]:
+            for part in _slices(texts, 500_000):
+                out: list[list] = [[], [], [], []]
                 for ids, text in table.ids(part):
                     decoded = table.sp.decode([*ids, end])
                     text = f"{text} {end}" if ids else str(end)
-                    out.append((len(ids) + 1, hashlib.sha256(text.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "replace")).hexdigest()))
-            yield pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+                    row = ([*ids, end] if ids_col else None, len(ids) + 1, hashlib.sha256(text.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "replace")).hexdigest())
+                    for column, value in zip(out, row):
+                        column.append(value)
+                yield out if ids_col else out[1:]
+
+        return step
 
-    met = docs.select(F.col(id_col), run(F.col(text_col).cast("string")).alias("__d"))
-    return met.select(id_col, "__d.*")
+    names, types = [ids_col, "n_tokens", "ids_sha256", "decoded_sha256"], ["array<int>", "long", "string", "string"]
+    return _mapped(docs, text_col, names if ids_col else names[1:], run, types if ids_col else types[1:])

@@ -215,15 +215,15 @@ def test_sentencepiece_equals_the_library(spark):
     assert sentencepiece_codec.words_are_separate(sp)
     docs = table(spark, texts)
     both = sentencepiece_codec.decode(sentencepiece_codec.encode(docs, Q.PIECE_MODEL), Q.PIECE_MODEL).collect()
-    digests = {r["doc_id"]: r for r in sentencepiece_codec.digests(docs, Q.PIECE_MODEL).collect()}
+    digests = {r["doc_id"]: r for r in sentencepiece_codec.round_trip(docs, Q.PIECE_MODEL, ids_col="N_shingles").collect()}
     for r in both:
         ids = sp.encode(texts[r["doc_id"]] or "", add_eos=True)
         assert r["ids"] == ids and r["decoded"] == sp.decode(ids)
         d = digests[r["doc_id"]]
-        assert d["n_tokens"] == len(ids)
+        assert d["n_tokens"] == len(ids) and d["N_shingles"] == ids and d["fingerprint"] == "x"
         assert d["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert d["decoded_sha256"] == hashlib.sha256(sp.decode(ids).encode()).hexdigest()
-    assert sentencepiece_codec.digests(docs.limit(0), Q.PIECE_MODEL).count() == 0
+    assert sentencepiece_codec.round_trip(docs.limit(0), Q.PIECE_MODEL).count() == 0
 
 
 def test_sentencepiece_table_is_emptied_when_full(monkeypatch):
