@@ -20,6 +20,7 @@ from pyspark.sql import SparkSession
 
 from bootframe.plans.jobs import run_boot_job, run_cohens_d_job
 from bootframe.session import ensure_checkpoint_dir
+from bootframe.sources.paths import expand
 from bootframe.sources.sinks import merge_results
 
 # The survey job's twelve category sets, as given (single keys, then pairs).
@@ -61,7 +62,8 @@ def parser() -> argparse.ArgumentParser:
     b.add_argument("--method", default="exact", choices=["exact", "multinomial", "poisson"])
     b.add_argument("--seed", type=int, default=42)
     b.add_argument("--collapse", action="store_true", help="bootstrap value cells (discrete scores)")
-    b.add_argument("--infer-rows", type=int, default=None, help="infer CSV types from the first N rows only")
+    b.add_argument("--independent", action="store_true", help="each category set draws its own replicates")
+    b.add_argument("--ci", type=float, default=0.95, help="level of the intervals")
     b.add_argument("--tasks", type=int, default=1, help="split the sets into this many slices")
     b.add_argument("--task", type=int, default=1, help="1-based rank of the slice to run")
 
@@ -74,6 +76,9 @@ def parser() -> argparse.ArgumentParser:
     d.add_argument("--seed", type=int, default=42)
     d.add_argument("--method", default="exact", choices=["exact", "multinomial", "poisson"])
     d.add_argument("--collapse", action="store_true", help="bootstrap value cells (discrete scores)")
+    d.add_argument("--levels", nargs=2, help="the two levels compared, in this order (default: the first two sorted)")
+    d.add_argument("--na", default="propagate", choices=["propagate", "omit"], help="what a missing value does")
+    d.add_argument("--ci", type=float, default=0.95, help="level of the intervals")
     d.add_argument("--output-dir", default="output")
     d.add_argument("--merged-name", default="combined.csv")
 
@@ -89,26 +94,27 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     ensure_checkpoint_dir(spark)
     start = time.time()
     if args.command == "boot":
-        if not args.input or not os.path.exists(args.input):
+        if not args.input or not expand(spark, args.input):
             raise ValueError("--input (or BOOT_INPUT_PATH) must name an existing CSV or Parquet file")
         cats = REFERENCE_SETS if args.reference_sets else _sets(args.categories)
         files = run_boot_job(
             spark, args.input, args.output_dir, cats, key=args.key, scales=args.scales, n_iter=args.n_iter,
             seed=args.seed, method=args.method, tasks=args.tasks, task=args.task, collapse=args.collapse,
-            infer_rows=args.infer_rows,
+            shared=not args.independent, ci=args.ci,
         )
         for f in files:
-            print(f'Wrote "{f}"')
+            print(f"category set result: {f}")
     elif args.command == "cohens-d":
         result = run_cohens_d_job(
             spark, args.input, args.output_dir, args.scales, group=args.group, key=args.key, n_iter=args.n_iter,
             seed=args.seed, merged_name=args.merged_name, method=args.method, collapse=args.collapse,
+            levels=args.levels, na=args.na, conf=args.ci,
         )
         result.show(truncate=False)
     else:
         merge_results(spark, args.inputs, args.output)
-        print(f'Wrote result to "{args.output}"')
-    print(f"Done in {time.time() - start:.1f}s", file=sys.stderr)
+        print(f"merged {len(args.inputs)} inputs into {args.output}")
+    print(f"elapsed seconds: {time.time() - start:.1f}", file=sys.stderr)
     return 0
 
 

@@ -31,13 +31,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bootframe.session import parallelism
+from bootframe.session import cut_lineage, parallelism
 from bootframe.functions.draws import draw_index, hash_bits, poisson1_thresholds, poisson_weight, uniform
 
 METHODS = ("exact", "multinomial", "poisson")
 
 #: rows per index bucket: one bucket is numbered by a single window task
-ROWS_PER_BUCKET = 1 << 22
+ROWS_PER_BUCKET = 1 << 18
 #: draws generated per task of the exact draw range
 DRAWS_PER_TASK = 1 << 23
 #: draws per partition of the weight table when it is shuffled on the row index
@@ -86,13 +86,13 @@ def row_index(
     rows_per_bucket: int = ROWS_PER_BUCKET,
     hash: str = "xxhash64",
 ) -> Indexed:
-    """Number the rows densely 0..n-1 in the order (bucket, key).
+    """Number the rows densely 0..n-1 by key: ``row_number() OVER (ORDER BY key) - 1``,
+    whatever the size.
 
-    ``bucket = hash(key) mod P`` with ``P = ceil(n / rows_per_bucket)``. Row
-    counts per bucket (P rows) give each bucket its offset; within a bucket,
-    ``row_number()`` by key. Each bucket is one window task of about
-    ``rows_per_bucket`` rows; the key must be unique, so no bucket is skewed.
-    With ``P = 1`` this is ``row_number() OVER (ORDER BY key) - 1``.
+    More than ``rows_per_bucket`` rows are dealt into ranges of the key, kept as a table
+    in the shared checkpoint folder (so the ranges can't change under a retry); the
+    row counts of the ranges give each its offset, and within a range ``row_number()``
+    by key. The numbers don't depend on where ranges are cut.
 
     Never ``monotonically_increasing_id``: it changes with the partitioning.
     """
@@ -108,8 +108,7 @@ def row_index(
         # At most rows_per_bucket rows: one window task numbers them all.
         ranked = df.withColumn(index_col, (F.row_number().over(Window.orderBy(*order)) - F.lit(1)).cast("bigint"))
         return Indexed(ranked, n, bound, index_col)
-    bucket = F.pmod(hash_bits(0, [F.col(k) for k in keys], hash), F.lit(p))
-    with_b = df.withColumn("_bucket", bucket)
+    with_b = cut_lineage(df.repartitionByRange(p, *order).withColumn("_bucket", F.spark_partition_id()))
     offsets = (
         with_b.groupBy("_bucket")
         .agg(F.count(F.lit(1)).alias("_cnt"))
@@ -121,7 +120,7 @@ def row_index(
             ).alias("_offset"),
         )
     )
-    # offsets has exactly P rows (P = ceil(n / rows_per_bucket)): a proven small side.
+    # offsets has at most P rows (P = ceil(n / rows_per_bucket)): a proven small side.
     ranked = with_b.join(F.broadcast(offsets), "_bucket").withColumn(
         index_col,
         (F.col("_offset") + F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)) - F.lit(1)).cast(
@@ -139,17 +138,14 @@ def _input_partitions(df: DataFrame, default: int) -> int:
         return default
 
 
-def check_unique_key(df: DataFrame, keys: Sequence[str], tolerance: float = 0.9) -> None:
-    """Refuse a clearly repeated key (Poisson weights hash the key: repeats would share weights).
+def check_unique_key(df: DataFrame, keys: Sequence[str]) -> None:
+    """Refuse a repeated key (Poisson weights hash the key: repeats would share weights).
 
-    One scan of the key columns with a HyperLogLog sketch (no shuffle); raises when
-    the estimated distinct count is below ``tolerance`` · rows.
+    Exact: one grouping by the key columns alone (combined before its shuffle).
     """
-    row = df.agg(
-        F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.struct(*[F.col(k) for k in keys]), 0.01).alias("d")
-    ).first()
-    if row["n"] and row["d"] < tolerance * row["n"]:
-        raise ValueError(f"key {list(keys)} is not unique (~{row['d']} distinct of {row['n']} rows)")
+    again = df.groupBy(*[F.col(k) for k in keys]).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").take(1)
+    if again:
+        raise ValueError(f"key {list(keys)} is not unique: {again[0]['_n']} rows have {list(again[0])[:-1]}")
 
 
 def exact_draws(
@@ -191,6 +187,7 @@ def resample(
     hash: str = "xxhash64",
     broadcast_limit: int | None = None,
     indexed: Indexed | None = None,
+    assume_unique: bool = False,
 ) -> DataFrame:
     """Weighted replicate rows: ``df``'s columns plus ``r`` (replicate) and ``w`` (frequency > 0).
 
@@ -200,7 +197,8 @@ def resample(
     exact, larger table: draws counted into ``(r, i, w)`` and joined on ``i``;
     both sides hash-partitioned on ``i`` once.
     multinomial: bucket-local exact-n draws, no shuffle of draws.
-    poisson: ``explode`` the replicate numbers and weight each row in place.
+    poisson: ``explode`` the replicate numbers and weight each row in place. The key is
+    checked to be unique first; ``assume_unique=True`` skips that.
     """
     if n_iter < 1:
         raise ValueError("n_iter must be at least 1")
@@ -209,7 +207,8 @@ def resample(
     spark = df.sparkSession
     keys = key_columns(key)
     if method == "poisson":
-        check_unique_key(df, keys)
+        if not assume_unique:
+            check_unique_key(df, keys)
         # Each input row becomes n_iter weighted rows inside its task. A small input
         # (fewer splits than cores) is spread first; a large one already is.
         cores = parallelism(spark)

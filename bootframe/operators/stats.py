@@ -152,6 +152,27 @@ def grouping_id_of(cols: Sequence[str], members: Sequence[str]) -> int:
     return gid
 
 
+def requested_names(sets: Sequence[Sequence[str]]) -> tuple[list[list[str]], dict[str, list[str]]]:
+    """The sets once each, whatever the order of their members, and the names each was asked for by."""
+    uniq: dict[frozenset, list[str]] = {}
+    names: dict[str, list[str]] = {}
+    for s in sets:
+        kept = uniq.setdefault(frozenset(s), list(dict.fromkeys(s)))
+        asked = names.setdefault(set_name(kept), [])
+        if set_name(s) not in asked:
+            asked.append(set_name(s))
+    return list(uniq.values()), names
+
+
+def spread_names(df: DataFrame, set_col: str, names: dict[str, list[str]]) -> DataFrame:
+    """A row for each name that its set was asked for by."""
+    if all(asked == [name] for name, asked in names.items()):
+        return df
+    of = F.create_map(*[x for name, asked in names.items() for x in (F.lit(name), F.array(*[F.lit(a) for a in asked]))])
+    cols = df.columns
+    return df.select(*[F.explode(of[F.col(set_col)]).alias(c) if c == set_col else F.col(c) for c in cols])
+
+
 def grouping_sets_wide(
     df: DataFrame,
     sets: Sequence[Sequence[str]],
@@ -169,10 +190,7 @@ def grouping_sets_wide(
     does not group by is NULL in that set's rows; ``set_col`` tells such a
     rolled-up NULL from a NULL key value. Returns the frame and the key columns.
     """
-    uniq: list[list[str]] = []
-    for s in sets:
-        if list(s) not in uniq:
-            uniq.append(list(s))
+    uniq, names = requested_names(sets)
     cols: list[str] = []
     for s in uniq:
         for c in s:
@@ -193,7 +211,7 @@ def grouping_sets_wide(
     for s in uniq:
         cond = F.col("_gid") == F.lit(grouping_id_of(all_cols, [*s, *extra_by]))
         name = F.when(cond, F.lit(set_name(s))) if name is None else name.when(cond, F.lit(set_name(s)))
-    wide = wide.withColumn(set_col, name).drop("_gid")
+    wide = spread_names(wide.withColumn(set_col, name).drop("_gid"), set_col, names)
     return wide, cols
 
 

@@ -36,6 +36,8 @@ from bootframe.operators.stats import (
     cohens_d_parts_long,
     expand_frequencies,
     grouping_sets_wide,
+    requested_names,
+    spread_names,
     stat_expr,
     unpivot_stats,
     wide_stats,
@@ -55,15 +57,51 @@ def resolve_scales(df: DataFrame, scales: str | Sequence[str] | None) -> list[st
     return numeric_columns(df, names)
 
 
-#: columns the plans create; grouping and key columns must not use these names
-RESERVED = ("r", "w", "i", "scale", "stat", "value", "set", "median", "d", "t")
-
-
-def _narrow(df: DataFrame, keys: Sequence[str], cols: Sequence[str], scales: Sequence[str]) -> DataFrame:
+#: columns the plans create inside; columns of these names are renamed on the way in and back on the way out
+INTERNAL = ("r", "w", "i", "scale", "stat", "value", "set", "median", "d", "t")
+#: columns of the results; a grouping column can't have one of these names beside them
+RESULT_COLUMNS = ("scale", "stat", "median", "ci95_ll", "ci95_ul")
+
+
+class _Renamed:
+    """``df`` with columns renamed that a plan uses itself."""
+
+    def __init__(self, df: DataFrame, used: Sequence[str], grouping: Sequence[str], results: Sequence[str]) -> None:
+        taken = [c for c in grouping if c in results]
+        if taken:
+            raise ValueError(f"rename grouping columns {taken}: the result has columns of these names")
+        self.names = {c: f"x__{c}" for c in dict.fromkeys(used) if c in INTERNAL or c.startswith("_")}
+        while any(n in df.columns for n in self.names.values()):
+            self.names = {c: f"x__{n}" for c, n in self.names.items()}
+        self.df = df.withColumnsRenamed(self.names)
+
+    def of(self, names):
+        if isinstance(names, str):
+            return self.names.get(names, names)
+        return [self.of(n) for n in names]
+
+    def back(self, out: DataFrame, set_col: str | None = None, sets: Sequence[Sequence[str]] = ()) -> DataFrame:
+        """Column names, names of scales and of sets as they were given."""
+        as_given = {n: c for c, n in self.names.items()}
+        scale = F.col("scale")
+        for n, c in as_given.items():
+            scale = F.when(F.col("scale") == F.lit(n), F.lit(c)).otherwise(scale)
+        cols = {"scale": scale.alias("scale")} if "scale" in out.columns else {}
+        if set_col:
+            name = F.col(set_col)
+            for s in sets:
+                name = F.when(F.col(set_col) == F.lit(",".join(self.of(s))), F.lit(",".join(s))).otherwise(name)
+            cols[set_col] = name.alias(set_col)
+        return out.select(*[cols.get(c, F.col(c).alias(as_given.get(c, c))) for c in out.columns])
+
+
+def _narrow(
+    df: DataFrame, keys: Sequence[str], cols: Sequence[str], scales: Sequence[str], reserved: Sequence[str] = INTERNAL
+) -> DataFrame:
     """Only the columns the plan needs; measures cast to DOUBLE (pruned at the scan)."""
-    clash = [c for c in [*keys, *cols] if c in RESERVED or c.startswith("_")]
+    clash = [c for c in [*keys, *cols, *scales] if c in reserved or c.startswith("_")]
     if clash:
-        raise ValueError(f"rename grouping/key columns {clash}: the plan uses these names itself")
+        raise ValueError(f"rename columns {clash}: the plan uses these names itself")
     missing = [c for c in [*keys, *cols, *scales] if c not in df.columns]
     if missing:
         raise ValueError(f"columns not found: {missing}")
@@ -188,6 +226,12 @@ def boot_stats(
     """
     by = as_set(by) if by else []
     measures = resolve_scales(df, scales)
+    to = _Renamed(df, [*key_columns(key), *by, *measures], by, RESULT_COLUMNS)
+    if to.names:
+        return to.back(boot_stats(
+            to.df, to.of(by), to.of(key), to.of(measures), n_iter, seed, method, hash, ci, interpolation, stats,
+            broadcast_limit, median_accuracy, collapse,
+        ))
     if collapse:
         out = _boot_cells(df, [by], measures, n_iter, seed, method, ci, interpolation, stats, "_set")
         return out.drop("_set")
@@ -231,10 +275,19 @@ def boot_stats_sets(
     ``collapse=True``: bootstrap (set group, scale, value) cells (discrete measures), each
     set with its own replicates (as ``shared=False``), see :mod:`bootframe.operators.cells`.
     """
-    norm = [as_set(s) for s in sets]
+    asked = [as_set(s) for s in sets]
     measures = resolve_scales(df, scales)
+    grouping = [c for s in asked for c in s]
+    to = _Renamed(df, [*key_columns(key), *grouping, *measures], grouping, [*RESULT_COLUMNS, set_col])
+    if to.names:
+        out = boot_stats_sets(
+            to.df, [to.of(s) for s in asked], to.of(key), to.of(measures), n_iter, seed, method, hash, ci,
+            interpolation, stats, shared, broadcast_limit, set_col, median_accuracy, collapse,
+        )
+        return to.back(out, set_col, asked)
+    norm, names = requested_names(asked)
     if collapse:
-        return _boot_cells(df, norm, measures, n_iter, seed, method, ci, interpolation, stats, set_col)
+        return spread_names(_boot_cells(df, norm, measures, n_iter, seed, method, ci, interpolation, stats, set_col), set_col, names)
     all_cols: list[str] = []
     for s in norm:
         for c in s:
@@ -247,7 +300,7 @@ def boot_stats_sets(
         )
         rows = _for_median(rows, stats, median_accuracy)
         wide, cols = grouping_sets_wide(
-            rows, norm, measures, stats, "w", extra_by=["r"], set_col=set_col, median_accuracy=median_accuracy,
+            rows, asked, measures, stats, "w", extra_by=["r"], set_col=set_col, median_accuracy=median_accuracy,
             median_sort=sort_median,
         )
         reps = unpivot_stats(wide, [set_col, *cols, "r"], measures, stats)
@@ -269,6 +322,7 @@ def boot_stats_sets(
     result = parts[0]
     for p in parts[1:]:
         result = result.unionByName(p)
+    result = spread_names(result, set_col, names)
     return result.select(set_col, *all_cols, *[c for c in result.columns if c not in (set_col, *all_cols)])
 
 
@@ -322,6 +376,12 @@ def boot_cohens_d(
     (see :mod:`bootframe.operators.cells`).
     """
     measures = resolve_scales(df, scales)
+    to = _Renamed(df, [*key_columns(key), group, *measures], [], ())
+    if to.names:
+        return to.back(boot_cohens_d(
+            to.df, to.of(measures), to.of(group), to.of(key), n_iter, seed, conf, levels, na, method, hash,
+            broadcast_limit, collapse,
+        ))
     narrow = _narrow(df, key_columns(key), [group], measures)
     lv, centre = _levels_and_centres(narrow, group, measures, levels)
     t0 = cohens_d(narrow, measures, group, lv, na)
@@ -367,7 +427,7 @@ def boot_custom(
     """
     stats = statistic if isinstance(statistic, dict) else {"statistic": statistic}
     keep = list(columns) if columns is not None else [c for c in df.columns]
-    narrow = _narrow(df, key_columns(key), [*by, *keep], [])
+    narrow = _narrow(df, key_columns(key), [*by, *keep], [], ("r", "w", "i"))
     rows = resample(narrow, key, n_iter, seed, method, hash, broadcast_limit)
     w = F.col("w")
     wide = rows.groupBy(*by, "r").agg(*[fn(w).cast("double").alias(f"stat__{name}") for name, fn in stats.items()])
@@ -403,7 +463,7 @@ def boot_custom_pandas(
     size; the combine step sees one state row per chunk.
     """
     keys = key_columns(key)
-    narrow = _narrow(df, keys, [*by, *columns], [])
+    narrow = _narrow(df, keys, [*by, *columns], [], ("r", "w", "i"))
     chunks = max(1, -(-narrow.count() // int(rows_per_chunk)))
     rows = resample(narrow, key, n_iter, seed, method, hash, broadcast_limit)
     chunk = F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(int(chunks)))

@@ -7,7 +7,6 @@ materialised once in the shared checkpoint folder, then written file by file.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Sequence
 
 from pyspark.sql import SparkSession
@@ -16,6 +15,7 @@ from bootframe.operators.columns import as_sets, string_columns
 from bootframe.operators.slicing import pick_slice
 from bootframe.plans.bootstrap import DEFAULT_SCALES, boot_cohens_d, boot_stats_sets, resolve_scales
 from bootframe.session import cut_lineage
+from bootframe.sources.paths import join
 from bootframe.sources.sinks import merge_results, write_by_scale, write_sets
 from bootframe.sources.tables import read_table
 
@@ -35,7 +35,7 @@ def run_boot_job(
     task: int = 1,
     schema=None,
     collapse: bool = False,
-    infer_rows: int | None = None,
+    ci: float = 0.95,
 ) -> list[str]:
     """Grouped percentile bootstrap for many category sets; one ``boot_<set>.csv`` per set.
 
@@ -45,7 +45,7 @@ def run_boot_job(
     """
     if n_iter < 1:
         raise ValueError("n_iter must be at least 1")
-    df = read_table(spark, path, schema=schema, infer_rows=infer_rows)
+    df = read_table(spark, path, schema=schema)
     if key not in df.columns:
         raise ValueError(f"key column {key!r} not found")
     if categories:
@@ -58,10 +58,9 @@ def run_boot_job(
             return []
     measures = resolve_scales(df, scales)
     result = boot_stats_sets(
-        df, sets, key, measures, n_iter=n_iter, seed=seed, method=method, shared=shared, collapse=collapse
+        df, sets, key, measures, n_iter=n_iter, seed=seed, method=method, shared=shared, collapse=collapse, ci=ci
     )
     result = cut_lineage(result)
-    os.makedirs(output_dir, exist_ok=True)
     return write_sets(result, output_dir, sets)
 
 
@@ -78,15 +77,19 @@ def run_cohens_d_job(
     schema=None,
     method: str = "exact",
     collapse: bool = False,
+    levels: Sequence | None = None,
+    na: str = "propagate",
+    conf: float = 0.95,
 ):
     """Cohen's d with basic intervals for every scale: ``<scale>_by_<group>.csv`` each, plus a merged file."""
     if n_iter < 1:
         raise ValueError("n_iter must be at least 1")
     df = read_table(spark, path, schema=schema)
     result = cut_lineage(
-        boot_cohens_d(df, list(scales), group, key, n_iter=n_iter, seed=seed, method=method, collapse=collapse)
+        boot_cohens_d(df, list(scales), group, key, n_iter=n_iter, seed=seed, method=method, collapse=collapse,
+                      levels=levels, na=na, conf=conf)
     )
     files = write_by_scale(result, output_dir, group, list(scales))
     if merged_name:
-        merge_results(spark, files, os.path.join(output_dir, merged_name))
+        merge_results(spark, files, join(output_dir, merged_name))
     return result

@@ -9,13 +9,13 @@ once (``cut_lineage``) before writing several files from it, so the count is che
 
 from __future__ import annotations
 
-import os
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bootframe.operators.columns import as_set, set_name
+from bootframe.sources.paths import expand, join, qualified
 
 # The result files' column names, as the jobs write them. Inside Spark
 # plans the dotted names would read as struct fields, so plans use the underscore form.
@@ -53,7 +53,7 @@ def write_sets(
         part = result.where(F.col(set_col) == F.lit(set_name(cols))).select(
             *cols, *[F.col(c).alias(rename.get(c, c)) for c in stat_cols]
         )
-        written.append(_write_csv(part, os.path.join(out_dir, set_file_name(cols))))
+        written.append(_write_csv(part, join(out_dir, set_file_name(cols))))
     return written
 
 
@@ -77,20 +77,42 @@ def write_by_scale(
     written = []
     for s in scales:
         part = result.where(F.col("scale") == F.lit(s)).select(*[F.col(c).alias(rename.get(c, c)) for c in result.columns])
-        written.append(_write_csv(part, os.path.join(out_dir, f"{s}_by_{group}.csv")))
+        written.append(_write_csv(part, join(out_dir, f"{s}_by_{group}.csv")))
     return written
 
 
+def bind_by_name(spark: SparkSession, inputs: Sequence[str]) -> DataFrame:
+    """Rows of CSV files with headers under one another, columns matched by name.
+
+    The files may hold their columns in different order but must have the same ones.
+    """
+    orders: dict[tuple[str, ...], list[str]] = {}
+    for p in inputs:
+        orders.setdefault(tuple(spark.read.option("header", True).csv(p).columns), []).append(p)
+    first = next(iter(orders))
+    for names, files in orders.items():
+        if set(names) != set(first) or len(names) != len(first):
+            raise ValueError(f"columns differ: {list(first)} in {orders[first][0]}, {list(names)} in {files[0]}")
+    out = None
+    for files in orders.values():
+        part = spark.read.option("header", True).option("inferSchema", True).csv(files)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def merge_results(spark: SparkSession, inputs: Sequence[str], output: str) -> DataFrame:
-    """Row-bind result CSVs (same header) into one new CSV; inputs are left in place.
+    """Row-bind result CSVs (same columns, matched by name) into one new CSV; inputs are left in place.
 
-    The output path must not be one of the inputs (a re-run would read its own
-    earlier output).
+    Inputs are paths or patterns. The output must not be among the files they name (a
+    re-run would read its own earlier output, and empty it first): this is refused
+    before anything is written.
     """
-    if not inputs:
+    files = expand(spark, list(inputs))
+    if not files:
         raise ValueError("nothing to merge")
-    if any(os.path.abspath(p) == os.path.abspath(output) for p in inputs):
-        raise ValueError("output path is also an input")
-    merged = spark.read.option("header", True).option("inferSchema", True).csv(list(inputs))
-    _write_csv(merged, output)
+    target = qualified(spark, output)
+    inside = [f for f in files if f == target or f.startswith(target + "/") or target.startswith(f + "/")]
+    if inside:
+        raise ValueError(f"output path {target} is also an input: {inside[0]}")
+    _write_csv(bind_by_name(spark, files), output)
     return spark.read.option("header", True).option("inferSchema", True).csv(output)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,31 +9,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bootframe.session import parallelism
+from bootframe.sources.paths import children, expand
 
 #: the reference's missing-value tokens
 NULL_TOKENS = ("NA", "")
 
 
-def _is_parquet(path: str) -> bool:
-    return path.endswith(".parquet") or (os.path.isdir(path) and any(f.endswith(".parquet") for f in os.listdir(path)))
+def _is_parquet(spark: SparkSession, path: str) -> bool:
+    return path.endswith(".parquet") or any(f.endswith(".parquet") for f in children(spark, path))
 
 
-def _has_rdd(spark: SparkSession) -> bool:
-    """Classic sessions can parse CSV lines from an RDD; remote ones infer from the whole file."""
-    try:
-        spark.sparkContext  # noqa: B018
-        return True
-    except Exception:  # noqa: BLE001
-        return False
-
-
-def _retype(
-    text: DataFrame, tokens: Sequence[str], inferred: dict, parse_dates: bool, sample: DataFrame | None = None
-) -> DataFrame:
+def _retype(text: DataFrame, tokens: Sequence[str], inferred: dict, parse_dates: bool) -> DataFrame:
     """Null ``tokens`` in all-text columns, then give each column the narrowest of long / double / text.
 
     Columns inference already typed (no token could appear in them) keep that type. The
-    type checks run over ``sample`` when given (the leading rows), else over all rows.
+    type checks run over all rows.
     """
 
     def null_tokens(frame: DataFrame) -> DataFrame:
@@ -49,7 +38,7 @@ def _retype(
             F.count(F.expr(f"try_cast(`{c}` AS BIGINT)")).alias(f"l{j}"),
             F.count(F.expr(f"try_cast(`{c}` AS DOUBLE)")).alias(f"d{j}"),
         ]
-    row = (null_tokens(sample) if sample is not None else nulled).agg(*checks).first() if checks else None
+    row = nulled.agg(*checks).first() if checks else None
     out = []
     for c in text.columns:
         t = inferred[c]
@@ -71,7 +60,6 @@ def read_table(
     fmt: str | None = None,
     repartition_gzip: bool = True,
     parse_dates: bool = False,
-    infer_rows: int | None = None,
 ) -> DataFrame:
     """Read one table from CSV (header row) or Parquet; several paths or a glob give one table.
 
@@ -82,22 +70,34 @@ def read_table(
     splittable, so the rows are spread over the cluster after the read.
     ``parse_dates=False`` keeps date- and time-like text as strings when inferring
     (so such columns stay grouping categories, as text columns are).
-    ``infer_rows=N`` infers types from the first N data lines of the first file only
-    (no full pass over a large input); the full read then fails fast on a value that
-    does not fit the inferred type.
+    Several CSV files must have the same columns in the same order when a ``schema`` is
+    given; without one their columns are matched by name.
     """
     paths = [path] if isinstance(path, str) else list(path)
     if not paths:
         raise ValueError("no input path given")
     for p in paths:
-        if "*" not in p and not os.path.exists(p) and "://" not in p:
+        if not expand(spark, p):
             raise ValueError(f"input path does not exist: {p}")
-    fmt = fmt or ("parquet" if all(_is_parquet(p) for p in paths) else "csv")
+    fmt = fmt or ("parquet" if all(_is_parquet(spark, p) for p in paths) else "csv")
     if fmt == "parquet":
         reader = spark.read.schema(schema) if schema is not None else spark.read
         return reader.parquet(*paths)
     if fmt != "csv":
         raise ValueError(f"unsupported format {fmt!r}")
+    if schema is None:
+        orders: dict[tuple[str, ...], list[str]] = {}
+        for p in expand(spark, paths):
+            orders.setdefault(tuple(spark.read.option("header", True).csv(p).columns), []).append(p)
+        if len(orders) > 1:
+            first = set(next(iter(orders)))
+            if any(set(names) != first for names in orders):
+                raise ValueError(f"files have different columns: {[list(names) for names in orders]}")
+            parts = [read_table(spark, files, None, null_values, fmt, repartition_gzip, parse_dates) for files in orders.values()]
+            out = parts[0]
+            for part in parts[1:]:
+                out = out.unionByName(part)
+            return out
     tokens = list(null_values)
     primary = "NA" if "NA" in tokens else (tokens[0] if tokens else None)
     reader = spark.read.option("header", True).option("mode", "FAILFAST")
@@ -106,12 +106,7 @@ def read_table(
     if "" in tokens and primary is not None:
         reader = reader.option("emptyValue", primary)
     if schema is not None:
-        df = reader.schema(schema).csv(paths)
-    elif infer_rows and _has_rdd(spark):
-        head = spark.read.text(paths[0]).limit(int(infer_rows) + 1)  # header line + N rows
-        head_lines = head.rdd.map(lambda row: row.value)
-        sampled = reader.option("inferSchema", True).csv(head_lines)
-        df = reader.schema(sampled.schema).csv(paths)
+        df = reader.schema(schema).option("enforceSchema", False).csv(paths)
     else:
         df = reader.option("inferSchema", True).csv(paths)
     if schema is None:
@@ -133,9 +128,8 @@ def read_table(
             # Tokens beyond the reader's one null marker made their columns text during
             # inference: read as text, null the tokens, then type each column (one pass).
             as_text = T.StructType([T.StructField(f.name, T.StringType(), True) for f in df.schema.fields])
-            sample = reader.schema(as_text).csv(head_lines) if infer_rows and _has_rdd(spark) else None
             df = _retype(reader.schema(as_text).csv(paths), extra, {f.name: f.dataType for f in df.schema.fields},
-                         parse_dates, sample)
+                         parse_dates)
         else:
             df = df.select(
                 *[

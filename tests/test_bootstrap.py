@@ -192,12 +192,10 @@ def test_approximate_median_close_to_exact(spark, survey):
             assert approx[k]["median"] == pytest.approx(row["median"], abs=0.051)
 
 
-def test_reserved_grouping_names_are_refused(spark):
-    df = spark.createDataFrame([(1, "a", 1.0), (2, "b", 2.0)], "k long, r string, x double")
+def test_grouping_names_of_result_columns_are_refused(spark):
+    df = spark.createDataFrame([(1, "a", 1.0), (2, "b", 2.0)], "k long, scale string, x double")
     with pytest.raises(ValueError):
-        boot_stats(df, "r", "k", ["x"], n_iter=2)
-    with pytest.raises(ValueError):
-        boot_stats(df, "nope", "k", ["x"], n_iter=2)
+        boot_stats(df, ["scale"], "k", ["x"], n_iter=2)
 
 
 def test_boot_cohens_d_omit_matches_brute_force(spark):
@@ -253,3 +251,39 @@ def test_independent_sets_poisson_use_own_seed(spark, survey):
     ind = boot_stats_sets(survey, [["gender"], ["smoke"]], "RID", SCALES, n_iter=6, method="poisson", shared=False)
     single = _rows(boot_stats(survey, ["smoke"], "RID", SCALES, n_iter=6, seed=43, method="poisson"), ["smoke"])
     _close(_rows(ind.where(F.col("set") == "smoke"), ["smoke"]), single)
+
+
+@pytest.mark.parametrize("name", ["w", "r", "i", "value", "d", "t", "_x", "stat", "set", "median"])
+@pytest.mark.parametrize("method", ["exact", "poisson"])
+def test_measures_may_have_names_that_plans_use(spark, name, method):
+    plain = spark.range(0, 100).select(F.col("id").alias("k"), (F.col("id") * 10).alias("m"))
+    want = boot_stats(plain, [], "k", ["m"], n_iter=20, method=method).collect()
+    got = boot_stats(plain.withColumnRenamed("m", name), [], "k", [name], n_iter=20, method=method).collect()
+    assert {r["scale"] for r in got} == {name}
+    values = lambda rows: sorted((r["stat"], r["median"], r["ci95_ll"], r["ci95_ul"]) for r in rows)
+    assert values(got) == values(want) and 400 < values(got)[0][1] < 600
+
+
+def test_groups_and_keys_may_have_names_that_plans_use(spark):
+    plain = spark.range(0, 200).select(F.col("id").alias("k"), (F.col("id") % 2).cast("string").alias("g"), F.col("id").alias("m"))
+    renamed = plain.toDF("i", "w", "r")
+    want = boot_stats_sets(plain, [["g"], []], "k", ["m"], n_iter=10).collect()
+    got = boot_stats_sets(renamed, [["w"], []], "i", ["r"], n_iter=10).collect()
+    assert sorted(str((r["set"].replace("w", "g"), r["w"], r["stat"], r["median"])) for r in got) == sorted(
+        str((r["set"], r["g"], r["stat"], r["median"])) for r in want
+    )
+    d = boot_cohens_d(renamed, ["r"], "w", "i", n_iter=10).first()
+    assert d["scale"] == "r" and d["d"] == boot_cohens_d(plain, ["m"], "g", "k", n_iter=10).first()["d"]
+    with pytest.raises(ValueError):
+        boot_stats(plain.withColumnRenamed("g", "stat"), ["stat"], "k", ["m"], n_iter=2)
+
+
+@pytest.mark.parametrize("shared", [True, False])
+def test_sets_with_the_same_members_all_come_out(spark, shared):
+    df = spark.range(0, 60).select(F.col("id").alias("k"), (F.col("id") % 2).alias("a"), (F.col("id") % 3).alias("b"), F.col("id").alias("m"))
+    out = boot_stats_sets(df, [["a", "b"], ["b", "a"], ["a"], ["a"]], "k", ["m"], n_iter=10, shared=shared, stats=["mean"])
+    rows = {}
+    for r in out.collect():
+        rows.setdefault(r["set"], []).append((r["a"], r["b"], r["median"]))
+    assert {s: len(v) for s, v in rows.items()} == {"a,b": 6, "b,a": 6, "a": 2}
+    assert sorted(rows["a,b"]) == sorted(rows["b,a"])

@@ -98,9 +98,12 @@ def test_command_line_boot_and_merge(spark, csv_paths, tmp_path):
                  "--categories", "gender", "gender,smoke"], spark=spark) == 0
     assert sorted(os.listdir(out)) == ["boot_gender,smoke.csv", "boot_gender.csv"]
     merged = tmp_path / "merged.csv"
-    assert main(["merge", "--output", str(merged), str(out / "boot_gender.csv"), str(out / "boot_gender,smoke.csv")],
-                spark=spark) == 0
-    assert spark.read.option("header", True).csv(str(merged)).count() > 0
+    with pytest.raises(ValueError):  # the files' columns differ
+        main(["merge", "--output", str(merged), str(out / "boot_gender.csv"), str(out / "boot_gender,smoke.csv")], spark=spark)
+    assert not merged.exists()
+    assert main(["merge", "--output", str(merged), str(out / "boot_gender.csv")], spark=spark) == 0
+    rows = lambda p: sorted(map(tuple, spark.read.option("header", True).csv(str(p)).collect()), key=str)
+    assert rows(merged) == rows(out / "boot_gender.csv")
     with pytest.raises(ValueError):
         main(["boot", "--input", str(tmp_path / "missing.csv")], spark=spark)
 
@@ -125,22 +128,6 @@ def test_command_line_cohens_d_collapsed(spark, tmp_path):
     assert sorted(os.listdir(out)) == ["agree_by_gender.csv", "combined.csv", "openness_by_gender.csv"]
 
 
-def test_sampled_inference_matches_full_on_uniform_data(spark, csv_paths):
-    plain, gz = csv_paths
-    for p in (plain, gz):
-        assert read_table(spark, p, infer_rows=3).dtypes == read_table(spark, p).dtypes
-
-
-def test_sampled_inference_fails_fast_on_later_misfit(spark, tmp_path):
-    p = tmp_path / "late.csv"
-    p.write_text("k,x\n" + "\n".join(f"{i},{i}" for i in range(20)) + "\n20,2.5\n")
-    assert dict(read_table(spark, str(p)).dtypes)["x"] == "double"
-    sampled = read_table(spark, str(p), infer_rows=5)
-    assert dict(sampled.dtypes)["x"] == "int"
-    with pytest.raises(Exception):
-        sampled.collect()
-
-
 def test_large_results_are_written_in_parallel_parts(spark, tmp_path, monkeypatch):
     from bootframe.sources import sinks
 
@@ -164,9 +151,32 @@ def test_extra_null_tokens_in_numeric_columns(spark, tmp_path):
     assert rows["R3"]["score"] is None and rows["R4"]["count"] is None and rows["R1"]["score"] == 3.5
 
 
-def test_extra_tokens_with_sampled_inference(spark, tmp_path):
-    p = tmp_path / "tok2.csv"
-    p.write_text("RID,score\nR1,3.5\nR2,missing\nR3,2\n" + "".join(f"R{i},{i}.5\n" for i in range(4, 30)))
-    df = read_table(spark, str(p), null_values=("NA", "", "missing"), infer_rows=5)
-    assert dict(df.dtypes)["score"] == "double"
-    assert df.where(df.score.isNull()).count() == 1
+def test_merge_matches_columns_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("scale,d,ci.level,ci.ll,ci.ul\nx,0.5,0.95,0.1,0.9\n")
+    (tmp_path / "b.csv").write_text("scale,ci.ul,ci.ll,ci.level,d\ny,0.8,0.2,0.95,0.4\n")
+    merge_results(spark, [str(tmp_path / "?.csv")], str(tmp_path / "out" / "m"))
+    got = {r["scale"]: r.asDict() for r in spark.read.option("header", True).csv(str(tmp_path / "out" / "m")).collect()}
+    assert got["y"] == {"scale": "y", "d": "0.4", "ci.level": "0.95", "ci.ll": "0.2", "ci.ul": "0.8"}
+    both = {r["scale"]: r["d"] for r in read_table(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")]).collect()}
+    assert both == {"x": 0.5, "y": 0.4}
+
+
+def test_merge_twice_over_a_pattern_keeps_the_first_result(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("scale,d\nx,0.5\n")
+    (tmp_path / "b.csv").write_text("scale,d\ny,0.4\n")
+    args = spark, [str(tmp_path / "*.csv")], str(tmp_path / "combined.csv")
+    assert merge_results(*args).count() == 2
+    with pytest.raises(ValueError):
+        merge_results(*args)
+    assert spark.read.option("header", True).csv(str(tmp_path / "combined.csv")).count() == 2
+
+
+def test_command_line_with_uris_leaves_no_stray_folder(spark, csv_paths, tmp_path, monkeypatch):
+    from bootframe.__main__ import main
+
+    monkeypatch.chdir(tmp_path)
+    plain, _ = csv_paths
+    before = set(os.listdir(tmp_path))
+    assert main(["boot", "--input", f"file://{plain}", "--output-dir", f"file://{tmp_path}/uri", "--n-iter", "3",
+                 "--categories", "gender", "--independent", "--ci", "0.9"], spark=spark) == 0
+    assert set(os.listdir(tmp_path)) - before == {"uri"} and os.listdir(tmp_path / "uri") == ["boot_gender.csv"]
