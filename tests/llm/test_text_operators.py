@@ -152,6 +152,34 @@ def test_line_dedup_links_near_lines_and_counts_repeats(spark):
     assert line_dedup.dedup_lines(table(spark, ["a"]).limit(0)).count() == 0
 
 
+def edited(r, line, letters):
+    for _ in range(letters):
+        i = r.randrange(len(line))
+        line = r.choice([line[:i] + "q" + line[i + 1 :], line[:i] + line[i + 1 :], line[:i] + "z" + line[i:]])
+    return line
+
+
+def test_lines_of_80_percent_edit_similarity_share_a_key():
+    r = random.Random(8)
+    base = [" ".join(r.choice(["ab", "cd", "efg", "hijk", "lm", "no"]) for _ in range(r.randint(3, 6)))[:20] for _ in range(150)]
+    short = sorted({b" ".join(line_dedup.normalised_lines(x)[0]).decode() for x in base + [edited(r, x, r.randint(1, 4)) for x in base]})
+    keys = {f: line_dedup.segment_keys(f, 80) for f in short}
+    assert max(map(len, short)) <= line_dedup.SHORT
+    con = duckdb.connect()
+    con.execute("create table f as select unnest(?) as s", [short])
+    linked = con.execute("select a.s, b.s from f a join f b on a.s < b.s and levenshtein(a.s, b.s) * 100 <= 20 * greatest(length(a.s), length(b.s))").fetchall()
+    assert len(linked) > 100 and all(keys[a] & keys[b] for a, b in linked)
+
+
+def test_line_dedup_by_edit_similarity_links_lines_with_a_changed_word(spark):
+    r = random.Random(9)
+    texts = [" ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 8))) for _ in range(6 + 5 * i)) for i in range(16)]
+    near = [" ".join(["qqqqq" if i == 3 else w for i, w in enumerate(x.split())]) for x in texts]
+    got = {row["doc"]: row["keep"] for row in line_dedup.repeated_lines(table(spark, texts + near), near="edit").collect()}
+    far = [duckdb.execute("select levenshtein(?, ?) * 100 > 20 * greatest(length(?), length(?))", [x, y, x, y]).fetchone()[0] for x, y in zip(texts, near)]
+    assert sum(far) <= 1 and got == {d: d < 16 for d in range(32) if not far[d % 16]}
+
+
 def test_simhash_of_a_long_line_counts_votes_beyond_a_byte():
     hashes = ngram_jaccard.WordHashes()
     line = [w.encode() for w in words(1, 1000, 50)]
