@@ -205,12 +205,26 @@ def _overlaps(percent: int):
     return run
 
 
-def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+def sharing_pairs(members: DataFrame, sizes: DataFrame, percent: int, slice_rows: int = 500) -> DataFrame:
+    """All distinct pairs (a, b), a < b, of nodes that share a key and whose sizes allow a link.
+
+    A key of many nodes is cut into slices: a node meets each slice in a row of its own, so its
+    pairs are made in as many places as it has slices.
+    """
+    slices = members.groupBy("key").agg(F.ceil(F.count("*") / slice_rows).cast("int").alias("slices"))
+    at = members.select("key", "node").join(slices, "key").join(sizes.select("node", "size"), "node")
+    left = at.select("key", F.pmod(F.xxhash64("node"), "slices").cast("int").alias("slice"), F.col("node").alias("a"), F.col("size").alias("size_a"))
+    right = at.select("key", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.col("node").alias("b"), F.col("size").alias("size_b"))
+    fit = F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent
+    return left.join(right, ["key", "slice"]).where("a < b").where(fit).select("a", "b").distinct()
+
+
+def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, count_links: bool = True) -> DataFrame:
     """Groups of documents whose n-gram sets are linked by Jaccard similarity.
 
     Returns one row per input row: ``id_col``, n_shingles (size of its set), component_id
-    (smallest id reachable by links, its own included), n_links (links verified for its
-    class; 0 if none were needed beside equal sets).
+    (smallest id reachable by links, its own included), n_links (how many different sets
+    link with its own; null without ``count_links``, which spares most pairs of large groups).
 
     Rows with a null id take no part (component null, their set size is still given). Null
     or wordless texts have an empty set and are linked with nothing. Rows that repeat an id
@@ -241,7 +255,11 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         left, right = (sets.select(F.col("node").alias(s), F.col("items").alias(f"items_{s}")) for s in "ab")
         return close.join(left, "a").join(right, "b").mapInPandas(_overlaps(percent), "a long, b long")
 
-    group, links = linked_components(members, verify, work)
+    if count_links:
+        links = work.stored(verify(work.stored(sharing_pairs(members, short, percent), "pairs")), "links")
+        group = components(links, work)
+    else:
+        group, links = linked_components(members, verify, work)
     # an id with several sets joins their classes; then classes to the smallest id of their group
     several = known.groupBy("doc").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("doc", "lo")
     extra = known.join(several, "doc").where("node <> lo").select(F.col("lo").alias("a"), F.col("node").alias("b"))
@@ -251,7 +269,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     classes = known.groupBy("node").agg(F.min("doc").alias("first")).join(group, "node", "left").select("node", "first", F.coalesce("component", "node").alias("part"))
     named = classes.join(classes.groupBy("part").agg(F.min("first").alias("component_id")), "part").join(degree, "node", "left").select("node", "component_id", "n_links")
     out = found.select("doc", "n_shingles", F.when(F.expr("doc is not null and n_shingles > 0"), F.col("node")).alias("node")).join(named, "node", "left")
-    out = out.select(F.col("doc").alias(id_col), "n_shingles", F.coalesce("component_id", "doc").alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    out = out.select(F.col("doc").alias(id_col), "n_shingles", F.coalesce("component_id", "doc").alias("component_id"), (F.coalesce("n_links", F.lit(0).cast("long")) if count_links else F.lit(None).cast("long")).alias("n_links"))
     out = stored(out, "ngram-groups")
     work.close()
     return out
@@ -260,7 +278,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def one_per_group(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` (doc_id, text and any other columns) with one document of each group left:
     the one with the smallest doc_id. Rows that repeat a doc_id or have none all stay or all go."""
-    gone = jaccard_groups(docs, n=n, percent=percent).where("component_id < doc_id").select("doc_id").distinct()
+    gone = jaccard_groups(docs, n=n, percent=percent, count_links=False).where("component_id < doc_id").select("doc_id").distinct()
     names = [f"__c{i}" for i in range(len(docs.columns))]
     rows = sifted(docs.toDF(*names), F.col(names[docs.columns.index("doc_id")]).cast("long"), sieve(gone, "doc_id"))
     met = rows.where("__in").join(gone, F.col(names[docs.columns.index("doc_id")]) == gone["doc_id"], "left_anti")

@@ -74,6 +74,22 @@ def test_ngram_jaccard_groups_equal_brute_force(spark, n, percent):
     assert [got[i]["component_id"] for i in range(len(texts))] == want
 
 
+def test_ngram_jaccard_counts_every_link_of_a_group(spark):
+    base = words(6, 200, 10_000)
+    texts = [" ".join(words(7, 200, 10_000))]
+    for i in range(9):
+        w = list(base)
+        w[5 + 9 * (i // 2)] = f"changed{i}"
+        w[150 - i] = "x" if i < 8 else w[150 - i]
+        texts.append(" ".join(w))
+    texts.append(texts[-1])
+    sets = [shingles(t, 3) for t in texts]
+    distinct = {frozenset(x) for x in sets}
+    want = [sum(x != y and 100 * len(x & y) >= 90 * len(x | y) for y in distinct) for x in map(frozenset, sets)]
+    got = {r["doc_id"]: r["n_links"] for r in ngram_jaccard.jaccard_groups(table(spark, texts), n=3, percent=90).collect()}
+    assert max(want) >= 5 and got == dict(enumerate(want))
+
+
 def test_ngram_jaccard_repeated_null_ids_and_empty_table(spark):
     a, b = " ".join(words(1, 50)), " ".join(words(2, 50))
     docs = table(spark, [a, b, b, None, a], ids=[7, 7, 9, None, None])
