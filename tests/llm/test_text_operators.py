@@ -392,6 +392,22 @@ def test_compact_windows_equal_brute_force():
     assert got == want
 
 
+def test_passage_with_six_words_changed_in_the_middle_is_one():
+    hashes = ngram_jaccard.WordHashes()
+    for size in range(94, 106):
+        w = words(size, size, 10**6)
+        near = w[: size // 2 - 3] + [f"changed{i}" for i in range(6)] + w[size // 2 + 3 :]
+        for before in (0, 120):
+            a, b = (substring_dedup.token_hashes(" ".join(words(9, before, 10**6) + x), 5, hashes) for x in (w, near))
+            if before:
+                b = b[before:]
+            start, end = before, before + size - 5
+            both = len(np.intersect1d(a[start:], b))
+            got = substring_dedup.passages(a[start:], b, 5, 46, 80)
+            assert both * 100 >= 80 * (2 * (size - 4) - both)
+            assert got == [(0, end - start, 0, size - 5, both / (2 * (size - 4) - both))]
+
+
 def test_repeated_passages_are_found_and_others_left(spark):
     passage = words(77, 70, 10_000)
     near = list(passage)
