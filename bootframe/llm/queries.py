@@ -28,7 +28,7 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document after line dedup: its lines that went, and a digest of what stays."""
-    out = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), near="edit")
+    out = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), near="edit", min_words=0)
     return out.select("doc_id", "lines_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars_left"))
 
 

@@ -196,6 +196,13 @@ def test_line_dedup_by_edit_similarity_links_lines_with_a_changed_word(spark):
     assert sum(far) <= 1 and got == {d: d < 16 for d in range(32) if not far[d % 16]}
 
 
+def test_line_dedup_takes_lines_of_few_words(spark):
+    said = "これは空白のない一つの文であり最後まで同じです"
+    texts = ["Yes\n7\n---\n\nNo, never", said + "\nyes!\n8\n***\n\n", said[:-1] + "だ\nno never\n7\n---\nown"]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(table(spark, texts), near="edit", min_words=0).collect()}
+    assert got == {0: texts[0], 1: said + "\n8\n***\n\n", 2: "own"}
+
+
 def test_simhash_of_a_long_line_counts_votes_beyond_a_byte():
     hashes = ngram_jaccard.WordHashes()
     line = [w.encode() for w in words(1, 1000, 50)]
