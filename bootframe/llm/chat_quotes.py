@@ -1,8 +1,9 @@
 """Chat formatting by quotation linking (DataFrame functions only).
 
 Lines that start with ``>`` are quotes, as many levels deep as they have such marks. Runs of
-lines of one level are passages. A passage, and each of its lines, is normalised and hashed and
-joined with the first message of the conversation that says it in its own words; the message
+lines of one level are passages. A passage, and each of its lines and sentences, is normalised and
+hashed and joined with the first message of the conversation that says it in its own words (the
+nearest earlier one for short words, which many messages say); the message
 whose words are quoted most, at the outermost level that is found, is the one replied to.
 Conversations come out in reply order and without quotes.
 
@@ -32,6 +33,11 @@ def normal(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
 
 
+def sentences(text: Column) -> Column:
+    """The text cut after marks that end a sentence."""
+    return F.split(text, r"(?<=[.!?…])\s+|(?<=[。！？])\s*")
+
+
 def own_text(text: Column) -> Column:
     """The text without quoted lines, lines that announce a quote, and blank ends."""
     lines = F.split(text, "\r?\n", -1)
@@ -39,15 +45,16 @@ def own_text(text: Column) -> Column:
     return F.regexp_replace(F.array_join(mine, "\n"), r"^\s+|\s+$", "")
 
 
-def reply_order(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text", min_chars: int = 12) -> DataFrame:
+def reply_order(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text", min_chars: int = 1, short_chars: int = 12) -> DataFrame:
     """``messages`` with what they reply to.
 
     New columns: reply_to (turn of the message whose words it quotes, null if it quotes none
     that came before), quote_levels (deepest level), quoted_lines, matched_lines (of them,
-    lines or passages found in an earlier message), thread (turn at the start of its chain of replies), path
+    lines, sentences or passages found in an earlier message), thread (turn at the start of its chain of replies), path
     (turns from there to itself: rows ordered by conversation and path are in reply
     order), own (text without quotes). Matches shorter than ``min_chars`` normalised characters
-    don't count. Input columns pass through; those named like a new one are replaced.
+    don't count; those shorter than ``short_chars`` are taken from the nearest earlier message
+    that says them, others from the first. Input columns pass through; those named like a new one are replaced.
 
     Null texts have a null own text and quote nothing. Rows with a null conversation or turn are
     answered with null reply_to and a path of their turn alone. Rows that repeat a turn are
@@ -65,16 +72,24 @@ def reply_order(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     changes = (F.col("level") != F.lag("level", 1, -1).over(inside)).cast("int")
     runs = lines.withColumn("change", changes).withColumn("run", F.sum("change").over(inside)).where("level > 0")
     runs = runs.withColumn("words", normal(F.regexp_replace("line", _QUOTE, "")))
-    passages = runs.groupBy("c", "t", "m", "run", "level").agg(F.sort_array(F.collect_list(F.struct("n", "words"))).alias("ls"))
+    passages = runs.groupBy("c", "t", "m", "run", "level").agg(F.sort_array(F.collect_list(F.struct("n", "words", F.regexp_replace("line", _QUOTE, "").alias("raw")))).alias("ls"))
     whole = F.trim(F.array_join(F.filter(F.transform("ls", lambda x: x["words"]), lambda w: w != ""), " "))
-    keys = passages.select("c", "t", "m", "level", F.explode(F.array_distinct(F.concat(F.array(whole), F.transform("ls", lambda x: x["words"])))).alias("words"))
+    keys = passages.select("c", "t", "m", "level", F.explode(F.array_distinct(F.concat(F.array(whole), F.transform("ls", lambda x: x["words"]), F.transform(sentences(F.array_join(F.transform("ls", lambda x: x["raw"]), "\n")), normal)))).alias("words"))
     keys = work.stored(keys.where(F.length("words") >= min_chars).select("c", "t", "m", "level", F.sha2("words", 256).alias("key"), F.length("words").alias("chars")), "quoted")
-    # what is said in own words in conversations that hold quotes: the whole, its paragraphs and lines
+    # what is said in own words in conversations that hold quotes: the whole, its paragraphs, lines and sentences
     own = said.join(quoting.select("c").distinct(), "c", "left_semi").select("c", "t", own_text(F.col("x")).alias("o"))
-    units = F.concat(F.array(F.col("o")), F.split("o", r"\n[ \t]*\n"), F.split("o", "\n"))
+    units = F.concat(F.array(F.col("o")), F.split("o", r"\n[ \t]*\n"), F.split("o", "\n"), sentences(F.col("o")), F.flatten(F.transform(F.split("o", "\n"), sentences)))
     spoken = own.select("c", "t", F.explode(F.array_distinct(F.transform(units, normal))).alias("words")).where(F.length("words") >= min_chars)
-    first = spoken.groupBy("c", F.sha2("words", 256).alias("key")).agg(F.min("t").alias("of"))
-    hits = work.stored(keys.join(first, ["c", "key"]).where("of < t"), "hits")
+    long = F.length("words") >= short_chars
+    first = spoken.where(long).groupBy("c", F.sha2("words", 256).alias("key")).agg(F.min("t").alias("of"))
+    met = keys.where(F.col("chars") >= short_chars).join(first, ["c", "key"]).where("of < t").select("c", "t", "m", "level", "chars", "of")
+    # short words: of those who said them before the quoting message, the nearest
+    brief = keys.where(F.col("chars") < short_chars)
+    sayers = spoken.where(~long).select("c", "t", F.sha2("words", 256).alias("key")).distinct().join(brief.select("c", "key").distinct(), ["c", "key"], "left_semi")
+    both = brief.withColumn("said", F.lit(None).cast("long")).unionByName(sayers.withColumn("said", F.col("t")), allowMissingColumns=True)
+    before = Window.partitionBy("c", "key").orderBy("t").rangeBetween(Window.unboundedPreceding, -1)
+    near = both.withColumn("of", F.max("said").over(before)).where("level is not null and of is not null")
+    hits = work.stored(met.unionAll(near.select("c", "t", "m", "level", "chars", "of")), "hits")
     score = hits.groupBy("c", "t", "m", "level", "of").agg(F.sum("chars").alias("chars"), F.count("*").alias("n"))
     best = score.groupBy("c", "t", "m").agg(F.max_by("of", F.struct(-F.col("level"), "chars", "of")).alias("reply_to"), F.sum("n").alias("matched"))
     counts = runs.where("words <> ''").groupBy("c", "t", "m").agg(F.max("level").alias("levels"), F.count("*").alias("quoted"))

@@ -135,6 +135,15 @@ def test_quotes_are_linked_and_taken_out(spark):
     assert chat_quotes.reply_order(df.limit(0)).count() == 0
 
 
+def test_short_messages_and_sentences_are_quoted(spark):
+    rows = [
+        (1, 0, "Yes, I do."), (1, 1, "Shall we meet at noon? The train leaves early. Bring the big umbrella."), (1, 2, "Yes, I do."),
+        (1, 3, "> Yes, I do.\nGood."), (1, 4, "> The train leaves early.\nHow early?"), (1, 5, "> The train leaves early. Bring the big umbrella.\nWhy?"), (1, 6, "> No\nHm."), (1, 7, "> Good.\nSo it is."),
+    ]
+    out = chat_quotes.reply_order(spark.createDataFrame(rows, "conv_id long, turn long, text string"))
+    assert {r["turn"]: r["reply_to"] for r in out.collect()} == {0: None, 1: None, 2: None, 3: 2, 4: 1, 5: 1, 6: None, 7: 3}
+
+
 def test_pipeline_runs_and_keeps_distinct_documents(spark):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
     seen = {}
