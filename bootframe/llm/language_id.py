@@ -11,7 +11,7 @@ sharply differences turn into a score.
 
 Words score alone, so each different word of a slice of texts is scored once. Broadcast: the
 model, whose size is bounded by the sample (``SAMPLE_DOCS`` documents a language, of which
-those over ``SAMPLE_CHARS`` characters aren't taken, and ``MODEL_GRAMS`` n-grams). Memory: a
+those over ``SAMPLE_CHARS`` characters aren't taken). Memory: a
 slice of about a million characters, and its different words.
 """
 
@@ -28,12 +28,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import opened, shared
+
 #: Labelled documents a language that the models are fitted on, about.
 SAMPLE_DOCS = 1000
 #: Longer documents aren't taken into the sample (they are predicted like any other).
 SAMPLE_CHARS = 50_000
-#: n-grams of the model at most; rarer ones go first.
-MODEL_GRAMS = 1_000_000
 #: Words whose scores a task keeps at most.
 WORDS_KEPT = 300_000
 
@@ -45,7 +45,11 @@ _MARGIN_SDS, _MARGIN_SHARE, _MARGIN_MEAN = 8.0, 1.15, 2.0
 
 def word_list(text: str | None) -> list[str]:
     """Runs of letters in lower case."""
-    return _WORD.findall(text.lower()) if text else []
+    runs = _WORD.findall(text.lower()) if text else []
+    if not runs or "".join(runs).isalpha():
+        return runs
+    # \w also has numbers that aren't digits (², ½, Ⅳ): they part words like digits
+    return [w for run in runs for w in "".join(c if c.isalpha() else " " for c in run).split()]
 
 
 def gram_hashes(words: list[str], order: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -255,7 +259,7 @@ def fit(labelled: DataFrame, order: int = 5, docs: int = SAMPLE_DOCS) -> Identif
     are left out): of each language about ``docs`` documents, chosen by a hash of the id.
     An eighth of it calibrates. No labelled row with a letter: None."""
     rows = labelled.where("doc_id is not null and text is not null and lang is not null and length(text) <= %d" % SAMPLE_CHARS)
-    per = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(500).collect()}
+    per = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not per:
         return None
     luck = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) / 1_000_000.0
@@ -264,15 +268,15 @@ def fit(labelled: DataFrame, order: int = 5, docs: int = SAMPLE_DOCS) -> Identif
     aside = F.pmod(F.xxhash64("doc_id", F.lit("aside")), F.lit(8)) == 0
     few = sample.where(~aside).select("lang", "text").mapInPandas(_gram_counts(order), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts: dict[str, dict[str, int]] = {}
-    for r in few.orderBy(F.desc("n"), "lang", "gram").limit(MODEL_GRAMS).toPandas().itertuples():
+    for r in few.toPandas().itertuples():
         counts.setdefault(r.lang, {})[r.gram] = r.n
     if not counts:
         return None
     model = KneserNey(counts, order)
-    shared = labelled.sparkSession.sparkContext.broadcast(model)
+    sent = shared(labelled.sparkSession, model)
 
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = shared.value
+        model = opened(sent)
         known = WordScores(model)
         for batch in batches:
             entropy, letters = known.texts(list(batch["text"]))
@@ -308,11 +312,11 @@ def identify(docs: DataFrame, model: Identifier | None, text_col: str = "text")
     kept = [c for c in docs.columns if c.lower() not in fresh]
     if model is None:
         return docs.select(*[F.col(f"`{c}`") for c in kept], F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("entropy"), F.lit(True).alias("rejected"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    sent = shared(docs.sparkSession, model)
 
     @F.pandas_udf(new)
     def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        model = shared.value
+        model = opened(sent)
         known = WordScores(model.model)
         for texts in batches:
             yield model(list(texts), known)

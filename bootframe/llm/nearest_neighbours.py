@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import Workspace, stored
+from .store import Workspace, opened, shared, stored
 
 #: Vectors that the trees are grown on at most.
 SAMPLE_ROWS = 65_536
@@ -151,7 +151,9 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", v
     """
     spark = vectors.sparkSession
     work = Workspace(spark, "nearest")
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    # floats stay as they are (half the bytes); other numbers count in double precision
+    kind = "float" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "double"
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(f"array<{kind}>").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
     rows = rows.where(F.col("id").isNotNull() & F.col("vector").isNotNull()).where(finite & F.exists("vector", lambda x: x != 0))
     lengths = rows.groupBy(F.size("vector").alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "n").limit(1).first()
@@ -169,26 +171,28 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", v
     sample = classes.select("node", "vector").orderBy(F.xxhash64("node", F.lit(seed)), "node").limit(SAMPLE_ROWS).toPandas()
     forest = Forest(np.stack(sample["vector"].to_list()).astype(np.float32), trees, leaf_rows, seed)
     leaves = leaves_needed(forest, np.stack(sample["vector"].to_list()).astype(np.float32), k, recall)
-    shared = spark.sparkContext.broadcast(forest)
+    sent = shared(spark, forest)
     slices = max(1, -(-n * leaf_rows // (min(n, SAMPLE_ROWS) * SLICE_ROWS)))
 
     def filed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forest = opened(sent)
         for batch in batches:
             for a in range(0, len(batch), 500):
                 part = batch.iloc[a : a + 500]
-                at = shared.value.leaves(np.stack(part["vector"].to_list()).astype(np.float32))
+                at = forest.leaves(np.stack(part["vector"].to_list()).astype(np.float32))
                 again = part.iloc[np.repeat(np.arange(len(part)), at.shape[1])]
                 yield pd.DataFrame({"tree": np.tile(np.arange(at.shape[1], dtype=np.int32), len(part)), "leaf": at.ravel(), "slice": (again["node"].to_numpy() % slices).astype(np.int32), "node": again["node"].to_numpy(), "vector": again["vector"].to_numpy()})
 
     def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forest = opened(sent)
         for batch in batches:
             for query, vector in zip(batch["node"], batch["vector"]):
-                out = [(t, leaf, s) for t, leaf in shared.value.visited(np.asarray(vector, np.float32), leaves) for s in range(slices)]
+                out = [(t, leaf, s) for t, leaf in forest.visited(np.asarray(vector, np.float32), leaves) for s in range(slices)]
                 yield pd.DataFrame(out, columns=["tree", "leaf", "slice"]).astype("int32").assign(query=query, vector=[vector] * len(out))
 
     key = ["tree", "leaf", "slice"]
-    in_leaf = classes.select("node", "vector").mapInPandas(filed, "tree int, leaf int, slice int, node long, vector array<float>")
-    looks = classes.where("asks").select("node", "vector").repartition(max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))), "node").mapInPandas(asked, "tree int, leaf int, slice int, query long, vector array<float>")
+    in_leaf = classes.select("node", "vector").mapInPandas(filed, f"tree int, leaf int, slice int, node long, vector array<{kind}>")
+    looks = classes.where("asks").select("node", "vector").repartition(max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))), "node").mapInPandas(asked, f"tree int, leaf int, slice int, query long, vector array<{kind}>")
     # only leaves that are looked into
     in_leaf = in_leaf.join(looks.select(*key).distinct(), key, "left_semi")
     near = in_leaf.groupBy(*key).cogroup(looks.groupBy(*key)).applyInPandas(_ranked(k + 1), "query long, node long, score double")

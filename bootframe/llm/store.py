@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import gc
+import pickle
 import uuid
 
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +35,16 @@ def _written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def shared(spark: SparkSession, thing) -> Broadcast:
+    """``thing`` broadcast as bytes that hold its classes by value, so workers need not have this
+    package; read it with :func:`opened`, once a task."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(thing))
+
+
+def opened(sent: Broadcast):
+    return pickle.loads(sent.value)
+
+
 class Workspace:
     """Tables that are only needed until a result is stored; gone with :meth:`close`."""
 
