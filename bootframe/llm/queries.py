@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_quotes, document_fingerprints, language_id, line_dedup, mixing, nearest_neighbours, ngram_jaccard, sentencepiece_codec, substring_dedup, warc
+from . import centroid_clusters, chat_quotes, document_fingerprints, filter_audit, html_text, language_id, line_dedup, mixing, nearest_neighbours, ngram_jaccard, sentencepiece_codec, substring_dedup, warc
 from .store import shared_path
 
 #: Path of the SentencePiece model, the same on every executor.
@@ -47,7 +47,7 @@ def op4_chat_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Group of every document by links of 3-word shingles at Jaccard similarity 0.9."""
     out = ngram_jaccard.jaccard_groups(_table(spark, sf_dir, "documents"), n=3, percent=90)
-    return out.select("doc_id", "n_shingles", "component_id", "n_links")
+    return out.select("doc_id", "n_shingles", "component_id")
 
 
 def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +83,22 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_fingerprints.compared_with_next(_table(spark, sf_dir, "documents"))
 
 
+def op11_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = _table(spark, sf_dir, "pages")
+    return html_text.main_text(pages.select("page_id", "url", "html"), html_text.fit(pages)).select("page_id", "url", "text", "n_chars")
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every vector of 64 components after three rounds from 16 centroids."""
+    return centroid_clusters.clusters(_table(spark, sf_dir, "embeddings"), dim=64, k=16, rounds=3, scale=64)
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove at each step of every order, by language."""
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_line_dedup": op2_line_dedup,
@@ -94,6 +110,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_language_id": op9_language_id,
     "op10_document_fingerprints": op10_document_fingerprints,
+    "op11_html_text": op11_html_text,
+    "op12_centroid_clusters": op12_centroid_clusters,
+    "op13_filter_audit": op13_filter_audit,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op12_centroid_clusters": centroid_clusters.ORACLE, "op13_filter_audit": filter_audit.ORACLE}
