@@ -4,7 +4,7 @@ SentencePiece turns spaces into marks (U+2581) and puts one in front. Where no p
 vocabulary holds a mark behind another character, no merge crosses the place before a run of
 marks, so a text's pieces are those of its marked words (a run of marks with the characters up
 to the next mark) one after the other. Each different marked word of a task is segmented once,
-and its ids are joined back by position.
+and its ids, and the text they decode to, are joined back by position.
 
 The table of marked words belongs to a task, not to the whole corpus: a global table would
 move every word occurrence, or every task's vocabulary twice, through a shuffle, several times
@@ -17,7 +17,6 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 from itertools import chain
 
 import pandas as pd
@@ -32,9 +31,15 @@ MARK = "▁"
 _MARKED = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
-@lru_cache(maxsize=4)
+_LOADED: dict[str, bytes] = {}
+
+
 def _processor(model: str) -> spm.SentencePieceProcessor:
-    return spm.SentencePieceProcessor(model_file=model)
+    """A processor of the model file, which a Python worker reads once."""
+    if model not in _LOADED:
+        with open(model, "rb") as f:
+            _LOADED[model] = f.read()
+    return spm.SentencePieceProcessor(model_proto=_LOADED[model])
 
 
 def words_are_separate(sp: spm.SentencePieceProcessor) -> bool:
@@ -48,13 +53,16 @@ def words_are_separate(sp: spm.SentencePieceProcessor) -> bool:
 
 
 class WordTable:
-    """Marked words to their ids, as a list and as text, for one task."""
+    """Marked words to their ids, the same as decimal text, and the text that the ids decode to
+    behind another word, for one task."""
 
     def __init__(self, model: str) -> None:
         self.sp = _processor(model)
         self.separate = words_are_separate(self.sp)
         self.decimal = [str(i) for i in range(self.sp.vocab_size())]
-        self.known: dict[str, tuple[list[int], str]] = {}
+        self.known: dict[str, tuple[list[int], str, str]] = {}
+        # ids of a word to decode others behind
+        self.anchor = self.sp.encode("a")
 
     def learn(self, words: set[str]) -> None:
         fresh = [w for w in words if w not in self.known]
@@ -62,21 +70,34 @@ class WordTable:
             self.known.clear()
             fresh = list(words)
         # the library puts one mark in front by itself, but not before an empty text
-        for w, ids in zip(fresh, self.sp.encode([w[1:] for w in fresh], num_threads=1)):
-            ids = ids if w != MARK else [self.sp.piece_to_id(MARK)]
-            self.known[w] = ids, " ".join([self.decimal[i] for i in ids])
+        found = [ids if w != MARK else [self.sp.piece_to_id(MARK)] for w, ids in zip(fresh, self.sp.encode([w[1:] for w in fresh], num_threads=1))]
+        for w, ids, text in zip(fresh, found, self.sp.decode([self.anchor + ids for ids in found], num_threads=1)):
+            self.known[w] = ids, " ".join([self.decimal[i] for i in ids]), text[1:]
 
-    def ids(self, texts: list[str]) -> list[tuple[list[int], str]]:
-        """Ids of each text, and the same as text with spaces between."""
-        if not self.separate:
-            return [(ids, " ".join(map(str, ids))) for ids in self.sp.encode(texts, num_threads=1)]
+    def met(self, texts: list[str]) -> list[list[tuple[list[int], str, str]]]:
+        """The entries of each text's marked words, in order."""
         split = [_MARKED.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        self.learn({w for ws in split for w in ws})
-        out = []
-        for ws in split:
-            met = [self.known[w] for w in ws]
-            out.append((list(chain.from_iterable([m[0] for m in met])), " ".join([m[1] for m in met])))
-        return out
+        self.learn(set(chain.from_iterable(split)))
+        return [[self.known[w] for w in ws] for ws in split]
+
+    def ids(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text."""
+        if not self.separate:
+            return self.sp.encode(texts, num_threads=1)
+        return [list(chain.from_iterable([m[0] for m in entries])) for entries in self.met(texts)]
+
+    def round_trips(self, texts: list[str], end: int) -> Iterator[tuple[Callable[[], list[int]], int, str, str]]:
+        """Of each text: a function that gives its ids, their number, the ids as text with spaces
+        between, the text they decode to; ``end`` comes last."""
+        if not self.separate:
+            for ids in self.sp.encode(texts, num_threads=1):
+                ids = [*ids, end]
+                yield lambda ids=ids: ids, len(ids), " ".join(map(str, ids)), self.sp.decode(ids)
+            return
+        for entries in self.met(texts):
+            # the space of the mark in front of a text goes when it is decoded
+            decimal = " ".join([*[m[1] for m in entries], str(end)])
+            yield lambda e=entries: [*chain.from_iterable([m[0] for m in e]), end], decimal.count(" ") + 1, decimal, "".join([m[2] for m in entries])[1:]
 
 
 def _slices(texts: list[str | None], chars: int) -> Iterator[list[str]]:
@@ -120,7 +141,7 @@ def encode(docs: DataFrame, model: str, text_col: str = "text", ids_col: str = "
     def run():
         table = WordTable(model)
         tail = [table.sp.eos_id()] if end else []
-        return lambda texts: ([[ids + tail for ids, _ in table.ids(part)]] for part in _slices(texts, 500_000))
+        return lambda texts: ([[ids + tail for ids in table.ids(part)]] for part in _slices(texts, 500_000))
 
     return _mapped(docs, text_col, [ids_col], run, ["array<int>"])
 
@@ -149,10 +170,8 @@ def round_trip(docs: DataFrame, model: str, text_col: str = "text", ids_col: str
         def step(texts: list[str | None]) -> Iterator[list[list]]:
             for part in _slices(texts, 500_000):
                 out: list[list] = [[], [], [], []]
-                for ids, text in table.ids(part):
-                    decoded = table.sp.decode([*ids, end])
-                    text = f"{text} {end}" if ids else str(end)
-                    row = ([*ids, end] if ids_col else None, len(ids) + 1, hashlib.sha256(text.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "replace")).hexdigest())
+                for ids, n, decimal, decoded in table.round_trips(part, end):
+                    row = (ids() if ids_col else None, n, hashlib.sha256(decimal.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "replace")).hexdigest())
                     for column, value in zip(out, row):
                         column.append(value)
                 yield out if ids_col else out[1:]
