@@ -13,34 +13,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bootframe.operators.columns import set_name
+from bootframe.operators.ranks import Point, group_values
 
 STATS = ("mean", "median")
 NA_POLICIES = ("propagate", "omit")
 
 
-def sorted_median(x: Column) -> Column:
-    """Exact median from the sorted list of the group's non-null values.
-
-    ``0.5·x_lo + 0.5·x_hi`` is the same arithmetic as ``percentile(x, 0.5)``, so the
-    two agree bit for bit. Only for rows of weight 1.
-    """
-    arr = F.sort_array(F.collect_list(x))
-    m = F.size(arr)
-    lo = F.try_element_at(arr, F.floor((m + F.lit(1)) / F.lit(2)).cast("int"))
-    hi = F.try_element_at(arr, (F.floor(m / F.lit(2)) + F.lit(1)).cast("int"))
-    return F.when(m > 0, F.lit(0.5) * lo + F.lit(0.5) * hi)
-
-
 def stat_expr(
-    stat: str, x: Column, weight: str | None = None, median_accuracy: int | None = None, median_sort: bool = False
+    stat: str, x: Column, weight: str | None = None, median_accuracy: int | None = None
 ) -> Column:
     """One aggregate over ``x`` (nulls ignored), optionally weighted by frequencies.
 
     ``median_accuracy``: use the bounded-memory ``percentile_approx`` sketch for the
     median (rows must then carry weight 1, see :func:`expand_frequencies`); the exact
-    median keeps a value→count map per group, unbounded for continuous measures.
-    ``median_sort``: exact median by sorting the group's values (rows of weight 1);
-    faster than the value→count map when values rarely repeat.
+    median keeps a value→count map per group (bounded where the caller's values are; the
+    plans select ranks instead, see :mod:`bootframe.operators.ranks`).
     """
     if stat == "mean":
         if weight is None:
@@ -50,8 +37,6 @@ def stat_expr(
     if stat == "median":
         if median_accuracy is not None:
             return F.percentile_approx(x, F.lit(0.5), F.lit(int(median_accuracy))).cast("double")
-        if median_sort:
-            return sorted_median(x)
         return F.median(x) if weight is None else F.percentile(x, F.lit(0.5), F.col(weight))
     raise ValueError(f"stat must be one of {STATS}, got {stat!r}")
 
@@ -74,7 +59,6 @@ def wide_stats(
     weight: str | None = None,
     extra_by: Sequence[str] = (),
     median_accuracy: int | None = None,
-    median_sort: Sequence[str] = (),
 ) -> DataFrame:
     """One aggregate pass: a column ``stat__scale`` per (stat, scale), grouped by ``by + extra_by``.
 
@@ -82,7 +66,7 @@ def wide_stats(
     unpivoting every input row (Catalyst does not do this rewrite).
     """
     exprs = [
-        stat_expr(s, F.col(c).cast("double"), weight, median_accuracy, c in median_sort).alias(wide_name(s, c))
+        stat_expr(s, F.col(c).cast("double"), weight, median_accuracy).alias(wide_name(s, c))
         for c in scales
         for s in stats
     ]
@@ -99,35 +83,31 @@ def unpivot_stats(wide: DataFrame, ids: Sequence[str], scales: Sequence[str], st
     return wide.select(*ids, F.inline(F.array(*cells)))
 
 
-#: largest group for which an exact median may sort the group's values in one list
-SORT_MEDIAN_MAX_ROWS = 1 << 22
+def _long(values: DataFrame, keys: Sequence[str], scales: Sequence[str], stats: Sequence[str], set_names: Sequence[str] | None = None, set_col: str = "set") -> DataFrame:
+    """:func:`bootframe.operators.ranks.group_values` with names: ([set], keys…, [r], scale, stat, value)."""
+    what = {-1 - j: (c, "mean") for j, c in enumerate(scales)} | {p: (c, "median") for p, c in enumerate(scales)}
+    of = F.create_map(*[x for p, (c, s) in what.items() for x in (F.lit(p), F.struct(F.lit(c).alias("scale"), F.lit(s).alias("stat")))])[F.col("point")]
+    named = [F.col(f"k{i}").alias(k) for i, k in enumerate(keys)]
+    if set_names is not None:
+        named = [F.element_at(F.array(*[F.lit(n) for n in set_names]), F.col("s") + 1).alias(set_col), *named]
+    if "r" in values.columns:
+        named.append(F.col("r"))
+    return values.select(*named, of["scale"].alias("scale"), of["stat"].alias("stat"), F.col("value"))
 
 
-def sort_median_measures(
-    df: DataFrame, group_sets: Sequence[Sequence[str]], scales: Sequence[str], stats: Sequence[str]
-) -> list[str]:
-    """Measures whose exact median may use the sorted list (unweighted rows).
+def _checked_stats(stats: Sequence[str]) -> None:
+    unknown = [s for s in stats if s not in STATS]
+    if unknown:
+        raise ValueError(f"stat must be one of {STATS}, got {unknown[0]!r}")
 
-    Two small jobs: the largest group over all sets (one GROUPING SETS count), then the
-    row count and each measure's distinct count (HyperLogLog). Only when every group is
-    at most ``SORT_MEDIAN_MAX_ROWS`` rows (a proven bound on the list) do measures whose
-    values rarely repeat take the sorted-list median; otherwise the value→count map stays.
-    """
-    if "median" not in stats or not scales:
-        return []
-    cols = list(dict.fromkeys(c for s in group_sets for c in s))
-    if cols:
-        gsets = [[F.col(c) for c in s] for s in group_sets]
-        sizes = df.groupingSets(gsets, *[F.col(c) for c in cols]).agg(F.count(F.lit(1)).alias("_n"))
-    else:
-        sizes = df.agg(F.count(F.lit(1)).alias("_n"))
-    biggest = sizes.agg(F.max("_n")).first()[0] or 0
-    if biggest > SORT_MEDIAN_MAX_ROWS:
-        return []
-    row = df.agg(
-        F.count(F.lit(1)).alias("_rows"), *[F.approx_count_distinct(F.col(c), 0.05).alias(c) for c in scales]
-    ).first()
-    return [c for c in scales if row[c] > 0.25 * row["_rows"]]
+
+def _points(scales: Sequence[str], stats: Sequence[str]) -> list[Point]:
+    return [Point(j) for j in range(len(scales))] if "median" in stats else []
+
+
+def _rank_base(df: DataFrame, keys: Sequence[str], scales: Sequence[str], weight: str | None) -> DataFrame:
+    cols = [F.col(k).alias(f"k{i}") for i, k in enumerate(keys)] + [F.col(c).cast("double").alias(f"x{j}") for j, c in enumerate(scales)]
+    return df.select(*cols, *([F.col(weight).alias("w")] if weight else []))
 
 
 def group_stats(
@@ -138,10 +118,26 @@ def group_stats(
     weight: str | None = None,
     extra_by: Sequence[str] = (),
 ) -> DataFrame:
-    """Long-form group statistics: (by..., scale, stat, value)."""
-    sort_median = sort_median_measures(df, [[*by, *extra_by]], scales, stats) if weight is None else []
-    wide = wide_stats(df, by, scales, stats, weight, extra_by, median_sort=sort_median)
-    return unpivot_stats(wide, [*by, *extra_by], scales, stats)
+    """Long-form group statistics: (by..., scale, stat, value); exact medians by rank selection
+    (:mod:`bootframe.operators.ranks`), the same plan at every size."""
+    _checked_stats(stats)
+    keys = [*by, *extra_by]
+    base = _rank_base(df, keys, scales, weight)
+    values = group_values(base, len(keys), [list(range(len(keys)))], len(scales), "mean" in stats, _points(scales, stats))
+    return _long(values, keys, scales, stats)
+
+
+def group_quantiles(df: DataFrame, by: Sequence[str], scale: str, wanted: Sequence[tuple[str, float, str]]) -> DataFrame:
+    """Several quantiles of ``scale`` per group, in one pass: (by…, a column per wanted name).
+
+    ``wanted``: (name, q, rule), rule one of nearest, disc, linear, median (see
+    :class:`bootframe.operators.ranks.Point`); nulls are ignored, a group without values gets nulls.
+    """
+    points = [Point(0, q, rule) for _, q, rule in wanted]
+    values = group_values(_rank_base(df, by, [scale], None), len(by), [list(range(len(by)))], 1, False, points)
+    cells = [F.max(F.when(F.col("point") == p, F.col("value"))).alias(name) for p, (name, _, _) in enumerate(wanted)]
+    keys = [f"k{i}" for i in range(len(by))]
+    return values.groupBy(*keys).agg(*cells).select(*[F.col(k).alias(c) for k, c in zip(keys, by)], *[name for name, _, _ in wanted])
 
 
 def grouping_id_of(cols: Sequence[str], members: Sequence[str]) -> int:
@@ -182,7 +178,6 @@ def grouping_sets_wide(
     extra_by: Sequence[str] = (),
     set_col: str = "set",
     median_accuracy: int | None = None,
-    median_sort: Sequence[str] = (),
 ) -> tuple[DataFrame, list[str]]:
     """Wide statistics for many grouping sets in one scan (GROUPING SETS / Expand).
 
@@ -199,7 +194,7 @@ def grouping_sets_wide(
     all_cols = [*cols, *extra_by]
     gsets = [[F.col(c) for c in [*s, *extra_by]] for s in uniq]
     exprs = [
-        stat_expr(s, F.col(c).cast("double"), weight, median_accuracy, c in median_sort).alias(wide_name(s, c))
+        stat_expr(s, F.col(c).cast("double"), weight, median_accuracy).alias(wide_name(s, c))
         for c in scales
         for s in stats
     ]
@@ -224,9 +219,12 @@ def grouping_sets_stats(
     set_col: str = "set",
 ) -> DataFrame:
     """Long-form statistics for many grouping sets: (set, keys..., scale, stat, value)."""
-    sort_median = sort_median_measures(df, sets, scales, stats) if weight is None else []
-    wide, cols = grouping_sets_wide(df, sets, scales, stats, weight, set_col=set_col, median_sort=sort_median)
-    return unpivot_stats(wide, [set_col, *cols], scales, stats)
+    _checked_stats(stats)
+    uniq, names = requested_names(sets)
+    cols = list(dict.fromkeys(c for s in uniq for c in s))
+    base = _rank_base(df, cols, scales, weight)
+    values = group_values(base, len(cols), [[cols.index(c) for c in s] for s in uniq], len(scales), "mean" in stats, _points(scales, stats))
+    return spread_names(_long(values, cols, scales, stats, [set_name(s) for s in uniq], set_col), set_col, names)
 
 
 def levels(df: DataFrame, group: str, limit: int | None = None) -> list:

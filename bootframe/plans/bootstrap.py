@@ -19,6 +19,7 @@ Plan shape (collapse=True): scan → (set, scale, value) cell counts, map-side
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -27,10 +28,14 @@ from pyspark.sql import functions as F
 from bootframe.operators.cells import multinomial_cell_weights, poisson_cell_weights, set_cells
 from bootframe.operators.columns import as_set, match_columns, numeric_columns
 from bootframe.operators.intervals import basic_ci, percentile_ci
-from bootframe.operators.resample import BROADCAST_LIMIT, key_columns, resample, row_index
-from bootframe.session import parallelism
+from bootframe.operators.ranks import SPREAD, group_values
+from bootframe.operators.resample import METHODS, Indexed, check_unique_key, key_columns, resample, row_index, size_profile
+from bootframe.session import cut_lineage, parallelism
 from bootframe.operators.stats import (
     STATS,
+    _checked_stats,
+    _long,
+    _points,
     cohens_d,
     cohens_d_parts,
     cohens_d_parts_long,
@@ -112,42 +117,62 @@ def _narrow(
     return df.select(*[F.col(c) for c in seen], *[F.col(s).cast("double").alias(s) for s in scales if s not in seen])
 
 
-def _exact_resample(
+def _boot_values(
     narrow: DataFrame,
+    sets: Sequence[Sequence[str]],
+    cols: Sequence[str],
     key: str | Sequence[str],
     measures: Sequence[str],
     n_iter: int,
-    seed: int,
+    seeds: Sequence[int],
     method: str,
     hash: str,
     broadcast_limit: int | None,
     stats: Sequence[str],
-    median_accuracy: int | None,
-) -> tuple[DataFrame, list[str]]:
-    """Resampled rows, and the measures whose exact median should sort instead of count.
-
-    Only on the exact path with a broadcast (proven-small) table is every row a single
-    draw (weight 1) and every group's list bounded by n. There, measures whose values
-    rarely repeat (HyperLogLog distinct count above a quarter of the rows) take the
-    sorted-list median, about twice as fast as the value→count map; discrete measures
-    keep the map, which stays small.
-    """
-    if method != "exact" or "median" not in stats or median_accuracy is not None:
-        return resample(narrow, key, n_iter, seed, method, hash, broadcast_limit), []
-    idx = row_index(narrow, key, hash=hash)
-    rows = resample(narrow, key, n_iter, seed, method, hash, broadcast_limit, indexed=idx)
-    return rows, _sort_median_measures(narrow, measures, idx, broadcast_limit, stats, median_accuracy)
-
+) -> DataFrame:
+    """Replicate values (s, k…, r, point, value) of every group of every set, see :mod:`bootframe.operators.ranks`.
 
-def _sort_median_measures(narrow, measures, idx, broadcast_limit, stats, median_accuracy) -> list[str]:
-    """Measures that take the sorted-list median (see :func:`_exact_resample`)."""
-    if idx is None or "median" not in stats or median_accuracy is not None:
-        return []
-    limit = BROADCAST_LIMIT if broadcast_limit is None else broadcast_limit
-    if 2 * idx.size_bound > limit:
-        return []
-    distinct = narrow.agg(*[F.approx_count_distinct(F.col(m), 0.05).alias(m) for m in measures]).first()
-    return [m for m in measures if distinct[m] > 0.25 * idx.n]
+    One seed: all sets share one resample. A seed a set: each has its own.
+    """
+    if n_iter < 1:
+        raise ValueError("n_iter must be at least 1")
+    if method not in METHODS:
+        raise ValueError(f"method must be one of {METHODS}, got {method!r}")
+    _checked_stats(stats)
+    ids = key_columns(key)
+    base = narrow.select(
+        *[F.col(c).alias(f"id{i}") for i, c in enumerate(ids)],
+        *[F.col(c).alias(f"k{i}") for i, c in enumerate(cols)],
+        *[F.col(c).alias(f"x{j}") for j, c in enumerate(measures)],
+    )
+    ids = [f"id{i}" for i in range(len(ids))]
+    idx = None
+    if method == "exact":
+        idx = row_index(base, ids, hash=hash)
+        base = cut_lineage(idx.df.drop(*ids))
+    elif method == "poisson":
+        check_unique_key(base, ids)
+
+    def weigher(seed: int) -> Callable[[DataFrame], DataFrame]:
+        def weigh(rows: DataFrame) -> DataFrame:
+            if idx is None:
+                return resample(rows, ids, n_iter, seed, method, hash, assume_unique=True).drop(*ids)
+            # the bound is that of the rows given: those inside a bracket are few
+            some = Indexed(rows, idx.n, size_profile(rows)[1])
+            return resample(rows, "i", n_iter, seed, method, hash, broadcast_limit, indexed=some)
+
+        return weigh
+
+    at = [[cols.index(c) for c in s] for s in sets]
+    groups = [(at, list(range(len(at))), seeds[0])] if len(seeds) == 1 else [([m], [s], seed) for s, (m, seed) in enumerate(zip(at, seeds))]
+    parts = []
+    for members, numbers, seed in groups:
+        values = group_values(
+            base, len(cols), members, len(measures), "mean" in stats, _points(measures, stats), weigher(seed), ["r"], SPREAD,
+            filter_first=method != "multinomial",
+        )
+        parts.append(values.withColumn("s", F.col("s") + F.lit(numbers[0])))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _for_median(rows: DataFrame, stats: Sequence[str], median_accuracy: int | None) -> DataFrame:
@@ -236,13 +261,11 @@ def boot_stats(
         out = _boot_cells(df, [by], measures, n_iter, seed, method, ci, interpolation, stats, "_set")
         return out.drop("_set")
     narrow = _narrow(df, key_columns(key), by, measures)
-    rows, sort_median = _exact_resample(
-        narrow, key, measures, n_iter, seed, method, hash, broadcast_limit, stats, median_accuracy
-    )
-    rows = _for_median(rows, stats, median_accuracy)
-    wide = wide_stats(
-        rows, by, measures, stats, weight="w", extra_by=["r"], median_accuracy=median_accuracy, median_sort=sort_median
-    )
+    if median_accuracy is None:
+        values = _boot_values(narrow, [by], by, key, measures, n_iter, [seed], method, hash, broadcast_limit, stats)
+        return percentile_ci(_long(values, by, measures, stats), [*by, "scale", "stat"], "value", ci, interpolation)
+    rows = _for_median(resample(narrow, key, n_iter, seed, method, hash, broadcast_limit), stats, median_accuracy)
+    wide = wide_stats(rows, by, measures, stats, weight="w", extra_by=["r"], median_accuracy=median_accuracy)
     reps = unpivot_stats(wide, [*by, "r"], measures, stats)
     return percentile_ci(reps, [*by, "scale", "stat"], "value", ci, interpolation)
 
@@ -294,35 +317,28 @@ def boot_stats_sets(
             if c not in all_cols:
                 all_cols.append(c)
     narrow = _narrow(df, key_columns(key), all_cols, measures)
+    if median_accuracy is None:
+        seeds = [seed] if shared else [seed + k for k in range(len(norm))]
+        values = _boot_values(narrow, norm, all_cols, key, measures, n_iter, seeds, method, hash, broadcast_limit, stats)
+        reps = _long(values, all_cols, measures, stats, [",".join(s) for s in norm], set_col)
+        return spread_names(percentile_ci(reps, [set_col, *all_cols, "scale", "stat"], "value", ci, interpolation), set_col, names)
     if shared:
-        rows, sort_median = _exact_resample(
-            narrow, key, measures, n_iter, seed, method, hash, broadcast_limit, stats, median_accuracy
-        )
-        rows = _for_median(rows, stats, median_accuracy)
-        wide, cols = grouping_sets_wide(
-            rows, asked, measures, stats, "w", extra_by=["r"], set_col=set_col, median_accuracy=median_accuracy,
-            median_sort=sort_median,
-        )
+        rows = _for_median(resample(narrow, key, n_iter, seed, method, hash, broadcast_limit), stats, median_accuracy)
+        wide, cols = grouping_sets_wide(rows, asked, measures, stats, "w", extra_by=["r"], set_col=set_col, median_accuracy=median_accuracy)
         reps = unpivot_stats(wide, [set_col, *cols, "r"], measures, stats)
         return percentile_ci(reps, [set_col, *cols, "scale", "stat"], "value", ci, interpolation)
     idx = row_index(narrow, key, hash=hash) if method == "exact" else None
-    sort_median = _sort_median_measures(narrow, measures, idx, broadcast_limit, stats, median_accuracy)
     parts = []
     for k, s in enumerate(norm):
         rows = resample(narrow, key, n_iter, seed + k, method, hash, broadcast_limit, indexed=idx)
         rows = _for_median(rows, stats, median_accuracy)
-        wide = wide_stats(
-            rows, s, measures, stats, weight="w", extra_by=["r"], median_accuracy=median_accuracy, median_sort=sort_median
-        )
+        wide = wide_stats(rows, s, measures, stats, weight="w", extra_by=["r"], median_accuracy=median_accuracy)
         reps = unpivot_stats(wide, [*s, "r"], measures, stats)
         out = percentile_ci(reps, [*s, "scale", "stat"], "value", ci, interpolation)
         missing = [F.lit(None).cast(df.schema[c].dataType).alias(c) for c in all_cols if c not in s]
         parts.append(out.select(F.lit(",".join(s)).alias(set_col), *[F.col(c) for c in s], *missing, "scale", "stat",
                                 *[c for c in out.columns if c not in s and c not in ("scale", "stat")]))
-    result = parts[0]
-    for p in parts[1:]:
-        result = result.unionByName(p)
-    result = spread_names(result, set_col, names)
+    result = spread_names(reduce(DataFrame.unionByName, parts), set_col, names)
     return result.select(set_col, *all_cols, *[c for c in result.columns if c not in (set_col, *all_cols)])
 
 

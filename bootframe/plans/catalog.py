@@ -18,7 +18,7 @@ from bootframe.functions.draws import poisson_weight_sql
 from bootframe.operators.columns import drop_columns, match_columns, string_columns
 from bootframe.operators.reshape import to_long
 from bootframe.operators.resample import exact_weights, row_index
-from bootframe.operators.stats import cohens_d, group_stats, grouping_sets_stats, level_counts, profile
+from bootframe.operators.stats import cohens_d, group_quantiles, group_stats, grouping_sets_stats, level_counts, profile
 from bootframe.plans.bootstrap import (
     boot_cohens_d,
     boot_custom,
@@ -239,16 +239,8 @@ SQL_TABLE_PROFILE = "SELECT count(*) AS n_rows, 5 AS n_cols FROM customer"
 
 
 def q_quantile_rules(spark: SparkSession, sf: str) -> DataFrame:
-    from bootframe.functions.quantiles import quantile_agg
-
-    orders = table(spark, sf, "orders")
-    aggs = []
-    for rule in ("nearest", "disc", "linear"):
-        aggs += [
-            quantile_agg("o_totalprice", 0.025, rule).alias(f"{rule}_lo"),
-            quantile_agg("o_totalprice", 0.975, rule).alias(f"{rule}_hi"),
-        ]
-    return rounded(orders.groupBy("o_orderstatus").agg(*aggs))
+    wanted = [(f"{rule}_{side}", q, rule) for rule in ("nearest", "disc", "linear") for side, q in (("lo", 0.025), ("hi", 0.975))]
+    return rounded(group_quantiles(table(spark, sf, "orders"), ["o_orderstatus"], "o_totalprice", wanted))
 
 
 SQL_QUANTILE_RULES = f"""

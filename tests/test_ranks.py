@@ -1,0 +1,134 @@
+"""Rank selection: medians and quantiles of groups against sorted lists, whatever the brackets."""
+
+import math
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from bootframe.operators import ranks
+from bootframe.operators.ranks import Point, group_values, supersets
+from bootframe.operators.stats import group_quantiles, group_stats, grouping_sets_stats
+from bootframe.plans.bootstrap import boot_stats, boot_stats_sets
+
+
+def rows_of(seed, n):
+    r = random.Random(seed)
+    out = []
+    for i in range(n):
+        g = r.choice(["a", "a", "a", "b", None])
+        h = r.choice([1, 2]) if g != "b" else 9
+        x = r.choice([None, 1.0, 2.0, r.gauss(0, 1), r.expovariate(1) * 1e9, -0.0, math.inf])
+        out.append((i, g, h, x, float(r.randrange(5)), r.randrange(1, 4)))
+    return out
+
+
+def table(spark, rows):
+    return spark.createDataFrame(rows, "id long, g string, h int, x double, y double, w long").repartition(7)
+
+
+def median(values):
+    v = sorted(values)
+    return 0.5 * v[(len(v) - 1) // 2] + 0.5 * v[len(v) // 2] if v else None
+
+
+def groups(rows, keys):
+    at = {"g": 1, "h": 2}
+    out = {}
+    for r in rows:
+        out.setdefault(tuple(r[at[k]] for k in keys), []).append(r)
+    return out
+
+
+@pytest.mark.parametrize("n", [1, 2, 700])
+@pytest.mark.parametrize("weighted", [False, True])
+def test_medians_and_means_of_groups(spark, n, weighted):
+    rows = rows_of(n, n)
+    got = {(r["g"], r["h"], r["scale"], r["stat"]): r["value"] for r in group_stats(table(spark, rows), ["g", "h"], ["x", "y"], weight="w" if weighted else None).collect()}
+    want = {}
+    for (g, h), mine in groups(rows, "gh").items():
+        for c, at in (("x", 3), ("y", 4)):
+            v = [r[at] for r in mine for _ in range(r[5] if weighted else 1) if r[at] is not None]
+            want[g, h, c, "median"] = median(v)
+            want[g, h, c, "mean"] = math.fsum(v) / len(v) if v else None
+    assert got.keys() == want.keys()
+    for k, v in want.items():
+        assert got[k] == (v if k[3] == "median" else pytest.approx(v, rel=1e-9)), k
+
+
+@pytest.mark.parametrize("spread", [None, 0.0, 1e-9])
+def test_brackets_change_the_work_not_the_result(spark, monkeypatch, spread):
+    rows = rows_of(4, 2000)
+    if spread == 1e-9:
+        # brackets that hold next to nothing: every group is selected over all its rows
+        real = ranks.brackets
+        monkeypatch.setattr(ranks, "brackets", lambda *a: real(*a).withColumn("lo0", F.lit(1e12)).withColumn("hi0", F.lit(1e12)))
+    base = table(spark, rows).select(F.col("g").alias("k0"), F.col("x").alias("x0"), "w")
+    got = {r["k0"]: r["value"] for r in group_values(base, 1, [[0]], 1, False, [Point(0)], spread=None if spread is None else 0.0).collect()}
+    want = {g: median([r[3] for r in mine for _ in range(r[5]) if r[3] is not None]) for (g,), mine in groups(rows, "g").items()}
+    assert got == want
+
+
+def test_coarser_sets_roll_up_from_finer_ones(spark):
+    assert supersets([[0], [1], [0, 1], [], [2]]) == [2, 2, 2, 4, 4]
+    assert supersets([[0], [0, 1, 2], [0, 1]]) == [1, 1, 1] and supersets([[]]) == [0]
+    rows = rows_of(5, 1500)
+    out = grouping_sets_stats(table(spark, rows), [["g"], ["h"], ["h", "g"], [], ["g"]], ["x"]).collect()
+    got = {(r["set"], r["g"], r["h"], r["stat"]): r["value"] for r in out}
+    assert len(got) == len(out)
+    for keys in ([], ["g"], ["h"], ["g", "h"]):
+        for k, mine in groups(rows, keys).items():
+            of = dict(zip(keys, k))
+            name = ",".join(["h", "g"] if len(keys) == 2 else keys)
+            assert got[name, of.get("g"), of.get("h"), "median"] == median([r[3] for r in mine if r[3] is not None])
+    assert len(got) == 2 * sum(len(groups(rows, k)) for k in ([], ["g"], ["h"], ["g", "h"]))
+
+
+def test_quantiles_of_several_rules_in_one_pass(spark):
+    rows = [(i, "a" if i % 3 else "b", 1, math.sin(i) * 100, 0.0, 1) for i in range(4001)]
+    wanted = [(f"{rule}_{int(q * 1000)}", q, rule) for rule in ("nearest", "disc", "linear") for q in (0.0, 0.025, 0.5, 0.975, 1.0)]
+    for r in group_quantiles(table(spark, rows), ["g"], "x", wanted).collect():
+        v = np.sort([x[3] for x in rows if x[1] == r["g"]])
+        for name, q, rule in wanted:
+            m = len(v)
+            want = {"nearest": v[math.floor((m - 1) * q + 0.5)], "disc": v[max(math.ceil(q * m), 1) - 1], "linear": np.quantile(v, q)}[rule]
+            assert r[name] == (pytest.approx(want, rel=1e-12) if rule == "linear" else want), name
+
+
+def test_replicate_medians_equal_row_by_row_resamples(spark):
+    """Replicate values over many rows, by the same weights: exact and poisson draws."""
+    from bootframe.operators.resample import resample
+
+    rows = [(i, "abc"[i % 3], i % 2, math.sin(i * i) * 1e3 if i % 50 else None, 0.0, 1) for i in range(3000)]
+    df = table(spark, rows).select("id", "g", "h", "x")
+    for method in ("exact", "poisson"):
+        out = boot_stats(df, "g", "id", ["x"], n_iter=25, method=method, stats=["median"], interpolation="linear", ci=0.5).collect()
+        weighted = resample(df, "id", 25, 42, method).collect()
+        for g in "abc":
+            reps = []
+            for r in range(25):
+                v = [x["x"] for x in weighted if x["r"] == r and x["g"] == g and x["x"] is not None for _ in range(x["w"])]
+                reps.append(median(v))
+            got = next(x for x in out if x["g"] == g)
+            assert (got["median"], got["ci50_ll"], got["ci50_ul"]) == pytest.approx(tuple(np.quantile(reps, [0.5, 0.25, 0.75])), rel=1e-12)
+
+
+def test_no_list_and_no_value_map_over_rows(spark):
+    rows = rows_of(6, 300)
+    df = table(spark, rows)
+    plans = []
+    for out in (group_stats(df, ["g"], ["x"]), boot_stats_sets(df, [["g"], ["h"]], "id", ["x"], n_iter=3)):
+        plans.append(out._jdf.queryExecution().optimizedPlan().toString())
+    assert all("percentile(" not in p.split("Aggregate")[-1] for p in plans) and "collect_list" not in plans[0]
+
+
+def test_empty_and_null_groups(spark):
+    df = table(spark, [(1, None, 1, None, 1.0, 1), (2, None, 1, None, 2.0, 1)])
+    got = {(r["g"], r["scale"], r["stat"]): r["value"] for r in group_stats(df, ["g"], ["x", "y"]).collect()}
+    assert got == {(None, "x", "mean"): None, (None, "x", "median"): None, (None, "y", "mean"): 1.5, (None, "y", "median"): 1.5}
+    assert group_stats(df.limit(0), ["g"], ["x"]).count() == 0
+    with pytest.raises(ValueError):
+        group_stats(df, ["g"], ["x"], stats=["mode"])
+    with pytest.raises(ValueError):
+        Point(0, 0.5, "mode").ranks(F.lit(1))

@@ -88,48 +88,3 @@ def test_cohens_d_edges(spark):
     null_group = [("a", 1.0), ("a", 3.0), (None, 9.0), ("b", 2.0), ("b", 5.0)]
     assert _d(null_group, spark=spark)["d"] is None
     assert _d(null_group, na="omit", spark=spark)["d"] == pytest.approx(clean["d"])
-
-
-def test_sorted_median_equals_percentile_bit_for_bit(spark):
-    import random
-
-    from bootframe.operators.stats import sorted_median
-
-    rnd = random.Random(3)
-    rows = [(f"g{i % 7}", None if i % 13 == 0 else rnd.uniform(-1e3, 1e3)) for i in range(2000)]
-    rows += [("empty", None), ("one", 4.25)]
-    df = spark.createDataFrame(rows, "g string, x double")
-    a = {r["g"]: r["m"] for r in df.groupBy("g").agg(sorted_median(F.col("x")).alias("m")).collect()}
-    b = {r["g"]: r["m"] for r in df.groupBy("g").agg(F.percentile("x", F.lit(0.5)).alias("m")).collect()}
-    assert a == b
-
-
-def test_median_strategy_follows_the_data(spark):
-    import contextlib
-    import io
-
-    from bootframe.plans.bootstrap import boot_stats
-
-    rows = [(i, "a" if i % 2 else "b", float(i % 5), i * 1.37) for i in range(400)]
-    df = spark.createDataFrame(rows, "k long, g string, discrete double, continuous double")
-
-    def plan(scale):
-        buf = io.StringIO()
-        with contextlib.redirect_stdout(buf):
-            boot_stats(df, "g", "k", [scale], n_iter=5).explain()
-        return buf.getvalue()
-
-    assert "percentile(discrete" in plan("discrete")
-    assert "collect_list(continuous" in plan("continuous")
-
-
-def test_group_stats_same_result_with_or_without_sorted_median(spark, monkeypatch):
-    from bootframe.operators import stats as S
-
-    rows = [(f"g{i % 3}", i * 0.731 if i % 11 else None) for i in range(900)]
-    df = spark.createDataFrame(rows, "g string, x double")
-    sorted_path = {(r["g"], r["stat"]): r["value"] for r in S.group_stats(df, ["g"], ["x"]).collect()}
-    monkeypatch.setattr(S, "SORT_MEDIAN_MAX_ROWS", 10)  # groups of 300 rows exceed it: map path
-    map_path = {(r["g"], r["stat"]): r["value"] for r in S.group_stats(df, ["g"], ["x"]).collect()}
-    assert sorted_path == map_path
-    assert S.sort_median_measures(df, [["g"]], ["x"], ["median"]) == []
