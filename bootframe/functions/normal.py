@@ -56,10 +56,11 @@ def norm_ppf(p: Column | float) -> Column:
     q = p - F.lit(0.5)
     rc = F.lit(0.180625) - q * q
     central = q * _poly(_A, rc) / _poly(_B, rc)
+    # bound once: the polynomials read r some thirty times
     r = F.sqrt(-F.log(F.least(p, F.lit(1.0) - p)))
-    mid = _poly(_C, r - F.lit(1.6)) / _poly(_D, r - F.lit(1.6))
-    far = _poly(_E, r - F.lit(5.0)) / _poly(_F, r - F.lit(5.0))
-    tail = F.when(r <= F.lit(5.0), mid).otherwise(far)
+    near = lambda r: _poly(_C, r - F.lit(1.6)) / _poly(_D, r - F.lit(1.6))
+    away = lambda r: _poly(_E, r - F.lit(5.0)) / _poly(_F, r - F.lit(5.0))
+    tail = F.transform(F.array(r), lambda r: F.when(r <= F.lit(5.0), near(r)).otherwise(away(r)))[0]
     tail = F.when(q < F.lit(0.0), -tail).otherwise(tail)
     value = F.when(F.abs(q) <= F.lit(0.425), central).otherwise(tail)
     return F.when((p > F.lit(0.0)) & (p < F.lit(1.0)), value)

@@ -16,26 +16,26 @@ cells does not grow with the table: a 100 TB table of scores collapses to
 thousands of cells in one map-side-combined aggregate, and the bootstrap itself
 becomes small. For continuous measures cells ≈ rows and this saves nothing.
 
-Each cell's weights come from a numpy generator seeded by (seed, hash of the
-cell), so they do not depend on partitioning. Statistics of different scales
-(or sets) get independent weights: intervals are per (group, scale, stat) and
-their distributions are unchanged; only the joint dependence across scales is
-not kept.
+Poisson weights are functions of (seed, replicate, cell) in column arithmetic, exact-n ones come from
+numpy generators seeded by (seed, set, scale, replicate), so neither depends on partitioning. Statistics of different scales (or sets) get independent weights: intervals are per
+(group, scale, stat) and their distributions are unchanged; only the joint dependence across
+scales is not kept.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bootframe.functions.draws import normal_of_piece, poisson_of_piece, poisson_pieces, uniform, zero_below
 from bootframe.operators.columns import set_name
+from bootframe.session import parallelism
 
-_CELL_SALT = 13
 _MULTI_SALT = 17
 #: largest number of cells of one (set, scale) for exact-n cell draws (one pandas group)
 MAX_CELLS = 1 << 22
@@ -44,7 +44,7 @@ OUT_CELLS = 1 << 22
 
 
 def set_cells(df: DataFrame, sets: Sequence[Sequence[str]], scales: Sequence[str], set_col: str = "set") -> DataFrame:
-    """(set, keys..., scale, value, c, h): value counts per (set group, scale); h seeds the cell.
+    """(set, keys..., scale, value, c): value counts per (set group, scale).
 
     One scan: each row is expanded to (set, scale) pairs and counted with
     map-side partial aggregation. Keys a set does not use are NULL.
@@ -68,40 +68,32 @@ def set_cells(df: DataFrame, sets: Sequence[Sequence[str]], scales: Sequence[str
             )
     expanded = df.select(F.inline(F.array(*arms)))
     keys = [set_col, *all_cols, "scale", "value"]
-    counted = expanded.groupBy(*keys).agg(F.count(F.lit(1)).alias("c"))
-    return counted.withColumn("h", F.xxhash64(*[F.col(k) for k in keys]))
+    return expanded.groupBy(*keys).agg(F.count(F.lit(1)).alias("c"))
 
 
-def poisson_cell_weights(cells: DataFrame, n_iter: int, seed: int = 42) -> DataFrame:
-    """Cells × replicates with weight ``w ~ Poisson(c)`` > 0: adds ``r`` and ``w``, drops ``c``, ``h``."""
+def _cell_parts(cells: DataFrame) -> list[Column]:
+    """What a cell's draws are hashed from: its columns as text ("~" for null)."""
+    return [F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in cells.columns if c != "c"]
+
+
+def poisson_cell_weights(cells: DataFrame, n_iter: int, seed: int = 42, hash: str = "xxhash64", rate: float = 1.0) -> DataFrame:
+    """Cells × replicates with weight ``w ~ Poisson(rate · c)``: adds ``r`` and ``w``, drops ``c``.
+
+    A small count's weight comes in several rows, one for each of its pieces (none for pieces of weight 0).
+    """
     if n_iter < 1:
         raise ValueError("n_iter must be at least 1")
-    keep = [c for c in cells.columns if c not in ("c", "h")]
-    fields = [f for f in cells.schema.fields if f.name in keep]
-    schema = T.StructType([*fields, T.StructField("r", T.LongType()), T.StructField("w", T.LongType())])
-    mask = (1 << 63) - 1
-
-    def gen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            idx_parts, r_parts, w_parts = [], [], []
-            counts = batch["c"].to_numpy()
-            hashes = batch["h"].to_numpy()
-            for j in range(len(batch)):
-                rng = np.random.default_rng([int(seed), _CELL_SALT, int(hashes[j]) & mask])
-                w = rng.poisson(float(counts[j]), n_iter)
-                hit = np.flatnonzero(w)
-                idx_parts.append(np.full(len(hit), j))
-                r_parts.append(hit)
-                w_parts.append(w[hit])
-            if not idx_parts:
-                continue
-            idx = np.concatenate(idx_parts)
-            out = {c: batch[c].to_numpy()[idx] for c in keep}
-            out["r"] = np.concatenate(r_parts).astype(np.int64)
-            out["w"] = np.concatenate(w_parts).astype(np.int64)
-            yield pd.DataFrame(out)
-
-    return cells.mapInPandas(gen, schema)
+    parts = _cell_parts(cells)
+    # the cell table is small by design; spread it so the draws use every core
+    reps = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(int(n_iter) - 1).cast("bigint")))
+    pieces = cells.withColumn("_piece", F.explode(poisson_pieces(F.col("c")))).repartition(2 * parallelism(cells.sparkSession))
+    drawn = pieces.select(*[c for c in cells.columns if c != "c"], F.col("_piece.size").alias("_size"), F.col("_piece.tag").alias("_tag"), reps.alias("r"))
+    # the uniform and the normal are columns of their own: what reads them often doesn't compute them again
+    drawn = drawn.withColumn("_u", uniform(seed, [F.col("r"), *parts, F.col("_tag")], hash))
+    # pieces that weigh 0 go by the uniform; a filter on w would be pushed down and draw everything twice
+    drawn = drawn.where(F.col("_u") >= zero_below(F.col("_size"), rate))
+    drawn = drawn.withColumn("_z", normal_of_piece(F.col("_size"), F.col("_u")))
+    return drawn.withColumn("w", poisson_of_piece(F.col("_size"), rate, F.col("_u"), F.col("_z"))).drop("_size", "_tag", "_u", "_z")
 
 
 def multinomial_cell_weights(
@@ -109,7 +101,7 @@ def multinomial_cell_weights(
 ) -> DataFrame:
     """Exact-n replicate weights over cells: per (set, scale) and replicate, Multinomial(n, c / n).
 
-    Adds ``r`` and ``w`` (> 0), drops ``c`` and ``h``. Each (set, scale) is one group of
+    Adds ``r`` and ``w`` (> 0), drops ``c``. Each (set, scale) is one group of
     at most ``max_cells`` cells (checked first; a continuous measure fails the check and
     should be resampled by rows). Its replicates are split into chunks so one pandas call
     returns about ``OUT_CELLS`` rows. Draws are seeded by (seed, set, scale, r) and cells are
@@ -128,6 +120,7 @@ def multinomial_cell_weights(
     keep = [c for c in cells.columns if c not in ("c", "h")]
     fields = [f for f in cells.schema.fields if f.name in keep]
     schema = T.StructType([*fields, T.StructField("r", T.LongType()), T.StructField("w", T.LongType())])
+    cells = cells.withColumn("h", F.xxhash64(*[F.col(c) for c in cells.columns if c != "c"]))
     tagged = cells.withColumn("_gh", F.xxhash64(F.col(set_col), F.col("scale")))
     tagged = tagged.withColumn("_rc", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
     mask = (1 << 63) - 1

@@ -1,159 +1,85 @@
-"""Exact-n resampling without moving any draw across the network.
-
-Every replicate draws exactly ``n`` rows uniformly with replacement, as in the
-reference, but the draws are generated where the rows live:
-
-1. Rows are hash-bucketed by their unique key into ``P = ceil(n / rows_per_bucket)``
-   buckets: one shuffle of the narrow table, sorted by key within each bucket.
-2. How many of replicate r's ``n`` draws fall into bucket b is one multinomial
-   split of ``n`` over the bucket sizes. It is drawn as a binary tree of binomial
-   splits, each seeded by ``(seed, node)``; any task walks the tree from the root
-   to its own bucket and gets the same counts as every other task (P sizes are
-   the only shared input, a bounded list).
-3. Inside its task, bucket b spreads its ``c[r, b]`` draws uniformly over its own
-   rows (numpy, seeded by ``(seed, r, b)``) and emits the rows drawn, with their
-   frequency ``w``, straight into the partial aggregate of the same stage.
-
-Memory per task: one bucket (≤ ``rows_per_bucket`` rows). No draw is shuffled;
-weights depend only on (seed, key set), not on partitioning, so a lost task
-recomputes the same rows.
+"""Exact-n resampling without moving the n·B draws.
+
+Every replicate draws exactly ``n`` rows uniformly with replacement, as in the reference, in two parts:
+
+1. *In place.* Each row weighs Poisson(rate) by the inverse CDF of ``hash(seed, r, key)``, with a
+   rate a little below 1 (:func:`base_rate`). Nothing moves. Given their sum S, the weights are
+   Multinomial(S, 1/n).
+2. *Topped up.* The ``n - S`` missing draws of each replicate, about ``RESERVE`` · sqrt(n) of them,
+   pick rows by ``hash(seed, r, s) mod n`` and meet the rows on a dense index. Added to the
+   weights of part 1 they are Multinomial(n, 1/n), exactly, whatever S.
+
+A replicate with S > n can't be topped up; that happens about once in 10^9 replicates, and then
+the whole run is drawn anew (which depends on S alone, so the distribution stays exact).
+Weights are functions of (seed, r, key) and of the row's number, never of the partitioning; both parts
+work on any subset of the rows. For small n the rate is 0 and part 2 draws all. The driver
+sees one number a replicate.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
+from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from bootframe.functions.draws import hash_bits
-from bootframe.session import parallelism
-
-ROWS_PER_BUCKET = 1 << 20
-#: rows per Arrow batch handed back to the JVM
-OUT_BATCH_ROWS = 1 << 18
-#: cells of the per-step (replicates × bucket rows) count matrix
-LEAF_CELLS = 1 << 22
-_TREE_SALT = 7
-_LEAF_SALT = 11
-
-
-def bucket_draw_counts(sizes: np.ndarray, n_iter: int, seed: int, bucket: int) -> np.ndarray:
-    """Draws of each replicate that land in ``bucket``: shape (n_iter,).
-
-    Walks the binary tree over bucket ids [0, P) from the root; at each node the
-    node's count splits as Binomial(count, size_left / size_node), seeded by the node.
-    Jointly over buckets this is Multinomial(n, sizes / n) per replicate.
-    """
-    prefix = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
-    lo, hi, node = 0, len(sizes), 1
-    count = np.full(n_iter, int(prefix[-1]), dtype=np.int64)
-    while hi - lo > 1:
-        mid = (lo + hi) // 2
-        left_size = prefix[mid] - prefix[lo]
-        node_size = prefix[hi] - prefix[lo]
-        rng = np.random.default_rng([int(seed), _TREE_SALT, node])
-        left = rng.binomial(count, left_size / node_size) if node_size > 0 else np.zeros_like(count)
-        if bucket < mid:
-            count, hi, node = left, mid, 2 * node
-        else:
-            count, lo, node = count - left, mid, 2 * node + 1
-    return count
-
-
-def _leaf_draws(n_rows: int, draws: int, seed: int, r: int, bucket: int) -> np.ndarray:
-    """Row positions (in key order) drawn by replicate ``r`` inside ``bucket``."""
-    rng = np.random.default_rng([int(seed), _LEAF_SALT, int(bucket), int(r)])
-    return rng.integers(0, n_rows, int(draws))
-
-
-def bucket_weights(n_rows: int, draws: int, seed: int, r: int, bucket: int) -> np.ndarray:
-    """Frequencies of the bucket's rows (by key order) for ``draws`` uniform draws."""
-    return np.bincount(_leaf_draws(n_rows, draws, seed, r, bucket), minlength=n_rows)
-
-
-def multinomial_resample(
-    df: DataFrame,
-    key: str | Sequence[str],
-    n_iter: int,
-    seed: int = 42,
-    rows_per_bucket: int = ROWS_PER_BUCKET,
-) -> DataFrame:
-    """Weighted replicate rows (``df``'s columns + ``r``, ``w``) for exact-n resamples, drawn in place."""
+from bootframe.operators.resample import key_columns, poisson_rows, row_index
+from bootframe.session import cut_lineage
+
+#: standard deviations that part 1 stays below n on average
+RESERVE = 6.0
+#: seeds of further runs are this far apart
+SEED_STEP = 1_000_003
+
+
+def base_rate(n: int) -> float:
+    """Rate of the draws in place: their sum exceeds ``n`` about once in 10^9 replicates."""
+    return max(0.0, 1.0 - RESERVE / n**0.5)
+
+
+@dataclass(frozen=True)
+class ExactN:
+    """Exact-n weights of ``n_iter`` replicates, ready to be put on rows (or on some of them)."""
+
+    n: int
+    keys: list[str]
+    n_iter: int
+    seed: int
+    hash: str
+    extra: DataFrame  # (r, i, w): the draws that top up
+    index_col: str = "i"
+
+    def weigh(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (with the keys and the row number) with ``r`` and ``w`` > 0; a row may come twice
+        in a replicate, once from each part: its weight is the sum."""
+        placed = poisson_rows(rows, self.keys, self.n_iter, self.seed, self.hash, base_rate(self.n))
+        topped = rows.join(self.extra, self.index_col).select(*rows.columns, "r", "w")
+        return placed.select(*rows.columns, "r", "w").unionByName(topped)
+
+
+def exact_n(indexed: DataFrame, n: int, keys: Sequence[str], n_iter: int, seed: int = 42, hash: str = "xxhash64", index_col: str = "i") -> ExactN:
+    """Plan the weights of the ``n`` rows of ``indexed`` (unique keys, numbers 0..n-1)."""
+    spark = indexed.sparkSession
+    while True:
+        placed = poisson_rows(indexed.select(*keys), keys, n_iter, seed, hash, base_rate(n))
+        sums = {row["r"]: int(row["s"]) for row in placed.groupBy("r").agg(F.sum("w").alias("s")).collect()}
+        if max(sums.values(), default=0) <= n:
+            break
+        seed += SEED_STEP
+    missing = spark.createDataFrame([(r, n - sums.get(r, 0)) for r in range(n_iter)], "r long, missing long")
+    draws = missing.where("missing > 0").repartition(min(n_iter, 64)).select("r", F.explode(F.expr("sequence(0L, missing - 1)")).alias("s"))
+    at = F.pmod(hash_bits(seed, [F.col("r"), F.col("s"), F.lit("top")], hash), F.lit(int(n)).cast("bigint"))
+    extra = cut_lineage(draws.select("r", at.alias(index_col)).groupBy("r", index_col).agg(F.count(F.lit(1)).alias("w")))
+    return ExactN(n, list(keys), n_iter, seed, hash, extra, index_col)
+
+
+def multinomial_resample(df: DataFrame, key: str | Sequence[str], n_iter: int, seed: int = 42, hash: str = "xxhash64") -> DataFrame:
+    """Weighted replicate rows (``df``'s columns + ``r``, ``w``) for exact-n resamples; see :class:`ExactN`."""
     if n_iter < 1:
         raise ValueError("n_iter must be at least 1")
-    keys = [key] if isinstance(key, str) else list(key)
-    spark = df.sparkSession
-    n = df.count()
-    if n == 0:
-        raise ValueError("cannot resample an empty table")
-    p = max(1, math.ceil(n / rows_per_bucket))
-    bucketed = df.withColumn("_b", F.pmod(hash_bits(0, [F.col(k) for k in keys], "xxhash64"), F.lit(p)).cast("int"))
-    # P rows of bucket sizes (P = ceil(n / rows_per_bucket)): a bounded collect,
-    # shipped once per executor as a broadcast variable rather than with every task.
-    sizes = np.zeros(p, dtype=np.int64)
-    for row in bucketed.groupBy("_b").count().collect():
-        sizes[row["_b"]] = row["count"]
-    try:
-        sizes_bc = spark.sparkContext.broadcast(sizes)
-        read_sizes = lambda: sizes_bc.value
-    except Exception:  # noqa: BLE001 - remote sessions: ship with the function
-        read_sizes = lambda: sizes
-    # Few buckets (small n) would leave cores idle: split each bucket's replicates into
-    # k chunks handled by different tasks (the bucket's rows are copied k times).
-    # Weights depend on (seed, r, bucket) only, so k does not change any result.
-    cores = parallelism(spark)
-    k = max(1, min(n_iter, math.ceil(2 * cores / p)))
-    if k > 1:
-        bucketed = bucketed.withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-    else:
-        bucketed = bucketed.withColumn("_c", F.lit(0))
-    parts = max(cores, min(p * k, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    order = [*keys, *[c for c in df.columns if c not in keys]]  # ties broken by content
-    laid_out = bucketed.repartition(parts, "_b", "_c").sortWithinPartitions("_b", "_c", *order)
-    chunk = math.ceil(n_iter / k)
-    cols = list(df.columns)
-    out_schema = T.StructType([*df.schema.fields, T.StructField("r", T.LongType()), T.StructField("w", T.LongType())])
-
-    def emit(bucket: int, part: int, frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        counts = bucket_draw_counts(read_sizes(), n_iter, seed, bucket)
-        m = len(frame)
-        columns = {c: frame[c].to_numpy() for c in cols}
-        first, last = part * chunk, min(n_iter, (part + 1) * chunk)
-        # replicates per step: bounds the (replicates × rows) count matrix to ~4M cells
-        step = max(1, min(n_iter, LEAF_CELLS // max(m, 1)))
-        for r0 in range(first, last, step):
-            r1 = min(last, r0 + step)
-            codes = [
-                (r - r0) * m + _leaf_draws(m, counts[r], seed, r, bucket) for r in range(r0, r1) if counts[r] > 0
-            ]
-            if not codes:
-                continue
-            w = np.bincount(np.concatenate(codes), minlength=(r1 - r0) * m).reshape(r1 - r0, m)
-            rr, jj = np.nonzero(w)
-            for lo in range(0, len(jj), OUT_BATCH_ROWS):
-                sl = slice(lo, lo + OUT_BATCH_ROWS)
-                out = {c: arr[jj[sl]] for c, arr in columns.items()}
-                out["r"] = (rr[sl] + r0).astype(np.int64)
-                out["w"] = w[rr[sl], jj[sl]].astype(np.int64)
-                yield pd.DataFrame(out)
-
-    def generate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current: tuple[int, int] | None = None
-        held: list[pd.DataFrame] = []
-        for batch in batches:
-            # rows arrive sorted by (bucket, chunk, key); a bucket may span batches
-            for (b, c), rows in batch.groupby(["_b", "_c"], sort=False):
-                if current is not None and (b, c) != current:
-                    yield from emit(*current, pd.concat(held, ignore_index=True))
-                    held = []
-                current = (int(b), int(c))
-                held.append(rows)
-        if current is not None:
-            yield from emit(*current, pd.concat(held, ignore_index=True))
-
-    return laid_out.mapInPandas(generate, out_schema)
+    keys = key_columns(key)
+    idx = row_index(df, keys, hash=hash)
+    rows = cut_lineage(idx.df)
+    return exact_n(rows, idx.n, keys, n_iter, seed, hash).weigh(rows).drop(idx.index_col)

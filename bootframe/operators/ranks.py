@@ -25,7 +25,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bootframe.session import cut_lineage
@@ -51,30 +51,35 @@ class Point:
     q: float = 0.5
     rule: str = "median"
 
-    def ranks(self, m: Column) -> tuple[Column, Column]:
-        """The two ranks (from 1) it is made of, among ``m`` values."""
-        q = F.lit(float(self.q))
+    def ranks(self, m: str) -> tuple[str, str]:
+        """SQL of the two ranks (from 1) it is made of, among ``m`` values."""
+        q = f"{float(self.q)!r}D"
         if self.rule == "median":
-            return F.floor((m + 1) / 2), F.floor(m / 2) + 1
+            return f"floor(({m} + 1) / 2)", f"floor({m} / 2) + 1"
+        if self.rule == "linear":
+            return f"floor(({m} - 1) * {q}) + 1", f"ceil(({m} - 1) * {q}) + 1"
         if self.rule == "nearest":
-            k = F.floor((m - 1) * q + F.lit(0.5)) + 1
+            k = f"floor(({m} - 1) * {q} + 0.5D) + 1"
         elif self.rule == "disc":
-            k = F.greatest(F.ceil(m * q), F.lit(1))
-        elif self.rule == "linear":
-            return F.floor((m - 1) * q) + 1, F.ceil((m - 1) * q) + 1
+            k = f"greatest(ceil({m} * {q}), 1)"
         else:
             raise ValueError(f"rule must be one of {RULES}, got {self.rule!r}")
         return k, k
 
-    def value(self, lo: Column, hi: Column, m: Column) -> Column:
+    def value(self, lo: str, hi: str, m: str) -> str:
         if self.rule == "median":
-            return F.lit(0.5) * lo + F.lit(0.5) * hi
+            return f"0.5D * {lo} + 0.5D * {hi}"
         if self.rule == "linear":
-            place, (first, last) = (m - 1) * F.lit(float(self.q)), self.ranks(m)
-            return F.when(first == last, lo).otherwise((last - 1 - place) * lo + (place - (first - 1)) * hi)
+            place, (first, last) = f"(({m} - 1) * {float(self.q)!r}D)", self.ranks(m)
+            return f"CASE WHEN {first} = {last} THEN {lo} ELSE ({last} - 1 - {place}) * {lo} + ({place} - ({first} - 1)) * {hi} END"
         return lo
 
 
+def slots_of(points: Sequence[Point]) -> list[tuple[int, float]]:
+    """The different (measure, quantile) of the points: points that share one share a bracket."""
+    return list(dict.fromkeys((p.measure, p.q) for p in points))
+
+
 def supersets(sets: Sequence[Sequence[int]]) -> list[int]:
     """For each set the one it is rolled up from: the smallest set of the list that has all its
     members and isn't part of another (itself, if there is no larger one)."""
@@ -87,70 +92,63 @@ def _keys(n: int) -> list[str]:
     return [f"k{i}" for i in range(n)]
 
 
-def brackets(base: DataFrame, n_keys: int, sets: Sequence[Sequence[int]], points: Sequence[Point], spread: float = 0.0) -> DataFrame:
-    """(s, k…, lo0, hi0, lo1, …): a range of values per set, group and point; null: no bound."""
+def brackets(base: DataFrame, n_keys: int, sets: Sequence[Sequence[int]], slots: Sequence[tuple[int, float]], spread: float = 0.0) -> DataFrame:
+    """(s, k…, lo0, hi0, lo1, …): a range of values per set, group and slot; null: no bound."""
     halves = [2.0 ** (-j / 2) for j in range(STEPS + 1)]
     aggs = []
-    for p, point in enumerate(points):
-        x = F.col(f"x{point.measure}")
-        shares = [min(max(point.q + sign * h, 0.0), 1.0) for h in halves for sign in (-1, 1)]
-        aggs += [F.count(x).alias(f"n{p}"), F.percentile_approx(x, F.array(*[F.lit(s) for s in shares]), F.lit(ACCURACY)).alias(f"a{p}")]
+    for b, (measure, q) in enumerate(slots):
+        shares = ", ".join(f"{min(max(q + sign * h, 0.0), 1.0)!r}D" for h in halves for sign in (-1, 1))
+        aggs += [F.expr(f"count(x{measure}) AS n{b}"), F.expr(f"percentile_approx(x{measure}, array({shares}), {ACCURACY}) AS a{b}")]
     keys = _keys(n_keys)
     if any(sets):
         # grouping_id: a bit a column, the first one highest, set where the set doesn't group by it
         gid = [sum(1 << (n_keys - 1 - i) for i in range(n_keys) if i not in s) for s in sets]
         found = base.groupingSets([[F.col(f"k{i}") for i in s] for s in sets], *[F.col(k) for k in keys]).agg(*aggs, F.grouping_id().alias("g"))
-        found = found.withColumn("s", reduce(lambda c, kg: c.when(F.col("g") == kg[1], kg[0]), enumerate(gid), F.when(F.lit(False), -1)))
+        number = "CASE g " + " ".join(f"WHEN {g} THEN {s}" for s, g in enumerate(gid)) + " END AS s"
     else:
-        found = base.agg(*aggs).withColumns({"s": F.lit(0), **{k: F.lit(None).cast(base.schema[k].dataType) for k in keys}})
-    out = []
-    for p, point in enumerate(points):
-        n = F.greatest(F.col(f"n{p}"), F.lit(1)).cast("double")
-        need = F.lit(spread * (point.q * (1 - point.q)) ** 0.5) / F.sqrt(n) + F.lit(3.0) / n + F.lit(3.0 / ACCURACY)
-        j = F.greatest(F.least(F.floor(-2 * F.log2(need)), F.lit(STEPS)), F.lit(0)).cast("int")
-        half = F.pow(F.lit(2.0), -j / F.lit(2.0))
-        known = F.col(f"n{p}") > 0
-        out += [
-            F.when(known & (F.lit(point.q) - half > 0), F.try_element_at(f"a{p}", 2 * j + 1)).alias(f"lo{p}"),
-            F.when(known & (F.lit(point.q) + half < 1), F.try_element_at(f"a{p}", 2 * j + 2)).alias(f"hi{p}"),
-        ]
-    return found.select("s", *keys, *out)
-
-
-def _flag(p: int, s: int) -> tuple[str, int]:
-    """Column and first bit of the place of point ``p`` in set ``s``."""
-    return f"f{p}_{s // SETS_A_FLAG}", 2 * (s % SETS_A_FLAG)
-
-
-def placed(base: DataFrame, found: DataFrame | None, sets: Sequence[Sequence[int]], points: Sequence[Point]) -> DataFrame:
-    """``base`` with flags: two bits per point and set, the place of the row's value in its group's bracket."""
-    bounds = [f"{side}{p}" for p in range(len(points)) for side in ("lo", "hi")]
-    flags: dict[str, Column] = {}
+        found = base.agg(*aggs).withColumns({k: F.lit(None).cast(base.schema[k].dataType) for k in keys})
+        number = "0 AS s"
+    steps, out = [], []
+    for b, (_, q) in enumerate(slots):
+        n = f"greatest(n{b}, 1)"
+        need = f"{spread * (q * (1 - q)) ** 0.5!r}D / sqrt({n}) + 3D / {n} + {3 / ACCURACY!r}D"
+        steps.append(f"CAST(greatest(least(floor(-2D * log2({need})), {STEPS}), 0) AS int) AS j{b}")
+        out += [f"CASE WHEN n{b} > 0 AND {q!r}D - pow(2D, -j{b} / 2D) > 0 THEN try_element_at(a{b}, 2 * j{b} + 1) END AS lo{b}"]
+        out += [f"CASE WHEN n{b} > 0 AND {q!r}D + pow(2D, -j{b} / 2D) < 1 THEN try_element_at(a{b}, 2 * j{b} + 2) END AS hi{b}"]
+    return found.selectExpr("*", *steps).selectExpr(number, *keys, *out)
+
+
+def _flag(b: int, s: int) -> tuple[str, int]:
+    """Column and first bit of the place of slot ``b`` in set ``s``."""
+    return f"f{b}_{s // SETS_A_FLAG}", 2 * (s % SETS_A_FLAG)
+
+
+def placed(base: DataFrame, found: DataFrame | None, sets: Sequence[Sequence[int]], slots: Sequence[tuple[int, float]]) -> DataFrame:
+    """``base`` with flags: two bits per slot and set, the place of the row's value in its group's bracket."""
+    bounds = [f"{side}{b}" for b in range(len(slots)) for side in ("lo", "hi")]
+    flags: dict[str, list[str]] = {}
+    columns = base.columns
     for s, members in enumerate(sets):
-        if found is None:
-            for p, point in enumerate(points):
-                name, bit = _flag(p, s)
-                bits = F.shiftleft(F.when(F.col(f"x{point.measure}").isNull(), NULL).otherwise(INSIDE).cast("bigint"), bit)
-                flags[name] = flags[name].bitwiseOR(bits) if name in flags else bits
-            continue
-        mine = found.where(F.col("s") == s).select(*[F.col(f"k{i}").alias(f"b{s}_{i}") for i in members], *[F.col(b).alias(f"b{s}_{b}") for b in bounds])
-        if members:
-            base = base.join(mine, reduce(Column.__and__, [F.col(f"k{i}").eqNullSafe(F.col(f"b{s}_{i}")) for i in members]), "left")
-            of = {b: F.col(f"b{s}_{b}") for b in bounds}
-        else:
-            row = mine.first()  # the one group of the empty set
-            of = {b: F.lit(row[f"b{s}_{b}"]).cast("double") for b in bounds}
-        for p, point in enumerate(points):
-            x, lo, hi = F.col(f"x{point.measure}"), of[f"lo{p}"], of[f"hi{p}"]
-            place = F.when(x.isNull(), NULL).when(lo.isNotNull() & (x < lo), BELOW).when(hi.isNotNull() & (x > hi), ABOVE).otherwise(INSIDE)
-            name, bit = _flag(p, s)
-            bits = F.shiftleft(place.cast("bigint"), bit)
-            flags[name] = flags[name].bitwiseOR(bits) if name in flags else bits
-    return base.select(*[c for c in base.columns if not c.startswith("b") or "_" not in c], *[c.alias(n) for n, c in flags.items()])
-
-
-def _place(flags: Column, bit: int) -> Column:
-    return F.shiftright(flags, bit).bitwiseAND(F.lit(3).cast("bigint"))
+        of = {b: "NULL" for b in bounds}
+        if found is not None:
+            mine = found.where(f"s = {s}").selectExpr(*[f"k{i} AS b{s}_{i}" for i in members], *[f"{b} AS b{s}_{b}" for b in bounds])
+            if members:
+                base = base.join(mine, F.expr(" AND ".join(f"k{i} <=> b{s}_{i}" for i in members)), "left")
+                of = {b: f"b{s}_{b}" for b in bounds}
+            else:
+                row = mine.first()  # the one group of the empty set
+                of = {b: "NULL" if row[f"b{s}_{b}"] is None else f"CAST('{row[f'b{s}_{b}']!r}' AS DOUBLE)" for b in bounds}
+        for b, (measure, _) in enumerate(slots):
+            x, lo, hi = f"x{measure}", of[f"lo{b}"], of[f"hi{b}"]
+            place = f"CASE WHEN {x} IS NULL THEN {NULL}L WHEN {x} < {lo} THEN {BELOW}L WHEN {x} > {hi} THEN {ABOVE}L ELSE {INSIDE}L END"
+            name, bit = _flag(b, s)
+            flags.setdefault(name, []).append(f"shiftleft({place}, {bit})")
+    return base.selectExpr(*columns, *[f"{' | '.join(bits)} AS {n}" for n, bits in flags.items()])
+
+
+def _place(b: int, s: int) -> str:
+    name, bit = _flag(b, s)
+    return f"(shiftright({name}, {bit}) & 3L)"
 
 
 def group_values(
@@ -163,7 +161,6 @@ def group_values(
     weigh: Callable[[DataFrame], DataFrame] | None = None,
     extra: Sequence[str] = (),
     spread: float | None = 0.0,
-    filter_first: bool = True,
 ) -> DataFrame:
     """Means and order statistics of every group of every set.
 
@@ -171,134 +168,124 @@ def group_values(
     ``weigh`` adds the columns ``extra`` (a replicate number) and a frequency ``w``; without
     it rows count once, or ``w`` times if ``base`` has that column. ``sets``: key numbers.
     ``spread``: see :data:`SPREAD` (0: rows aren't resampled; None: no brackets, all rows are selected from).
-    ``filter_first``: a row's weights don't depend on the other rows that are given.
+    A row's weights must not depend on which other rows are given.
     Returns (s, k…, extra…, point, value): point is -1 - j for the mean of ``x{j}``, else the
     number of the point. Keys a set doesn't group by are null.
     """
-    keys = _keys(n_keys)
+    keys, slots = _keys(n_keys), slots_of(points)
+    for point in points:
+        point.ranks("m")  # refuses an unknown rule before any job runs
     weigh = weigh or (lambda rows: rows if "w" in rows.columns else rows.withColumn("w", F.lit(1).cast("bigint")))
     flagged = base
     if points:
-        found = None if spread is None else cut_lineage(brackets(base, n_keys, sets, points, spread))
-        flagged = placed(base, found, sets, points)
-    totals = _totals(weigh(flagged), keys, sets, n_measures, means, points, extra)
+        found = None if spread is None else cut_lineage(brackets(base, n_keys, sets, slots, spread))
+        flagged = placed(base, found, sets, slots)
+    totals = _totals(weigh(flagged), keys, sets, n_measures, means, slots, extra)
     if points:
         totals = cut_lineage(totals)  # read for the means and again for each selection
     parts = []
     if means:
-        parts.append(totals.select("s", *keys, *extra, F.inline(F.array(*[F.struct(F.lit(-1 - j).alias("point"), F.try_divide(F.col(f"sum{j}"), F.col(f"n{j}")).alias("value")) for j in range(n_measures)]))))
+        cells = ", ".join(f"struct({-1 - j} AS point, try_divide(sum{j}, n{j}) AS value)" for j in range(n_measures))
+        parts.append(totals.selectExpr("s", *keys, *extra, f"inline(array({cells}))"))
     if points:
-        marks = F.array(*[F.struct(F.lit(p).alias("point"), F.col(f"below{p}").alias("w"), F.col(f"n{point.measure}").alias("m")) for p, point in enumerate(points)])
-        marks = totals.select("s", *keys, *extra, F.inline(marks))
-        inside = _spread_rows(flagged, keys, sets, points, only=INSIDE)
-        inside = weigh(inside) if filter_first else _spread_rows(weigh(flagged), keys, sets, points, only=INSIDE, keep=[*extra, "w"])
-        picked = cut_lineage(_picked(inside, marks, keys, extra, points))
+        marks = ", ".join(f"struct({b} AS slot, below{b} AS w, n{measure} AS m)" for b, (measure, _) in enumerate(slots))
+        marks = totals.selectExpr("s", *keys, *extra, f"inline(array({marks}))")
+        inside = weigh(_spread_rows(flagged, keys, sets, slots, only=INSIDE))
+        picked = cut_lineage(_picked(inside, marks, keys, extra, points, slots))
         missed = picked.where("not ok")
         if missed.take(1):
             # ranks outside their bracket: all rows of these groups, from the start
-            at = ["s", *keys, *extra, "point"]
-            again = [F.col(c).eqNullSafe(F.col(f"{c}_m")) for c in at]
-            named = missed.select(*[F.col(c).alias(f"{c}_m") for c in at])
-            rows = weigh(_spread_rows(flagged, keys, sets, points)) if filter_first else _spread_rows(weigh(flagged), keys, sets, points, keep=[*extra, "w"])
-            rows = rows.join(named, reduce(Column.__and__, again), "left_semi")
-            marks = marks.join(named, reduce(Column.__and__, again), "left_semi").withColumn("w", F.lit(0).cast("bigint"))
-            picked = picked.where("ok").unionByName(_picked(rows, marks, keys, extra, points))
-        parts.append(picked.drop("ok"))
+            at = ["s", *keys, *extra, "slot"]
+            named = missed.selectExpr(*[f"{c} AS {c}_m" for c in at]).distinct()
+            again = F.expr(" AND ".join(f"{c} <=> {c}_m" for c in at))
+            rows = weigh(_spread_rows(flagged, keys, sets, slots)).join(named, again, "left_semi")
+            marks = marks.join(named, again, "left_semi").withColumn("w", F.lit(0).cast("bigint"))
+            others = picked.join(named, again, "left_anti")
+            picked = others.unionByName(_picked(rows, marks, keys, extra, points, slots))
+        parts.append(picked.drop("ok", "slot"))
     return reduce(DataFrame.unionByName, parts)
 
 
-def _totals(rows: DataFrame, keys: Sequence[str], sets: Sequence[Sequence[int]], n_measures: int, means: bool, points: Sequence[Point], extra: Sequence[str]) -> DataFrame:
-    """(s, k…, extra…, sum and n of each measure, below of each point) per set and group."""
+def _totals(rows: DataFrame, keys: Sequence[str], sets: Sequence[Sequence[int]], n_measures: int, means: bool, slots: Sequence[tuple[int, float]], extra: Sequence[str]) -> DataFrame:
+    """(s, k…, extra…, sum and n of each measure, below of each slot) per set and group."""
     up = supersets(sets)
     tops = sorted(set(up))
-    slots = {t: [k for k, u in enumerate(up) if u == t] for t in tops}  # the sets each top is summed for
-    deep = max(len(v) for v in slots.values())
-    w = F.col("w")
-    choose = lambda of: reduce(lambda c, kv: c.when(F.col("t") == kv[0], kv[1]), list(of.items())[1:], F.when(F.col("t") == next(iter(of)), next(iter(of.values()))))
+    under = {t: [k for k, u in enumerate(up) if u == t] for t in tops}  # the sets each top is summed for
+    types = {k: rows.schema[k].dataType.simpleString() for k in keys}
     if len(tops) > 1:
-        rows = rows.withColumn("t", F.explode(F.array(*[F.lit(t) for t in tops])))
-        group = [F.when(F.col("t").isin([t for t in tops if i in sets[t]]), F.col(k)).alias(k) if any(i in sets[t] for t in tops) else F.lit(None).cast(rows.schema[k].dataType).alias(k) for i, k in enumerate(keys)]
+        rows = rows.withColumn("t", F.explode(F.expr(f"array({', '.join(map(str, tops))})")))
     else:
         rows = rows.withColumn("t", F.lit(tops[0]))
-        group = [F.col(k) if i in sets[tops[0]] else F.lit(None).cast(rows.schema[k].dataType).alias(k) for i, k in enumerate(keys)]
+    group = []
+    for i, k in enumerate(keys):
+        of = [t for t in tops if i in sets[t]]
+        group.append(k if len(of) == len(tops) else f"CASE WHEN t IN ({', '.join(map(str, of))}) THEN {k} END" if of else f"CAST(NULL AS {types[k]})")
     aggs = []
     for j in range(n_measures):
-        x = F.col(f"x{j}")
-        aggs.append(F.sum(F.when(x.isNotNull(), w)).alias(f"n{j}"))
+        aggs.append(f"sum(CASE WHEN x{j} IS NOT NULL THEN w END) AS n{j}")
         if means:
-            aggs.append(F.sum(x * w).alias(f"sum{j}"))
-    for p in range(len(points)):
-        for d in range(deep):
+            aggs.append(f"sum(x{j} * w) AS sum{j}")
+    for b in range(len(slots)):
+        for d in range(max(len(v) for v in under.values())):
             # the place in the d-th set that this top is summed for
-            at = {t: _place(F.col(_flag(p, ks[d])[0]), _flag(p, ks[d])[1]) for t, ks in slots.items() if d < len(ks)}
-            place = choose(at) if len(tops) > 1 else at[tops[0]]
-            aggs.append(F.sum(F.when(place == BELOW, w)).alias(f"below{p}_{d}"))
-    top = rows.groupBy("t", *group, *extra).agg(*aggs)
+            at = {t: _place(b, ks[d]) for t, ks in under.items() if d < len(ks)}
+            place = next(iter(at.values())) if len(tops) == 1 else "CASE t " + " ".join(f"WHEN {t} THEN {e}" for t, e in at.items()) + " END"
+            aggs.append(f"sum(CASE WHEN {place} = {BELOW} THEN w END) AS below{b}_{d}")
+    top = rows.groupBy("t", *[F.expr(g).alias(k) for g, k in zip(group, keys)], *extra).agg(*[F.expr(a) for a in aggs])
     sums = [f"n{j}" for j in range(n_measures)] + ([f"sum{j}" for j in range(n_measures)] if means else [])
     if len(sets) > 1:
         top = cut_lineage(top)
     out = []
     for s, members in enumerate(sets):
-        d = slots[up[s]].index(s)
+        d = under[up[s]].index(s)
         mine = top.where(F.col("t") == up[s])
-        below = [F.coalesce(F.sum(f"below{p}_{d}"), F.lit(0)).alias(f"below{p}") for p in range(len(points))]
         if up[s] == s:
-            below = [F.coalesce(f"below{p}_{d}", F.lit(0).cast("bigint")).alias(f"below{p}") for p in range(len(points))]
-            out.append(mine.select(F.lit(s).alias("s"), *keys, *extra, *sums, *below))
+            out.append(mine.selectExpr(f"{s} AS s", *keys, *extra, *sums, *[f"coalesce(below{b}_{d}, 0L) AS below{b}" for b in range(len(slots))]))
         else:
-            part = mine.groupBy(*[keys[i] for i in members], *extra).agg(*[F.sum(c).alias(c) for c in sums], *below)
-            missing = [F.lit(None).cast(mine.schema[k].dataType).alias(k) if i not in members else F.col(k) for i, k in enumerate(keys)]
-            out.append(part.select(F.lit(s).alias("s"), *missing, *extra, *sums, *[f"below{p}" for p in range(len(points))]))
+            below = [f"coalesce(sum(below{b}_{d}), 0L) AS below{b}" for b in range(len(slots))]
+            part = mine.groupBy(*[keys[i] for i in members], *extra).agg(*[F.expr(f"sum({c}) AS {c}") for c in sums], *[F.expr(e) for e in below])
+            own = [k if i in members else f"CAST(NULL AS {types[k]}) AS {k}" for i, k in enumerate(keys)]
+            out.append(part.selectExpr(f"{s} AS s", *own, *extra, *sums, *[f"below{b}" for b in range(len(slots))]))
     return reduce(DataFrame.unionByName, out)
 
 
-def _spread_rows(rows: DataFrame, keys: Sequence[str], sets: Sequence[Sequence[int]], points: Sequence[Point], only: int | None = None, keep: Sequence[str] | None = None) -> DataFrame:
-    """A row (s, k…, point, value, and the row's other columns) for each set and point in whose
+def _spread_rows(rows: DataFrame, keys: Sequence[str], sets: Sequence[Sequence[int]], slots: Sequence[tuple[int, float]], only: int | None = None) -> DataFrame:
+    """A row (s, k…, slot, value, and the row's other columns) for each set and slot in whose
     bracket the row's value lies (``only`` None: for each where it isn't null)."""
-    flags = {_flag(p, s)[0] for p in range(len(points)) for s in range(len(sets))}
+    flags = sorted({_flag(b, s)[0] for b in range(len(slots)) for s in range(len(sets))})
     if only is not None:
         # a row with a pair of bits 01 somewhere
-        pairs = F.lit(0x1555555555555555).cast("bigint")
-        some = [F.col(f).bitwiseAND(pairs).bitwiseAND(F.bitwise_not(F.shiftright(F.col(f), 1))) != 0 for f in sorted(flags)]
-        rows = rows.where(reduce(Column.__or__, some))
+        rows = rows.where(" OR ".join(f"({f} & ~shiftright({f}, 1) & {0x1555555555555555}L) <> 0" for f in flags))
     cells = []
     for s, members in enumerate(sets):
-        for p, point in enumerate(points):
-            name, bit = _flag(p, s)
-            place = _place(F.col(name), bit)
-            wanted = place == only if only is not None else place != NULL
-            of = [(F.col(k) if i in members else F.lit(None).cast(rows.schema[k].dataType)).alias(k) for i, k in enumerate(keys)]
-            cells.append(F.when(wanted, F.struct(F.lit(s).alias("s"), *of, F.lit(p).alias("point"), F.col(f"x{point.measure}").alias("value"))))
-    others = keep if keep is not None else [c for c in rows.columns if c not in flags and c not in keys and not (c[0] == "x" and c[1:].isdigit())]
-    return rows.select(*others, F.explode(F.filter(F.array(*cells), lambda c: c.isNotNull())).alias("cell")).select(*others, "cell.*")
+        own = ", ".join([f"{k} AS {k}" if i in members else f"CAST(NULL AS {rows.schema[k].dataType.simpleString()}) AS {k}" for i, k in enumerate(keys)] + [""])
+        for b, (measure, _) in enumerate(slots):
+            wanted = f"= {only}" if only is not None else f"<> {NULL}"
+            cells.append(f"CASE WHEN {_place(b, s)} {wanted} THEN struct({s} AS s, {own}{b} AS slot, x{measure} AS value) END")
+    others = [c for c in rows.columns if c not in flags and c not in keys and not (c[0] == "x" and c[1:].isdigit())]
+    return rows.selectExpr(*others, f"explode(filter(array({', '.join(cells)}), c -> c IS NOT NULL)) AS cell").selectExpr(*others, "cell.*")
 
 
-def _picked(rows: DataFrame, marks: DataFrame, keys: Sequence[str], extra: Sequence[str], points: Sequence[Point]) -> DataFrame:
-    """(s, k…, extra…, point, value, ok) by running sums over the values in order.
+def _picked(rows: DataFrame, marks: DataFrame, keys: Sequence[str], extra: Sequence[str], points: Sequence[Point], slots: Sequence[tuple[int, float]]) -> DataFrame:
+    """(s, k…, extra…, slot, point, value, ok) by running sums over the values in order.
 
-    ``marks``: per group and point the weight before the first of ``rows`` (w) and the whole weight (m).
+    ``marks``: per group and slot the weight before the first of ``rows`` (w) and the whole weight (m).
     """
-    at = ["s", *keys, *extra, "point"]
+    at = ["s", *keys, *extra, "slot"]
     counted = rows.groupBy(*at, "value").agg(F.sum("w").alias("w"))
     # the mark comes first: it has no value
-    line = counted.select(*at, "value", "w", F.lit(None).cast("bigint").alias("m")).unionByName(marks.select(*at, F.lit(None).cast("double").alias("value"), "w", F.col("m").cast("bigint").alias("m")))
+    line = counted.selectExpr(*at, "value", "w", "CAST(NULL AS bigint) AS m").unionByName(marks.selectExpr(*at, "CAST(NULL AS double) AS value", "w", "CAST(m AS bigint) AS m"))
     order = Window.partitionBy(*at).orderBy(F.col("value").asc_nulls_first())
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     line = line.withColumn("cum", F.sum("w").over(upto)).withColumn("m", F.first("m").over(upto))
-    by_point = lambda f: reduce(lambda c, pf: c.when(F.col("point") == pf[0], f(pf[1])), list(enumerate(points))[1:], F.when(F.col("point") == 0, f(points[0])))
-    first, last = (by_point(lambda point, i=i: point.ranks(F.col("m"))[i]) for i in (0, 1))
-    line = line.withColumn("first", first).withColumn("last", last)
-    real = F.col("value").isNotNull()
-    found = line.groupBy(*at).agg(
-        F.max("m").alias("m"),
-        F.max("first").alias("first"),
-        F.max("last").alias("last"),
-        F.min(F.when(~real, F.col("cum"))).alias("below"),
-        F.max("cum").alias("cum"),
-        F.min(F.when(real & (F.col("cum") >= F.col("first")), F.col("value"))).alias("lo"),
-        F.min(F.when(real & (F.col("cum") >= F.col("last")), F.col("value"))).alias("hi"),
-    )
-    none = F.coalesce("m", F.lit(0)) == 0
-    ok = none | ((F.col("below") < F.col("first")) & (F.col("cum") >= F.col("last")))
-    value = F.when(~none, by_point(lambda point: point.value(F.col("lo"), F.col("hi"), F.col("m"))))
-    return found.select(*at, value.alias("value"), F.coalesce(ok, F.lit(False)).alias("ok"))
+    aggs, cells = ["max(m) AS m", "min(CASE WHEN value IS NULL THEN cum END) AS below", "max(cum) AS cum"], []
+    for p, point in enumerate(points):
+        mine = f"slot = {slots.index((point.measure, point.q))}"
+        first, last = point.ranks("m")
+        for name, rank in (("lo", first), ("hi", last)):
+            aggs.append(f"min(CASE WHEN {mine} AND value IS NOT NULL AND cum >= {rank} THEN value END) AS {name}{p}")
+        ok = f"coalesce(m, 0) = 0 OR coalesce(below < {first} AND cum >= {last}, false)"
+        value = f"CASE WHEN m > 0 THEN {point.value(f'lo{p}', f'hi{p}', 'm')} END"
+        cells.append(f"CASE WHEN {mine} THEN struct({p} AS point, {value} AS value, {ok} AS ok) END")
+    found = line.groupBy(*at).agg(*[F.expr(a) for a in aggs])
+    return found.selectExpr(*at, f"inline(filter(array({', '.join(cells)}), c -> c IS NOT NULL))")

@@ -9,8 +9,8 @@ run in one plan and no row is ever duplicated in memory.
   replicate ``r`` picks ``i = hash(seed, r, s) mod n``. The draws meet the
   data on a dense row index ``i`` (see :func:`row_index`).
 * ``method="multinomial"``: exact-n like ``"exact"`` (same distribution, other
-  realisation), but each bucket of rows draws its share of a replicate's ``n``
-  draws in place (:mod:`bootframe.operators.multinomial`): no draw is shuffled.
+  realisation), but rows weigh themselves in place and only some sqrt(n) draws a
+  replicate move, to make up n (:mod:`bootframe.operators.multinomial`).
 * ``method="poisson"``: every row gets an independent Poisson(1) weight from
   ``hash(seed, r, key)``. Same limiting distribution, no row index, no join,
   no shuffle before the aggregate: the plan to use at very large scale.
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bootframe.session import cut_lineage, parallelism
-from bootframe.functions.draws import draw_index, hash_bits, poisson1_thresholds, poisson_weight, uniform
+from bootframe.functions.draws import draw_index, poisson_thresholds, poisson_weight, uniform
 
 METHODS = ("exact", "multinomial", "poisson")
 
@@ -178,6 +178,22 @@ def poisson_weight_column(seed: int, r: Column, key_cols: Sequence[Column], hash
     return poisson_weight(uniform(seed, [r, *key_cols], hash))
 
 
+def poisson_rows(df: DataFrame, keys: Sequence[str], n_iter: int, seed: int = 42, hash: str = "xxhash64", rate: float = 1.0) -> DataFrame:
+    """``df``'s rows with ``r`` and the Poisson(rate) weight ``w`` > 0 of their key in replicate ``r``."""
+    # Each input row becomes n_iter weighted rows inside its task. A small input
+    # (fewer splits than cores) is spread first; a large one already is.
+    cores = parallelism(df.sparkSession)
+    if n_iter > 1 and _input_partitions(df, cores) < cores:
+        df = df.repartition(2 * cores)
+    reps = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(int(n_iter) - 1).cast("bigint")))
+    weighted = df.select("*", reps.alias("r"))
+    # Bind the hash once: the CASE chain reads the column, not 18 copies of the hash.
+    # w > 0 ⇔ u ≥ P(X = 0), so rows of weight 0 are dropped before the CASE runs.
+    weighted = weighted.withColumn("_u", uniform(seed, [F.col("r"), *[F.col(k) for k in keys]], hash))
+    weighted = weighted.where(F.col("_u") >= F.lit((poisson_thresholds(rate) or [1.0])[0]))
+    return weighted.withColumn("w", poisson_weight(F.col("_u"), rate)).drop("_u")
+
+
 def resample(
     df: DataFrame,
     key: str | Sequence[str],
@@ -196,7 +212,7 @@ def resample(
     shuffle before the caller's aggregate.
     exact, larger table: draws counted into ``(r, i, w)`` and joined on ``i``;
     both sides hash-partitioned on ``i`` once.
-    multinomial: bucket-local exact-n draws, no shuffle of draws.
+    multinomial: exact-n, drawn in place and topped up by a few draws that are joined.
     poisson: ``explode`` the replicate numbers and weight each row in place. The key is
     checked to be unique first; ``assume_unique=True`` skips that.
     """
@@ -209,22 +225,11 @@ def resample(
     if method == "poisson":
         if not assume_unique:
             check_unique_key(df, keys)
-        # Each input row becomes n_iter weighted rows inside its task. A small input
-        # (fewer splits than cores) is spread first; a large one already is.
-        cores = parallelism(spark)
-        if n_iter > 1 and _input_partitions(df, cores) < cores:
-            df = df.repartition(2 * cores)
-        reps = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(int(n_iter) - 1).cast("bigint")))
-        weighted = df.select("*", reps.alias("r"))
-        # Bind the hash once: the CASE chain reads the column, not 18 copies of the hash.
-        # w > 0 ⇔ u ≥ P(X = 0), so rows of weight 0 are dropped before the CASE runs.
-        weighted = weighted.withColumn("_u", uniform(seed, [F.col("r"), *[F.col(k) for k in keys]], hash))
-        weighted = weighted.where(F.col("_u") >= F.lit(poisson1_thresholds()[0]))
-        return weighted.withColumn("w", poisson_weight(F.col("_u"))).drop("_u")
+        return poisson_rows(df, keys, n_iter, seed, hash)
     if method == "multinomial":
         from bootframe.operators.multinomial import multinomial_resample
 
-        return multinomial_resample(df, keys, n_iter, seed)
+        return multinomial_resample(df, keys, n_iter, seed, hash)
     idx = indexed or row_index(df, keys, hash=hash)
     limit = BROADCAST_LIMIT if broadcast_limit is None else broadcast_limit
     if 2 * idx.size_bound <= limit:

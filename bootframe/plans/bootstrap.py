@@ -9,8 +9,8 @@ Plan shape (exact method, small table):
     per (keys, r) → shuffle of partials → final agg → unpivot (small) →
     interval agg per (keys, scale, stat).
 Plan shape (poisson): scan → explode r → weight in place → partial agg …
-Plan shape (multinomial): scan → exchange by key bucket → sort → in-bucket draws
-    (mapInPandas) → partial agg …
+Plan shape (multinomial): scan → explode r → weight in place, plus a join of the few
+    draws that make up n → partial agg …
 Plan shape (collapse=True): scan → (set, scale, value) cell counts, map-side
     combined → per-cell Poisson(c) or per-(set, scale) Multinomial(n, c/n) weights
     → agg per (keys, scale, r) …
@@ -28,9 +28,10 @@ from pyspark.sql import functions as F
 from bootframe.operators.cells import multinomial_cell_weights, poisson_cell_weights, set_cells
 from bootframe.operators.columns import as_set, match_columns, numeric_columns
 from bootframe.operators.intervals import basic_ci, percentile_ci
+from bootframe.operators.multinomial import exact_n
 from bootframe.operators.ranks import SPREAD, group_values
 from bootframe.operators.resample import METHODS, Indexed, check_unique_key, key_columns, resample, row_index, size_profile
-from bootframe.session import cut_lineage, parallelism
+from bootframe.session import cut_lineage
 from bootframe.operators.stats import (
     STATS,
     _checked_stats,
@@ -43,7 +44,6 @@ from bootframe.operators.stats import (
     grouping_sets_wide,
     requested_names,
     spread_names,
-    stat_expr,
     unpivot_stats,
     wide_stats,
 )
@@ -147,13 +147,17 @@ def _boot_values(
     )
     ids = [f"id{i}" for i in range(len(ids))]
     idx = None
-    if method == "exact":
-        idx = row_index(base, ids, hash=hash)
-        base = cut_lineage(idx.df.drop(*ids))
-    elif method == "poisson":
+    if method == "poisson":
         check_unique_key(base, ids)
+    else:
+        idx = row_index(base, ids, hash=hash)
+        base = cut_lineage(idx.df.drop(*ids) if method == "exact" else idx.df)
 
     def weigher(seed: int) -> Callable[[DataFrame], DataFrame]:
+        if method == "multinomial":
+            draws = exact_n(base, idx.n, ids, n_iter, seed, hash)
+            return lambda rows: draws.weigh(rows).drop(*ids, "i")
+
         def weigh(rows: DataFrame) -> DataFrame:
             if idx is None:
                 return resample(rows, ids, n_iter, seed, method, hash, assume_unique=True).drop(*ids)
@@ -168,8 +172,7 @@ def _boot_values(
     parts = []
     for members, numbers, seed in groups:
         values = group_values(
-            base, len(cols), members, len(measures), "mean" in stats, _points(measures, stats), weigher(seed), ["r"], SPREAD,
-            filter_first=method != "multinomial",
+            base, len(cols), members, len(measures), "mean" in stats, _points(measures, stats), weigher(seed), ["r"], SPREAD
         )
         parts.append(values.withColumn("s", F.col("s") + F.lit(numbers[0])))
     return reduce(DataFrame.unionByName, parts)
@@ -182,11 +185,9 @@ def _for_median(rows: DataFrame, stats: Sequence[str], median_accuracy: int | No
     return rows
 
 
-def _cell_weights(df: DataFrame, cells: DataFrame, n_iter: int, seed: int, method: str, set_col: str) -> DataFrame:
+def _cell_weights(cells: DataFrame, n_iter: int, seed: int, method: str, set_col: str, hash: str) -> DataFrame:
     if method == "poisson":
-        # the cell table is small by design; spread it so the replicate draws use every core
-        cores = parallelism(df.sparkSession)
-        return poisson_cell_weights(cells.repartition(2 * cores, "h"), n_iter, seed)
+        return poisson_cell_weights(cells, n_iter, seed, hash)
     if method in ("exact", "multinomial"):
         return multinomial_cell_weights(cells, n_iter, seed, set_col)
     raise ValueError(f"unknown method {method!r}")
@@ -203,6 +204,7 @@ def _boot_cells(
     interpolation: str,
     stats: Sequence[str],
     set_col: str,
+    hash: str,
 ) -> DataFrame:
     """Percentile bootstrap over weighted value cells (cells × B work).
 
@@ -212,11 +214,12 @@ def _boot_cells(
     set_cols = [c for s in sets for c in s]
     narrow = _narrow(df, [], list(dict.fromkeys(set_cols)), measures)
     cells = set_cells(narrow, sets, measures, set_col)
-    rows = _cell_weights(df, cells, n_iter, seed, method, set_col)
+    rows = _cell_weights(cells, n_iter, seed, method, set_col, hash)
     keys = [c for c in rows.columns if c not in ("value", "r", "w")]
-    reps = rows.groupBy(*keys, "r").agg(*[stat_expr(st, F.col("value"), "w").alias(st) for st in stats])
-    cells_long = [F.struct(F.lit(st).alias("stat"), F.col(st).alias("value")) for st in stats]
-    long = reps.select(*keys, "r", F.inline(F.array(*cells_long)))
+    _checked_stats(stats)
+    base = rows.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keys)], F.col("value").alias("x0"), "r", "w")
+    values = group_values(base, len(keys), [list(range(len(keys)))], 1, "mean" in stats, _points(["value"], stats), extra=["r"], spread=None)
+    long = values.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keys)], F.when(F.col("point") < 0, "mean").otherwise("median").alias("stat"), "r", "value")
     return percentile_ci(long, [*keys, "stat"], "value", ci, interpolation)
 
 
@@ -258,7 +261,7 @@ def boot_stats(
             broadcast_limit, median_accuracy, collapse,
         ))
     if collapse:
-        out = _boot_cells(df, [by], measures, n_iter, seed, method, ci, interpolation, stats, "_set")
+        out = _boot_cells(df, [by], measures, n_iter, seed, method, ci, interpolation, stats, "_set", hash)
         return out.drop("_set")
     narrow = _narrow(df, key_columns(key), by, measures)
     if median_accuracy is None:
@@ -310,7 +313,7 @@ def boot_stats_sets(
         return to.back(out, set_col, asked)
     norm, names = requested_names(asked)
     if collapse:
-        return spread_names(_boot_cells(df, norm, measures, n_iter, seed, method, ci, interpolation, stats, set_col), set_col, names)
+        return spread_names(_boot_cells(df, norm, measures, n_iter, seed, method, ci, interpolation, stats, set_col, hash), set_col, names)
     all_cols: list[str] = []
     for s in norm:
         for c in s:
@@ -410,7 +413,7 @@ def boot_cohens_d(
         else:
             relevant = narrow  # exact-n: every row stays in the pool of n draws
         cells = set_cells(relevant, [[group]], measures, "_set")
-        rows = _cell_weights(df, cells, n_iter, seed, method, "_set").drop("_set")
+        rows = _cell_weights(cells, n_iter, seed, method, "_set", hash).drop("_set")
         reps = cohens_d_parts_long(rows, group, lv, centre, "w", na=na)
     else:
         rows = resample(narrow, key, n_iter, seed, method, hash, broadcast_limit)

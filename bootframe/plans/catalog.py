@@ -589,28 +589,66 @@ SQL_BOOT_COHENS_D_POISSON = _sql_boot_cohens_d_poisson()
 
 
 def q_boot_ci_multinomial(spark: SparkSession, sf: str) -> DataFrame:
-    """Exact-n replicates drawn bucket-locally (no SQL twin: numpy's generator; checked by pytest)."""
+    """Exact-n replicates drawn in place and topped up (md5 draws)."""
     c = table(spark, sf, "customer")
-    return rounded(boot_stats(c, "c_mktsegment", "c_custkey", ["c_acctbal"], n_iter=100, method="multinomial"))
+    return rounded(boot_stats(c, "c_mktsegment", "c_custkey", ["c_acctbal"], n_iter=100, method="multinomial", hash="md5"))
 
 
+def _md5_uniform(*parts: str) -> str:
+    """SQL twin of :func:`bootframe.functions.draws.uniform` (md5)."""
+    return f"(('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 13))::BIGINT * {_dbl(2.0 ** -52)})"
+
+
+def _md5_bits(*parts: str) -> str:
+    return f"('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 15))::BIGINT"
+
+
+#: rows of a table weigh Poisson(1 - 6 / sqrt(n)): the CASE chain's constants depend on n, so in SQL the
+#: chain is a running sum of the Poisson probabilities, made from n
+SQL_POISSON_TABLE = """
+nn AS (SELECT count(*) AS n, greatest(CAST(0.0 AS DOUBLE), CAST(1.0 AS DOUBLE) - CAST(6.0 AS DOUBLE) / sqrt(count(*))) AS rate FROM {tbl}),
+terms AS (SELECT s.size, k.k, rate * s.size AS lam, exp(-(rate * s.size) + CASE WHEN k.k > 0 THEN k.k * ln(rate * s.size) ELSE 0 END - lgamma(k.k + 1)) AS term
+          FROM nn, (SELECT unnest([1, 2, 4, 8, 16, 32]) AS size) s, range(0, 120) k(k) WHERE rate > 0),
+cdf AS (SELECT size, k, sum(term) OVER (PARTITION BY size ORDER BY k) AS cum FROM terms),
+cdfs AS (SELECT size, list(cum ORDER BY k) AS cums FROM cdf GROUP BY size)"""
+
+
+def _sql_boot_multinomial() -> str:
+    return f"""
+WITH {SQL_POISSON_TABLE.format(tbl="customer")},
+idx AS ({sql_index('customer', 'c_custkey', ['c_custkey', 'c_mktsegment'], ['c_acctbal'])}),
+u AS (SELECT idx.*, t.r, {_md5_uniform("'42'", "t.r::VARCHAR", "idx.c_custkey::VARCHAR")} AS u FROM idx CROSS JOIN range(0, 100) t(r)),
+placed AS (SELECT u.i, u.r, len(list_filter(coalesce((SELECT cums FROM cdfs WHERE size = 1), []), lambda c: c <= u.u)) AS w FROM u WHERE (SELECT rate FROM nn) > 0),
+sums AS (SELECT t.r, (SELECT n FROM nn) - coalesce(sum(w), 0) AS missing FROM range(0, 100) t(r) LEFT JOIN placed USING (r) GROUP BY t.r),
+draws AS (SELECT r, unnest(range(missing::BIGINT)) AS s FROM sums),
+topped AS (SELECT {_md5_bits("'42'", "r::VARCHAR", "s::VARCHAR", "'top'")} % (SELECT n FROM nn) AS i, r, 1 AS w FROM draws),
+wt AS (SELECT * FROM placed WHERE w > 0 UNION ALL SELECT * FROM topped),
+dup AS (SELECT idx.*, wt.r FROM wt JOIN idx USING (i) JOIN range(1, 64) k(j) ON k.j <= wt.w),
+reps AS (SELECT c_mktsegment, r, {sql_rep_aggs(['c_acctbal'])} FROM dup GROUP BY c_mktsegment, r),
+long AS ({sql_long_stats('reps', ['c_mktsegment', 'r'], ['c_acctbal'])})
+{sql_percentile_ci('long', ['c_mktsegment', 'scale', 'stat'])}"""
+
+
+SQL_BOOT_CI_MULTINOMIAL = _sql_boot_multinomial()
+
 LINE_DISCRETE = ["l_quantity", "l_discount", "l_tax"]
+CELLS_ITER = 1000
 
 
 def q_boot_ci_poisson_cells(spark: SparkSession, sf: str) -> DataFrame:
-    """Discrete measures, three sets, B = 1000, bootstrapped over value cells (no SQL twin: numpy Poisson)."""
+    """Discrete measures, three sets, B = 1000, bootstrapped over value cells: Poisson counts."""
     li = table(spark, sf, "lineitem")
     return rounded(
         boot_stats_sets(li, LINE_SETS[:3], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], LINE_DISCRETE,
-                        n_iter=1000, method="poisson", collapse=True)
+                        n_iter=CELLS_ITER, method="poisson", collapse=True, hash="md5")
     )
 
 
 def q_boot_cohens_d_cells(spark: SparkSession, sf: str) -> DataFrame:
-    """Cohen's d of three discrete measures, B = 1000, over value cells (no SQL twin: numpy Poisson)."""
+    """Cohen's d of three discrete measures, B = 1000, over value cells: Poisson counts."""
     li = table(spark, sf, "lineitem")
     out = boot_cohens_d(li, LINE_DISCRETE, "l_linestatus", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"],
-                        n_iter=1000, method="poisson", collapse=True)
+                        n_iter=CELLS_ITER, method="poisson", collapse=True, hash="md5")
     return rounded(out)
 
 
@@ -619,10 +657,89 @@ def q_boot_ci_exact_cells(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem")
     return rounded(
         boot_stats_sets(li, LINE_SETS[:3], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], LINE_DISCRETE,
-                        n_iter=1000, method="exact", collapse=True)
+                        n_iter=CELLS_ITER, method="exact", collapse=True)
     )
 
 
+def _sql_poly(coeffs: list[float], x: str) -> str:
+    acc = _dbl(coeffs[-1])
+    for c in reversed(coeffs[:-1]):
+        acc = f"({acc} * ({x}) + {_dbl(c)})"
+    return acc
+
+
+def _sql_cells(sets: list[list[str]], set_names: list[str], rate: str) -> str:
+    """CTEs up to cw (set, keys…, scale, value, r, w): cells of ``lineitem`` and their Poisson(rate · c) weights."""
+    from bootframe.functions import normal as N
+
+    keys = ["l_returnflag", "l_linestatus"]
+    arms = []
+    for s, name in zip(sets, set_names):
+        cols = ", ".join(f"{c}" if c in s else f"CAST(NULL AS VARCHAR) AS {c}" for c in keys)
+        arms += [f"SELECT '{name}' AS set, {cols}, '{m}' AS scale, CAST({m} AS DOUBLE) AS value, count(*) AS c FROM lineitem GROUP BY ALL" for m in LINE_DISCRETE]
+    used = [k for k in keys if any(k in s for s in sets)]
+    text = ", ".join(["set", *[f"coalesce({k}, '~')" for k in used], "scale", "value::VARCHAR"])
+    u = lambda tag: _md5_uniform("'42'", "r::VARCHAR", text, tag)
+    arms_of = ", ".join(f"CASE WHEN c & {1 << b} <> 0 THEN {b} END" for b in range(6))
+    tail = f"CASE WHEN rr <= 5 THEN {_sql_poly(N._C, 'rr - 1.6')} / {_sql_poly(N._D, 'rr - 1.6')} ELSE {_sql_poly(N._E, 'rr - 5')} / {_sql_poly(N._F, 'rr - 5')} END"
+    d = _dbl
+    q = (
+        f"m + sqrt(m) * z + ({d(1 / 3)} + z * z / 6) + (-z / 36 - z * z * z / 72) / sqrt(m)"
+        f" + ({d(-8 / 405)} + z * z * 7 / 810 + z * z * z * z / 270) / m"
+    )
+    return f"""
+cells AS ({" UNION ALL ".join(arms)}),
+reps0 AS (SELECT cells.*, t.r FROM cells CROSS JOIN range(0, {CELLS_ITER}) t(r)),
+pieces AS (SELECT *, unnest(list_filter([{arms_of}], lambda x: x IS NOT NULL)) AS b FROM reps0 WHERE c < 64),
+drawn AS (SELECT *, {u("'b' || b")} AS u FROM pieces),
+small AS (SELECT set, {", ".join(keys)}, scale, value, r, len(list_filter(cums, lambda x: x <= u)) AS w FROM drawn JOIN cdfs ON cdfs.size = 1 << b),
+large1 AS (SELECT *, c * {rate} AS m, greatest({u("'z'")}, {d(2.0 ** -54)}) AS p FROM reps0 WHERE c >= 64),
+large2 AS (SELECT *, p - {d(0.5)} AS qq, sqrt(-ln(least(p, 1 - p))) AS rr FROM large1),
+large3 AS (SELECT *, {d(0.180625)} - qq * qq AS rc FROM large2),
+large4 AS (SELECT *, CASE WHEN abs(qq) <= {d(0.425)} THEN qq * {_sql_poly(N._A, 'rc')} / {_sql_poly(N._B, 'rc')} WHEN qq < 0 THEN -({tail}) ELSE {tail} END AS z FROM large3),
+large AS (SELECT set, {", ".join(keys)}, scale, value, r, greatest(floor({q}), 0)::BIGINT AS w FROM large4),
+cw AS (SELECT * FROM small WHERE w > 0 UNION ALL SELECT * FROM large WHERE w > 0)"""
+
+
+def _sql_cell_ci(weights: str) -> str:
+    """Weighted mean and median of each replicate from CTE ``weights``, and their intervals."""
+    ids = "set, l_returnflag, l_linestatus, scale, r"
+    return f"""
+byvalue AS (SELECT {ids}, value, sum(w) AS w FROM {weights} WHERE value IS NOT NULL GROUP BY ALL),
+runs AS (SELECT *, sum(w) OVER (PARTITION BY {ids} ORDER BY value) AS cum, sum(w) OVER (PARTITION BY {ids}) AS m FROM byvalue),
+picks AS (SELECT {ids}, sum(value * w) / sum(w) AS mean, {_dbl(0.5)} * min(value) FILTER (WHERE cum >= (m + 1) // 2)
+  + {_dbl(0.5)} * min(value) FILTER (WHERE cum >= m // 2 + 1) AS median FROM runs GROUP BY {ids}),
+long AS (SELECT {ids}, 'mean' AS stat, mean AS value FROM picks UNION ALL SELECT {ids}, 'median', median FROM picks)
+{sql_percentile_ci('long', ['set', 'l_returnflag', 'l_linestatus', 'scale', 'stat'])}"""
+
+
+#: Poisson(1, 2, 4, …) distribution functions for whole rows (rate 1)
+SQL_POISSON_ONE = SQL_POISSON_TABLE.format(tbl="lineitem").replace("greatest(CAST(0.0 AS DOUBLE), CAST(1.0 AS DOUBLE) - CAST(6.0 AS DOUBLE) / sqrt(count(*)))", "CAST(1.0 AS DOUBLE)")
+
+_LINE_SET_NAMES = [",".join(s) for s in LINE_SETS[:3]]
+SQL_BOOT_CI_POISSON_CELLS = f"WITH {SQL_POISSON_ONE},{_sql_cells(LINE_SETS[:3], _LINE_SET_NAMES, '1')},{_sql_cell_ci('cw')}"
+
+
+def _sql_cohens_d_cells() -> str:
+    ts, t0s, arms = [], [], []
+    for j, m in enumerate(LINE_DISCRETE):
+        ts.append(f"ts{j} AS (SELECT list_sort(list(t)) AS ts FROM reps WHERE scale = '{m}')")
+        t0s.append(f"t0_{j} AS (SELECT {_sql_d('l_linestatus', m, chr(39) + 'F' + chr(39), chr(39) + 'O' + chr(39))} AS d FROM lineitem)")
+        arms.append(sql_basic_ci(m, CELLS_ITER, f"t0_{j}", f"ts{j}"))
+    side = lambda v: f"sum(w) FILTER (WHERE l_linestatus = '{v}')::DOUBLE AS w{v}, sum(w * value) FILTER (WHERE l_linestatus = '{v}') AS s{v}"
+    return f"""
+WITH {SQL_POISSON_ONE},{_sql_cells([["l_linestatus"]], ["l_linestatus"], '1')},
+sums AS (SELECT scale, r, {side('F')}, {side('O')} FROM cw GROUP BY scale, r),
+dev AS (SELECT cw.scale, cw.r, sum(w * pow(value - sF / wF, 2)) FILTER (WHERE l_linestatus = 'F') AS qF, sum(w * pow(value - sO / wO, 2)) FILTER (WHERE l_linestatus = 'O') AS qO
+  FROM cw JOIN sums ON cw.scale = sums.scale AND cw.r = sums.r GROUP BY cw.scale, cw.r),
+reps AS (SELECT scale, r, (sF / wF - sO / wO) / sqrt((qF + qO) / (wF + wO - 2)) AS t FROM sums JOIN dev USING (scale, r)),
+{", ".join(ts)}, {", ".join(t0s)}
+{" UNION ALL ".join(arms)}"""
+
+
+SQL_BOOT_COHENS_D_CELLS = _sql_cohens_d_cells()
+
+
 def q_boot_ci_default_sets(spark: SparkSession, sf: str) -> DataFrame:
     """Default categories (every string column) plus the whole table, shared replicates, B = 30."""
     orders = drop_columns(table(spark, sf, "orders"), "o_orderdate")
@@ -666,6 +783,9 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "boot_ci_multinomial": SQL_BOOT_CI_MULTINOMIAL,
+    "boot_ci_poisson_cells": SQL_BOOT_CI_POISSON_CELLS,
+    "boot_cohens_d_cells": SQL_BOOT_COHENS_D_CELLS,
     "select_by_regex": SQL_SELECT_BY_REGEX,
     "melt_long": SQL_MELT_LONG,
     "group_mean_median": SQL_GROUP_MEAN_MEDIAN,

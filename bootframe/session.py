@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,9 +59,11 @@ def parallelism(spark: SparkSession) -> int:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably in the shared checkpoint folder.
+    """``df`` as a table written to the shared checkpoint folder and read back.
 
-    A reliable checkpoint survives executor loss (never ``localCheckpoint``).
+    The written table survives the loss of any executor (never ``localCheckpoint``). Unlike
+    ``checkpoint()`` it computes ``df`` once, is compressed, and lets later steps read single columns.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,3 +1,7 @@
+import hashlib
+import math
+from statistics import NormalDist
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -16,40 +20,65 @@ def test_cells_count_values_per_set_group(spark, survey):
     assert cells.where(F.col("set") == "").count() == 5
 
 
-def test_cell_weights_match_numpy_and_ignore_partitioning(spark, survey):
+def weights_by_force(cell, r, seed):
+    """Poisson weight of one cell, its pieces drawn from md5 uniforms by the distribution function."""
+    text = [str(v) if v is not None else "~" for v in cell[:-1]]
+    tags = [("z", cell[-1])] if cell[-1] >= 64 else [(f"b{b}", 1 << b) for b in range(6) if cell[-1] >> b & 1]
+    total = 0
+    for tag, size in tags:
+        u = int(hashlib.md5("|".join([str(seed), str(r), *text, tag]).encode()).hexdigest()[:13], 16) / 2**52
+        if tag == "z":
+            z, m = NormalDist().inv_cdf(max(u, 2.0**-54)), float(size)
+            q = m + math.sqrt(m) * z + 1 / 3 + z * z / 6 + (-z / 36 - z**3 / 72) / math.sqrt(m) + (-8 / 405 + 7 * z * z / 810 + z**4 / 270) / m
+            total += max(math.floor(q), 0)
+        else:
+            k, term = 0, math.exp(-size)
+            cum = term
+            while cum <= u:
+                k += 1
+                term *= size / k
+                cum += term
+            total += k
+    return total
+
+
+def test_cell_weights_match_brute_force_and_ignore_partitioning(spark, survey):
     cells = set_cells(survey, [["smoke"]], ["IPIP100_calm"])
-    a = poisson_cell_weights(cells, 30, seed=3).collect()
-    b = poisson_cell_weights(cells.repartition(5), 30, seed=3).collect()
-    key = lambda rows: sorted((r["smoke"], r["value"], r["r"], r["w"]) for r in rows)
+    a = poisson_cell_weights(cells, 30, 3, "md5").groupBy("set", "smoke", "scale", "value", "r").agg(F.sum("w").alias("w")).collect()
+    b = poisson_cell_weights(cells.repartition(5), 30, 3, "md5").groupBy("set", "smoke", "scale", "value", "r").agg(F.sum("w").alias("w")).collect()
+    key = lambda rows: sorted((str(r["smoke"]), r["value"], r["r"], r["w"]) for r in rows)
     assert key(a) == key(b)
     want = []
-    for row in cells.collect():
-        rng = np.random.default_rng([3, 13, int(row["h"]) & ((1 << 63) - 1)])
-        w = rng.poisson(float(row["c"]), 30)
-        want += [(row["smoke"], row["value"], r, int(w[r])) for r in np.flatnonzero(w)]
+    for c in cells.collect():
+        assert c["value"] == float(c["value"])
+        for r in range(30):
+            w = weights_by_force((c["set"], c["smoke"], c["scale"], c["value"], c["c"]), r, 3)
+            if w:
+                want.append((str(c["smoke"]), c["value"], r, w))
     assert key(a) == sorted(want)
 
 
+def test_large_counts_have_the_moments_of_a_poisson(spark):
+    cells = spark.createDataFrame([("s", "x", 1.0, 50), ("s", "x", 2.0, 64), ("s", "x", 3.0, 10**6)], "set string, scale string, value double, c long")
+    got = poisson_cell_weights(cells, 20_000).groupBy("value", "r").agg(F.sum("w").alias("w")).groupBy("value").agg(F.sum("w").alias("s"), F.sum(F.col("w") * F.col("w")).alias("q")).collect()
+    for row, c in zip(sorted(got), (50, 64, 10**6)):
+        mean = row["s"] / 20_000
+        assert mean == pytest.approx(c, abs=4 * (c / 20_000) ** 0.5)
+        assert row["q"] / 20_000 - mean**2 == pytest.approx(c, rel=0.05)
+
+
 def test_collapsed_bootstrap_matches_brute_force_on_cells(spark, survey):
     got = {(r["smoke"], r["stat"]): (r["median"], r["ci95_ll"], r["ci95_ul"])
            for r in boot_stats(survey, "smoke", "RID", ["IPIP100_calm"], n_iter=25, method="poisson",
-                               collapse=True, seed=9).collect()}
-    cells = set_cells(survey, [["smoke"]], ["IPIP100_calm"]).toPandas()
+                               collapse=True, seed=9, hash="md5").collect()}
+    cells = set_cells(survey, [["smoke"]], ["IPIP100_calm"], "_set").collect()
     reps: dict = {}
     for r in range(25):
-        for g, grp in cells.groupby("smoke"):
-            vals, ws = [], []
-            for _, row in grp.iterrows():
-                rng = np.random.default_rng([9, 13, int(row["h"]) & ((1 << 63) - 1)])
-                w = int(rng.poisson(float(row["c"]), 25)[r])
-                if w:
-                    vals.append(row["value"])
-                    ws.append(w)
-            if not ws:
-                continue
-            flat = np.repeat(vals, ws)
-            reps.setdefault((g, "mean"), []).append(float(np.mean(flat)))
-            reps.setdefault((g, "median"), []).append(float(np.median(flat)))
+        for g in {c["smoke"] for c in cells}:
+            flat = [c["value"] for c in cells if c["smoke"] == g for _ in range(weights_by_force((c["_set"], g, c["scale"], c["value"], c["c"]), r, 9))]
+            if flat:
+                reps.setdefault((g, "mean"), []).append(float(np.mean(flat)))
+                reps.setdefault((g, "median"), []).append(float(np.median(flat)))
     want = {k: (median(v), nearest(v, 0.025), nearest(v, 0.975)) for k, v in reps.items()}
     assert got.keys() == want.keys()
     for k in got:

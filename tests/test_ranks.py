@@ -131,4 +131,4 @@ def test_empty_and_null_groups(spark):
     with pytest.raises(ValueError):
         group_stats(df, ["g"], ["x"], stats=["mode"])
     with pytest.raises(ValueError):
-        Point(0, 0.5, "mode").ranks(F.lit(1))
+        Point(0, 0.5, "mode").ranks("m")
