@@ -102,16 +102,16 @@ def reply_order(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
         # a message that quotes none starts the chain
         whole_path = F.when(F.col("up").isNull(), F.col("path")).when(F.col("t2").isNull(), F.concat(F.array("up"), "path")).otherwise(F.concat("path2", "path"))
         paths = work.stored(met.select("c", "t", F.when(F.col("t2").isNotNull(), F.col("up2")).alias("up"), whole_path.alias("path")), "paths")
-    linked = stored(per.join(paths.select("c", "t", "path"), ["c", "t"], "left").select(F.col("c").alias("__c"), F.col("t").alias("__t"), F.col("m").alias("__m"), "levels", "quoted", "reply_to", "matched", "path"), "reply-links")
+    linked = stored(per.join(paths.select("c", "t", "path"), ["c", "t"], "left").select(F.col("c").alias("__c"), F.col("t").alias("__t"), F.col("m").alias("__m"), F.col("levels").alias("__levels"), F.col("quoted").alias("__quoted"), F.col("reply_to").alias("__reply_to"), F.col("matched").alias("__matched"), F.col("path").alias("__of")), "reply-links")
     work.close()
     rows = messages.select(*[F.col(f"`{c}`") for c in kept]).withColumn("__own", own_text(text)).withColumn("__mm", F.xxhash64(text))
-    by_turn = linked.where("path is not null").select(F.col("__c").alias("__c3"), F.col("__t").alias("__t3"), F.col("path").alias("__path")).distinct()
-    rows = rows.join(linked.drop("path"), (conv.cast("string") == F.col("__c")) & (turn == F.col("__t")) & (F.col("__mm") == F.col("__m")), "left")
+    by_turn = linked.where("__of is not null").select(F.col("__c").alias("__c3"), F.col("__t").alias("__t3"), F.col("__of").alias("__path")).distinct()
+    rows = rows.join(linked.drop("__of"), (conv.cast("string") == F.col("__c")) & (turn == F.col("__t")) & (F.col("__mm") == F.col("__m")), "left")
     rows = rows.join(by_turn, (conv.cast("string") == F.col("__c3")) & (turn == F.col("__t3")), "left")
     path = F.coalesce("__path", F.array(turn))
     return rows.select(
-        *[F.col(f"`{c}`") for c in kept], "reply_to", F.coalesce("levels", F.lit(0)).cast("int").alias("quote_levels"), F.coalesce("quoted", F.lit(0)).cast("long").alias("quoted_lines"),
-        F.coalesce("matched", F.lit(0)).cast("long").alias("matched_lines"), path[0].alias("thread"), path.alias("path"), F.col("__own").alias("own"),
+        *[F.col(f"`{c}`") for c in kept], F.col("__reply_to").alias("reply_to"), F.coalesce("__levels", F.lit(0)).cast("int").alias("quote_levels"), F.coalesce("__quoted", F.lit(0)).cast("long").alias("quoted_lines"),
+        F.coalesce("__matched", F.lit(0)).cast("long").alias("matched_lines"), path[0].alias("thread"), path.alias("path"), F.col("__own").alias("own"),
     )
 
 

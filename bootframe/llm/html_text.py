@@ -453,8 +453,12 @@ def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sampl
     ``SAMPLE_CHARS`` characters if there are as many). No page with text: None."""
     page = F.col(html_col).cast("string")
     rows = pages.select(page.alias("page"), F.xxhash64(F.col(id_col).cast("string"), page).alias("luck")).where("page is not null and page <> ''")
-    rows = rows.orderBy(F.length("page") > SAMPLE_CHARS, "luck", "page").limit(sample).select(F.substring("page", 1, SAMPLE_CHARS).alias("page"))
-    return fitted([r["page"] for r in rows.collect()], seed)
+    rows = rows.withColumn("long", F.length("page") > SAMPLE_CHARS)
+    # numbers first: each task sends the driver a sample's worth of rows, so they must be narrow
+    lucky = rows.select("long", "luck").distinct().orderBy("long", "luck").limit(sample).collect()
+    few = rows.join(F.broadcast(pages.sparkSession.createDataFrame(lucky, "long boolean, luck long")), ["long", "luck"])
+    chosen = few.groupBy("luck").agg(F.min(F.substring("page", 1, SAMPLE_CHARS)).alias("page")).orderBy("luck").collect()
+    return fitted([r["page"] for r in chosen], seed)
 
 
 def fitted(sample: list[str], seed: int = 0) -> BiLSTM | None:

@@ -148,4 +148,4 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     others = [F.col(f"`{f.name}`") for f in docs.schema if isinstance(f.dataType, AtomicType)]
     number = F.row_number().over(Window.partitionBy("__k", "__h").orderBy(*others))
     met = met.withColumn("__n", number).withColumn("__n", F.col("__times")[F.col("__n") - 1]["times"]).where("__n > 0")
-    return met.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__n")))).drop("col")
+    return met.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("__turn")).drop("__turn")

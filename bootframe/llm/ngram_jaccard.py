@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -33,9 +32,15 @@ from .store import Workspace, sieve, sifted, stored
 WORDS_KEPT = 200_000
 
 
-@lru_cache(maxsize=None)
+# plain dicts, not lru_cache: a wrapper is pickled by name, which workers without the package can't load
+_ODD: dict[int, np.uint64] = {}
+_PARTS: dict[tuple[int, int, int], tuple[int, int]] = {}
+
+
 def _odd(seed: int) -> np.uint64:
-    return np.uint64(xxhash.xxh3_64_intdigest(b"odd", seed) | 1)
+    if seed not in _ODD:
+        _ODD[seed] = np.uint64(xxhash.xxh3_64_intdigest(b"odd", seed) | 1)
+    return _ODD[seed]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -80,7 +85,6 @@ def bands(limit: int, percent: int) -> list[tuple[int, int]]:
     return out
 
 
-@lru_cache(maxsize=None)
 def parts_and_spare(smallest: int, sizes: int, percent: int) -> tuple[int, int]:
     """Parts of an instance, and how many of them a set may leave empty without a signature.
 
@@ -106,6 +110,12 @@ class Signer:
         self.percent, self.bands = percent, bands(1000, percent)
         self.highs = [high for _, high in self.bands]
 
+    def parts(self, smallest: int, sizes: int) -> tuple[int, int]:
+        key = (smallest, sizes, self.percent)
+        if key not in _PARTS:
+            _PARTS[key] = parts_and_spare(*key)
+        return _PARTS[key]
+
     def __call__(self, items: np.ndarray) -> np.ndarray:
         n = len(items)
         if not n:
@@ -120,7 +130,7 @@ class Signer:
             # pairs within a band meet in their upper instance, so an instance needs its two bands' highest sizes
             below = self.bands[max(instance - 1, 0)]
             sizes = self.highs[instance] + (below[1] if instance else 0)
-            parts, spare = parts_and_spare(below[0], sizes, self.percent)
+            parts, spare = self.parts(below[0], sizes)
             cuts = (np.arange(1, parts, dtype=np.float64) * (2.0**64 / parts)).astype(np.uint64)
             ends = np.concatenate([[0], np.searchsorted(items, cuts), [n]])
             tag = np.uint64((instance << 32) & (2**64 - 1)) + np.arange(parts, dtype=np.uint64)
@@ -219,12 +229,13 @@ def sharing_pairs(members: DataFrame, sizes: DataFrame, percent: int, slice_rows
     return left.join(right, ["key", "slice"]).where("a < b").where(fit).select("a", "b").distinct()
 
 
-def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, count_links: bool = True) -> DataFrame:
+def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, count_links: bool = False) -> DataFrame:
     """Groups of documents whose n-gram sets are linked by Jaccard similarity.
 
     Returns one row per input row: ``id_col``, n_shingles (size of its set), component_id
-    (smallest id reachable by links, its own included), n_links (how many different sets
-    link with its own; null without ``count_links``, which spares most pairs of large groups).
+    (smallest id reachable by links, its own included), with ``count_links`` also n_links (how
+    many different sets link with its own: every pair that shares a signature is verified then,
+    where components alone spare most pairs of large groups).
 
     Rows with a null id take no part (component null, their set size is still given). Null
     or wordless texts have an empty set and are linked with nothing. Rows that repeat an id
@@ -269,7 +280,8 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     classes = known.groupBy("node").agg(F.min("doc").alias("first")).join(group, "node", "left").select("node", "first", F.coalesce("component", "node").alias("part"))
     named = classes.join(classes.groupBy("part").agg(F.min("first").alias("component_id")), "part").join(degree, "node", "left").select("node", "component_id", "n_links")
     out = found.select("doc", "n_shingles", F.when(F.expr("doc is not null and n_shingles > 0"), F.col("node")).alias("node")).join(named, "node", "left")
-    out = out.select(F.col("doc").alias(id_col), "n_shingles", F.coalesce("component_id", "doc").alias("component_id"), (F.coalesce("n_links", F.lit(0).cast("long")) if count_links else F.lit(None).cast("long")).alias("n_links"))
+    counted = [F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")] if count_links else []
+    out = out.select(F.col("doc").alias(id_col), "n_shingles", F.coalesce("component_id", "doc").alias("component_id"), *counted)
     out = stored(out, "ngram-groups")
     work.close()
     return out
@@ -278,7 +290,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def one_per_group(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` (doc_id, text and any other columns) with one document of each group left:
     the one with the smallest doc_id. Rows that repeat a doc_id or have none all stay or all go."""
-    gone = jaccard_groups(docs, n=n, percent=percent, count_links=False).where("component_id < doc_id").select("doc_id").distinct()
+    gone = jaccard_groups(docs, n=n, percent=percent).where("component_id < doc_id").select("doc_id").distinct()
     names = [f"__c{i}" for i in range(len(docs.columns))]
     rows = sifted(docs.toDF(*names), F.col(names[docs.columns.index("doc_id")]).cast("long"), sieve(gone, "doc_id"))
     met = rows.where("__in").join(gone, F.col(names[docs.columns.index("doc_id")]) == gone["doc_id"], "left_anti")

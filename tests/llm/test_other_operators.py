@@ -156,3 +156,25 @@ def test_pipeline_runs_and_keeps_distinct_documents(spark):
     assert seen["language_id"] == 200 and seen["line_dedup"] >= seen["ngram_jaccard"] > 150
     assert docs.where("n_tokens is null or size(ids) <> n_tokens").count() == 0
     assert sorted(map(str, corpus_pipeline.run(spark, SF_SMALL).select("doc_id", "n_tokens").collect())) == sorted(map(str, docs.select("doc_id", "n_tokens").collect()))
+
+
+def test_reply_order_and_mixed_documents_keep_columns_of_any_name(spark):
+    from bootframe.llm import mixing
+
+    said = [(1, 0, "u", "Where is the small blue boat now?", 5, "a"), (1, 1, "v", "> Where is the small blue boat now?\nAt the pier.", 6, "b")]
+    out = chat_quotes.reply_order(spark.createDataFrame(said, "conv_id long, turn long, role string, text string, levels int, matched string"))
+    got = {r["turn"]: r for r in out.collect()}
+    assert got[1]["reply_to"] == 0 and got[1]["levels"] == 6 and got[1]["matched"] == "b" and got[0]["reply_to"] is None
+    docs = spark.createDataFrame([(i, "a b c", "s", i * 10) for i in range(8)], "doc_id long, text string, source string, col int")
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns and all(r["col"] == 10 * r["doc_id"] for r in mixed.collect())
+    with_long = nearest_neighbours.nearest(spark.createDataFrame([(i, [float(i) + 1e-9 * i, 1.0]) for i in range(1, 30)], "vec_id long, embedding array<double>"), F.col("vec_id") == 1, k=3)
+    for r in with_long.collect():
+        assert r["score"] == pytest.approx(r["vec_id"] - 1 + 1e-9 * (r["vec_id"] - 1), abs=1e-14)
+
+
+def test_letters_are_letters():
+    from bootframe.llm import language_id
+
+    assert language_id.word_list("² ½ ① Ⅳ 12") == [] and language_id.word_list("ab²c Ⅳx é") == ["ab", "c", "x", "é"]
+    assert language_id.word_list(None) == [] and language_id.word_list("Ab c_d") == ["ab", "c", "d"]
