@@ -28,7 +28,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bootframe.session import cut_lineage
+from bootframe.session import cut_lineage, input_partitions, parallelism
 
 #: relative rank error of the sketches, inverse
 ACCURACY = 10_000
@@ -176,6 +176,10 @@ def group_values(
     for point in points:
         point.ranks("m")  # refuses an unknown rule before any job runs
     weigh = weigh or (lambda rows: rows if "w" in rows.columns else rows.withColumn("w", F.lit(1).cast("bigint")))
+    # a small input (fewer splits than cores) is spread; a large one already is
+    cores = parallelism(base.sparkSession)
+    if input_partitions(base, cores) < cores:
+        base = base.repartition(2 * cores)
     flagged = base
     if points:
         found = None if spread is None else cut_lineage(brackets(base, n_keys, sets, slots, spread))

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bootframe.session import cut_lineage, parallelism
+from bootframe.session import cut_lineage, input_partitions, parallelism
 from bootframe.functions.draws import draw_index, poisson_thresholds, poisson_weight, uniform
 
 METHODS = ("exact", "multinomial", "poisson")
@@ -130,14 +130,6 @@ def row_index(
     return Indexed(ranked.drop("_bucket", "_offset"), n, bound, index_col)
 
 
-def _input_partitions(df: DataFrame, default: int) -> int:
-    """Number of input splits (classic sessions); assume enough where unknown."""
-    try:
-        return df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - remote sessions expose no RDD
-        return default
-
-
 def check_unique_key(df: DataFrame, keys: Sequence[str]) -> None:
     """Refuse a repeated key (Poisson weights hash the key: repeats would share weights).
 
@@ -183,7 +175,7 @@ def poisson_rows(df: DataFrame, keys: Sequence[str], n_iter: int, seed: int = 42
     # Each input row becomes n_iter weighted rows inside its task. A small input
     # (fewer splits than cores) is spread first; a large one already is.
     cores = parallelism(df.sparkSession)
-    if n_iter > 1 and _input_partitions(df, cores) < cores:
+    if n_iter > 1 and input_partitions(df, cores) < cores:
         df = df.repartition(2 * cores)
     reps = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(int(n_iter) - 1).cast("bigint")))
     weighted = df.select("*", reps.alias("r"))

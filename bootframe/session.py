@@ -58,6 +58,14 @@ def parallelism(spark: SparkSession) -> int:
         return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def input_partitions(df: DataFrame, default: int) -> int:
+    """Number of input splits (classic sessions); assume enough where unknown."""
+    try:
+        return df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - remote sessions expose no RDD
+        return default
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` as a table written to the shared checkpoint folder and read back.
 
