@@ -66,7 +66,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of 50 words or more that repeat one of a document with a smaller id."""
     out = substring_dedup.repeated_passages(_table(spark, sf_dir, "documents"))
-    return out.withColumnRenamed("doc", "doc_id").withColumnRenamed("of_doc", "of_doc_id")
+    return out.withColumnsRenamed({"doc": "doc_id", "of_doc": "of_doc_id"})
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

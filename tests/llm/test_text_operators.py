@@ -430,3 +430,73 @@ def test_repeated_passages_are_found_and_others_left(spark):
     for r in out:
         assert r["of_doc"] == 5 and r["first_word"] == 100 and r["n_words"] == 70 and r["of_first_word"] == 100
     assert substring_dedup.repeated_passages(table(spark, texts).limit(0)).count() == 0
+
+
+def test_paired_windows_hold_each_stretch_once_under_its_two_minima():
+    r = np.random.default_rng(8)
+    texts = [r.integers(1, 40, n).astype(np.uint64) for n in (0, 3, 9, 30, 31, 64)] + [np.full(20, 7, np.uint64)]
+    key, which, left, centre, right = (x.tolist() for x in substring_dedup.paired_windows(texts, 5, 1))
+    for t, text in enumerate(texts):
+        one, two = (np.maximum(ngram_jaccard.mixed(text ^ ngram_jaccard._odd(1000 + f)), np.uint64(1)) for f in (2, 3))
+        for s in range(len(text) - 4):
+            c = s + int(np.argmin(one[s : s + 5]))
+            want = ngram_jaccard.mixed(ngram_jaccard.mixed(one[c : c + 1] + ngram_jaccard._odd(2001)) * ngram_jaccard._odd(2101) + two[s : s + 5].min())
+            assert sum(w == t and l <= s and s + 4 <= z and m == c and k == int(want[0]) for k, w, l, m, z in zip(key, which, left, centre, right)) >= 1
+
+
+def test_stretch_hashes_are_equal_for_equal_stretches_only():
+    text = np.random.default_rng(5).integers(0, 3, 300).astype(np.uint64)
+    for least in (1, 2, 7, 46):
+        got = substring_dedup.stretch_hashes(text, least)
+        want = [tuple(text[i : i + least]) for i in range(len(text) - least + 1)]
+        assert len(got) == len(want) and len(set(zip(got.tolist(), want))) == len(set(want)) == len(set(got.tolist()))
+
+
+def covered(rows, doc):
+    return {w for r in rows if r["doc"] == doc for w in range(r["first_word"], r["first_word"] + r["n_words"])}
+
+
+def exact_repeats(texts, size):
+    """Words of each document in a passage of ``size`` words that a smaller one has too, by brute force."""
+    seen, out = set(), {}
+    for i, t in enumerate(texts):
+        w = (t or "").lower().split()
+        mine = [tuple(w[j : j + size]) for j in range(len(w) - size + 1)]
+        out[i] = {x for j, m in enumerate(mine) if m in seen for x in range(j, j + size)}
+        seen |= set(mine)
+    return out
+
+
+def test_every_exact_passage_is_found_though_smaller_documents_quote_a_part(spark):
+    r = random.Random(4)
+    texts = [" ".join(words(1000 + i, 120, 10_000)) for i in range(100)]
+    for p in range(12):
+        passage = words(5000 + p, 60, 10_000)
+        for doc, part in zip(r.sample(range(60), 3), (passage[:30], passage[15:45], passage[30:])):
+            w = texts[doc].split()
+            texts[doc] = " ".join(w[:50] + part + w[50:])
+        for doc in r.sample(range(60, 100), 2):
+            w = texts[doc].split()
+            texts[doc] = " ".join(w[:70] + passage + w[70:])
+    rows = substring_dedup.repeated_passages(table(spark, texts)).collect()
+    for doc, want in exact_repeats(texts, 50).items():
+        got = covered(rows, doc)
+        assert want <= got and bool(want) == bool(got)
+    for x in rows:
+        assert x["of_doc"] < x["doc"]
+        a, b = (shingles(" ".join(texts[d].split()[f : f + k]), 5) for d, f, k in ((x["doc"], x["first_word"], x["n_words"]), (x["of_doc"], x["of_first_word"], x["of_n_words"])))
+        assert len(a & b) * 100 >= 80 * len(a | b) and abs(x["similarity"] - len(a & b) / len(a | b)) < 1e-9
+
+
+def test_passages_of_repeated_ids_copies_long_texts_and_twice_in_one_document(spark):
+    passage = " ".join(words(61, 60, 10_000))
+    one, two, three = (" ".join(words(s, 200, 10_000)) for s in (71, 72, 73))
+    long = " ".join(words(74, 60_000, 10_000))
+    rows = [
+        (1, one + " " + passage), (1, two), (2, passage + " " + three + " " + passage), (3, two), (3, two), (5, "a " * 400), (6, "a " * 300),
+        (7, long + " " + passage), (7, None), (None, passage), (8, passage[:200]), (4, ""),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as copy", "'x' as key", "2 as DOC")
+    out = substring_dedup.repeated_passages(df).collect()
+    assert {(x["doc"], x["first_word"], x["n_words"], x["of_doc"], x["of_n_words"]) for x in out if x["doc"] in (2, 3, 7)} == {(2, 0, 60, 1, 60), (2, 260, 60, 1, 60), (3, 0, 200, 1, 200), (7, 60_000, 60, 1, 60)}
+    assert {x["doc"] for x in out} == {2, 3, 6, 7} and covered(out, 6) == set(range(300))
