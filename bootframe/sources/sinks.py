@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from bootframe.operators.columns import as_set, set_name
 from bootframe.sources.paths import expand, join, qualified
+from bootframe.sources.tables import bound_as_text, column_orders, with_common_types
 
 # The result files' column names, as the jobs write them. Inside Spark
 # plans the dotted names would read as struct fields, so plans use the underscore form.
@@ -84,20 +85,19 @@ def write_by_scale(
 def bind_by_name(spark: SparkSession, inputs: Sequence[str]) -> DataFrame:
     """Rows of CSV files with headers under one another, columns matched by name.
 
-    The files may hold their columns in different order but must have the same ones.
+    The files may hold their columns in different order but must have the same ones. A column
+    gets the narrowest type that every file's values fit: whole numbers beside doubles are
+    doubles, numbers beside text are text, as they were written. One job reads all headers,
+    one finds the types.
     """
-    orders: dict[tuple[str, ...], list[str]] = {}
-    for p in inputs:
-        orders.setdefault(tuple(spark.read.option("header", True).csv(p).columns), []).append(p)
+    orders = column_orders(spark, inputs)
+    if not orders:
+        raise ValueError(f"no header in {list(inputs)}")
     first = next(iter(orders))
     for names, files in orders.items():
         if set(names) != set(first) or len(names) != len(first):
             raise ValueError(f"columns differ: {list(first)} in {orders[first][0]}, {list(names)} in {files[0]}")
-    out = None
-    for files in orders.values():
-        part = spark.read.option("header", True).option("inferSchema", True).csv(files)
-        out = part if out is None else out.unionByName(part)
-    return out
+    return with_common_types(bound_as_text(spark.read.option("header", True), orders))
 
 
 def merge_results(spark: SparkSession, inputs: Sequence[str], output: str) -> DataFrame:
@@ -114,5 +114,6 @@ def merge_results(spark: SparkSession, inputs: Sequence[str], output: str) -> Da
     inside = [f for f in files if f == target or f.startswith(target + "/") or target.startswith(f + "/")]
     if inside:
         raise ValueError(f"output path {target} is also an input: {inside[0]}")
-    _write_csv(bind_by_name(spark, files), output)
-    return spark.read.option("header", True).option("inferSchema", True).csv(output)
+    bound = bind_by_name(spark, files)
+    _write_csv(bound, output)
+    return spark.read.schema(bound.schema).option("header", True).csv(output)

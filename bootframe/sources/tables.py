@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import csv
+import re
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +55,69 @@ def _retype(text: DataFrame, tokens: Sequence[str], inferred: dict, parse_dates:
     return nulled.select(*out)
 
 
+def column_orders(spark: SparkSession, paths: Sequence[str]) -> dict[tuple[str, ...], list[str]]:
+    """The files behind ``paths`` by their header row, the header of the first path first.
+
+    One job for all files: only the first split of each is read for its first line. A header
+    can't span lines. Files without any line are left out.
+    """
+    at = spark.read.text(list(paths)).where("_metadata.file_block_start = 0")
+    at = at.select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
+    heads = at.groupBy("file").agg(F.min_by("value", "at").alias("head"))
+    by_head = heads.groupBy("head").agg(F.sort_array(F.collect_list("file")).alias("files")).collect()
+    given = [re.sub("^file:/+", "/", p) for p in paths]
+
+    def place(file: str) -> int:
+        plain = re.sub("^file:/+", "/", unquote(file))
+        return next((i for i, p in enumerate(given) if plain == p or plain.startswith(p + "/")), len(given))
+
+    orders: dict[tuple[str, ...], list[str]] = {}
+    for row in sorted(by_head, key=lambda r: min(map(place, r["files"]))):
+        names = tuple(next(csv.reader([row["head"].removeprefix("\ufeff")]), []))
+        orders.setdefault(names, []).extend(unquote(f) for f in row["files"])
+    return orders
+
+
+#: Types a text column can have, narrowest first, and which values have them.
+_NARROWEST = (
+    ("int", "try_cast({c} AS INT) IS NOT NULL"),
+    ("bigint", "try_cast({c} AS BIGINT) IS NOT NULL"),
+    ("double", "try_cast({c} AS DOUBLE) IS NOT NULL"),
+    ("date", "{c} RLIKE '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$' AND try_cast({c} AS DATE) IS NOT NULL"),
+    ("timestamp", "{c} RLIKE '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}' AND try_cast({c} AS TIMESTAMP) IS NOT NULL"),
+    ("boolean", "lower({c}) IN ('true', 'false')"),
+)
+
+
+def with_common_types(text: DataFrame, parse_dates: bool = True) -> DataFrame:
+    """All-text columns as the narrowest type that holds every value of every file.
+
+    Whole numbers, doubles, dates, timestamps and booleans; anything else, or a mixture, and
+    columns without a value stay text. One pass over all rows, all columns at once.
+    """
+    types = [(t, rule) for t, rule in _NARROWEST if parse_dates or t not in ("date", "timestamp")]
+    quoted = ["`" + c.replace("`", "``") + "`" for c in text.columns]
+    checks = [F.count(F.col(c)).alias(f"n{j}") for j, c in enumerate(quoted)]
+    checks += [F.count_if(F.expr(rule.format(c=c))).alias(f"{t}{j}") for j, c in enumerate(quoted) for t, rule in types]
+    row = text.agg(*checks).first()
+    out = []
+    for j, c in enumerate(quoted):
+        n = row[f"n{j}"]
+        fits = [t for t, _ in types if n and row[f"{t}{j}"] == n]
+        out.append((F.col(c).cast(fits[0]) if fits else F.col(c)).alias(text.columns[j]))
+    return text.select(*out)
+
+
+def bound_as_text(reader, orders: dict[tuple[str, ...], list[str]]) -> DataFrame:
+    """Files of each column order as text columns, under one another by name."""
+    out = None
+    for names, files in orders.items():
+        schema = T.StructType([T.StructField(c, T.StringType(), True) for c in names])
+        part = reader.schema(schema).csv(files)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def read_table(
     spark: SparkSession,
     path: str | Sequence[str],
@@ -71,7 +137,7 @@ def read_table(
     ``parse_dates=False`` keeps date- and time-like text as strings when inferring
     (so such columns stay grouping categories, as text columns are).
     Several CSV files must have the same columns in the same order when a ``schema`` is
-    given; without one their columns are matched by name.
+    given; without one their columns are matched by name and take the narrowest type that all files fit.
     """
     paths = [path] if isinstance(path, str) else list(path)
     if not paths:
@@ -86,18 +152,15 @@ def read_table(
     if fmt != "csv":
         raise ValueError(f"unsupported format {fmt!r}")
     if schema is None:
-        orders: dict[tuple[str, ...], list[str]] = {}
-        for p in expand(spark, paths):
-            orders.setdefault(tuple(spark.read.option("header", True).csv(p).columns), []).append(p)
+        orders = column_orders(spark, expand(spark, paths)) if len(expand(spark, paths)) > 1 else {}
         if len(orders) > 1:
             first = set(next(iter(orders)))
             if any(set(names) != first for names in orders):
                 raise ValueError(f"files have different columns: {[list(names) for names in orders]}")
-            parts = [read_table(spark, files, None, null_values, fmt, repartition_gzip, parse_dates) for files in orders.values()]
-            out = parts[0]
-            for part in parts[1:]:
-                out = out.unionByName(part)
-            return out
+            text = bound_as_text(spark.read.option("header", True).option("mode", "FAILFAST"), orders)
+            keep = [F.when(~F.col(f"`{c}`").isin(list(null_values)), F.col(f"`{c}`")).alias(c) for c in text.columns]
+            out = with_common_types(text.select(*keep), parse_dates)
+            return out.repartition(parallelism(spark)) if repartition_gzip and any(f.endswith(".gz") for files in orders.values() for f in files) else out
     tokens = list(null_values)
     primary = "NA" if "NA" in tokens else (tokens[0] if tokens else None)
     reader = spark.read.option("header", True).option("mode", "FAILFAST")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bootframe.plans.jobs import run_boot_job, run_cohens_d_job
-from bootframe.sources.sinks import merge_results, set_file_name
+from bootframe.sources.sinks import bind_by_name, merge_results, set_file_name
 from bootframe.sources.tables import read_table
 
 CSV = """RID,gender,smoke,age,IPIP50_agree,IPIP100_calm
@@ -180,3 +180,33 @@ def test_command_line_with_uris_leaves_no_stray_folder(spark, csv_paths, tmp_pat
     assert main(["boot", "--input", f"file://{plain}", "--output-dir", f"file://{tmp_path}/uri", "--n-iter", "3",
                  "--categories", "gender", "--independent", "--ci", "0.9"], spark=spark) == 0
     assert set(os.listdir(tmp_path)) - before == {"uri"} and os.listdir(tmp_path / "uri") == ["boot_gender.csv"]
+
+
+def test_files_of_different_types_and_orders_bind_to_the_common_type(spark, tmp_path):
+    files = {
+        "a.csv": "n,x,code,day,flag,none\n1,2,007,2020-01-02,true,\n2,,8,2020-01-03,false,\n",
+        "b c.csv": "x,n,day,code,none,flag\n2.5,3,2020-02-01,A9,,true\n",
+        "c.csv": "\"code\",n,x,day,flag,none\n5,3000000000,1,2020-02-01 10:00:00,,\n",
+    }
+    for name, body in files.items():
+        (tmp_path / name).write_text(body)
+    out = bind_by_name(spark, [str(tmp_path / f) for f in files])
+    assert out.columns == ["n", "x", "code", "day", "flag", "none"]
+    assert [t for _, t in out.dtypes] == ["bigint", "double", "string", "timestamp", "boolean", "string"]
+    rows = {r["n"]: r for r in out.collect()}
+    assert {n: r["code"] for n, r in rows.items()} == {1: "007", 2: "8", 3: "A9", 3000000000: "5"}
+    assert rows[1]["x"] == 2.0 and rows[2]["x"] is None and rows[3]["x"] == 2.5 and rows[3000000000]["flag"] is None
+    merged = merge_results(spark, [str(tmp_path / "*.csv")], str(tmp_path / "out" / "m"))
+    assert merged.dtypes == out.dtypes and sorted(map(str, merged.collect())) == sorted(map(str, out.collect()))
+    table = read_table(spark, str(tmp_path / "*.csv"))
+    assert dict(table.dtypes)["code"] == dict(table.dtypes)["day"] == "string" and dict(table.dtypes)["n"] == "bigint" and table.count() == 4
+
+
+def test_one_job_reads_the_headers_of_many_files(spark, tmp_path):
+    for i in range(40):
+        (tmp_path / f"{i:02}.csv").write_text("a,b\n1,2\n" if i % 2 else "b,a\n2,1\n")
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    out = bind_by_name(spark, [str(tmp_path / f"{i:02}.csv") for i in range(40)])
+    after = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    assert len(set(after) - set(before)) < 12
+    assert out.groupBy("a", "b").count().collect()[0].asDict() == {"a": 1, "b": 2, "count": 40}
