@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import Workspace
@@ -63,7 +63,7 @@ def _pairs(df: DataFrame) -> DataFrame:
     return df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def linked_components(members: DataFrame, verify: Callable[[DataFrame], DataFrame], work: Workspace, pivots: int = 4) -> tuple[DataFrame, DataFrame]:
+def linked_components(members: DataFrame, verify: Callable[[DataFrame], DataFrame], work: Workspace, pivots: int = 4, marks: DataFrame | None = None, fits: Callable[[str, str], Column] | None = None, slice_rows: int = 500) -> tuple[DataFrame, DataFrame]:
     """Components of the links that ``verify`` confirms among nodes sharing a key.
 
     ``members``: stored (key, node, low). ``verify`` takes distinct pairs (a, b), a < b, and
@@ -72,6 +72,9 @@ def linked_components(members: DataFrame, verify: Callable[[DataFrame], DataFram
     pairs than rows, up to ``pivots`` rounds compare them with other nodes, picked by hash;
     the last compares all pairs of these buckets that are in different components and
     weren't compared before. Which rounds run changes the work, not the components.
+    ``marks`` (node, mark: a struct) and ``fits``, a test of the columns of two marks that no link fails,
+    keep pairs out of that round before they are made. A bucket is cut into slices of about ``slice_rows``
+    nodes there, and a node meets each slice in a row of its own, so its pairs are made in several tasks.
     Returns (components, links found).
     """
     tried = work.stored(_pairs(members.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"))), "pairs")
@@ -87,8 +90,13 @@ def linked_components(members: DataFrame, verify: Callable[[DataFrame], DataFram
             return label, links
         last = turn > pivots or pairs <= 50 * rows
         if last:
-            right = open_.select("key", F.col("node").alias("b"), F.col("part").alias("b_part"))
-            new = open_.join(right, "key").where("node < b and part <> b_part").select(F.col("node").alias("a"), "b")
+            marked = open_ if marks is None else open_.join(marks, "node")
+            mark = [] if marks is None else ["mark"]
+            marked = marked.select("key", "node", "part", F.ceil(F.col("n") / slice_rows).cast("int").alias("slices"), *mark)
+            left = marked.withColumn("slice", F.pmod(F.xxhash64("node"), "slices").cast("int"))
+            right = marked.select("key", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.col("node").alias("b"), F.col("part").alias("b_part"), *[F.col(c).alias("b_mark") for c in mark])
+            new = left.join(right, ["key", "slice"]).where("node < b and part <> b_part")
+            new = (new if fits is None else new.where(fits("mark", "b_mark"))).select(F.col("node").alias("a"), "b")
         else:
             new = open_.where("part <> other_part").select(F.col("node").alias("a"), F.col("other").alias("b"))
         new = work.stored(_pairs(new).join(tried, ["a", "b"], "left_anti"), "pairs")

@@ -56,8 +56,9 @@ def components_by_force(sets, percent):
     return [find(parent, i) for i in range(len(sets))]
 
 
+@pytest.mark.parametrize("left_out", [0, 1, 2])
 @pytest.mark.parametrize("n,percent", [(3, 90), (5, 80), (1, 50)])
-def test_ngram_jaccard_groups_equal_brute_force(spark, n, percent):
+def test_ngram_jaccard_groups_equal_brute_force(spark, n, percent, left_out):
     texts = awkward()
     for g in range(6):
         base = words(g, random.Random(g).randrange(3, 300))
@@ -67,13 +68,30 @@ def test_ngram_jaccard_groups_equal_brute_force(spark, n, percent):
             for _ in range(r.randrange(0, 2 + len(w) // 25)):
                 w[r.randrange(len(w))] = f"z{r.randrange(10**6)}"
             texts.append(" ".join(w))
-    got = {r["doc_id"]: r for r in ngram_jaccard.jaccard_groups(table(spark, texts), n=n, percent=percent).collect()}
+    got = {r["doc_id"]: r for r in ngram_jaccard.jaccard_groups(table(spark, texts), n=n, percent=percent, left_out=left_out).collect()}
     sets = [shingles(t, n) for t in texts]
     want = components_by_force(sets, percent)
     assert [got[i]["n_shingles"] for i in range(len(texts))] == [len(s) for s in sets]
     assert [got[i]["component_id"] for i in range(len(texts))] == want
 
 
+def test_sets_that_link_share_a_signature_and_pass_the_parity_bound():
+    r = np.random.default_rng(5)
+    for percent, left_out in ((80, 0), (80, 1), (90, 1), (90, 2)):
+        sign = ngram_jaccard.Signer(percent, left_out)
+        for size in (1, 2, 4, 5, 9, 10, 11, 30, 150, 999):
+            for _ in range(20):
+                both = r.integers(0, 2**64, size, np.uint64)
+                most = (100 - percent) * size // percent
+                only = r.integers(0, 2**64, most, np.uint64)
+                cut = r.integers(0, most + 1)
+                x, y = np.unique(np.concatenate([both, only[:cut]])), np.unique(np.concatenate([both, only[cut:]]))
+                assert set(sign(x)) & set(sign(y))
+                bits = ngram_jaccard.parities([x, y])
+                differ = sum(bin((int(b[0]) ^ int(b[1])) % 2**64).count("1") for b in bits.values())
+                assert differ <= most and differ % 2 == most % 2
+
+
 def test_ngram_jaccard_counts_every_link_of_a_group(spark):
     base = words(6, 200, 10_000)
     texts = [" ".join(words(7, 200, 10_000))]
@@ -107,6 +125,17 @@ def test_components_of_long_chain_star_and_loops(spark):
     assert got == {i: 0 for i in range(1, 61)} | {200 + i: 100 for i in range(50)}
 
 
+def test_last_round_in_slices_with_marks_finds_the_same_links(spark):
+    members = spark.createDataFrame([("k", i, 0) for i in range(60)] + [("l", i, 7) for i in range(7, 20)], "key string, node long, low long")
+    marks = spark.createDataFrame([(i, i % 4) for i in range(60)], "node long, of int").select("node", F.struct("of").alias("mark"))
+    verify = lambda pairs: pairs.where("a > 0 and a % 4 = b % 4 and abs(a - b) = 4")
+    work = store.Workspace(spark, "t")
+    group, _ = linking.linked_components(work.stored(members, "m"), verify, work, pivots=0, marks=marks, fits=lambda a, b: F.col(f"{a}.of") == F.col(f"{b}.of"), slice_rows=7)
+    got = {r["node"]: r["component"] for r in group.collect()}
+    work.close()
+    assert got == {i: i % 4 or 4 for i in range(5, 60)}
+
+
 def test_bucket_whose_pivot_links_nothing_still_finds_all_links(spark):
     members = spark.createDataFrame([("k", i, 0) for i in range(40)], "key string, node long, low long")
     work = store.Workspace(spark, "t")
