@@ -18,7 +18,7 @@ Plan shape (collapse=True): scan → (set, scale, value) cell counts, map-side
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import pandas as pd
@@ -474,32 +474,52 @@ def boot_custom_pandas(
 ) -> DataFrame:
     """Percentile bootstrap of a user statistic written in pandas, as a two-phase aggregate.
 
-    ``partial(pdf)`` gets a chunk of one replicate's rows (``columns`` plus the
+    ``partial(pdf)`` gets a chunk of one replicate's rows (``by``, ``r``, ``columns`` and the
     frequency ``w``) and returns one row of state (``state_schema``);
-    ``combine(states)`` folds all chunk states of a replicate into the value.
-    Each replicate is split by a hash of the row key into ``ceil(n / rows_per_chunk)``
-    chunks, so a pandas call holds about ``rows_per_chunk`` rows whatever the table
-    size; the combine step sees one state row per chunk.
+    ``combine(states)`` folds all chunk states of a replicate into the value. The states are
+    made in the task that weighs the rows: it sorts them by replicate (the sort spills) and cuts
+    each replicate after ``rows_per_chunk`` rows, so a pandas call is bounded whatever the table
+    size. Only states are shuffled; the combine step sees one state row per chunk.
     """
-    keys = key_columns(key)
-    narrow = _narrow(df, keys, [*by, *columns], [], ("r", "w", "i"))
-    chunks = max(1, -(-narrow.count() // int(rows_per_chunk)))
-    rows = resample(narrow, key, n_iter, seed, method, hash, broadcast_limit)
-    chunk = F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(int(chunks)))
-    rows = rows.select(*by, "r", chunk.alias("_chunk"), *columns, "w")
+    if rows_per_chunk < 1:
+        raise ValueError("rows_per_chunk must be at least 1")
+    narrow = _narrow(df, key_columns(key), [*by, *columns], [], ("r", "w", "i"))
+    rows = resample(narrow, key, n_iter, seed, method, hash, broadcast_limit).select(*by, "r", *columns, "w")
     group_cols = [*by, "r"]
 
     state_fields = [f.strip() for f in state_schema.split(",")]
     out_schema_partial = ", ".join([f"`{c}` {narrow.schema[c].dataType.simpleString()}" for c in by] +
                                    ["r bigint"] + state_fields)
 
-    def _partial(pdf: pd.DataFrame) -> pd.DataFrame:
-        state = partial(pdf)
-        for c in reversed(group_cols):
-            state.insert(0, c, pdf[c].iloc[0])
-        return state
-
-    states = rows.groupBy(*group_cols, "_chunk").applyInPandas(_partial, out_schema_partial)
+    def _states(parts: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0]
+        groups = [g for _, g in pdf.groupby(list(by), dropna=False, sort=False)] if by else [pdf]
+        for group in groups:
+            state = partial(group.reset_index(drop=True))
+            for c in reversed(group_cols):
+                state.insert(0, c, group[c].iloc[0])
+            yield state
+
+    def _partials(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        size, at = 0, None
+        for batch in batches:
+            for r, rest in batch.groupby("r", sort=False):
+                if held and r != at:
+                    yield from _states(held)
+                    held, size = [], 0
+                at = r
+                while len(rest):
+                    part, rest = rest.iloc[: rows_per_chunk - size], rest.iloc[rows_per_chunk - size :]
+                    held.append(part)
+                    size += len(part)
+                    if size >= rows_per_chunk:
+                        yield from _states(held)
+                        held, size = [], 0
+        if held:
+            yield from _states(held)
+
+    states = rows.sortWithinPartitions("r").mapInPandas(_partials, out_schema_partial)
     out_schema_final = ", ".join([f"`{c}` {narrow.schema[c].dataType.simpleString()}" for c in by] +
                                  ["r bigint", "value double"])
 

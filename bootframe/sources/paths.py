@@ -43,5 +43,25 @@ def children(spark: SparkSession, path: str) -> list[str]:
     return [str(s.getPath().getName()) for s in fs.listStatus(p)]
 
 
+def replace_folder(spark: SparkSession, target: str, files: Sequence[str], names: Sequence[str], staging: str) -> None:
+    """Make ``target`` a folder of ``files`` under new ``names``: gathered in ``staging`` first, then
+    put in place of an older ``target`` by one rename."""
+    to, fs = _at(spark, target)
+    stage, _ = _at(spark, staging)
+    fs.mkdirs(stage)
+    for file, name in zip(files, names):
+        if not fs.rename(_at(spark, file)[0], _at(spark, join(staging, name))[0]):
+            raise OSError(f"can't move {file} to {staging}")
+    fs.create(_at(spark, join(staging, "_SUCCESS"))[0]).close()
+    fs.delete(to, True)
+    if not fs.rename(stage, to):
+        raise OSError(f"can't move {staging} to {target}")
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p, fs = _at(spark, path)
+    fs.delete(p, True)
+
+
 def join(folder: str, name: str) -> str:
     return f"{folder.rstrip('/')}/{name}"

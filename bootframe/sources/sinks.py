@@ -1,21 +1,22 @@
 """Result sinks: one CSV per category set, one per scale, and a merged file.
 
-Results are usually small (groups × scales × statistics), so each file is
-written as a single part (``coalesce(1)``) up to ``SINGLE_PART_ROWS`` rows; a
-larger result (grouping by a very high-cardinality column) is written in parallel
-parts instead of being funnelled through one task. Callers materialise the result
-once (``cut_lineage``) before writing several files from it, so the count is cheap.
+Results are usually small (groups × scales × statistics), so each CSV is a folder with one
+part up to ``SINGLE_PART_ROWS`` rows; a larger one (grouping by a very high-cardinality column) has
+several. All CSVs of a result are written by one job: rows become CSV lines, go to the task of
+their file and part, and the finished parts are renamed. However many files there are, the
+result is read twice, once to count each file's rows. Callers materialise it first (``cut_lineage``).
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bootframe.operators.columns import as_set, set_name
-from bootframe.sources.paths import expand, join, qualified
+from bootframe.sources.paths import children, delete, expand, join, qualified, replace_folder
 from bootframe.sources.tables import bound_as_text, column_orders, with_common_types
 
 # The result files' column names, as the jobs write them. Inside Spark
@@ -39,6 +40,42 @@ def _write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     return path
 
 
+def _header(names: Sequence[str]) -> str:
+    return ",".join('"' + n.replace('"', '\\"') + '"' if set(n) & set(',"\r\n') else n for n in names)
+
+
+def _write_files(result: DataFrame, out_dir: str, by: str, files: dict[str, tuple[str, dict[str, str]]]) -> None:
+    """One CSV folder for each value of the column ``by`` that ``files`` names, in one job.
+
+    ``files``: value to (file name, columns and their names in the file). Lines of a file are in text
+    order. A value without rows gives a header alone.
+    """
+    spark = result.sparkSession
+    counts = {r[by]: r["n"] for r in result.where(F.col(by).isin(list(files))).groupBy(by).agg(F.count(F.lit(1)).alias("n")).collect()}
+    parts = {v: max(1, -(-counts.get(v, 0) // SINGLE_PART_ROWS)) for v in files}
+    number, line, width = (F.lit(None).cast(t) for t in ("int", "string", "int"))
+    for i, (value, (_, columns)) in enumerate(files.items()):
+        mine = F.col(by) == F.lit(value)
+        number = F.when(mine, F.lit(i)).otherwise(number)
+        line = F.when(mine, F.to_csv(F.struct(*[F.col(c) for c in columns]))).otherwise(line)
+        width = F.when(mine, F.lit(parts[value])).otherwise(width)
+    rows = result.where(F.col(by).isin(list(files))).select(number.alias("_file"), width.alias("_width"), line.alias("value"))
+    spread = F.pmod(F.xxhash64("value"), F.col("_width")).cast("int")  # by the line alone: a task that runs again deals alike
+    rows = rows.select("_file", spread.alias("_part"), F.lit(1).alias("_n"), "value")
+    heads = [(i, p, 0, _header(list(columns.values()))) for i, (value, (_, columns)) in enumerate(files.items()) for p in range(parts[value])]
+    lines = rows.unionAll(spark.createDataFrame(heads, "_file int, _part int, _n int, value string"))
+    lines = lines.repartition("_file", "_part").sortWithinPartitions("_file", "_part", "_n", "value")
+    work = join(out_dir, f"_work-{uuid.uuid4().hex}")
+    lines.select("_file", "_part", "value").write.partitionBy("_file", "_part").text(work)
+    for i, (value, (name, _)) in enumerate(files.items()):
+        done = []
+        for p in range(parts[value]):
+            folder = join(work, f"_file={i}/_part={p}")
+            done += [join(folder, f) for f in children(spark, folder) if f.startswith("part-")]
+        replace_folder(spark, join(out_dir, name), done, [f"part-{p:05d}.csv" for p in range(len(done))], join(work, f"done-{i}"))
+    delete(spark, work)
+
+
 def write_sets(
     result: DataFrame,
     out_dir: str,
@@ -46,16 +83,13 @@ def write_sets(
     set_col: str = "set",
     rename: dict[str, str] = SET_OUTPUT_NAMES,
 ) -> list[str]:
-    """One CSV (a directory with one part) per category set, holding only that set's key columns."""
-    written = []
+    """One CSV folder per category set, holding only that set's key columns, all written by one job."""
     stat_cols = [c for c in result.columns if c not in (set_col,) and c not in _all_keys(sets)]
-    for s in sets:
-        cols = as_set(s)
-        part = result.where(F.col(set_col) == F.lit(set_name(cols))).select(
-            *cols, *[F.col(c).alias(rename.get(c, c)) for c in stat_cols]
-        )
-        written.append(_write_csv(part, join(out_dir, set_file_name(cols))))
-    return written
+    asked = [as_set(s) for s in sets]
+    files = {set_name(cols): (set_file_name(cols), {c: rename.get(c, c) for c in [*cols, *stat_cols]}) for cols in asked}
+    if files:
+        _write_files(result, out_dir, set_col, files)
+    return [join(out_dir, set_file_name(cols)) for cols in asked]
 
 
 def _all_keys(sets: Sequence[str | Sequence[str]]) -> list[str]:
@@ -74,12 +108,11 @@ def write_by_scale(
     scales: Sequence[str],
     rename: dict[str, str] = SCALE_OUTPUT_NAMES,
 ) -> list[str]:
-    """One CSV per scale, ``<scale>_by_<group>.csv``, with the reference's column names."""
-    written = []
-    for s in scales:
-        part = result.where(F.col("scale") == F.lit(s)).select(*[F.col(c).alias(rename.get(c, c)) for c in result.columns])
-        written.append(_write_csv(part, join(out_dir, f"{s}_by_{group}.csv")))
-    return written
+    """One CSV folder per scale, ``<scale>_by_<group>.csv``, with the reference's column names, all written by one job."""
+    columns = {c: rename.get(c, c) for c in result.columns}
+    if scales:
+        _write_files(result, out_dir, "scale", {s: (f"{s}_by_{group}.csv", columns) for s in scales})
+    return [join(out_dir, f"{s}_by_{group}.csv") for s in scales]
 
 
 def bind_by_name(spark: SparkSession, inputs: Sequence[str]) -> DataFrame:

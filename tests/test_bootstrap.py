@@ -247,6 +247,30 @@ def test_boot_custom_forms_agree_per_group(spark, survey):
         assert expr[k] == pytest.approx(pand[k])
 
 
+@pytest.mark.parametrize("method", ["exact", "poisson", "multinomial"])
+def test_pandas_statistic_is_folded_where_its_rows_are(spark, survey, method):
+    """Weighted sums per group and replicate equal Spark's, whatever the chunks; only states are shuffled."""
+    def partial(pdf):
+        assert len(pdf) <= 17 and pdf["r"].nunique() == 1
+        return pd.DataFrame({"s": [(pdf["IPIP50_open"] * pdf["w"]).sum()], "n": [float((pdf["w"] * pdf["IPIP50_open"].notna()).sum())]})
+
+    def combine(states):
+        return float(states["s"].sum() / states["n"].sum())
+
+    args = dict(by=["smoke"], n_iter=9, method=method, hash="md5")
+    got = boot_custom_pandas(survey, partial, combine, "s double, n double", "RID", ["IPIP50_open"], rows_per_chunk=17, **args)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    weighed = plan[plan.index("MapInPandas"):]
+    assert "FlatMapGroupsInPandas" in plan[: plan.index("MapInPandas")] and "IPIP50_open" not in plan[: plan.index("MapInPandas")]
+    assert "Sort" in weighed and "hashpartitioning(smoke" not in weighed
+    want = boot_custom(survey, lambda w: F.sum(F.col("IPIP50_open") * w) / F.sum(F.when(F.col("IPIP50_open").isNotNull(), w)), "RID",
+                       columns=["IPIP50_open"], **args)
+    want = {r["smoke"]: r["median"] for r in want.collect()}
+    got = {r["smoke"]: r["median"] for r in got.collect()}
+    assert got.keys() == want.keys() and len(got) > 1
+    assert all(got[k] == pytest.approx(want[k]) for k in want if want[k] is not None)
+
+
 def test_independent_sets_poisson_use_own_seed(spark, survey):
     ind = boot_stats_sets(survey, [["gender"], ["smoke"]], "RID", SCALES, n_iter=6, method="poisson", shared=False)
     single = _rows(boot_stats(survey, ["smoke"], "RID", SCALES, n_iter=6, seed=43, method="poisson"), ["smoke"])

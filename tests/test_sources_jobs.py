@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bootframe.plans.jobs import run_boot_job, run_cohens_d_job
+from bootframe.sources import sinks
 from bootframe.sources.sinks import bind_by_name, merge_results, set_file_name
 from bootframe.sources.tables import read_table
 
@@ -210,3 +211,23 @@ def test_one_job_reads_the_headers_of_many_files(spark, tmp_path):
     after = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
     assert len(set(after) - set(before)) < 12
     assert out.groupBy("a", "b").count().collect()[0].asDict() == {"a": 1, "b": 2, "count": 40}
+
+
+def test_all_files_of_a_result_are_written_by_one_job(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([("a", "x, y", None, 1, 1.5), ("a", 'q"r', None, 2, None), ("a,b", "x", "z", 3, 0.1), ("none", "x", "z", 4, 0.2)],
+                               "set string, a string, b string, n int, ci95_ll double")
+    sets = [["a"], ["a", "b"], [], ["a"]]
+    files = sinks.write_sets(df, str(tmp_path), sets)
+    assert [os.path.basename(f) for f in files] == ["boot_a.csv", "boot_a,b.csv", "boot.csv", "boot_a.csv"]
+    assert sorted(os.listdir(tmp_path)) == ["boot.csv", "boot_a,b.csv", "boot_a.csv"]
+    rows = lambda f: sorted(tuple(r) for r in spark.read.option("header", True).csv(f).collect())
+    assert spark.read.option("header", True).csv(files[0]).columns == ["a", "n", "ci95.ll"]
+    assert rows(files[0]) == [('q"r', "2", None), ("x, y", "1", "1.5")] and rows(files[1]) == [("x", "z", "3", "0.1")]
+    assert open(next((tmp_path / "boot.csv").glob("part-*"))).read() == "n,ci95.ll\n"
+    # a large file has several parts, each with its header; a second run replaces the first
+    monkeypatch.setattr(sinks, "SINGLE_PART_ROWS", 20)
+    many = spark.range(100).select(F.lit("a").alias("set"), F.lit("same").alias("a"), F.col("id").alias("n"))
+    sinks.write_sets(many, str(tmp_path), [["a"]])
+    parts = list((tmp_path / "boot_a.csv").glob("part-*"))
+    assert len(parts) == 5 and all(open(p).readline() == "a,n\n" for p in parts)
+    assert rows(files[0]) == sorted(("same", str(i)) for i in range(100))
