@@ -9,7 +9,8 @@ count — therefore stays the same when rows are first collapsed into cells
 The same holds for exact-n resampling (the reference's draws): seen through one
 (set, scale), the n draws of a replicate fall on the value cells as
 Multinomial(n, c / n), so :func:`multinomial_cell_weights` draws that vector per
-replicate (group sizes still vary between replicates, as with row draws).
+replicate (group sizes still vary between replicates, as with row draws): first how many draws
+each hash range of cells gets, then, given that number, which cells of the range.
 
 For discrete measures (survey scores, counts, small integer scales) the number of
 cells does not grow with the table: a 100 TB table of scores collapses to
@@ -34,11 +35,11 @@ from pyspark.sql import types as T
 
 from bootframe.functions.draws import normal_of_piece, poisson_of_piece, poisson_pieces, uniform, zero_below
 from bootframe.operators.columns import set_name
-from bootframe.session import parallelism
+from bootframe.session import cut_lineage, parallelism
 
 _MULTI_SALT = 17
-#: largest number of cells of one (set, scale) for exact-n cell draws (one pandas group)
-MAX_CELLS = 1 << 22
+#: cells of a hash range, about; a range is one pandas group of exact-n cell draws
+RANGE_CELLS = 1 << 16
 #: weighted cell rows produced by one pandas call
 OUT_CELLS = 1 << 22
 
@@ -46,8 +47,8 @@ OUT_CELLS = 1 << 22
 def set_cells(df: DataFrame, sets: Sequence[Sequence[str]], scales: Sequence[str], set_col: str = "set") -> DataFrame:
     """(set, keys..., scale, value, c): value counts per (set group, scale).
 
-    One scan: each row is expanded to (set, scale) pairs and counted with
-    map-side partial aggregation. Keys a set does not use are NULL.
+    Each row is expanded once a scale and counted by all keys of all sets; each set then sums
+    these counts over the keys it doesn't use, which are NULL. Both counts are map-side combined.
     """
     all_cols: list[str] = []
     for s in sets:
@@ -55,20 +56,14 @@ def set_cells(df: DataFrame, sets: Sequence[Sequence[str]], scales: Sequence[str
             if c not in all_cols:
                 all_cols.append(c)
     types = {f.name: f.dataType for f in df.schema.fields}
-    arms = []
-    for s in sets:
-        for sc in scales:
-            arms.append(
-                F.struct(
-                    F.lit(set_name(s)).alias(set_col),
-                    *[(F.col(c) if c in s else F.lit(None).cast(types[c])).alias(c) for c in all_cols],
-                    F.lit(sc).alias("scale"),
-                    F.col(sc).cast("double").alias("value"),
-                )
-            )
-    expanded = df.select(F.inline(F.array(*arms)))
-    keys = [set_col, *all_cols, "scale", "value"]
-    return expanded.groupBy(*keys).agg(F.count(F.lit(1)).alias("c"))
+    values = [F.struct(F.lit(sc).alias("scale"), F.col(sc).cast("double").alias("value")) for sc in scales]
+    finest = df.select(*all_cols, F.inline(F.array(*values))).groupBy(*all_cols, "scale", "value").agg(F.count(F.lit(1)).alias("c"))
+    arms = [
+        F.struct(F.lit(set_name(s)).alias(set_col), *[(F.col(c) if c in s else F.lit(None).cast(types[c])).alias(c) for c in all_cols])
+        for s in sets
+    ]
+    expanded = finest.select(F.inline(F.array(*arms)), "scale", "value", "c")
+    return expanded.groupBy(set_col, *all_cols, "scale", "value").agg(F.sum("c").alias("c"))
 
 
 def _cell_parts(cells: DataFrame) -> list[Column]:
@@ -97,53 +92,55 @@ def poisson_cell_weights(cells: DataFrame, n_iter: int, seed: int = 42, hash: st
 
 
 def multinomial_cell_weights(
-    cells: DataFrame, n_iter: int, seed: int = 42, set_col: str = "set", max_cells: int = MAX_CELLS
+    cells: DataFrame, n_iter: int, seed: int = 42, set_col: str = "set", range_cells: int = RANGE_CELLS
 ) -> DataFrame:
     """Exact-n replicate weights over cells: per (set, scale) and replicate, Multinomial(n, c / n).
 
-    Adds ``r`` and ``w`` (> 0), drops ``c``. Each (set, scale) is one group of
-    at most ``max_cells`` cells (checked first; a continuous measure fails the check and
-    should be resampled by rows). Its replicates are split into chunks so one pandas call
-    returns about ``OUT_CELLS`` rows. Draws are seeded by (seed, set, scale, r) and cells are
-    ordered by their hash, so partitioning does not change them.
+    Adds ``r`` and ``w`` (> 0), drops ``c``. The cells of a (set, scale) are cut into equal ranges of
+    their hash, of about ``range_cells`` cells each. One small group a (set, scale) deals a replicate's
+    n draws to the ranges, Multinomial(n, range / n); each range, a group of its own, deals
+    what it got to its cells, so no number of cells is too large and each (set, scale) takes many
+    tasks. Replicates go in chunks, so one pandas call makes about ``OUT_CELLS`` weights. Draws are
+    seeded by (seed, set, scale, chunk, range) and cells are ordered by their hash, so
+    partitioning does not change them.
     """
     if n_iter < 1:
         raise ValueError("n_iter must be at least 1")
-    sizes = cells.groupBy(set_col, "scale").agg(F.count(F.lit(1)).alias("k")).collect()  # sets × scales rows
-    if not sizes:
+    if range_cells < 1:
+        raise ValueError("range_cells must be at least 1")
+    cells = cut_lineage(cells)  # read three times
+    biggest = cells.groupBy(set_col, "scale").agg(F.count(F.lit(1)).alias("k")).agg(F.max("k")).first()[0]
+    if not biggest:
         raise ValueError("no cells to resample")
-    biggest = max(r["k"] for r in sizes)
-    if biggest > max_cells:
-        raise ValueError(f"{biggest} distinct values in one (set, scale): too many cells; resample rows instead")
-    step = max(1, min(n_iter, OUT_CELLS // max(biggest, 1)))
-    chunks = -(-n_iter // step)
-    keep = [c for c in cells.columns if c not in ("c", "h")]
-    fields = [f for f in cells.schema.fields if f.name in keep]
-    schema = T.StructType([*fields, T.StructField("r", T.LongType()), T.StructField("w", T.LongType())])
-    cells = cells.withColumn("h", F.xxhash64(*[F.col(c) for c in cells.columns if c != "c"]))
-    tagged = cells.withColumn("_gh", F.xxhash64(F.col(set_col), F.col("scale")))
-    tagged = tagged.withColumn("_rc", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    mask = (1 << 63) - 1
-
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("h", kind="stable").reset_index(drop=True)
-        counts = pdf["c"].to_numpy(dtype=np.int64)
-        n = int(counts.sum())
-        p = counts / n
-        group = int(pdf["_gh"].iloc[0]) & mask
-        first = int(pdf["_rc"].iloc[0]) * step
-        idx_parts, r_parts, w_parts = [], [], []
-        for r in range(first, min(n_iter, first + step)):
-            rng = np.random.default_rng([int(seed), _MULTI_SALT, group, r])
-            w = rng.multinomial(n, p)
-            hit = np.flatnonzero(w)
-            idx_parts.append(hit)
-            r_parts.append(np.full(len(hit), r, dtype=np.int64))
-            w_parts.append(w[hit])
-        idx = np.concatenate(idx_parts) if idx_parts else np.zeros(0, dtype=np.int64)
+    bits = (-(-biggest // range_cells) - 1).bit_length()
+    step = max(1, min(n_iter, OUT_CELLS // min(biggest, range_cells)))
+    keep = [c for c in cells.columns if c != "c"]
+    schema = T.StructType([*[f for f in cells.schema.fields if f.name in keep], T.StructField("r", T.LongType()), T.StructField("w", T.LongType())])
+    at = [set_col, "scale", "_range", "_chunk"]
+    chunk = F.explode(F.sequence(F.lit(0), F.lit(-(-n_iter // step) - 1))).alias("_chunk")
+    of = F.xxhash64(F.col(set_col), F.col("scale")).bitwiseAND(F.lit((1 << 63) - 1)).alias("_of")
+    h = F.xxhash64(*[F.col(c) for c in keep])
+    ranged = cells.select("*", of, h.alias("_h"), (F.shiftrightunsigned(h, 64 - bits) if bits else F.lit(0).cast("bigint")).alias("_range"))
+
+    def reps(first: int) -> int:
+        return min(n_iter, (first + 1) * step) - first * step
+
+    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_range").reset_index(drop=True)
+        n, part = int(pdf["_c"].sum()), int(pdf["_chunk"].iloc[0])
+        rng = np.random.default_rng([int(seed), _MULTI_SALT, int(pdf["_of"].iloc[0]), part])
+        dealt = rng.multinomial(n, pdf["_c"].to_numpy(np.int64) / n, size=reps(part))
+        return pd.DataFrame({**{c: pdf[c] for c in at}, "_draws": list(dealt.T)})
+
+    def draw(pdf: pd.DataFrame, dealt: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_h", kind="stable").reset_index(drop=True)
+        counts, part = pdf["c"].to_numpy(dtype=np.int64), int(pdf["_chunk"].iloc[0])
+        rng = np.random.default_rng([int(seed), _MULTI_SALT, int(pdf["_of"].iloc[0]), part, 1 + int(pdf["_range"].iloc[0])])
+        w = rng.multinomial(np.asarray(dealt["_draws"].iloc[0], np.int64), counts / counts.sum())
+        r, idx = np.nonzero(w)
         out = {c: pdf[c].to_numpy()[idx] for c in keep}
-        out["r"] = np.concatenate(r_parts) if r_parts else np.zeros(0, dtype=np.int64)
-        out["w"] = (np.concatenate(w_parts) if w_parts else np.zeros(0)).astype(np.int64)
-        return pd.DataFrame(out, columns=[*keep, "r", "w"])
+        return pd.DataFrame({**out, "r": r + part * step, "w": w[r, idx]}, columns=[*keep, "r", "w"])
 
-    return tagged.groupBy(set_col, "scale", "_rc").applyInPandas(draw, schema)
+    ranges = ranged.groupBy(set_col, "scale", "_of", "_range").agg(F.sum("c").alias("_c")).select("*", chunk)
+    dealt = ranges.groupBy(set_col, "scale", "_chunk").applyInPandas(deal, ranges.select(*at).withColumn("_draws", F.lit(None).cast("array<bigint>")).schema)
+    return ranged.select("*", chunk).groupBy(*at).cogroup(dealt.groupBy(*at)).applyInPandas(draw, schema)

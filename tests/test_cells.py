@@ -128,12 +128,39 @@ def test_exact_cells_close_to_exact_rows(spark):
             assert wc == pytest.approx(wr, rel=0.25)
 
 
-def test_exact_cells_refuse_continuous_measures(spark):
+def test_exact_cells_in_many_ranges_are_multinomial(spark):
     from bootframe.operators.cells import multinomial_cell_weights
 
-    df = spark.range(0, 500).select(F.col("id").alias("k"), (F.col("id") * 1.37).alias("x"))
-    with pytest.raises(ValueError):
-        multinomial_cell_weights(set_cells(df, [[]], ["x"]), 5, max_cells=100)
+    df = spark.range(0, 900).select(F.col("id").alias("k"), (F.col("id") % 300 * 1.37 + F.when(F.col("id") < 450, 0).otherwise(300)).alias("x"))
+    cells = set_cells(df, [[]], ["x"])
+    got = multinomial_cell_weights(cells, 400, range_cells=16).select("value", "r", "w").toPandas()
+    again = multinomial_cell_weights(cells.repartition(5), 400, range_cells=16).select("value", "r", "w").toPandas()
+    order = lambda pdf: pdf.sort_values(["r", "value"]).reset_index(drop=True)
+    pd.testing.assert_frame_equal(order(got), order(again))
+    assert (got.groupby("r")["w"].sum() == 900).all() and got["r"].nunique() == 400
+    c = {r["value"]: r["c"] for r in cells.collect()}
+    assert len(c) > 400
+    wide = got.pivot(index="r", columns="value", values="w").reindex(columns=sorted(c)).fillna(0)
+    n = np.array([c[v] for v in wide.columns])
+    # mean c, variance c (1 - c / n), and the negative covariance of a fixed sum, between cells of any ranges
+    assert abs(wide.mean() - n).max() < 6 * np.sqrt(n.max() / 400)
+    assert wide.var().mean() == pytest.approx((n * (1 - n / 900)).mean(), rel=0.03)
+    half = wide.loc[:, wide.columns[::2]].sum(axis=1)
+    p = n[::2].sum() / 900
+    assert half.var() == pytest.approx(900 * p * (1 - p), rel=0.3)
+
+
+def test_set_cells_roll_up_from_the_finest_counts(spark):
+    rows = [(a, b, x, y) for a in ("p", "q", None) for b in (1, 2) for x, y in ((1, None), (2, 0.5), (2, 0.5))]
+    df = spark.createDataFrame(rows, "a string, b int, x int, y double")
+    got = {tuple(r) for r in set_cells(df, [["a"], ["b", "a"], []], ["x", "y"]).collect()}
+    want = {}
+    for name, keys in (("a", "a"), ("b,a", "ba"), ("", "")):
+        for a, b, x, y in rows:
+            for scale, v in (("x", x), ("y", y)):
+                k = (name, a if "a" in keys else None, b if "b" in keys else None, scale, v)
+                want[k] = want.get(k, 0) + 1
+    assert got == {(*k, c) for k, c in want.items()}
 
 
 def test_collapsed_cohens_d_close_to_row_poisson(spark):
