@@ -529,3 +529,47 @@ def test_passages_of_repeated_ids_copies_long_texts_and_twice_in_one_document(sp
     out = substring_dedup.repeated_passages(df).collect()
     assert {(x["doc"], x["first_word"], x["n_words"], x["of_doc"], x["of_n_words"]) for x in out if x["doc"] in (2, 3, 7)} == {(2, 0, 60, 1, 60), (2, 260, 60, 1, 60), (3, 0, 200, 1, 200), (7, 60_000, 60, 1, 60)}
     assert {x["doc"] for x in out} == {2, 3, 6, 7} and covered(out, 6) == set(range(300))
+
+
+def alike_somewhere(a, b, size=50, n=5, percent=80):
+    """Whether ``size`` words of both are alike, by brute force."""
+    x, y = ([shingles(" ".join(w[i : i + size]), n) for i in range(len(w) - size + 1)] for w in (a.split(), b.split()))
+    return any(100 * len(p & q) >= percent * len(p | q) for p in x for q in y if p & q)
+
+
+def test_no_near_passage_is_lost_behind_a_smaller_document_with_the_same_seeds(spark):
+    r = random.Random(9)
+    texts = [words(3000 + i, 75, 10_000) for i in range(36)]
+    for p in range(6):
+        passage = words(7000 + p, 56, 10_000)
+        # small documents quote parts that are too short, the others have the passage with a word changed
+        for doc, part in zip((2 * p, 2 * p + 1), (passage[:30], passage[26:])):
+            texts[doc][40:40] = part
+        for i, doc in enumerate((12 + p, 18 + p, 24 + p, 30 + p)):
+            near = list(passage)
+            near[28] = f"changed{i}"
+            # the last ones share 48 words, so a passage must take two others
+            texts[doc][r.randrange(20, 60) : 60] = near if i < 2 else passage[:48]
+    texts = [" ".join(w) for w in texts]
+    rows = substring_dedup.repeated_passages(table(spark, texts)).collect()
+    of = {}
+    for x in rows:
+        for d in (x["doc"], x["of_doc"]):
+            of.setdefault(d, set()).add(x["class_doc"])
+        assert x["class_doc"] <= x["of_doc"] < x["doc"] and x["similarity"] >= 0.8
+    near = [(i, j) for j in range(36) for i in range(j) if alike_somewhere(texts[i], texts[j])]
+    assert len(near) >= 12
+    assert [(i, j) for i, j in near if not of.get(i, set()) & of.get(j, set())] == []
+
+
+def test_seeds_of_a_shared_run_are_the_same():
+    size, reach = substring_dedup.seed_sizes(46, 5, 80)
+    assert substring_dedup.shared_run(46, 5, 80) == 21 and size + reach - 1 == 21
+    r = np.random.default_rng(6)
+    run = r.integers(1, 2**60, 21).astype(np.uint64)
+    for _ in range(50):
+        texts = [np.concatenate([r.integers(1, 2**60, r.integers(0, 60)).astype(np.uint64), run, r.integers(1, 2**60, 40).astype(np.uint64)]) for _ in range(2)]
+        key, which, _, place, _ = substring_dedup.compact_windows([substring_dedup.stretch_hashes(t, size) for t in texts], reach, 0)
+        assert set(key[which == 0].tolist()) & set(key[which == 1].tolist())
+        near = substring_dedup.around(texts, np.array([0, 1]), np.array([len(t) - 61 for t in texts]), np.array([len(t) - 41 for t in texts]))
+        assert near[0] == near[1]
