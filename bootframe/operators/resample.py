@@ -24,9 +24,11 @@ from __future__ import annotations
 
 import math
 import warnings
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,8 +42,10 @@ METHODS = ("exact", "multinomial", "poisson")
 ROWS_PER_BUCKET = 1 << 18
 #: draws generated per task of the exact draw range
 DRAWS_PER_TASK = 1 << 23
-#: draws per partition of the weight table when it is shuffled on the row index
-WEIGHTS_PER_PARTITION = 1 << 24
+#: draws packed at once, and draws of a bucket's rows, when they are shuffled
+DRAWS_PER_GROUP = 1 << 21
+#: draws per partition of the packed draws
+WEIGHTS_PER_PARTITION = 1 << 26
 #: largest proven in-memory size of the indexed table that may be broadcast
 BROADCAST_LIMIT = 256 << 20
 
@@ -202,8 +206,8 @@ def resample(
     exact, indexed table within ``broadcast_limit`` (proven size): the draws
     stream through a broadcast hash join, one row per draw with ``w = 1``; no
     shuffle before the caller's aggregate.
-    exact, larger table: draws counted into ``(r, i, w)`` and joined on ``i``;
-    both sides hash-partitioned on ``i`` once.
+    exact, larger table: the draws are sent to the rows as a byte or so each and
+    counted there (:func:`packed_resample`).
     multinomial: exact-n, drawn in place and topped up by a few draws that are joined.
     poisson: ``explode`` the replicate numbers and weight each row in place. The key is
     checked to be unique first; ``assume_unique=True`` skips that.
@@ -233,10 +237,86 @@ def resample(
         f"({idx.n * n_iter} draws); method='multinomial' draws exact-n samples in place",
         stacklevel=2,
     )
-    # Sized by the weight rows (≈ 0.63·n·B, ~16 B each): AQE cannot split a repartition.
+    return packed_resample(idx, n_iter, seed, hash)
+
+
+def pack(offsets: np.ndarray) -> bytes:
+    """Sorted numbers from 0 as their differences, a byte each (255: that far and on)."""
+    steps = np.diff(offsets, prepend=0)
+    more = steps // 255
+    ends = np.cumsum(more + 1) - 1
+    out = np.full(int(ends[-1]) + 1, 255, np.uint8)
+    out[ends] = steps % 255
+    return out.tobytes()
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    steps = np.frombuffer(packed, np.uint8)
+    return np.cumsum(steps, dtype=np.int64)[steps != 255]
+
+
+def _packed(rows_per_bucket: int, draws: int):
+    def packs(r: np.ndarray, i: np.ndarray) -> pa.RecordBatch:
+        out: tuple[list, list, list] = [], [], []
+        for one in np.unique(r):
+            mine = np.sort(i[r == one])
+            cuts = np.flatnonzero(np.diff(mine // rows_per_bucket)) + 1
+            for part in np.split(mine, cuts):
+                bucket = int(part[0]) // rows_per_bucket
+                for column, value in zip(out, (bucket, int(one), pack(part - bucket * rows_per_bucket))):
+                    column.append(value)
+        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], ["_bucket", "_r", "_draws"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rs, ats, held = [], [], 0
+        for batch in batches:
+            rs.append(batch.column("r").to_numpy())
+            ats.append(batch.column("i").to_numpy())
+            held += batch.num_rows
+            if held >= draws:
+                yield packs(np.concatenate(rs), np.concatenate(ats))
+                rs, ats, held = [], [], 0
+        if held:
+            yield packs(np.concatenate(rs), np.concatenate(ats))
+
+    return run
+
+
+def _weighed(columns: list[str], rows_per_bucket: int):
+    def run(rows: pa.Table, draws: pa.Table) -> pa.Table:
+        place = rows.column("_at").to_numpy() % rows_per_bucket
+        where = np.zeros(rows_per_bucket, np.int64)
+        where[place] = np.arange(len(place))
+        of: dict[int, list[bytes]] = {}
+        for r, packed in zip(draws.column("_r").to_pylist(), draws.column("_draws").to_pylist()):
+            of.setdefault(r, []).append(packed)
+        at, r_of, w_of = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for r, parts in of.items():
+            counts = np.bincount(np.concatenate([unpack(x) for x in parts]))
+            drawn = np.flatnonzero(counts)
+            at.append(where[drawn])
+            r_of.append(np.full(len(drawn), r))
+            w_of.append(counts[drawn])
+        out = rows.select([f"_{j}" for j in range(len(columns))]).take(pa.array(np.concatenate(at)))
+        return pa.Table.from_arrays([*out.columns, pa.array(np.concatenate(r_of)), pa.array(np.concatenate(w_of).astype(np.int64))], [*columns, "r", "w"])
+
+    return run
+
+
+def packed_resample(idx: Indexed, n_iter: int, seed: int = 42, hash: str = "xxhash64") -> DataFrame:
+    """:func:`resample` of a table of any size, exact method: the draws go to their rows as some byte each.
+
+    Rows with neighbouring numbers are a bucket. A task sorts its draws of a replicate and sends
+    each bucket their differences (:func:`pack`); there they are counted and meet the bucket's
+    rows. Memory: ``DRAWS_PER_GROUP`` draws, and as many weighted rows of one bucket.
+    """
+    spark = idx.df.sparkSession
+    rows_per_bucket = max(1, DRAWS_PER_GROUP // n_iter)
+    # Sized by the draws (a byte each): AQE cannot split a repartition.
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(idx.n * n_iter / WEIGHTS_PER_PARTITION))
-    weights = exact_weights(spark, idx.n, n_iter, seed, hash, partitions=parts)
-    # Both sides hash-partitioned on i once; the n-row table is the hash-join build
-    # side per partition (the hint also stops a broadcast from a file-size estimate).
-    data = idx.df.repartition(parts, idx.index_col).hint("shuffle_hash")
-    return weights.join(data, idx.index_col).drop(idx.index_col)
+    draws = exact_draws(spark, idx.n, n_iter, seed, hash).mapInArrow(_packed(rows_per_bucket, DRAWS_PER_GROUP), "_bucket long, _r long, _draws binary")
+    fields = [f for f in idx.df.schema.fields if f.name != idx.index_col]
+    rows = idx.df.select(F.expr(f"`{idx.index_col}` div {rows_per_bucket}").alias("_bucket"), F.col(idx.index_col).alias("_at"), *[F.col(f"`{f.name}`").alias(f"_{j}") for j, f in enumerate(fields)])
+    schema = T.StructType([*fields, T.StructField("r", T.LongType()), T.StructField("w", T.LongType())])
+    both = [x.repartition(parts, "_bucket").groupBy("_bucket") for x in (rows, draws)]
+    return both[0].cogroup(both[1]).applyInArrow(_weighed([f.name for f in fields], rows_per_bucket), schema)

@@ -1,3 +1,6 @@
+from collections import Counter
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,3 +102,25 @@ def test_key_with_few_repeats_is_refused_unless_assumed_unique(spark):
     with pytest.raises(ValueError):
         resample(df, "k", 2, method="poisson")
     assert resample(df, "k", 2, method="poisson", assume_unique=True).count() > 0
+
+
+def test_packed_numbers_come_back_whatever_their_distance():
+    from bootframe.operators.resample import pack, unpack
+
+    for numbers in ([0], [7, 7, 7], [254, 255, 256, 766, 767, 5000], [510], list(range(0, 90_000, 255))):
+        assert unpack(pack(np.array(numbers))).tolist() == numbers
+
+
+def test_shuffled_draws_are_sent_as_bytes_and_counted_at_their_rows(spark, monkeypatch):
+    from bootframe.operators import resample as R
+
+    monkeypatch.setattr(R, "DRAWS_PER_GROUP", 64)
+    rows = [(i, None if i % 5 == 0 else f"g{i % 3}", i * 0.5) for i in range(400)]
+    df = spark.createDataFrame(rows, "r_key long, g string, x double")
+    with pytest.warns(UserWarning):
+        big = resample(df, "r_key", 6, hash="md5", broadcast_limit=0)
+    want = Counter((r["r"], r["r_key"], r["g"], r["x"]) for r in resample(df, "r_key", 6, hash="md5").collect())
+    got = big.collect()
+    assert {(x["r"], x["r_key"], x["g"], x["x"]): x["w"] for x in got} == dict(want) and len(got) == len(want)
+    plan = big._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "_draws" in plan and "Join" not in plan
