@@ -176,11 +176,13 @@ def poisson_weight_column(seed: int, r: Column, key_cols: Sequence[Column], hash
 
 def poisson_rows(df: DataFrame, keys: Sequence[str], n_iter: int, seed: int = 42, hash: str = "xxhash64", rate: float = 1.0) -> DataFrame:
     """``df``'s rows with ``r`` and the Poisson(rate) weight ``w`` > 0 of their key in replicate ``r``."""
-    # Each input row becomes n_iter weighted rows inside its task. A small input
-    # (fewer splits than cores) is spread first; a large one already is.
+    # Each input row becomes n_iter weighted rows inside its task: the rows are dealt to as
+    # many tasks as their draws need, and a small input at least over the cores.
     cores = parallelism(df.sparkSession)
-    if n_iter > 1 and input_partitions(df, cores) < cores:
-        df = df.repartition(2 * cores)
+    if n_iter > 1 and not df.isStreaming:
+        have, need = input_partitions(df, cores), math.ceil(df.count() * n_iter / DRAWS_PER_TASK)
+        if have < max(cores, need):
+            df = df.repartition(max(2 * cores, need))
     reps = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(int(n_iter) - 1).cast("bigint")))
     weighted = df.select("*", reps.alias("r"))
     # Bind the hash once: the CASE chain reads the column, not 18 copies of the hash.

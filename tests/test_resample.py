@@ -124,3 +124,14 @@ def test_shuffled_draws_are_sent_as_bytes_and_counted_at_their_rows(spark, monke
     assert {(x["r"], x["r_key"], x["g"], x["x"]): x["w"] for x in got} == dict(want) and len(got) == len(want)
     plan = big._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "_draws" in plan and "Join" not in plan
+
+
+def test_poisson_rows_are_dealt_by_their_draws(spark, monkeypatch):
+    from bootframe.operators import resample as R
+
+    df = spark.range(1000).toDF("k")
+    before = {(x["k"], x["r"]): x["w"] for x in R.poisson_rows(df, ["k"], 50).collect()}
+    monkeypatch.setattr(R, "DRAWS_PER_TASK", 500)
+    out = R.poisson_rows(df, ["k"], 50)
+    assert out.rdd.getNumPartitions() == 100
+    assert {(x["k"], x["r"]): x["w"] for x in out.collect()} == before
