@@ -5,6 +5,7 @@ import random
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 import sentencepiece as spm
 from pyspark.sql import functions as F
@@ -573,3 +574,58 @@ def test_seeds_of_a_shared_run_are_the_same():
         assert set(key[which == 0].tolist()) & set(key[which == 1].tolist())
         near = substring_dedup.around(texts, np.array([0, 1]), np.array([len(t) - 61 for t in texts]), np.array([len(t) - 41 for t in texts]))
         assert near[0] == near[1]
+
+
+def test_line_pairs_are_confirmed_as_their_edit_distance_says():
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    r, rows = random.Random(5), []
+    for n in [1, 2, 3, 7, 24, 40, 90, 150, 260] * 20:
+        a = "".join(r.choice("abcdé ") for _ in range(n))
+        cut = r.randrange(n)
+        b = edited(r, a, r.randint(0, max(1, n // 4))) if r.random() < 0.7 else a[cut:] + a[:cut]
+        rows.append((len(rows), a, b or "z"))
+    pairs = pd.DataFrame([(k, k, a, b) for k, a, b in rows], columns=["a", "b", "form_a", "form_b"])
+    apart = [distance(a, b) for _, a, b in rows]
+    for percent in (80, 50):
+        want = {k for (k, a, b), d in zip(rows, apart) if d <= max(len(a), len(b)) * (100 - percent) // 100}
+        assert 0 < len(want) < len(rows)
+        assert set(pd.concat(line_dedup._near_lines(percent)(iter([pairs])))["a"]) == want
+    # letters differ in two bits an edit at most, so they let all pairs that link pass
+    x, y = (line_dedup.letters([row[side] for row in rows]) for side in (1, 2))
+    bits = sum(np.bitwise_count((x[c] ^ y[c]).view(np.uint64)).astype(int) for c in line_dedup.LETTERS)
+    assert (bits <= 2 * np.array(apart)).all()
+    assert line_dedup.within("a" * 500 + "b", "a" * 500 + "c", 1) and not line_dedup.within("abc", "xyz", 2)
+
+
+def test_pivots_of_a_bucket_are_compared_in_one_round_without_a_join_by_key(spark):
+    rows, asked = [(1, n, 0) for n in range(300)], []
+
+    def verify(pairs):
+        asked.append(pairs.count())
+        return pairs.where("a % 3 = b % 3")
+
+    work = store.Workspace(spark, "test")
+    members = work.stored(spark.createDataFrame(rows, "key long, node long, low long"), "members")
+    group, _ = linking.linked_components(members, verify, work, pivots=3)
+    assert {r["node"]: r["component"] for r in group.collect()} == {n: n % 3 for n in range(3, 300)}
+    # the smallest, the pivots at once, the rest
+    assert len(asked) <= 3 and max(asked) < 150 * 299
+
+
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_components_of_few_edges_are_found_in_one_partition(spark, few, monkeypatch):
+    monkeypatch.setattr(linking, "FEW", few)
+    steps, stars = [], linking._stars
+    monkeypatch.setattr(linking, "_stars", lambda edges, one=lambda df: df: steps.append(stars(edges, one)) or steps[-1])
+    work = store.Workspace(spark, "test")
+    edges = spark.createDataFrame([(n, n + 1) for n in range(0, 40) if n % 10 != 9], "a long, b long")
+    assert {r["node"]: r["component"] for r in linking.components(edges, work).collect()} == {n: n // 10 * 10 for n in range(40) if n % 10}
+    assert steps and all(("Exchange hash" in s._jdf.queryExecution().executedPlan().toString()) == (few == 0) for s in steps)
