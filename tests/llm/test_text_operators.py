@@ -629,3 +629,45 @@ def test_components_of_few_edges_are_found_in_one_partition(spark, few, monkeypa
     edges = spark.createDataFrame([(n, n + 1) for n in range(0, 40) if n % 10 != 9], "a long, b long")
     assert {r["node"]: r["component"] for r in linking.components(edges, work).collect()} == {n: n // 10 * 10 for n in range(40) if n % 10}
     assert steps and all(("Exchange hash" in s._jdf.queryExecution().executedPlan().toString()) == (few == 0) for s in steps)
+
+
+def test_last_round_takes_turns_where_buckets_have_many_pairs(spark):
+    rows, asked = [(key, 30 * key + n, 30 * key) for key in range(20) for n in range(30)], []
+
+    def verify(pairs):
+        asked.append(pairs.count())
+        return pairs.where("a % 3 = b % 3")
+
+    work = store.Workspace(spark, "test")
+    members = work.stored(spark.createDataFrame(rows, "key long, node long, low long"), "members")
+    group, links = linking.linked_components(members, verify, work, pivots=0, pass_pairs=100)
+    assert {r["node"]: r["component"] for r in group.collect()} == {n: n - n % 30 + n % 3 for n in range(600) if n % 30 >= 3}
+    # 14.5 pairs a row, 4 a row in a pass; a pass asks for pairs of its own keys only
+    assert len(asked) == 5 and sum(asked[1:]) > 2 * max(asked[1:]) and links.count() == links.distinct().count()
+
+
+def test_line_keys_are_not_stored_beside_the_lines(spark, monkeypatch):
+    tables, stored = {}, store.Workspace.stored
+    monkeypatch.setattr(store.Workspace, "stored", lambda self, df, label: tables.setdefault(label, df.dtypes) and stored(self, df, label))
+    texts = [" ".join(words(7, 30)), " ".join(words(7, 30)[:-1]) + " other"]
+    assert [r["keep"] for r in line_dedup.repeated_lines(table(spark, texts), near="edit").orderBy("doc").collect()] == [True, False]
+    assert dict(tables["lines"]) == {"doc": "bigint", "copy": "bigint", "line": "int", "node": "bigint"}
+
+
+def test_edits_of_many_pairs_at_once_equal_those_of_each(spark):
+    r, a, b = random.Random(6), [], []
+    for n in [1, 2, 5, 63, 64, 65, 127, 128, 129, 300, 700] * 12:
+        x = "".join(r.choice("abcé") for _ in range(n))
+        a.append(x)
+        b.append(edited(r, x, r.randint(0, n // 3)) if r.random() < 0.8 else "".join(r.choice("abcé") for _ in range(n)))
+    a, b = a + ["", "abc", ""], b + ["abc", "", ""]
+    codes = [np.zeros((len(a), max(map(len, side))), np.uint32) for side in (a, b)]
+    for at, side in zip(codes, (a, b)):
+        for k, x in enumerate(side):
+            at[k, : len(x)] = [ord(c) for c in x]
+    sizes = [np.array([len(x) for x in side]) for side in (a, b)]
+    con = duckdb.connect()
+    far = np.array([con.execute("select levenshtein(?, ?)", [x.replace("é", "d"), y.replace("é", "d")]).fetchall()[0][0] for x, y in zip(a, b)])
+    for most in (far, np.maximum(far - 1, 0), far + 3):
+        assert (line_dedup.all_within(*codes, *sizes, most) == (far <= most)).all()
+        assert [line_dedup.within(x, y, int(m)) for x, y, m in zip(a, b, most)] == (far <= most).tolist()
