@@ -671,3 +671,28 @@ def test_edits_of_many_pairs_at_once_equal_those_of_each(spark):
     for most in (far, np.maximum(far - 1, 0), far + 3):
         assert (line_dedup.all_within(*codes, *sizes, most) == (far <= most)).all()
         assert [line_dedup.within(x, y, int(m)) for x, y, m in zip(a, b, most)] == (far <= most).tolist()
+
+
+def test_only_pairs_with_enough_common_tokens_are_searched_for_passages(monkeypatch):
+    r, n, least, percent = np.random.default_rng(3), 3, 10, 80
+    texts, others = [], []
+    for _ in range(600):
+        # few different tokens: many repeat, some stretches not at all
+        x = r.integers(0, r.integers(2, 90), r.integers(1, 60)).astype(np.uint64) * np.uint64(2**40 + 12345)
+        cut = r.integers(0, len(x) + 1)
+        y = np.concatenate([x[cut:], x[: r.integers(0, cut + 1)]])
+        y[r.random(len(y)) < 0.1] = np.uint64(7)
+        texts.append(x)
+        others.append(y)
+    found = [substring_dedup.every_passage(x, y, n, least, percent) for x, y in zip(texts, others)]
+    may = substring_dedup.may_share(texts, others, least, percent)
+    assert any(found) and not may.all() and all(m for m, f in zip(may, found) if f)
+    for x, y, f in zip(texts, others, found):
+        for first, last, there, end, alike in f:
+            a, b = set(x[first : last + 1].tolist()), set(y[there : end + 1].tolist())
+            assert alike == len(a & b) / len(a | b) >= 0.8 and last - first + 1 >= least <= end - there + 1
+    rows = pd.DataFrame([(1, 0, 0, 9, 0, 0, 0, 9, y.tobytes(), x.tobytes()) for x, y in zip(texts, others)], columns=["a", "copy_a", "lo_a", "hi_a", "b", "copy_b", "lo_b", "hi_b", "tokens_a", "tokens_b"])
+    searched, search = [], substring_dedup.every_passage
+    monkeypatch.setattr(substring_dedup, "every_passage", lambda *args: searched.append(args) or search(*args))
+    out = pd.concat(substring_dedup._verified(n, least, percent)(iter([rows])))
+    assert len(searched) == may.sum() and len(out) == sum(map(len, found))
