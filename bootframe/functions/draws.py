@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,6 +50,77 @@ def hash_bits(seed: int, parts: Sequence[Column], hash: str = "xxhash64") -> Col
     return F.shiftrightunsigned(F.xxhash64(F.lit(int(seed)).cast("bigint"), *parts), 1)
 
 
+#: MD5 (RFC 1321): bits that each step turns its sum by, and constants.
+_TURNS = [t for four in ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)) for t in four * 4]
+_SINES = [int(abs(math.sin(i + 1)) * 2**32) for i in range(64)]
+#: Numbers that are hashed at once: those that differ in their last digits only.
+_TOGETHER = 10_000
+
+
+def _md5_head(words: list[int | np.ndarray], size: int) -> np.ndarray:
+    """First eight bytes, as a number, of the MD5 of many messages of one 64-byte block: its words, arrays of ``size`` where messages differ."""
+    begin = [0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476]
+    a, b, c, d = (np.full(size, x, np.uint32) for x in begin)
+    f, g = np.empty(size, np.uint32), np.empty(size, np.uint32)
+    for i in range(64):
+        if i < 16:
+            np.bitwise_xor(c, d, out=f)
+            f &= b
+            f ^= d
+            k = i
+        elif i < 32:
+            np.bitwise_xor(b, c, out=f)
+            f &= d
+            f ^= c
+            k = (5 * i + 1) % 16
+        elif i < 48:
+            np.bitwise_xor(b, c, out=f)
+            f ^= d
+            k = (3 * i + 5) % 16
+        else:
+            np.invert(d, out=f)
+            f |= b
+            f ^= c
+            k = 7 * i % 16
+        f += a
+        if isinstance(words[k], np.ndarray):
+            f += words[k]
+            f += np.uint32(_SINES[i])
+        else:
+            f += np.uint32((_SINES[i] + words[k]) % 2**32)
+        np.right_shift(f, np.uint32(32 - _TURNS[i]), out=g)
+        f <<= np.uint32(_TURNS[i])
+        f |= g
+        f += b
+        # a's array takes the next sum
+        a, b, c, d, f = d, f, b, c, a
+    head = [(x + np.uint32(y)).byteswap().astype(np.uint64) for x, y in ((a, begin[0]), (b, begin[1]))]
+    return head[0] << np.uint64(32) | head[1]
+
+
+def md5_bits(seed: int, r: int, first: int, last: int) -> np.ndarray:
+    """:func:`hash_bits` (md5) of (seed, r, s) for every ``s`` from ``first`` to ``last`` (not included), all from 0 up."""
+    out, prefix = [np.empty(0, np.int64)], f"{int(seed)}|{int(r)}|".encode()
+    while first < last:
+        # numbers of one length that differ in their last digits only
+        end = min(last, first // _TOGETHER * _TOGETHER + _TOGETHER, 10 ** len(str(first)))
+        text = prefix + str(first).encode()
+        if len(text) > 55:
+            raise ValueError("seed, replicate and draw are too long for one block of MD5")
+        block = bytearray(text + b"\x80" + bytes(55 - len(text)) + (8 * len(text)).to_bytes(8, "little"))
+        digits = min(len(str(first)), len(str(_TOGETHER - 1)))
+        s = np.arange(first, end)
+        block[len(text) - digits : len(text)] = bytes(digits)
+        words: list = [int.from_bytes(block[i : i + 4], "little") for i in range(0, 64, 4)]
+        for i in range(digits):
+            at = len(text) - 1 - i
+            digit = (s // 10**i % 10 + 48).astype(np.uint32) << np.uint32(8 * (at % 4))
+            words[at // 4] = digit | words[at // 4] if isinstance(words[at // 4], np.ndarray) else digit | np.uint32(words[at // 4])
+        out.append((_md5_head(words, len(s)) >> np.uint64(4)).astype(np.int64))
+        first = end
+    return np.concatenate(out)
+
+
 def draw_index(seed: int, r: Column, s: Column, n: int, hash: str = "xxhash64") -> Column:
     """Row index 0..n-1 picked by draw ``s`` of replicate ``r`` (uniform, with replacement).
 

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bootframe.session import cut_lineage, input_partitions, parallelism
-from bootframe.functions.draws import draw_index, poisson_thresholds, poisson_weight, uniform
+from bootframe.functions.draws import draw_index, md5_bits, poisson_thresholds, poisson_weight, uniform
 
 METHODS = ("exact", "multinomial", "poisson")
 
@@ -257,7 +257,9 @@ def unpack(packed: bytes) -> np.ndarray:
     return np.cumsum(steps, dtype=np.int64)[steps != 255]
 
 
-def _packed(rows_per_bucket: int, draws: int):
+def _packed(rows_per_bucket: int, draws: int, seed: int, n: int):
+    """Packs draws: columns r and i, or, where a row names a range of draws (first, last), those of md5."""
+
     def packs(r: np.ndarray, i: np.ndarray) -> pa.RecordBatch:
         out: tuple[list, list, list] = [], [], []
         for one in np.unique(r):
@@ -269,15 +271,27 @@ def _packed(rows_per_bucket: int, draws: int):
                     column.append(value)
         return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], ["_bucket", "_r", "_draws"])
 
+    def drawn(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if "i" in batch.schema.names:
+            yield batch.column("r").to_numpy(), batch.column("i").to_numpy()
+            return
+        for at, last in zip(batch.column("first").to_pylist(), batch.column("last").to_pylist()):
+            while at < last:
+                r, s = divmod(at, n)
+                end = min(last, at + draws, (r + 1) * n)
+                yield np.full(end - at, r), md5_bits(seed, r, s, s + end - at) % n
+                at = end
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rs, ats, held = [], [], 0
         for batch in batches:
-            rs.append(batch.column("r").to_numpy())
-            ats.append(batch.column("i").to_numpy())
-            held += batch.num_rows
-            if held >= draws:
-                yield packs(np.concatenate(rs), np.concatenate(ats))
-                rs, ats, held = [], [], 0
+            for r, i in drawn(batch):
+                rs.append(r)
+                ats.append(i)
+                held += len(i)
+                if held >= draws:
+                    yield packs(np.concatenate(rs), np.concatenate(ats))
+                    rs, ats, held = [], [], 0
         if held:
             yield packs(np.concatenate(rs), np.concatenate(ats))
 
@@ -316,7 +330,15 @@ def packed_resample(idx: Indexed, n_iter: int, seed: int = 42, hash: str = "xxha
     rows_per_bucket = max(1, DRAWS_PER_GROUP // n_iter)
     # Sized by the draws (a byte each): AQE cannot split a repartition.
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(idx.n * n_iter / WEIGHTS_PER_PARTITION))
-    draws = exact_draws(spark, idx.n, n_iter, seed, hash).mapInArrow(_packed(rows_per_bucket, DRAWS_PER_GROUP), "_bucket long, _r long, _draws binary")
+    if hash == "md5":
+        # the same draws as exact_draws, hashed by the array: as a column md5 makes a string of each
+        total = idx.n * n_iter
+        tasks = max(2 * parallelism(spark), math.ceil(total / DRAWS_PER_TASK))
+        share = math.ceil(total / tasks)
+        made = spark.range(0, tasks, 1, tasks).select((F.col("id") * share).alias("first"), F.least((F.col("id") + 1) * share, F.lit(total)).alias("last"))
+    else:
+        made = exact_draws(spark, idx.n, n_iter, seed, hash)
+    draws = made.mapInArrow(_packed(rows_per_bucket, DRAWS_PER_GROUP, int(seed), idx.n), "_bucket long, _r long, _draws binary")
     fields = [f for f in idx.df.schema.fields if f.name != idx.index_col]
     rows = idx.df.select(F.expr(f"`{idx.index_col}` div {rows_per_bucket}").alias("_bucket"), F.col(idx.index_col).alias("_at"), *[F.col(f"`{f.name}`").alias(f"_{j}") for j, f in enumerate(fields)])
     schema = T.StructType([*fields, T.StructField("r", T.LongType()), T.StructField("w", T.LongType())])
