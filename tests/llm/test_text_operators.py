@@ -696,3 +696,66 @@ def test_only_pairs_with_enough_common_tokens_are_searched_for_passages(monkeypa
     monkeypatch.setattr(substring_dedup, "every_passage", lambda *args: searched.append(args) or search(*args))
     out = pd.concat(substring_dedup._verified(n, least, percent)(iter([rows])))
     assert len(searched) == may.sum() and len(out) == sum(map(len, found))
+
+
+def test_tokens_of_many_spans_are_hashed_at_once(monkeypatch):
+    n, texts = 5, [" ".join(words(i, i % 40)) for i in range(300)]
+    spans = [(k, 0, lo, lo + 9) for k, t in enumerate(texts) for lo in range(0, len(t.split()), 7)]
+    batch = pd.DataFrame([(k, 0, t, np.arange(0, len(t.split()), 7), np.arange(0, len(t.split()), 7) + 9) for k, t in enumerate(texts)], columns=["doc", "copy", "text", "los", "his"])
+    hashes, calls, mix = ngram_jaccard.WordHashes(), [], substring_dedup.mixed
+    expected = [substring_dedup.token_hashes(" ".join(texts[k].split()[lo : hi + n]), n, hashes).tobytes() for k, _, lo, hi in spans]
+    monkeypatch.setattr(substring_dedup, "mixed", lambda x: calls.append(1) or mix(x))
+    out = pd.concat(substring_dedup._segments(n)(iter([batch])))
+    assert list(out[["doc", "copy", "lo", "hi"]].itertuples(index=False, name=None)) == spans and out["tokens"].tolist() == expected
+    assert sum(map(bool, expected)) > 500 and len(calls) <= (n + 1) * (1 + out["tokens"].str.len().sum() // 8 // 1000)
+
+
+def test_stretches_without_repeats_are_compared_by_their_counts(monkeypatch):
+    r, n, least, percent = np.random.default_rng(5), 3, 20, 80
+    sets, made = [], substring_dedup.reduce
+    monkeypatch.setattr(substring_dedup, "reduce", lambda *args: sets.append(1) or made(*args))
+    found, compared = 0, 0
+    for turn in range(200):
+        a = r.permutation(90).astype(np.uint64)
+        if turn % 2:
+            a[r.integers(0, 90, 30)] = a[:30]
+        b = a.copy()
+        b[r.random(90) < 0.25] += np.uint64(1000)
+        at = len(sets)
+        out = substring_dedup.every_passage(a, b, n, least, percent)
+        stretches = [x for x in out if x[1] - x[0] + 1 == least]
+        for first, last, there, end, alike in out:
+            x, y = set(a[first : last + 1].tolist()), set(b[there : end + 1].tolist())
+            assert alike == len(x & y) / len(x | y) >= 0.8
+        if turn % 2:
+            compared += len(sets) - at
+        else:
+            assert len(sets) == at
+            found += len(stretches)
+    assert found and compared
+    for i in range(200):
+        x = r.integers(0, r.integers(2, 60), r.integers(1, 50))
+        stretch = int(r.integers(1, 12))
+        assert [len(set(x[k : k + stretch].tolist())) < len(x[k : k + stretch]) for k in range(len(x))] == substring_dedup._twice(x, stretch).tolist()
+
+
+def test_spans_with_too_few_common_tokens_are_not_laid_over_each_other(monkeypatch):
+    tried, alike = [], substring_dedup._alike
+    monkeypatch.setattr(substring_dedup, "_alike", lambda *args: tried.append(1) or alike(*args))
+    a = np.arange(120, dtype=np.uint64)
+    b = a + np.uint64(1000)
+    b[[*range(0, 120, 3), *range(50, 60)]] = a[[*range(0, 120, 3), *range(50, 60)]]
+    assert substring_dedup.every_passage(a, b, 5, 46, 80) == [] and not tried
+    b = a + np.uint64(1000)
+    b[20:90] = a[20:90]
+    assert substring_dedup.every_passage(a, b, 5, 46, 80) == [(20, 89, 20, 89, 1.0)] and tried
+
+
+def test_texts_of_copies_are_split_into_words_once(spark, monkeypatch):
+    text = " ".join(words(1, 80))
+    docs = table(spark, [text, text, " ".join(words(2, 80)), " ".join(words(2, 80)), text + " z"])
+    plans, written = [], store._written
+    monkeypatch.setattr(store, "_written", lambda df, path: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or written(df, path))
+    out = substring_dedup.repeated_passages(docs).collect()
+    assert {(x.doc, x.of_doc, x.n_words) for x in out if x.doc < 4} == {(1, 0, 80), (3, 2, 80)}
+    assert sum("split(text" in p for p in plans) == 1
